@@ -2,21 +2,91 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import read
+from .common import read, shared_dir
+from .embed_dedup import near_duplicates
+from .mixing import mix_sources
 from .ngram_join import jaccard_components
+from .pieces import encode_pieces
+from .quality import fit_quality, score_quality
+from .secrets import digest, scan_secrets
+from .token_files import read_token_files, write_token_files
+from .topk import top_inner_products
+from .toxicity import fit_toxicity, score_toxicity
+
+
+def vocabulary(name: str) -> str:
+    """The path of a public tokenizer's file."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
 
 
 def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(read(spark, sf_dir, "documents"), k=3, similarity=(9, 10))
 
 
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    return score_toxicity(docs, fit_toxicity(docs, read(spark, sf_dir, "labels"))).select("doc_id", "held_out", "score", "predicted")
+
+
+def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = f"{shared_dir(spark)}/lyricspark/token-files-{uuid.uuid4().hex}"
+    write_token_files(read(spark, sf_dir, "documents"), path, vocabulary("byte_bpe_50k.json"), end_id=0)
+    return read_token_files(spark, path)
+
+
+def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return encode_pieces(read(spark, sf_dir, "documents"), vocabulary("piece_bpe_32k.model"))
+
+
+def op6_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return digest(scan_secrets(read(spark, sf_dir, "documents")))
+
+
+def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix_sources(read(spark, sf_dir, "documents"), weights=(3, 1, 2), share=1.5, most=2)
+
+
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    return score_quality(docs, fit_quality(docs, read(spark, sf_dir, "labels"))).select("doc_id", "held_out", "score", "predicted")
+
+
+def op9_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(read(spark, sf_dir, "embeddings"), threshold=0.93)
+
+
+def op10_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return top_inner_products(read(spark, sf_dir, "embeddings"), every=20, k=20, scale=64)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_ngram_jaccard_join": op1_ngram_jaccard_join}
+    found = (
+        op1_ngram_jaccard_join, op2_toxicity, op4_token_files, op5_sentencepiece, op6_secret_scans,
+        op7_mixing, op8_quality, op9_embedding_near_dedup, op10_exact_top_k,
+    )
+    return {f.__name__: f for f in found}
+
+
+_OP10 = """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, x -> floor(64 * x::DOUBLE)) AS e FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+), s AS (
+  SELECT q.vec_id AS query_id, c.vec_id AS vec_id, CAST(list_inner_product(q.e, c.e) AS BIGINT) AS score
+  FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 20 = 0
+), r AS (
+  SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score FROM s
+)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 20
+"""
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op10_exact_top_k": _OP10}
