@@ -14,6 +14,7 @@ from .ngram_join import jaccard_components
 from .pieces import encode_pieces
 from .quality import fit_quality, score_quality
 from .secrets import digest, scan_secrets
+from .substring_dedup import repeated_passages
 from .token_files import read_token_files, write_token_files
 from .topk import top_inner_products
 from .toxicity import fit_toxicity, score_toxicity
@@ -35,6 +36,10 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_toxicity(docs, fit_toxicity(docs, read(spark, sf_dir, "labels"))).select("doc_id", "held_out", "score", "predicted")
 
 
+def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeated_passages(read(spark, sf_dir, "documents"), least_words=50)
+
+
 def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = f"{shared_dir(spark)}/lyricspark/token-files-{uuid.uuid4().hex}"
     write_token_files(read(spark, sf_dir, "documents"), path, vocabulary("byte_bpe_50k.json"), end_id=0)
@@ -68,7 +73,7 @@ def op10_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = (
-        op1_ngram_jaccard_join, op2_toxicity, op4_token_files, op5_sentencepiece, op6_secret_scans,
+        op1_ngram_jaccard_join, op2_toxicity, op3_substring_dedup, op4_token_files, op5_sentencepiece, op6_secret_scans,
         op7_mixing, op8_quality, op9_embedding_near_dedup, op10_exact_top_k,
     )
     return {f.__name__: f for f in found}
