@@ -45,6 +45,11 @@ def _listed(spans: Column) -> Column:
     return F.concat_ws(",", F.transform(spans, lambda s: F.concat_ws(":", F.element_at(F.array(*(F.lit(k) for k in KINDS)), s["kind"] + 1), s["start"], s["end"])))
 
 
+def text_key(column: str = "text") -> Column:
+    """The hash that names a row's text in the result of scan_secrets."""
+    return F.xxhash64(F.translate(text_of(column), _CUT, _INSTEAD))
+
+
 def scan_secrets(docs: DataFrame, owner: str = "source", repository: str = "doc_id", examples_from: int = 3, copies_from: int = 50, least_length: int = 16, least_distinct: int = 8) -> DataFrame:
     """(doc_id, text_key, n_assign, n_access, n_hex, n_live, base, spans) for each row of docs(doc_id, text, owner).
 
@@ -60,7 +65,7 @@ def scan_secrets(docs: DataFrame, owner: str = "source", repository: str = "doc_
     """
     rows = docs.select(F.col("doc_id"), F.col(repository).cast("string").alias("repository"), F.col(owner).cast("string").alias("owner"), F.translate(text_of(), _CUT, _INSTEAD).alias("text"))
     none = F.array().cast("array<struct<start:int,end:int,value:string>>")
-    rows = rows.withColumn("maybe", F.col("text").rlike(_MAYBE)).withColumn("text_key", F.xxhash64("text"))
+    rows = rows.withColumn("maybe", F.col("text").rlike(_MAYBE)).withColumn("text_key", text_key())
 
     def found(pattern: str, hint: str) -> Column:
         return F.when(F.col("maybe") & F.col("text").rlike(hint), matches(F.col("text"), pattern)).otherwise(none)
