@@ -125,3 +125,24 @@ def diff_align(trans: Column, ref: Column) -> Column:
         return pd.Series([[{"trans": a, "ref": b} for a, b in diff_pairs(x, y)] for x, y in _lists(t, r)])
 
     return run(trans, ref)
+
+
+def distance(ref: list[str], hyp: list[str]) -> int:
+    a, b = _coded(ref, hyp)
+    n = min(len(a), len(b))
+    same = int(np.argmin(np.append(a[:n] == b[:n], False)))
+    a, b = a[same:], b[same:]
+    n = min(len(a), len(b))
+    same = int(np.argmin(np.append((a[::-1][:n] == b[::-1][:n]), False)))
+    a, b = a[: len(a) - same], b[: len(b) - same]
+    return int(_distances(a, b)[-1]) if len(a) and len(b) else max(len(a), len(b))
+
+
+def distances(ref: Column, hyp: Column) -> Column:
+    """The edit distance of two arrays of words."""
+
+    @F.pandas_udf("int")
+    def run(r: pd.Series, h: pd.Series) -> pd.Series:
+        return pd.Series([distance(x, y) for x, y in _lists(r, h)], dtype="int32")
+
+    return run(ref, hyp)

@@ -19,7 +19,7 @@ def _is_editorial(line: Column, keywords: Iterable[str] = EDITORIAL_KEYWORDS, hi
 
 def editorial_lines(text: Column) -> Column:
     """The lines that read like a description of the song."""
-    return F.filter(F.split(text, "\n", -1), _is_editorial)
+    return F.filter(F.split(text, "\n", -1), lambda x: _is_editorial(x))
 
 
 def strip_metadata(text: Column, patterns: Iterable[tuple[str, str]] = METADATA_PATTERNS) -> Column:

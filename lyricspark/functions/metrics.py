@@ -7,24 +7,18 @@ from collections.abc import Iterable, Mapping
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .align import distances
 from .constants import CATEGORY_ADLIBS, CATEGORY_SLANG, PHONETIC_PAIRS, SLANG_VARIANTS
 from .text import normalize_delete, strings, tokenize
 
 
 def word_distance(ref: Column, hyp: Column) -> Column:
-    """Edit distance between two arrays of words, with the built-in levenshtein.
+    """Edit distance between two arrays of words, row by row in numpy; equal ends are cut off first.
 
-    Each distinct word of the pair becomes one character of the Basic Multilingual Plane, below the
-    surrogates; a pair may hold some 55,000 distinct words.
+    The built-in levenshtein would need each word as one character, looked up in an array in linear
+    time for every word, which long texts don't allow.
     """
-    known = F.array_distinct(F.concat(ref, hyp))
-    place = F.map_from_arrays(known, F.sequence(F.lit(1), F.size(known)))
-
-    def coded(words: Column) -> Column:
-        codes = F.transform(words, lambda w: F.lpad(F.hex(F.element_at(place, w) + 255), 4, "0"))
-        return F.decode(F.unhex(F.array_join(codes, "")), "UTF-16BE")
-
-    return F.when((F.size(ref) == 0) | (F.size(hyp) == 0), F.greatest(F.size(ref), F.size(hyp))).otherwise(F.levenshtein(coded(ref), coded(hyp)))
+    return distances(ref, hyp)
 
 
 def wer(ref: Column, hyp: Column, profile: str = "delete", empty_ref: str = "count", round_to: int | None = None) -> Column:

@@ -8,10 +8,14 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from .constants import STOPWORDS
-from .text import strings, tokenize
+from .text import let, strings, tokenize
 
 
 def _jaccard(a: Column, b: Column) -> Column:
+    return let(F.struct(a.alias("a"), b.alias("b")), lambda s: _overlap(s["a"], s["b"]))
+
+
+def _overlap(a: Column, b: Column) -> Column:
     return F.when((F.size(a) == 0) | (F.size(b) == 0), 0.0).otherwise(F.size(F.array_intersect(a, b)) / F.size(F.array_union(a, b)))
 
 
@@ -27,19 +31,17 @@ def ngrams(words: Column, n: int) -> Column:
 
 
 def bigram_jaccard(a: Column, b: Column) -> Column:
-    return _jaccard(*(F.array_distinct(ngrams(tokenize(x, "ascii"), 2)) for x in (a, b)))
+    return _jaccard(*(let(tokenize(x, "ascii"), lambda w: F.array_distinct(ngrams(w, 2))) for x in (a, b)))
 
 
 def is_repetitive(text: Column, at_least: int = 10, times: int = 5) -> Column:
     """Ten words or more, and a 2-, 3- or 4-gram that stands five times or more."""
-    w = tokenize(text, "ascii")
 
-    def often(n: int) -> Column:
+    def often(w: Column, n: int) -> Column:
         # sorted, an n-gram that stands `times` times equals the one `times - 1` places on
-        grams = F.array_sort(ngrams(w, n))
-        return F.exists(F.arrays_zip(grams.alias("x"), F.slice(grams, times, 1 << 30).alias("y")), lambda p: p["x"] == p["y"])
+        return let(F.array_sort(ngrams(w, n)), lambda g: F.exists(F.arrays_zip(g.alias("x"), F.slice(g, times, 1 << 30).alias("y")), lambda p: p["x"] == p["y"]))
 
-    return (F.size(w) >= at_least) & (often(2) | often(3) | often(4))
+    return let(tokenize(text, "ascii"), lambda w: (F.size(w) >= at_least) & (often(w, 2) | often(w, 3) | often(w, 4)))
 
 
 def alignment_score(pred: Column, ref: Column) -> Column:

