@@ -1,8 +1,8 @@
-"""Token ids of documents as flat files of unsigned 32-bit integers with 64-bit offsets.
+"""Token ids of documents as flat files of unsigned integers with 64-bit offsets.
 
 A dataset is a folder. `part-NNNNN.ids` holds the ids of its documents one after another, little
-endian. `part-NNNNN.docs` holds pairs of 64-bit integers, the doc_id and the end of the document in
-its part. `manifest` is a small table of parts with their numbers of documents and ids; the bases
+endian, in two bytes each where the vocabulary has no more ids than that, else in four. `part-NNNNN.docs` holds pairs of 64-bit integers, the doc_id and the end of the document in
+its part. `manifest` is a small table of parts with their numbers of documents and ids and the bytes of an id; the bases
 of the parts are prefix sums over it. Parts follow one another in ascending doc_id order.
 """
 
@@ -23,6 +23,7 @@ from .common import small_batches, text_of
 
 #: Stands for a null doc_id in the files.
 NO_ID = -(1 << 63)
+MANIFEST = "part long, docs long, tokens long, width long"
 #: So many distinct chunks are remembered by a Python worker; then it starts anew.
 REMEMBERED = 600_000
 _AFTER_SPACE = re.compile(r"\s ")
@@ -59,32 +60,35 @@ class ChunkIds:
     def whole(self, text: str) -> list[int]:
         return self.tokenizer.encode(text, add_special_tokens=False).ids
 
-    def _add(self, chunk: str, ids) -> None:
-        at = len(self.known)
-        if at == len(self.start):
+    def _add(self, chunks: list[str], ids: np.ndarray, ends: np.ndarray) -> None:
+        """Remembers chunks whose ids stand one after another, up to the given ends."""
+        at, n = len(self.known), len(chunks)
+        while at + n > len(self.start):
             self.start, self.length = (np.concatenate([a, np.zeros_like(a)]) for a in (self.start, self.length))
         while self.end + len(ids) > len(self.ids):
             self.ids = np.concatenate([self.ids, np.empty_like(self.ids)])
         self.ids[self.end : self.end + len(ids)] = ids
-        self.start[at], self.length[at] = self.end, len(ids)
+        self.length[at : at + n] = np.diff(ends, prepend=0)
+        self.start[at : at + n] = self.end + ends - self.length[at : at + n]
         self.end += len(ids)
-        self.known[chunk] = at
+        self.known.update(zip(chunks, range(at, at + n)))
 
     def learn(self, chunks: set[str]) -> None:
         """Encodes new chunks, many in one text, which the ids' widths in bytes take apart again."""
-        new = sorted(chunks - self.known.keys())
+        known = self.known
+        new = [c for c in chunks if c not in known]
         for i in range(0, len(new), 4096):
             some = new[i : i + 4096]
             ids = np.array(self.whole(" " + " ".join(some)), dtype=np.uint32)
-            ends = np.cumsum([len(c.encode()) + 1 for c in some])
+            ends = np.cumsum(np.fromiter(map(len, map(str.encode, some)), dtype=np.int64, count=len(some)) + 1)
             reached = np.cumsum(self.width[ids])
             cut = np.searchsorted(reached, ends) + 1
             if len(ids) and (reached[np.minimum(cut, len(ids)) - 1] == ends).all():
-                for c, a, b in zip(some, [0, *cut[:-1].tolist()], cut.tolist()):
-                    self._add(c, ids[a:b])
+                self._add(some, ids, cut)
             else:
                 for c in some:
-                    self._add(c, self.whole(" " + c))
+                    own = np.array(self.whole(" " + c), dtype=np.uint32)
+                    self._add([c], own, np.array([len(own)]))
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         if len(self.known) > REMEMBERED:
@@ -127,7 +131,7 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str, end_id: int =
     """
     spark = docs.sparkSession
     small_batches(spark)
-    schema = pa.schema([("part", pa.int64()), ("docs", pa.int64()), ("tokens", pa.int64())])
+    schema = pa.schema([(c, pa.int64()) for c in ("part", "docs", "tokens", "width")])
 
     def write(batches):
         fs, root = pafs.FileSystem.from_uri(path)
@@ -136,18 +140,19 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str, end_id: int =
         name = f"{root}/part-{part:05d}"
         ids_out, tokens, docs_ends, n = None, 0, None, 0
         table = _table(tokenizer)
+        width = 2 if max(len(table.width), end_id + 1) <= 1 << 16 else 4
         for batch in batches:
             if ids_out is None:
                 fs.create_dir(root, recursive=True)
                 ids_out, docs_ends = (fs.open_output_stream(f"{name}.{kind}.{attempt}") for kind in ("ids", "docs"))
             texts, keys = batch.column("text").to_pylist(), batch.column("doc_id").fill_null(NO_ID).to_numpy()
-            for i in range(0, len(texts), 64):
-                encoded = table.encode(texts[i : i + 64])
+            for i in range(0, len(texts), 250):
+                encoded = table.encode(texts[i : i + 250])
                 pairs = np.empty((len(encoded), 2), dtype="<i8")
-                pairs[:, 0] = keys[i : i + 64]
+                pairs[:, 0] = keys[i : i + 250]
                 pairs[:, 1] = tokens + np.cumsum([len(x) + 1 for x in encoded])
                 end = np.array([end_id], dtype=np.uint32)
-                ids_out.write(np.concatenate([y for x in encoded for y in (x, end)]).astype("<u4").tobytes())
+                ids_out.write(np.concatenate([y for x in encoded for y in (x, end)]).astype(f"<u{width}").tobytes())
                 docs_ends.write(pairs.tobytes())
                 tokens, n = int(pairs[-1, 1]), n + len(encoded)
         if ids_out is not None:
@@ -155,22 +160,22 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str, end_id: int =
             docs_ends.close()
             for kind in ("ids", "docs"):
                 fs.move(f"{name}.{kind}.{attempt}", f"{name}.{kind}")
-            yield pa.record_batch([pa.array([part]), pa.array([n]), pa.array([tokens])], schema=schema)
+            yield pa.record_batch([pa.array([part]), pa.array([n]), pa.array([tokens]), pa.array([width])], schema=schema)
 
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text"))
     dealt = rows.repartitionByRange(parts, F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
-    dealt.mapInArrow(write, "part long, docs long, tokens long").write.mode("overwrite").parquet(f"{path}/manifest")
-    return spark.read.schema("part long, docs long, tokens long").parquet(f"{path}/manifest")
+    dealt.mapInArrow(write, MANIFEST).write.mode("overwrite").parquet(f"{path}/manifest")
+    return spark.read.schema(MANIFEST).parquet(f"{path}/manifest")
 
 
 def read_token_files(spark: SparkSession, path: str, with_ids: bool = False) -> DataFrame:
     """(doc_id, start, n_tokens, ids_crc32[, ids]) for each document of a folder of token files.
 
-    start counts the ids of all documents before; the parts' bases come from prefix sums over the
+    start counts the ids of all documents before; ids_crc32 is that of 32-bit ids; the parts' bases come from prefix sums over the
     manifest. Each part is memory-mapped by one task.
     """
-    manifest = spark.read.schema("part long, docs long, tokens long").parquet(f"{path}/manifest")
+    manifest = spark.read.schema(MANIFEST).parquet(f"{path}/manifest")
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     based = manifest.withColumn("base", F.coalesce(F.sum("tokens").over(before), F.lit(0)))
     fields = [("doc_id", pa.int64()), ("start", pa.int64()), ("n_tokens", pa.int64()), ("ids_crc32", pa.int64())]
@@ -182,15 +187,15 @@ def read_token_files(spark: SparkSession, path: str, with_ids: bool = False) ->
             for row in batch.to_pylist():
                 name = f"{root}/part-{row['part']:05d}"
                 if isinstance(fs, pafs.LocalFileSystem):
-                    pairs, ids = np.memmap(f"{name}.docs", dtype="<i8", mode="r").reshape(-1, 2), np.memmap(f"{name}.ids", dtype="<u4", mode="r")
+                    pairs, ids = np.memmap(f"{name}.docs", dtype="<i8", mode="r").reshape(-1, 2), np.memmap(f"{name}.ids", dtype=f"<u{row['width']}", mode="r")
                 else:
-                    pairs, ids = (np.frombuffer(fs.open_input_file(f"{name}.{kind}").read(), dtype=t) for kind, t in (("docs", "<i8"), ("ids", "<u4")))
+                    pairs, ids = (np.frombuffer(fs.open_input_file(f"{name}.{kind}").read(), dtype=t) for kind, t in (("docs", "<i8"), ("ids", f"<u{row['width']}")))
                     pairs = pairs.reshape(-1, 2)
                 for i in range(0, len(pairs), 4096):
                     some = np.array(pairs[i : i + 4096])
                     ends = some[:, 1]
                     starts = np.concatenate([[pairs[i - 1, 1] if i else 0], ends[:-1]])
-                    crc = [zlib.crc32(ids[a:b].tobytes()) for a, b in zip(starts.tolist(), ends.tolist())]
+                    crc = [zlib.crc32(ids[a:b].astype("<u4").tobytes()) for a, b in zip(starts.tolist(), ends.tolist())]
                     key = pa.array(some[:, 0], mask=some[:, 0] == NO_ID)
                     columns = [key, pa.array(starts + row["base"]), pa.array(ends - starts), pa.array(crc, pa.int64())]
                     if with_ids:
