@@ -42,7 +42,8 @@ class WordPieces:
         self.odd: dict[str, str] = {}
 
     def learn(self, words: set[str]) -> None:
-        new = sorted(words - self.ids.keys())
+        known = self.ids
+        new = [w for w in words if w not in known]
         for i in range(0, len(new), 8192):
             some = new[i : i + 8192]
             found = self.model.encode(some, num_threads=1)

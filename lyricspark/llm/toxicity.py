@@ -236,7 +236,7 @@ def score_toxicity(docs: DataFrame, model: Toxicity, folds: int = 4, held_out: i
         worst = np.full(len(texts), tox.shift)
         for i in range(0, len(texts), 200):
             bags = [units(t) if t else set() for t in texts.iloc[i : i + 200]]
-            new = sorted(set().union(*bags) - known.keys())
+            new = [w for w in set().union(*bags) if w not in known]
             known.update(zip(new, tox.decide(new).tolist()))
             worst[i : i + 200] = [max(map(known.__getitem__, bag)) if bag else tox.shift for bag in bags]
         return type(texts)(tox.probability(worst))
