@@ -41,19 +41,28 @@ def block_top(q: np.ndarray, qid: np.ndarray, dq: np.ndarray, v: np.ndarray, vid
         for p in range(1, dv.shape[1]):
             np.maximum(away, np.abs(dv[:, p] - dq[i, p]), out=away)
         bound = (nq[i] + nv - np.maximum(away - 1e-6, 0) ** 2) / 2
-        order = np.argsort(-bound, kind="stable")
         best_score, best_id = np.empty(0), np.empty(0, np.int64)
-        seen = 0
-        while seen < len(order):
-            if len(best_score) >= k and bound[order[seen]] < best_score[k - 1] - 0.5:
-                break
-            some = order[seen : seen + step]
+        left = np.arange(len(v))
+        seen, take = 0, step
+        while len(left):
+            # the vectors of the highest bounds come next, as many as before at a time
+            if len(left) > take:
+                split = np.argpartition(-bound[left], take)
+                some, left = left[split[:take]], left[split[take:]]
+            else:
+                some, left = left, left[:0]
             seen += len(some)
             score, ids = v[some] @ q[i], vid[some]
             other = ids != qid[i]
             best_score, best_id = np.concatenate([best_score, score[other]]), np.concatenate([best_id, ids[other]])
+            if len(best_score) > k:
+                high = best_score >= np.partition(best_score, -k)[-k]
+                best_score, best_id = best_score[high], best_id[high]
             first = np.lexsort((best_id, -best_score))[:k]
             best_score, best_id = best_score[first], best_id[first]
+            if len(best_score) >= k:
+                left = left[bound[left] >= best_score[-1] - 0.5]
+            take = max(take, len(left) // 2 + 1)
         yield int(qid[i]), best_id, best_score, seen
 
 
