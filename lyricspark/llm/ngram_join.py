@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import keep, small_batches
+from .common import IdFilter, id_filter, keep, small_batches
 from .components import components
 from .hashing import hashed_words, mix, shingles
 
@@ -26,8 +26,12 @@ SMALL = 20
 FREQUENT = 64
 #: Frequency counts are kept for so many shingles at most; the others count as rare, which changes no result.
 COUNTED = 1 << 19
+#: Rounds in which each list is linked to one member, before all its pairs between components are checked.
+STARS = 3
 _BLOCK = 4_000_000
 _LANES = 8
+#: Sets from this size on also have parities over many more buckets.
+LONG, _WIDE = 1_500, 256
 
 
 def _sets(texts: pa.Array, k: int):
@@ -108,38 +112,46 @@ def _signatures(s: np.ndarray, tokens: np.ndarray, count: np.ndarray, num: int,
     return np.unique(np.concatenate(out))
 
 
+def _parities(s: np.ndarray, buckets: int) -> np.ndarray:
+    """Whether each bucket holds an odd number of the set's hashes, as bits. Two sets differ in as many hashes as bits, at least."""
+    odd = np.bincount((s >> np.uint64(65 - buckets.bit_length())).astype(np.int64), minlength=buckets) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
 def _second_pass(k: int, num: int, den: int, frequent):
     """Each text's signatures and the parities of its shingles by bucket."""
-    fields = [("doc_id", pa.int64()), ("n", pa.int64()), *((f"b{i}", pa.int64()) for i in range(_LANES)), ("sigs", pa.list_(pa.int64()))]
+    fields = [("doc_id", pa.int64()), ("n", pa.int64()), *((f"b{i}", pa.int64()) for i in range(_LANES)), ("sigs", pa.list_(pa.int64())), ("wide", pa.list_(pa.int64()))]
     schema = pa.schema(fields)
 
     def run(batches):
         tokens, count = frequent.value
         for batch in batches:
-            ids, sizes, bits, sigs = batch.column("doc_id").to_pylist(), [], [], []
+            ids, sizes, bits, sigs, wide = batch.column("doc_id").to_pylist(), [], [], [], []
             rows = []
             for i, s in _sets(batch.column("text"), k):
                 if not len(s) or ids[i] is None:
                     continue
                 rows.append(ids[i])
                 sizes.append(len(s))
-                odd = np.bincount((s >> np.uint64(55)).astype(np.int64), minlength=512) & 1
-                bits.append(np.packbits(odd.astype(np.uint8)).view(np.int64))
+                bits.append(_parities(s, 64 * _LANES))
+                wide.append(_parities(s, 64 * _WIDE) if len(s) >= LONG else None)
                 sigs.append(_signatures(s, tokens, count, num, den).view(np.int64))
             if rows:
                 lanes = np.stack(bits)
                 offsets = np.concatenate([[0], np.cumsum([len(x) for x in sigs])]).astype(np.int32)
                 lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(sigs)))
-                yield pa.record_batch([pa.array(rows, pa.int64()), pa.array(sizes, pa.int64()), *(pa.array(np.ascontiguousarray(lanes[:, i])) for i in range(_LANES)), lists], schema=schema)
+                yield pa.record_batch([pa.array(rows, pa.int64()), pa.array(sizes, pa.int64()), *(pa.array(np.ascontiguousarray(lanes[:, i])) for i in range(_LANES)), lists, pa.array(wide, pa.list_(pa.int64()))], schema=schema)
 
     return run
 
 
-def _whole_sets(k: int):
+def _whole_sets(k: int, wanted: IdFilter):
+    """The sets of the texts that the filter lets through."""
     schema = pa.schema([("doc_id", pa.int64()), ("tokens", pa.list_(pa.int64()))])
 
     def run(batches):
         for batch in batches:
+            batch = batch.filter(pa.array(wanted.may_hold(batch.column("doc_id"))))
             found = [s.view(np.int64) for _, s in _sets(batch.column("text"), k)]
             yield pa.record_batch([batch.column("doc_id"), pa.array(found, pa.list_(pa.int64()))], schema=schema)
 
@@ -173,42 +185,64 @@ def jaccard_components(docs: DataFrame, k: int = 3, similarity: tuple[int, int]
 
     reps = sized.filter("fp is not null and doc_id is not null").groupBy("fp", "n").agg(F.min("doc_id").alias("rep"))
     lanes = ", ".join(f"b{i} long" for i in range(_LANES))
-    marked = rows.mapInArrow(_second_pass(k, num, den, frequent), f"doc_id long, n long, {lanes}, sigs array<long>")
+    marked = rows.mapInArrow(_second_pass(k, num, den, frequent), f"doc_id long, n long, {lanes}, sigs array<long>, wide array<long>")
     marked = keep(marked.join(reps.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi"), "signatures")
     listed = marked.select("doc_id", F.explode("sigs").alias("sig"))
-    shared = listed.groupBy("sig").agg(F.count("*").alias("c"), F.min("doc_id").alias("pivot")).filter("c > 1")
-    bits = marked.drop("sigs")
-    entries = keep(listed.join(shared, "sig").select("sig", "doc_id", "pivot").join(bits, "doc_id"), "entries")
+    mark = F.xxhash64("doc_id")
+    shared = listed.groupBy("sig").agg(F.count("*").alias("c"), F.min("doc_id").alias("least"), F.sum(mark.cast("decimal(38,0)")).alias("total"), F.bit_xor(mark).alias("mixed")).filter("c > 1")
+    # copies share many signatures; one list stands for all with the same members
+    kept = shared.groupBy("c", "least", "total", "mixed").agg(F.min("sig").alias("sig")).select("sig", "c")
+    entries = keep(listed.join(kept, "sig"), "entries")
+    bits = marked.drop("sigs", "wide")
+    long_ones = marked.filter("wide is not null").select("doc_id", "n", "wide")
+
+    def least(na, nb):
+        # an overlap o reaches the similarity when (num + den) * o >= num * (na + nb)
+        return F.floor((num * (na + nb) + num + den - 1) / (num + den))
 
     def near(a: str, b: str):
         far = sum((F.bit_count(F.col(f"{a}.b{i}").bitwiseXOR(F.col(f"{b}.b{i}"))) for i in range(1, _LANES)), F.bit_count(F.col(f"{a}.b0").bitwiseXOR(F.col(f"{b}.b0"))))
         na, nb = F.col(f"{a}.n"), F.col(f"{b}.n")
-        # an overlap o reaches the similarity when (num + den) * o >= num * (na + nb)
-        least = F.floor((num * (na + nb) + num + den - 1) / (num + den))
-        return (na * den >= nb * num) & (nb * den >= na * num) & (far <= na + nb - 2 * least)
+        return (na * den >= nb * num) & (nb * den >= na * num) & (far <= na + nb - 2 * least(na, nb))
+
+    def with_bits(pairs: DataFrame) -> DataFrame:
+        return pairs.join(bits.alias("a"), F.col("x") == F.col("a.doc_id")).join(bits.alias("b"), F.col("y") == F.col("b.doc_id")).filter(near("a", "b")).select("x", "y")
 
     def verified(pairs: DataFrame) -> DataFrame:
-        pairs = keep(pairs, "pairs")
+        a, b = (long_ones.select(F.col("doc_id").alias(c), F.col("n").alias(f"n{c}"), F.col("wide").alias(f"w{c}")) for c in "xy")
+        far = F.aggregate(F.zip_with("wx", "wy", lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0), lambda s, v: s + v)
+        close = F.coalesce(far <= F.col("nx") + F.col("ny") - 2 * least(F.col("nx"), F.col("ny")), F.lit(True))
+        pairs = keep(pairs.join(a, "x", "left").join(b, "y", "left").filter(close).select("x", "y"), "pairs")
         wanted = pairs.select(F.col("x").alias("doc_id")).union(pairs.select("y")).distinct()
-        sets = keep(rows.join(wanted, "doc_id", "left_semi").mapInArrow(_whole_sets(k), "doc_id long, tokens array<long>"), "whole")
+        sets = rows.mapInArrow(_whole_sets(k, id_filter(wanted, "doc_id")), "doc_id long, tokens array<long>")
+        sets = keep(sets.join(wanted, "doc_id", "left_semi"), "whole")
         left, right = sets.select(F.col("doc_id").alias("x"), F.col("tokens").alias("s")), sets.select(F.col("doc_id").alias("y"), F.col("tokens").alias("t"))
         both = F.size(F.array_intersect("s", "t"))
         return pairs.join(left, "x").join(right, "y").filter(den * both >= num * (F.size("s") + F.size("t") - both)).select("x", "y")
 
-    star = entries.alias("a").filter("doc_id <> pivot").join(bits.alias("b"), F.col("a.pivot") == F.col("b.doc_id")).filter(near("a", "b"))
-    links = keep(verified(star.select(F.col("a.pivot").alias("x"), F.col("a.doc_id").alias("y")).distinct()), "links")
-    begun = components(links, "x", "y")
-    here = entries.drop("pivot").join(begun.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
-    here = keep(here, "entries")
+    links, here = None, entries.withColumn("component", F.col("doc_id"))
+    for turn in range(STARS):
+        # copies are most like the first of them, so that one leads; then others do, by hash
+        order = F.xxhash64("doc_id", F.lit(turn)) if turn else F.col("doc_id")
+        pivots = here.groupBy("sig").agg(F.min_by(F.struct("doc_id", "component"), order).alias("p"))
+        star = here.join(pivots, "sig").filter(F.col("component") != F.col("p.component")).select(F.least("doc_id", "p.doc_id").alias("x"), F.greatest("doc_id", "p.doc_id").alias("y"))
+        found = keep(verified(with_bits(star.distinct())), "links")
+        links = found if links is None else links.union(found)
+        begun = components(links, "x", "y").withColumnRenamed("node", "doc_id")
+        # a list of two is settled by its star; so is one that lies in one component
+        here = entries.filter("c > 2").join(begun, "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
+        several = here.groupBy("sig").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low < high").select("sig")
+        here = keep(here.join(several, "sig", "left_semi"), "entries")
+    here = here.join(bits, "doc_id")
     apart = here.alias("a").join(here.alias("b"), (F.col("a.sig") == F.col("b.sig")) & (F.col("a.doc_id") < F.col("b.doc_id")) & (F.col("a.component") != F.col("b.component")) & near("a", "b"))
-    more = verified(apart.select(F.col("a.doc_id").alias("x"), F.col("b.doc_id").alias("y")).distinct())
-    joined = keep(components(links.union(more), "x", "y"), "components")
+    more = keep(verified(apart.select(F.col("a.doc_id").alias("x"), F.col("b.doc_id").alias("y")).distinct()), "links")
+    joined = components(links.union(more), "x", "y")
 
     # rows with one doc_id and several texts hold their sets' groups together
     again = sized.filter("fp is not null").join(reps, ["fp", "n"]).select("doc_id", "rep")
     several = again.groupBy("doc_id").agg(F.min("rep").alias("a"), F.max("rep").alias("b"), F.count_distinct("rep").alias("c")).filter("c > 1")
     if several.limit(1).count():
         held = again.join(several.select("doc_id"), "doc_id", "left_semi").select(F.col("doc_id").alias("x"), F.col("rep").alias("y"))
-        joined = keep(components(links.union(more).union(held), "x", "y"), "components")
+        joined = components(links.union(more).union(held), "x", "y")
     out = sized.join(reps, ["fp", "n"], "left").join(joined.select(F.col("node").alias("rep"), "component"), "rep", "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "rep", "doc_id")).alias("component_id"))
