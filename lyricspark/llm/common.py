@@ -1,13 +1,11 @@
-"""Shared plumbing of the corpus operators: the shared folder, kept tables, runs of sorted rows."""
+"""Shared plumbing of the corpus operators: the shared folder, kept tables, id filters."""
 
 from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -70,31 +68,6 @@ def text_of(col: str = "text"):
     return F.coalesce(F.col(col), F.lit(""))
 
 
-def runs(frames: Iterator[pd.DataFrame], keys: list[str]) -> Iterator[pd.DataFrame]:
-    """Groups of rows with equal keys out of batches that arrive sorted by these keys."""
-    rest: list[pd.DataFrame] = []
-    for frame in frames:
-        if not len(frame):
-            continue
-        k = frame[keys]
-        change = (k != k.shift()).any(axis=1).to_numpy().nonzero()[0].tolist()
-        if rest and (k.iloc[0] == rest[0][keys].iloc[0]).all():
-            change = change[1:]
-        elif rest:
-            yield pd.concat(rest) if len(rest) > 1 else rest[0]
-            rest = []
-        last = 0
-        for c in change:
-            if c:
-                rest.append(frame.iloc[last:c])
-                yield pd.concat(rest) if len(rest) > 1 else rest[0]
-                rest = []
-            last = c
-        rest.append(frame.iloc[last:])
-    if rest:
-        yield pd.concat(rest) if len(rest) > 1 else rest[0]
-
-
 class IdFilter:
     """A bitmap over hashed ids, of fixed size: lets through every id put in, and some others."""
 
