@@ -333,3 +333,17 @@ def test_minimizers_cover_windows():
     h = np.random.default_rng(0).integers(0, 1 << 60, 200).astype(np.uint64)
     at = substring_dedup.minimizers(h, 12)
     assert (np.diff(np.concatenate([[-1], at, [200]])) <= 12).all()
+
+
+def test_chains_miss_no_near_predecessor():
+    def found(*blocks, k=8):
+        got = list(substring_dedup.chains(*zip(*sorted((p + i, q + i) for p, q, n in blocks for i in range(n - k + 1))), k, 50 / 3))
+        return sorted((score, c[0]) for score, c in got)
+
+    # X+M+Y and X+M'+Y with X of 100 and M of 60 words: Y is a chain of its own
+    assert [s for s, _ in found((0, 0, 100), (160, 160, 100))] == [100, 100]
+    # a third passage between the diagonals of two earlier ones
+    assert [s for s, _ in found((0, 0, 120), (200, 260, 110), (400, 430, 100))] == [100, 110, 120]
+    # single matches after a long passage, each within reach of the one before, over gaps of 2 words
+    many = [(200 + 10 * i, 200 + 10 * i, 8) for i in range(10)]
+    assert np.allclose([s for s, _ in found((0, 0, 150), *many)], [80 - 9 * 2 * substring_dedup.SKIP, 150])
