@@ -347,3 +347,18 @@ def test_chains_miss_no_near_predecessor():
     # single matches after a long passage, each within reach of the one before, over gaps of 2 words
     many = [(200 + 10 * i, 200 + 10 * i, 8) for i in range(10)]
     assert np.allclose([s for s, _ in found((0, 0, 150), *many)], [80 - 9 * 2 * substring_dedup.SKIP, 150])
+
+
+@pytest.mark.parametrize("lengths", [[9] * 6, [7] * 8, [4] * 13, [14] + [3] * 12, [3] * 6 + [14] + [3] * 6])
+def test_passages_of_short_runs(spark, lengths):
+    # runs of equal words with one replaced word between them: 80 to 90 % are equal
+    rng = random.Random(len(lengths))
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(7))
+    rows = []
+    for pair in range(4):
+        runs = [[word() for _ in range(n)] for n in lengths]
+        for i in range(2):
+            rows.append((2 * pair + i, " ".join([word() for _ in range(90)] + [w for r in runs for w in (*r, word())] + [word() for _ in range(90)]), "s"))
+    got = substring_dedup.repeated_passages(table(spark, rows)).collect()
+    assert {(r.doc_id, r.other_id) for r in got} == {(i, i ^ 1) for i in range(8)}
+    assert all(50 <= r.n_equal <= sum(lengths) for r in got)
