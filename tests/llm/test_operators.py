@@ -362,3 +362,26 @@ def test_passages_of_short_runs(spark, lengths):
     got = substring_dedup.repeated_passages(table(spark, rows)).collect()
     assert {(r.doc_id, r.other_id) for r in got} == {(i, i ^ 1) for i in range(8)}
     assert all(50 <= r.n_equal <= sum(lengths) for r in got)
+
+
+def test_passages_whose_seeds_disagree_on_the_pivot(spark):
+    rng = random.Random(4)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(7))
+    noise = lambda n: [word() for _ in range(n)]
+    passage, other = noise(60), noise(60)
+    # every seed of the passage is also in a lower and a higher document that holds a part of it
+    parts = [passage[i : i + 25] for i in (0, 20, 40)]
+    rows = [(i, noise(40) + p + noise(40)) for i, p in enumerate(parts + [passage] * 2 + parts)]
+    # the pivots hold half of the passage before the whole
+    rows += [(10 + i, noise(20) + (other[:30] + noise(80) if i != 1 else []) + other + noise(20)) for i in range(3)]
+    got = substring_dedup.repeated_passages(table(spark, [(i, " ".join(t), "s") for i, t in rows])).collect()
+    assert {r.doc_id for r in got} == {3, 4, 10, 11, 12}
+    assert {(r.doc_id, r.other_id, r.n_equal) for r in got if r.doc_id < 10} == {(3, 4, 60), (4, 3, 60)}
+
+
+def test_place_pairs():
+    pairs = lambda a, b: set(zip(*(x.tolist() for x in substring_dedup.place_pairs(np.array(a), np.array(b)))))
+    assert pairs([5, 900], [7, 40, 300]) == {(x, y) for x in (5, 900) for y in (7, 40, 300)}
+    got = pairs([3, *range(100, 400)], [*range(50, 150), 900])
+    assert {(100 + i, 50 + i) for i in range(100)} | {(300 + i, 50 + i) for i in range(100)} | {(3, 900), (399, 900)} <= got
+    assert len(got) < 1000
