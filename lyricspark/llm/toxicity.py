@@ -49,7 +49,7 @@ def _grams(word: str) -> set[str]:
 
 
 def _pieces(word: str) -> list[str]:
-    return [word] if len(word) <= PIECE else [word[i : i + PIECE] for i in range(0, len(word) - SPAN, PIECE - SPAN + 1)]
+    return [word] if len(word) <= PIECE else [word[i : i + PIECE] for i in range(0, len(word) - SPAN + 1, PIECE - SPAN + 1)]
 
 
 def _letters(words: list[str]) -> np.ndarray:

@@ -385,3 +385,11 @@ def test_place_pairs():
     got = pairs([3, *range(100, 400)], [*range(50, 150), 900])
     assert {(100 + i, 50 + i) for i in range(100)} | {(300 + i, 50 + i) for i in range(100)} | {(3, 900), (399, 900)} <= got
     assert len(got) < 1000
+
+
+def test_pieces_hold_every_window_of_a_word():
+    for n in range(1, 200):
+        word = "".join(chr(0x4E00 + i) for i in range(n))
+        cut = toxicity._pieces(word)
+        assert all(any(word[i : i + toxicity.SPAN] in p for p in cut) for i in range(max(1, n - toxicity.SPAN + 1)))
+        assert max(map(len, cut)) <= toxicity.PIECE
