@@ -3,7 +3,8 @@
 The input of a position is its byte and, for a range of distances, whether the byte that far back is
 the same. Filters over a few neighbouring bytes, and a window over the agreement channels, run over
 overlapping chunks that cover the whole text; their largest responses, over positions, chunks and
-distances, are combined into one probability. Everything but the chunk sizes is learned.
+distances, are combined into one probability. The filters and all
+weights are learned; the agreement channels, their window and the chunk sizes are fixed.
 """
 
 from __future__ import annotations
