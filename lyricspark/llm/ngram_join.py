@@ -1,10 +1,13 @@
 """N-gram Jaccard join by token-combination prefixes.
 
 Texts become sets of hashed word shingles. Shingles are ordered from rare to frequent, and a text's
-prefix is as long as the prefix filter asks. Rare shingles of a prefix are indexed alone. Frequent
-ones are dealt into groups by hash and indexed as pairs within their group; each group holds one
-shingle that forms no pair yet, so the prefix is extended by one shingle for each group it touches.
-Two sets that overlap enough then share a single rare shingle or a pair.
+prefix is as long as the prefix filter asks. Rare shingles of a prefix are indexed alone, frequent ones
+as pairs and very frequent ones as triples, within groups that they are dealt into by hash. A group
+holds k - 1 shingles that form no combination yet, so the prefix is extended by so many for each group
+that it touches. Two sets that overlap enough then share a rare shingle or a combination.
+
+Each entry also carries how far into the prefix it stands. A pair of sets that overlaps enough shares
+an entry that stands, on both sides, no further than the sizes of both allow; any other is left out.
 """
 
 from __future__ import annotations
@@ -16,19 +19,25 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import IdFilter, id_filter, keep, small_batches
+from .common import IdFilter, again, drop_kept, id_filter, keep, small_batches
 from .components import components
 from .hashing import hashed_words, mix, shingles
 
 #: Sets below this size are indexed by single shingles alone.
 SMALL = 20
-#: A shingle counted at least so often is frequent.
-FREQUENT = 64
+#: Shingles in a combination, by the least count that asks for so many.
+COMBINED = ((64, 2), (4096, 3))
 #: Frequency counts are kept for so many shingles at most; the others count as rare, which changes no result.
 COUNTED = 1 << 19
-#: Rounds in which each list is linked to one member, before all its pairs between components are checked.
-STARS = 3
-_BLOCK = 4_000_000
+#: Rounds in which each list is linked to one member, at most, before all its pairs between components are checked.
+STARS = 4
+#: Members that a member of a list still meets, on average, from which on another such round is worth it.
+WORTH = 32
+#: Members of a list that meet in one task; longer lists are dealt out in blocks.
+MEET = 512
+#: So many of the largest groups of equal sets are joined by broadcast, so that none lands in one task.
+HOT = 1 << 15
+_BLOCK = 2_000_000
 _LANES = 8
 #: Sets from this size on also have parities over many more buckets.
 LONG, _WIDE = 1_500, 256
@@ -46,7 +55,7 @@ def _first_pass(k: int):
 
     def counted(block: list[np.ndarray]) -> pa.RecordBatch:
         tokens, count = np.unique(np.concatenate(block), return_counts=True)
-        often = count >= max(4, len(block) // 800)
+        often = count >= 3
         m = int(often.sum())
         none = pa.nulls(m, pa.int64())
         return pa.record_batch([none, none, pa.nulls(m, pa.binary()), pa.array(tokens[often].view(np.int64)), pa.array(count[often])], schema=schema)
@@ -72,8 +81,8 @@ def _first_pass(k: int):
     return run
 
 
-def _signatures(s: np.ndarray, tokens: np.ndarray, count: np.ndarray, num: int, den: int) -> np.ndarray:
-    """The signatures of one set; num/den is the least Jaccard similarity."""
+def _entries(s: np.ndarray, tokens: np.ndarray, count: np.ndarray, num: int, den: int) -> tuple[np.ndarray, np.ndarray]:
+    """The signatures of one set, and for each the least prefix that holds it; num/den is the least Jaccard similarity."""
     n = len(s)
     base = n - (num * n + den - 1) // den + 1
     freq = np.zeros(n, dtype=np.int64)
@@ -81,35 +90,49 @@ def _signatures(s: np.ndarray, tokens: np.ndarray, count: np.ndarray, num: int,
         at = np.minimum(np.searchsorted(tokens, s), len(tokens) - 1)
         freq = np.where(tokens[at] == s, count[at], 0)
     order = np.lexsort((s, np.where(freq > 0, np.log2(np.maximum(freq, 1)).astype(np.int64) + 1, 0)))
-    s, often = s[order], freq[order] >= FREQUENT
+    s, freq = s[order], freq[order]
+    size = np.ones(n, dtype=np.int64)
+    for least, k in COMBINED:
+        size[freq >= least] = k
     out: list[np.ndarray] = []
+    ends: list[np.ndarray] = []
     largest = n * den // num
     if num * n // den < SMALL:
         out.append(mix(s[:base] + np.uint64(1)))
-    if n < SMALL:
-        return np.unique(out[0])
-    if not often[: base + 1].any():
+        ends.append(np.arange(1, base + 1))
+    if n >= SMALL and (size[: base + 1] == 1).all():
         out.append(s[:base])
-        return np.unique(np.concatenate(out))
-    for band in {max(n, SMALL).bit_length(), largest.bit_length()}:
-        nominal = 1 << (band - 1)
-        groups = max(1, (nominal * (den - num) // den + 1) // 4)
-        single, pairs, held, gained = [], [], {}, 0
-        for i in range(n):
-            if gained >= base:
-                break
-            if not often[i]:
-                single.append(s[i])
-                gained += 1
-                continue
-            mine = held.setdefault(int(s[i] >> np.uint64(17)) % groups, [])
-            if mine:
-                gained += 1
-                pairs.append(mix(np.array(mine, dtype=np.uint64) * np.uint64(band * 2 + 1)) ^ s[i])
-            mine.append(s[i])
-        out.append(np.array(single, dtype=np.uint64))
-        out += [mix(p) for p in pairs]
-    return np.unique(np.concatenate(out))
+        ends.append(np.arange(1, base + 1))
+    elif n >= SMALL:
+        for band in {max(n, SMALL).bit_length(), largest.bit_length()}:
+            nominal = (1 << (band - 1)) * (den - num) // den + 1
+            held: dict[tuple[int, int], list] = {}
+            gained = 0
+            for i in range(n):
+                if gained >= base:
+                    break
+                k = int(size[i])
+                if k == 1:
+                    gained += 1
+                    made = s[i : i + 1]
+                else:
+                    group = held.setdefault((k, int(s[i] >> np.uint64(17)) % max(1, nominal // (2 * k))), [[]] + [np.empty(0, np.uint64) for _ in range(k - 1)])
+                    # group[0]: its shingles; group[j]: hashes of all combinations of j of them
+                    for j in range(k - 1, 0, -1):
+                        before = group[j - 1] if j > 1 else np.full(1, band, dtype=np.uint64)
+                        if j == k - 1:
+                            made = mix(group[j] * np.uint64(2 * k + 1) ^ s[i])
+                        group[j] = np.append(group[j], mix(before * np.uint64(2 * j + 1) ^ s[i]))
+                    group[0].append(i)
+                    gained += len(group[0]) >= k
+                out.append(made)
+                ends.append(np.full(len(made), gained))
+    sigs, ends_ = np.concatenate(out), np.concatenate(ends)
+    order = np.lexsort((ends_, sigs))
+    sigs, ends_ = sigs[order], ends_[order]
+    first = np.ones(len(sigs), dtype=bool)
+    first[1:] = sigs[1:] != sigs[:-1]
+    return sigs[first], ends_[first]
 
 
 def _parities(s: np.ndarray, buckets: int) -> np.ndarray:
@@ -119,15 +142,15 @@ def _parities(s: np.ndarray, buckets: int) -> np.ndarray:
 
 
 def _second_pass(k: int, num: int, den: int, frequent):
-    """Each text's signatures and the parities of its shingles by bucket."""
-    fields = [("doc_id", pa.int64()), ("n", pa.int64()), *((f"b{i}", pa.int64()) for i in range(_LANES)), ("sigs", pa.list_(pa.int64())), ("wide", pa.list_(pa.int64()))]
+    """Each text's signatures with their prefixes, and the parities of its shingles by bucket."""
+    fields = [("doc_id", pa.int64()), ("n", pa.int32()), *((f"b{i}", pa.int64()) for i in range(_LANES)), ("sigs", pa.list_(pa.int64())), ("ends", pa.list_(pa.int32())), ("wide", pa.list_(pa.int64()))]
     schema = pa.schema(fields)
 
     def run(batches):
         tokens, count = frequent.value
         for batch in batches:
-            ids, sizes, bits, sigs, wide = batch.column("doc_id").to_pylist(), [], [], [], []
-            rows = []
+            ids = batch.column("doc_id").to_pylist()
+            rows, sizes, bits, sigs, ends, wide = [], [], [], [], [], []
             for i, s in _sets(batch.column("text"), k):
                 if not len(s) or ids[i] is None:
                     continue
@@ -135,12 +158,14 @@ def _second_pass(k: int, num: int, den: int, frequent):
                 sizes.append(len(s))
                 bits.append(_parities(s, 64 * _LANES))
                 wide.append(_parities(s, 64 * _WIDE) if len(s) >= LONG else None)
-                sigs.append(_signatures(s, tokens, count, num, den).view(np.int64))
+                found, end = _entries(s, tokens, count, num, den)
+                sigs.append(found.view(np.int64))
+                ends.append(end.astype(np.int32))
             if rows:
                 lanes = np.stack(bits)
-                offsets = np.concatenate([[0], np.cumsum([len(x) for x in sigs])]).astype(np.int32)
-                lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(sigs)))
-                yield pa.record_batch([pa.array(rows, pa.int64()), pa.array(sizes, pa.int64()), *(pa.array(np.ascontiguousarray(lanes[:, i])) for i in range(_LANES)), lists, pa.array(wide, pa.list_(pa.int64()))], schema=schema)
+                offsets = pa.array(np.concatenate([[0], np.cumsum([len(x) for x in sigs])]).astype(np.int32))
+                lists = (pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(x))) for x in (sigs, ends))
+                yield pa.record_batch([pa.array(rows, pa.int64()), pa.array(sizes, pa.int32()), *(pa.array(np.ascontiguousarray(lanes[:, i])) for i in range(_LANES)), *lists, pa.array(wide, pa.list_(pa.int64()))], schema=schema)
 
     return run
 
@@ -158,6 +183,17 @@ def _whole_sets(k: int, wanted: IdFilter):
     return run
 
 
+def _named(sized: DataFrame) -> DataFrame:
+    """sized with rep, the smallest doc_id of the rows with an equal set; null for empty sets."""
+    groups = sized.filter("fp is not null and doc_id is not null").groupBy("fp", "n").agg(F.min("doc_id").alias("rep"), F.count("*").alias("c"))
+    groups = keep(groups, "groups")
+    hot = groups.filter("c >= 64").orderBy(F.desc("c"), "fp", "n").limit(HOT).select("fp", "n", F.col("rep").alias("hot"))
+    # HOT rows of a fingerprint and two numbers at most are broadcast; all other groups are joined by a shuffle
+    marked = sized.join(F.broadcast(hot), ["fp", "n"], "left")
+    met = marked.filter("hot is null and fp is not null").drop("hot").join(groups.select("fp", "n", "rep"), ["fp", "n"], "left")
+    return met.select("doc_id", "n", "rep").union(marked.filter("hot is not null or fp is null").select("doc_id", "n", F.col("hot").alias("rep")))
+
+
 def jaccard_components(docs: DataFrame, k: int = 3, similarity: tuple[int, int] = (9, 10)) -> DataFrame:
     """(doc_id, n_shingles, component_id) for each row of docs(doc_id, text).
 
@@ -169,46 +205,59 @@ def jaccard_components(docs: DataFrame, k: int = 3, similarity: tuple[int, int]
 
     Nulls and texts without words have an empty set, size 0, and link with nothing; a text with fewer
     than k words counts as one shingle. Rows with equal doc_id are one node. A null doc_id keeps its
-    row, with a null component_id. Equal rows stay; other columns are ignored; an empty table gives
-    an empty result.
+    row, with a null component_id. Equal rows stay; very long texts are taken whole; other columns are
+    ignored; an empty table gives an empty result.
     """
     num, den = similarity
     spark = docs.sparkSession
     small_batches(spark)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     first = keep(rows.mapInArrow(_first_pass(k), "doc_id long, n long, fp binary, token long, cnt long"), "sets")
-    sized = first.filter("token is null").select("doc_id", "n", "fp")
     top = first.filter("token is not null").groupBy("token").agg(F.sum("cnt").alias("cnt")).orderBy(F.desc("cnt"), "token").limit(COUNTED).toPandas()
     tokens = top["token"].to_numpy(np.int64).view(np.uint64)
     order = np.argsort(tokens)
     frequent = spark.sparkContext.broadcast((tokens[order], top["cnt"].to_numpy(np.int64)[order]))
+    named = keep(_named(first.filter("token is null").select("doc_id", "n", "fp")), "named")
+    drop_kept(first)
 
-    reps = sized.filter("fp is not null and doc_id is not null").groupBy("fp", "n").agg(F.min("doc_id").alias("rep"))
     lanes = ", ".join(f"b{i} long" for i in range(_LANES))
-    marked = rows.mapInArrow(_second_pass(k, num, den, frequent), f"doc_id long, n long, {lanes}, sigs array<long>, wide array<long>")
-    marked = keep(marked.join(reps.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi"), "signatures")
-    listed = marked.select("doc_id", F.explode("sigs").alias("sig"))
-    mark = F.xxhash64("doc_id")
-    shared = listed.groupBy("sig").agg(F.count("*").alias("c"), F.min("doc_id").alias("least"), F.sum(mark.cast("decimal(38,0)")).alias("total"), F.bit_xor(mark).alias("mixed")).filter("c > 1")
-    # copies share many signatures; one list stands for all with the same members
-    kept = shared.groupBy("c", "least", "total", "mixed").agg(F.min("sig").alias("sig")).select("sig", "c")
-    entries = keep(listed.join(kept, "sig"), "entries")
-    bits = marked.drop("sigs", "wide")
-    long_ones = marked.filter("wide is not null").select("doc_id", "n", "wide")
+    marked = rows.mapInArrow(_second_pass(k, num, den, frequent), f"doc_id long, n int, {lanes}, sigs array<long>, ends array<int>, wide array<long>")
+    several_texts = keep(named.filter("doc_id is not null and rep is not null").groupBy("doc_id").agg(F.min("rep").alias("a"), F.max("rep").alias("b")).filter("a < b"), "several")
+    copies = named.filter("rep <> doc_id").select("doc_id").distinct()
+    # one text stands for all equal ones; a doc_id with several texts stays with all of them
+    marked = keep(marked.join(copies.join(named.filter("rep = doc_id").select("doc_id").distinct(), "doc_id", "left_anti"), "doc_id", "left_anti"), "signatures")
 
     def least(na, nb):
         # an overlap o reaches the similarity when (num + den) * o >= num * (na + nb)
         return F.floor((num * (na + nb) + num + den - 1) / (num + den))
 
+    # slack: the largest overlap that an entry's prefix still serves
+    listed = marked.select("doc_id", "n", F.explode(F.arrays_zip("sigs", "ends")).alias("e")).select("doc_id", "n", F.col("e.sigs").alias("sig"), (F.col("n") + 1 - F.col("e.ends")).alias("slack"))
+    mark = F.xxhash64("doc_id")
+    shared = listed.groupBy("sig").agg(F.count("*").alias("c"), F.min("doc_id").alias("least"), F.bit_xor(mark).alias("mixed"), F.min("n").alias("low"), F.max("n").alias("high"), F.max("slack").alias("most")).filter((F.col("c") > 1) & (least(F.col("low"), F.col("low")) <= F.col("most")))
+    # a pair at the least sizes of a list asks for the least overlap; entries that don't serve it go. Copies share many
+    # signatures: lists with the same members become one, with each member's largest slack
+    shared = shared.select("sig", "low", F.xxhash64("c", "least", "mixed").alias("list"))
+    entries = listed.join(shared, "sig").filter(least(F.col("n"), F.greatest("low", F.ceil(F.col("n") * num / den))) <= F.col("slack"))
+    entries = entries.groupBy("list", "doc_id").agg(F.max("n").alias("n"), F.max("slack").alias("slack"))
+    entries = keep(entries.withColumnRenamed("list", "sig"), "entries")
+    bits = marked.drop("sigs", "ends", "wide")
+    long_ones = marked.filter("wide is not null").select("doc_id", "n", "wide")
+
+    def fits(a: str, b: str):
+        """Whether two entries of a list can show a link of their sets."""
+        na, nb = F.col(f"{a}.n"), F.col(f"{b}.n")
+        need = least(na, nb)
+        return (na * den >= nb * num) & (nb * den >= na * num) & (need <= F.col(f"{a}.slack")) & (need <= F.col(f"{b}.slack"))
+
     def near(a: str, b: str):
         far = sum((F.bit_count(F.col(f"{a}.b{i}").bitwiseXOR(F.col(f"{b}.b{i}"))) for i in range(1, _LANES)), F.bit_count(F.col(f"{a}.b0").bitwiseXOR(F.col(f"{b}.b0"))))
         na, nb = F.col(f"{a}.n"), F.col(f"{b}.n")
-        return (na * den >= nb * num) & (nb * den >= na * num) & (far <= na + nb - 2 * least(na, nb))
-
-    def with_bits(pairs: DataFrame) -> DataFrame:
-        return pairs.join(bits.alias("a"), F.col("x") == F.col("a.doc_id")).join(bits.alias("b"), F.col("y") == F.col("b.doc_id")).filter(near("a", "b")).select("x", "y")
+        return far <= na + nb - 2 * least(na, nb)
 
     def verified(pairs: DataFrame) -> DataFrame:
+        """The pairs (x, y) that are links: by parities first, then by their whole sets."""
+        pairs = pairs.join(bits.alias("a"), F.col("x") == F.col("a.doc_id")).join(bits.alias("b"), F.col("y") == F.col("b.doc_id")).filter(near("a", "b")).select("x", "y")
         a, b = (long_ones.select(F.col("doc_id").alias(c), F.col("n").alias(f"n{c}"), F.col("wide").alias(f"w{c}")) for c in "xy")
         far = F.aggregate(F.zip_with("wx", "wy", lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0), lambda s, v: s + v)
         close = F.coalesce(far <= F.col("nx") + F.col("ny") - 2 * least(F.col("nx"), F.col("ny")), F.lit(True))
@@ -218,31 +267,53 @@ def jaccard_components(docs: DataFrame, k: int = 3, similarity: tuple[int, int]
         sets = keep(sets.join(wanted, "doc_id", "left_semi"), "whole")
         left, right = sets.select(F.col("doc_id").alias("x"), F.col("tokens").alias("s")), sets.select(F.col("doc_id").alias("y"), F.col("tokens").alias("t"))
         both = F.size(F.array_intersect("s", "t"))
-        return pairs.join(left, "x").join(right, "y").filter(den * both >= num * (F.size("s") + F.size("t") - both)).select("x", "y")
+        links = keep(pairs.join(left, "x").join(right, "y").filter(den * both >= num * (F.size("s") + F.size("t") - both)).select("x", "y").distinct(), "links")
+        drop_kept(pairs)
+        drop_kept(sets)
+        return links
+
+    def hung(links: DataFrame) -> DataFrame:
+        """links, and each node's component, written in their place."""
+        out = keep(components(links, "x", "y"), "components")
+        drop_kept(links)
+        return out
 
-    links, here = None, entries.withColumn("component", F.col("doc_id"))
+    # rows with one doc_id and several texts hold their sets' groups together
+    held = several_texts.select("doc_id").join(named, "doc_id").filter("rep is not null").select(F.col("doc_id").alias("x"), F.col("rep").alias("y"))
+    begun = hung(keep(held.filter("x <> y").distinct(), "links"))
+    here = entries
     for turn in range(STARS):
+        # a list whose members lie in one component is settled
+        placed = here.join(begun.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
+        open_ones = placed.groupBy("sig").agg(F.min("component").alias("_low"), F.max("component").alias("_high")).filter("_low < _high").select("sig")
+        placed = keep(placed.join(open_ones, "sig").select("sig", "doc_id", "n", "slack", "component"), "entries")
+        drop_kept(here)
+        here = placed.select("sig", "doc_id", "n", "slack")
+        here._kept_path = placed._kept_path
         # copies are most like the first of them, so that one leads; then others do, by hash
         order = F.xxhash64("doc_id", F.lit(turn)) if turn else F.col("doc_id")
-        pivots = here.groupBy("sig").agg(F.min_by(F.struct("doc_id", "component"), order).alias("p"))
-        star = here.join(pivots, "sig").filter(F.col("component") != F.col("p.component")).select(F.least("doc_id", "p.doc_id").alias("x"), F.greatest("doc_id", "p.doc_id").alias("y"))
-        found = keep(verified(with_bits(star.distinct())), "links")
-        links = found if links is None else links.union(found)
-        begun = components(links, "x", "y").withColumnRenamed("node", "doc_id")
-        # a list of two is settled by its star; so is one that lies in one component
-        here = entries.filter("c > 2").join(begun, "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
-        several = here.groupBy("sig").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low < high").select("sig")
-        here = keep(here.join(several, "sig", "left_semi"), "entries")
-    here = here.join(bits, "doc_id")
-    apart = here.alias("a").join(here.alias("b"), (F.col("a.sig") == F.col("b.sig")) & (F.col("a.doc_id") < F.col("b.doc_id")) & (F.col("a.component") != F.col("b.component")) & near("a", "b"))
-    more = keep(verified(apart.select(F.col("a.doc_id").alias("x"), F.col("b.doc_id").alias("y")).distinct()), "links")
-    joined = components(links.union(more), "x", "y")
-
-    # rows with one doc_id and several texts hold their sets' groups together
-    again = sized.filter("fp is not null").join(reps, ["fp", "n"]).select("doc_id", "rep")
-    several = again.groupBy("doc_id").agg(F.min("rep").alias("a"), F.max("rep").alias("b"), F.count_distinct("rep").alias("c")).filter("c > 1")
-    if several.limit(1).count():
-        held = again.join(several.select("doc_id"), "doc_id", "left_semi").select(F.col("doc_id").alias("x"), F.col("rep").alias("y"))
-        joined = components(links.union(more).union(held), "x", "y")
-    out = sized.join(reps, ["fp", "n"], "left").join(joined.select(F.col("node").alias("rep"), "component"), "rep", "left")
+        pivots = placed.groupBy("sig").agg(F.min_by(F.struct("doc_id", "n", "slack", "component"), order).alias("p")).select("sig", "p.*")
+        star = placed.alias("e").join(pivots.alias("p"), (F.col("e.sig") == F.col("p.sig")) & (F.col("e.component") != F.col("p.component")) & fits("e", "p"))
+        found = verified(star.select(F.least("e.doc_id", "p.doc_id").alias("x"), F.greatest("e.doc_id", "p.doc_id").alias("y")).distinct())
+        joined = hung(keep(found.union(begun.select("node", "component")), "links"))
+        drop_kept(found)
+        drop_kept(begun)
+        begun = joined
+        after = here.join(begun.withColumnRenamed("node", "doc_id"), "doc_id", "left").groupBy("sig").agg(F.count("*").alias("m"), F.min(F.coalesce("component", "doc_id")).alias("_low"), F.max(F.coalesce("component", "doc_id")).alias("_high"))
+        weight = after.filter("_low < _high").agg(F.sum(F.col("m") * F.col("m")), F.sum("m")).first()
+        if not weight[0] or weight[0] <= WORTH * weight[1]:
+            break
+    placed = here.join(begun.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
+    open_ones = placed.groupBy("sig").agg(F.min("component").alias("_low"), F.max("component").alias("_high"), F.ceil(F.count("*") / MEET).cast("int").alias("blocks")).filter("_low < _high").select("sig", "blocks")
+    placed = keep(placed.join(open_ones, "sig").withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int")), "entries")
+    every = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    left, right = placed.withColumn("other", every), again(placed).withColumnRenamed("block", "other").withColumn("block", every)
+    apart = left.alias("a").join(right.alias("b"), (F.col("a.sig") == F.col("b.sig")) & (F.col("a.block") == F.col("b.block")) & (F.col("a.other") == F.col("b.other")) & (F.col("a.doc_id") < F.col("b.doc_id")) & (F.col("a.component") != F.col("b.component")) & fits("a", "b"))
+    more = verified(apart.select(F.col("a.doc_id").alias("x"), F.col("b.doc_id").alias("y")).distinct())
+    drop_kept(placed)
+    drop_kept(here)
+    drop_kept(marked)
+    joined = hung(keep(more.union(begun.select("node", "component")), "links"))
+    drop_kept(more)
+    out = named.join(joined.select(F.col("node").alias("rep"), "component"), "rep", "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "rep", "doc_id")).alias("component_id"))

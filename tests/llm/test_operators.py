@@ -80,21 +80,26 @@ def test_jaccard_of_an_empty_table(spark):
     assert jaccard_components(table(spark, [])).collect() == []
 
 
-def test_frequent_shingles_lose_no_link():
-    from lyricspark.llm.ngram_join import _signatures
+@pytest.mark.parametrize("often", [20, 500, 5000])
+def test_frequent_shingles_lose_no_link(often):
+    from lyricspark.llm.ngram_join import _entries
 
     rng = np.random.default_rng(0)
     shared = np.unique(rng.integers(0, 1 << 62, 400).astype(np.uint64))
-    count = np.full(len(shared), 500)
-    for n in (20, 21, 37, 90, 180, 300):
-        for _ in range(40):
-            a = rng.choice(shared, n, replace=False)
-            out = int(n * 0.05)
-            b = np.unique(np.concatenate([a[out:], rng.integers(0, 1 << 62, out).astype(np.uint64)]))
-            both = len(np.intersect1d(a, b))
-            if 10 * both >= 9 * (n + len(b) - both):
-                x, y = (_signatures(np.unique(s), shared, count, 9, 10) for s in (a, b))
-                assert len(np.intersect1d(x, y))
+    count = rng.integers(often // 2, often * 2, len(shared))
+    for n in (8, 20, 21, 37, 90, 180, 300):
+        for num, den in ((9, 10), (4, 5)):
+            for _ in range(40):
+                a = rng.choice(shared, n, replace=False)
+                out = rng.integers(0, max(2, n * (den - num) // den))
+                b = np.unique(np.concatenate([a[out:], rng.integers(0, 1 << 62, rng.integers(0, out + 1)).astype(np.uint64)]))
+                both = len(np.intersect1d(a, b))
+                if den * both >= num * (n + len(b) - both):
+                    (x, ex), (y, ey) = (_entries(np.unique(s), shared, count, num, den) for s in (a, b))
+                    _, i, j = np.intersect1d(x, y, return_indices=True)
+                    # some common entry stands where an overlap of this size asks for
+                    need = -(-num * (n + len(b)) // (num + den))
+                    assert ((ex[i] + need <= n + 1) & (ey[j] + need <= len(b) + 1)).any()
 
 
 def test_word_hashes_depend_on_words_alone():
