@@ -93,12 +93,13 @@ def _flown(seed: int):
     """The flight of one block of a source, and its landing where it is the last."""
 
     def fly(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values(["doc_id", "size"], kind="stable").drop(columns="block")
+        # rows that tie in all of these differ in their key alone, and are interchangeable
+        frame = frame.sort_values(["no_id", "id", "size", "tie", "key"], kind="stable")
         p, sizes = frame["p"].tolist(), frame["size"].tolist()
         left = flight(p, sizes, random.Random(zlib.crc32(f"{seed}:{key[0]}:{key[1]}".encode())))
         if frame["blocks"].iloc[0] <= 1:
             landing(p, sizes, left)
-        return frame.assign(p=p)
+        return frame.drop(columns="block").assign(p=p)
 
     return fly
 
@@ -106,38 +107,41 @@ def _flown(seed: int):
 def mix_sources(docs: DataFrame, weights: Sequence[int] = (3, 1, 2), share: float = 1.5, most: int = 2, seed: int = 7, carry: Sequence[str] = ()) -> DataFrame:
     """(doc_id, size, source_size, target, copies, taken) for each row of docs(doc_id, text, source).
 
-    size counts a text's words (null: 0), taken is size times copies, and copies is 0 to `most`. The
-    draw depends on the rows and the seed alone, so reruns agree. Null sources are a source of their
-    own, the last; a source without words has target 0 and no copies; repeated rows are drawn each on
-    its own; columns named in carry are passed through, others are left out; an empty table gives an
-    empty result.
+    size counts a text's words (null: 0; very long ones whole), taken is size times copies, and copies
+    is 0 to `most`. The draw depends on the rows and the seed alone, so reruns agree. Null sources are a
+    source of their own, the last; a source without words has target 0 and no copies; a null doc_id
+    stays null; repeated rows are drawn each on its own; columns named in carry are passed through,
+    others are left out; an empty table gives an empty result.
+
+    Numbers alone go through Python, by a row key that is written with the rows; ids and carried columns
+    are joined back by it. The targets are windows over one row for each source, in one task.
     """
     size = F.regexp_count(text_of(), F.lit(WORD)).cast("long")
-    sized = keep(docs.select("doc_id", F.col("source").cast("string").alias("source"), size.alias("size"), *carry), "sized")
+    name = F.col("source").cast("string")
+    sized = docs.select("doc_id", name.alias("source"), size.alias("size"), F.xxhash64("text", *carry).alias("tie"), F.monotonically_increasing_id().alias("key"), *(F.col(c).alias(f"carried_{i}") for i, c in enumerate(carry)))
+    sized = keep(sized, "sized")
     targets = keep(source_targets(sized.select("source", "size"), weights, share, most), "targets")
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
+    # a source in the group key is a number: nulls and any text fit
+    numbered = keep(targets.withColumn("no", F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last()))).withColumn("rate", rate), "numbered")
     rows = (
-        sized.alias("s").join(targets.alias("t"), F.col("s.source").eqNullSafe(F.col("t.source"))).select("s.*", "source_size", "n_docs", "target")
-        .withColumn("whole", F.floor(rate)).withColumn("p", rate - F.floor(rate))
-        .withColumn("blocks", F.ceil(F.col("n_docs") / BLOCK).cast("long"))
+        sized.alias("s").join(numbered.alias("t"), F.col("s.source").eqNullSafe(F.col("t.source")))
+        .select("key", "no", F.col("doc_id").isNull().alias("no_id"), F.xxhash64("doc_id").alias("id"), "size", "tie", F.floor("rate").alias("whole"), (F.col("rate") - F.floor("rate")).alias("p"), F.ceil(F.col("n_docs") / BLOCK).cast("long").alias("blocks"))
     )
-    narrow = ["doc_id", "source", "size", "source_size", "target", "whole", "p", "blocks", *carry]
-    waiting = rows.select(*narrow)
-    schema = waiting.schema
+    waiting, schema = rows, rows.schema
     settled: list[DataFrame] = []
     level = 0
     while True:
         last = not waiting.filter("blocks > 1").limit(1).count()
-
-        block = F.pmod(F.xxhash64("doc_id", "size", F.lit(seed + level)), F.greatest("blocks", F.lit(1)))
-        flown = keep(waiting.withColumn("block", block).groupBy("source", "block").applyInPandas(_flown(seed + level), schema), "flown")
-        settled.append(flown.filter("p = 0 or p = 1"))
+        block = F.pmod(F.xxhash64("id", "size", F.lit(seed + level)), F.greatest("blocks", F.lit(1)))
+        flown = keep(waiting.withColumn("block", block).groupBy("no", "block").applyInPandas(_flown(seed + level), schema), "flown")
+        settled.append(flown.filter("p = 0 or p = 1").select("key", "no", (F.col("whole") + F.col("p")).cast("long").alias("copies")))
         if last:
             break
         waiting = flown.filter("p > 0 and p < 1").withColumn("blocks", F.ceil(F.col("blocks") * 2 / BLOCK).cast("long"))
         level += 1
-    out = settled[0]
+    drawn = settled[0]
     for s in settled[1:]:
-        out = out.union(s)
-    copies = (F.col("whole") + F.col("p")).cast("long")
-    return out.select("doc_id", "size", "source_size", "target", copies.alias("copies"), (F.col("size") * copies).alias("taken"), *carry)
+        drawn = drawn.union(s)
+    out = sized.join(drawn, "key").join(numbered.select("no", "source_size", "target"), "no")
+    return out.select("doc_id", "size", "source_size", "target", "copies", (F.col("size") * F.col("copies")).alias("taken"), *(F.col(f"carried_{i}").alias(c) for i, c in enumerate(carry)))
