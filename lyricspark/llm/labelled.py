@@ -16,7 +16,8 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, folds: int,
     """(doc_id, text, y): up to `each` labelled texts of either class, in hash order, none of the held-out fold.
 
     Texts of more than `longest` characters are not learned from, so that the sample's size is bounded
-    by 2 * each * longest characters. Rows without doc_id or label are left out; equal texts count once.
+    by 2 * each * longest characters. Rows without doc_id or label are left out; equal texts count once,
+    and not at all where their labels differ.
     """
     usable = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("int").alias("y")).filter("doc_id is not null and y is not null")
     usable = usable.groupBy("doc_id").agg(F.max("y").alias("y")).filter(fold_of(F.col("doc_id"), folds) != held_out)
@@ -26,4 +27,5 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, folds: int,
         picked = some if picked is None else picked.union(some)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").filter(F.char_length("text") <= longest)
     # at most 2 * each rows of two numbers are broadcast
-    return texts.join(F.broadcast(picked), "doc_id").dropDuplicates(["text"]).toPandas().sort_values(["doc_id", "text"], ignore_index=True)
+    found = texts.join(F.broadcast(picked), "doc_id").groupBy("text").agg(F.min("doc_id").alias("doc_id"), F.min("y").alias("y"), F.max("y").alias("most")).filter("y = most")
+    return found.select("doc_id", "text", "y").toPandas().sort_values(["doc_id", "text"], ignore_index=True)

@@ -1,10 +1,8 @@
 """Quality of texts by a byte-level convolutional network in numpy.
 
-The input of a position is its byte and, for a range of distances, whether the byte that far back is
-the same. Filters over a few neighbouring bytes, and a window over the agreement channels, run over
-overlapping chunks that cover the whole text; their largest responses, over positions, chunks and
-distances, are combined into one probability. The filters and all
-weights are learned; the agreement channels, their window and the chunk sizes are fixed.
+Learned filters over a few neighbouring bytes run over overlapping chunks that cover the whole text;
+their largest responses, over positions and chunks, are combined into one probability. The filters and
+all weights are learned; their number, their width and the chunk size are fixed.
 """
 
 from __future__ import annotations
@@ -20,13 +18,13 @@ from pyspark.sql import functions as F
 from .common import small_batches
 from .labelled import fold_of, labelled_sample
 
-#: Bytes of a chunk; distances of the agreement channels; bytes of half an agreement window.
-CHUNK, DISTANCES, HALF = 1 << 16, range(2, 25), 16
+#: Bytes of a chunk: a chunk's responses stay in the processor's cache.
+CHUNK = 8192
 
 
 @dataclass
 class ByteNet:
-    """taps: [width, 256, filters] filter weights by byte; bias: of filters; out: weights of the pooled responses and of agreement; shift: of the logit."""
+    """taps: [width, 256, filters] filter weights by byte; bias: of filters; out: weights of the pooled responses; shift: of the logit."""
 
     taps: np.ndarray
     bias: np.ndarray
@@ -37,8 +35,7 @@ class ByteNet:
     def new(cls, width: int = 6, filters: int = 12, seed: int = 3) -> ByteNet:
         rng = np.random.default_rng(seed)
         sign = np.where(np.arange(filters) % 3, -1.0, 1.0)
-        out = np.concatenate([sign * 0.5, [-1.0]])
-        return cls(rng.normal(0, 0.15, (width, 256, filters)).astype(np.float32), np.zeros(filters, np.float32), out.astype(np.float32), 0.5)
+        return cls(rng.normal(0, 0.15, (width, 256, filters)).astype(np.float32), np.zeros(filters, np.float32), (sign * 0.5).astype(np.float32), 0.5)
 
     def pairs(self) -> np.ndarray:
         """The filters by two bytes at a time, for half as many look-ups."""
@@ -55,17 +52,15 @@ class ByteNet:
         return r
 
     def pooled(self, data: np.ndarray, pairs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The largest responses, rectified, and agreement; and where the former stand (-1: nowhere)."""
+        """The largest responses, rectified, and where they stand (-1: nowhere)."""
         width, f = len(self.taps), self.taps.shape[2]
-        best, at = np.zeros(f + 1, np.float32), np.full(f, -1)
-        # a step of 8 KB keeps a chunk's responses in the processor's cache
-        for i in range(0, len(data) - width + 1, 8192):
-            r = self.responses(data[i : i + 8192 + width - 1], pairs)
+        best, at = np.zeros(f, np.float32), np.full(f, -1)
+        for i in range(0, len(data) - width + 1, CHUNK):
+            r = self.responses(data[i : i + CHUNK + width - 1], pairs)
             top = r.argmax(0)
             value = r[top, np.arange(f)] + self.bias
-            more = value > best[:f]
-            best[:f][more], at[more] = value[more], top[more] + i
-        best[f] = agreement(data)
+            more = value > best
+            best[more], at[more] = value[more], top[more] + i
         return best, at
 
     def score(self, data: np.ndarray, pairs: np.ndarray) -> float:
@@ -73,22 +68,7 @@ class ByteNet:
         return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
-def agreement(data: np.ndarray) -> float:
-    """The largest share of bytes, in windows of 2 * HALF bytes, that repeat what stands at one distance before."""
-    best = 0.0
-    span = 2 * HALF
-    for i in range(0, len(data), CHUNK):
-        part = data[max(0, i - span) : i + CHUNK]
-        for d in DISTANCES:
-            n = (len(part) - d) // HALF
-            if n < 2:
-                break
-            same = (part[d : d + n * HALF] == part[: n * HALF]).view(np.uint8).reshape(n, HALF).sum(1, dtype=np.uint8)
-            best = max(best, float((same[1:] + same[:-1]).max()) / span)
-    return best
-
-
-def train(texts: list[bytes], y: np.ndarray, epochs: int = 5, rate: float = 0.01, seed: int = 3) -> ByteNet:
+def train(texts: list[bytes], y: np.ndarray, epochs: int = 8, rate: float = 0.01, seed: int = 3) -> ByteNet:
     """Adam on the logistic loss, in mini-batches; both classes weigh the same."""
     net, rng = ByteNet.new(seed=seed), np.random.default_rng(seed)
     data = [np.frombuffer(t, dtype=np.uint8) for t in texts]
