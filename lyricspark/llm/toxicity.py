@@ -26,7 +26,7 @@ DECAY, SPAN = 0.6, 5
 #: Longer words are scored in overlapping pieces of this length.
 PIECE = 24
 #: So many distinct words are remembered by a Python worker; then it starts anew.
-REMEMBERED = 600_000
+REMEMBERED = 200_000
 _SHAPES = [(i, j) for i in range(1, SPAN - 1) for j in range(i + 1, SPAN)]
 _SPACED = re.compile(r"(?<!\S)\S(?: \S){2,}(?!\S)")
 _MARKS = str.maketrans("", "", "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~")
@@ -44,7 +44,7 @@ def units(text: str) -> set[str]:
 
 
 def _grams(word: str) -> set[str]:
-    marked = f"^{word[: 4 * PIECE]}$"
+    marked = f"^{word}$"
     return {marked[i : i + 5] for i in range(max(1, len(marked) - 4))}
 
 
@@ -107,10 +107,10 @@ class Toxicity:
 
 
 class _Landmarks:
-    """Kernel values against a list of words."""
+    """Kernel values against a list of words, of PIECE characters at most."""
 
     def __init__(self, words: list[str]) -> None:
-        code, weight = subsequences([_pieces(w)[0] for w in words])
+        code, weight = subsequences(words)
         self.used = np.unique(np.append(code, 0))
         self.rows = np.zeros((len(self.used), len(words)), dtype=np.float32)
         for i in range(len(words)):
@@ -122,7 +122,7 @@ class _Landmarks:
     def kernel(self, words: list[str]) -> np.ndarray:
         out = np.empty((len(words), self.rows.shape[1]))
         for i in range(0, len(words), 128):
-            code, weight = subsequences([_pieces(w)[0] for w in words[i : i + 128]])
+            code, weight = subsequences(words[i : i + 128])
             for j in range(len(code)):
                 at = self.place[code[j]]
                 on = at > 0
@@ -156,7 +156,8 @@ def _svm(x: np.ndarray, y: np.ndarray, share: np.ndarray, cost: float = 1000.0,
 def train(texts: list[str], y: np.ndarray, landmarks: int = 320, turns: int = 3, seed: int = 3) -> Toxicity:
     """Learns from texts labelled 1 or 0."""
     rng = np.random.default_rng(seed)
-    bags = [sorted(units(t)) for t in texts]
+    # long words are learned from as they are scored, in pieces
+    bags = [sorted({p for w in units(t) for p in _pieces(w)}) for t in texts]
     # five characters of a word, ends included, that set sentences labelled 1 apart
     n_bad, n_good = max(1, int((y == 1).sum())), max(1, int((y == 0).sum()))
     bad, good, often = Counter(), Counter(), Counter()
