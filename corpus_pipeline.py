@@ -6,10 +6,10 @@ return the columns of documents. run() writes every stage's result as Parquet an
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lyricspark.llm.common import keep, read
+from lyricspark.llm.common import keep, read, text_of
 from lyricspark.llm.mixing import mix_sources
 from lyricspark.llm.ngram_join import jaccard_components
 from lyricspark.llm.pieces import encode_pieces
@@ -19,21 +19,38 @@ from lyricspark.llm.secrets import redact, scan_secrets, text_key
 
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality classifier rejects go."""
+    """Documents that the quality classifier rejects go.
+
+    Null and empty texts are scored like any other; repeated rows and rows with a null doc_id stay or go
+    each by its text; without labels the untrained network decides.
+    """
     net = fit_quality(docs, read(spark, sf_dir, "labels"))
     return score_quality(docs, net).filter("predicted = 1").select(*docs.columns)
 
 
 def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies (five-word shingles, Jaccard similarity of 0.8) the smallest doc_id stays."""
-    groups = jaccard_components(docs, k=5, similarity=(4, 5))
-    first = groups.filter("doc_id = component_id").select("doc_id").distinct()
-    named = docs.join(first, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return named.union(docs.filter("doc_id is null")).select(*docs.columns)
+    """Of each group of near copies (five-word shingles, Jaccard similarity of 0.8) the smallest doc_id stays.
+
+    A node is a pair of doc_id and text, by a 64-bit hash: rows that share a doc_id but not a text are
+    judged apart, rows without doc_id are judged by their texts and give way to rows with one, and equal
+    rows count as copies, of which one stays, chosen by a hash of all columns. Texts without words are
+    copies of nothing.
+    """
+    rows = docs.withColumn("_key", F.xxhash64("doc_id", text_of()))
+    groups = jaccard_components(rows.select(F.col("_key").alias("doc_id"), "text"), k=5, similarity=(4, 5)).select(F.col("doc_id").alias("_key"), "component_id").distinct()
+    named = rows.select("_key", "doc_id").distinct().join(groups, "_key")
+    first = named.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "_key")).alias("f")).select(F.col("f._key").alias("_key"))
+    equal = Window.partitionBy("_key").orderBy(F.xxhash64(*docs.columns))
+    kept = rows.join(first, "_key", "left_semi").withColumn("_n", F.row_number().over(equal)).filter("_n = 1")
+    return kept.select(*docs.columns)
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Secrets, and bare occurrences of live ones, are masked in the texts."""
+    """Secrets, and bare occurrences of live ones, are masked in the texts.
+
+    All rows stay, repeated ones and those without doc_id too; n_chars follows the text where it changes;
+    null texts stay null.
+    """
     found = scan_secrets(docs).filter(F.size("spans") > 0).select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key"), F.col("spans").alias("_spans")).dropDuplicates(["_id", "_key"])
     joined = docs.join(found, docs["doc_id"].eqNullSafe(found["_id"]) & (text_key() == F.col("_key")), "left")
     text = F.when(F.col("_spans").isNull(), F.col("text")).otherwise(redact(F.col("text"), F.col("_spans")))
@@ -42,7 +59,10 @@ def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def mix_to_weights(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents stand as often as the mix takes them."""
+    """Documents stand as often as the mix takes them, up to twice; texts without words cost nothing and follow their source's rate.
+
+    Null sources are a source of their own; repeated rows are drawn each on its own.
+    """
     carried = {f"_c{i}": c for i, c in enumerate(docs.columns)}
     rows = docs.select("doc_id", "text", "source", *(F.col(c).alias(n) for n, c in carried.items()))
     mixed = mix_sources(rows, weights=(3, 1, 2), share=1.5, most=2, carry=tuple(carried))
@@ -51,7 +71,7 @@ def mix_to_weights(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """SentencePiece ids and decoded texts, as digests."""
+    """SentencePiece ids and decoded texts, as digests: one row for each row, nulls as empty texts."""
     return encode_pieces(docs, vocabulary("piece_bpe_32k.model"))
 
 
