@@ -9,11 +9,11 @@ of the parts are prefix sums over it. Parts follow one another in ascending doc_
 from __future__ import annotations
 
 import os
-import re
 import zlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import pyarrow.fs as pafs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -25,8 +25,9 @@ from .common import small_batches, text_of
 NO_ID = -(1 << 63)
 MANIFEST = "part long, docs long, tokens long, width long"
 #: So many distinct chunks are remembered by a Python worker; then it starts anew.
-REMEMBERED = 200_000
-_AFTER_SPACE = re.compile(r"\s ")
+REMEMBERED = 400_000
+#: White space before a space, as RE2 writes it.
+_AFTER_SPACE = r"[\t\n\x0b\x0c\r \x1c-\x1f\x{85}\p{Z}] "
 _TABLES: dict[str, ChunkIds] = {}
 
 
@@ -51,18 +52,20 @@ class ChunkIds:
         self.clear()
 
     def clear(self) -> None:
+        # places in the tables below, of chunks behind a space and of chunks at the start of a text
         self.known: dict[str, int] = {}
+        self.heads: dict[str, int] = {}
+        self.n = self.end = 0
         self.ids = np.empty(1 << 16, dtype=np.uint32)
-        self.end = 0
         self.start = np.zeros(1 << 16, dtype=np.int64)
         self.length = np.zeros(1 << 16, dtype=np.int64)
 
-    def whole(self, text: str) -> list[int]:
-        return self.tokenizer.encode(text, add_special_tokens=False).ids
+    def whole(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(e.ids, dtype=np.uint32) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _add(self, chunks: list[str], ids: np.ndarray, ends: np.ndarray) -> None:
+    def _add(self, known: dict[str, int], chunks: list[str], ids: np.ndarray, ends: np.ndarray) -> None:
         """Remembers chunks whose ids stand one after another, up to the given ends."""
-        at, n = len(self.known), len(chunks)
+        at, n = self.n, len(chunks)
         while at + n > len(self.start):
             self.start, self.length = (np.concatenate([a, np.zeros_like(a)]) for a in (self.start, self.length))
         while self.end + len(ids) > len(self.ids):
@@ -70,47 +73,58 @@ class ChunkIds:
         self.ids[self.end : self.end + len(ids)] = ids
         self.length[at : at + n] = np.diff(ends, prepend=0)
         self.start[at : at + n] = self.end + ends - self.length[at : at + n]
-        self.end += len(ids)
-        self.known.update(zip(chunks, range(at, at + n)))
+        self.n, self.end = at + n, self.end + len(ids)
+        known.update(zip(chunks, range(at, at + n)))
 
-    def learn(self, chunks: set[str]) -> None:
+    def _add_each(self, known: dict[str, int], chunks: list[str], texts: list[str]) -> None:
+        found = self.whole(texts)
+        self._add(known, chunks, np.concatenate([*found, np.empty(0, np.uint32)]), np.cumsum([len(x) for x in found]))
+
+    def learn(self, chunks: list[str]) -> None:
         """Encodes new chunks, many in one text, which the ids' widths in bytes take apart again."""
         known = self.known
         new = [c for c in chunks if c not in known]
         for i in range(0, len(new), 4096):
             some = new[i : i + 4096]
-            ids = np.array(self.whole(" " + " ".join(some)), dtype=np.uint32)
+            ids = self.whole([" " + " ".join(some)])[0]
             ends = np.cumsum(np.fromiter(map(len, map(str.encode, some)), dtype=np.int64, count=len(some)) + 1)
             reached = np.cumsum(self.width[ids])
             cut = np.searchsorted(reached, ends) + 1
             if len(ids) and (reached[np.minimum(cut, len(ids)) - 1] == ends).all():
-                self._add(some, ids, cut)
+                self._add(known, some, ids, cut)
             else:
-                for c in some:
-                    own = np.array(self.whole(" " + c), dtype=np.uint32)
-                    self._add([c], own, np.array([len(own)]))
+                self._add_each(known, some, [" " + c for c in some])
 
-    def encode(self, texts: list[str]) -> list[np.ndarray]:
-        if len(self.known) > REMEMBERED:
+    def encode(self, texts: pa.Array) -> list[np.ndarray]:
+        """The ids of each text; no nulls."""
+        if self.n > REMEMBERED:
             self.clear()
-        plain = [not (_AFTER_SPACE.search(t) or any(s in t for s in self.special)) for t in texts]
-        split = [t.split(" ") if p else [] for t, p in zip(texts, plain)]
-        chunks: set[str] = set()
-        for parts in split:
-            chunks.update(parts[1:])
-        self.learn(chunks)
-        get = self.known.__getitem__
-        out = []
-        for text, parts, p in zip(texts, split, plain):
-            if not p:
-                out.append(np.array(self.whole(text), dtype=np.uint32))
-                continue
-            head = np.array(self.whole(parts[0]), dtype=np.uint32)
-            at = np.fromiter(map(get, parts[1:]), dtype=np.int64, count=len(parts) - 1)
-            n = self.length[at]
-            begin = np.cumsum(n) - n
-            body = self.ids[np.repeat(self.start[at] - begin, n) + np.arange(int(n.sum()))]
-            out.append(np.concatenate([head, body]))
+        bound = pc.match_substring_regex(texts, _AFTER_SPACE)
+        for s in self.special:
+            bound = pc.or_(bound, pc.match_substring(texts, s))
+        bound = bound.to_numpy(zero_copy_only=False)
+        out: list[np.ndarray] = [None] * len(texts)
+        for i, ids in zip(np.flatnonzero(bound).tolist(), self.whole(texts.filter(pa.array(bound)).to_pylist())):
+            out[i] = ids
+        free = np.flatnonzero(~bound)
+        if not len(free):
+            return out
+        lists = pc.split_pattern(texts.filter(pa.array(~bound)), " ")
+        first = lists.offsets.to_numpy()
+        values = lists.values
+        coded = values.dictionary_encode()
+        words = coded.dictionary.to_pylist()
+        self.learn(words)
+        at = np.fromiter(map(self.known.__getitem__, words), dtype=np.int64, count=len(words))[coded.indices.to_numpy()]
+        heads = values.take(pa.array(first[:-1])).to_pylist()
+        if new := list({h for h in heads if h not in self.heads}):
+            self._add_each(self.heads, new, new)
+        at[first[:-1]] = np.fromiter(map(self.heads.__getitem__, heads), dtype=np.int64, count=len(heads))
+        n = self.length[at]
+        ends = np.cumsum(n)
+        flat = self.ids[np.repeat(self.start[at] - ends + n, n) + np.arange(int(n.sum()))]
+        for i, ids in zip(free.tolist(), np.split(flat, ends[first[1:-1] - 1])):
+            out[i] = ids
         return out
 
 
@@ -126,7 +140,7 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str, end_id: int =
     Documents are dealt out by ranges of doc_id and sorted within them (then by text), encoded where
     they lie and written by the task that holds them. A task writes under a name of its own and
     renames at the end, so that a repeated task leaves the same files. Null texts count as empty;
-    every document gets end_id at its end. Null doc_ids come first. Repeated rows are written each;
+    every document gets end_id at its end; very long texts are encoded whole. Null doc_ids come first. Repeated rows are written each;
     other columns are ignored; an empty table makes an empty manifest.
     """
     spark = docs.sparkSession
@@ -145,11 +159,11 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str, end_id: int =
             if ids_out is None:
                 fs.create_dir(root, recursive=True)
                 ids_out, docs_ends = (fs.open_output_stream(f"{name}.{kind}.{attempt}") for kind in ("ids", "docs"))
-            texts, keys = batch.column("text").to_pylist(), batch.column("doc_id").fill_null(NO_ID).to_numpy()
-            for i in range(0, len(texts), 250):
-                encoded = table.encode(texts[i : i + 250])
+            texts, keys = batch.column("text"), batch.column("doc_id").fill_null(NO_ID).to_numpy()
+            for i in range(0, len(texts), 1000):
+                encoded = table.encode(texts.slice(i, 1000))
                 pairs = np.empty((len(encoded), 2), dtype="<i8")
-                pairs[:, 0] = keys[i : i + 250]
+                pairs[:, 0] = keys[i : i + 1000]
                 pairs[:, 1] = tokens + np.cumsum([len(x) + 1 for x in encoded])
                 end = np.array([end_id], dtype=np.uint32)
                 ids_out.write(np.concatenate([y for x in encoded for y in (x, end)]).astype(f"<u{width}").tobytes())
@@ -186,20 +200,22 @@ def read_token_files(spark: SparkSession, path: str, with_ids: bool = False) ->
         for batch in batches:
             for row in batch.to_pylist():
                 name = f"{root}/part-{row['part']:05d}"
-                if isinstance(fs, pafs.LocalFileSystem):
-                    pairs, ids = np.memmap(f"{name}.docs", dtype="<i8", mode="r").reshape(-1, 2), np.memmap(f"{name}.ids", dtype=f"<u{row['width']}", mode="r")
-                else:
-                    pairs, ids = (np.frombuffer(fs.open_input_file(f"{name}.{kind}").read(), dtype=t) for kind, t in (("docs", "<i8"), ("ids", f"<u{row['width']}")))
-                    pairs = pairs.reshape(-1, 2)
-                for i in range(0, len(pairs), 4096):
-                    some = np.array(pairs[i : i + 4096])
+                width, local = row["width"], isinstance(fs, pafs.LocalFileSystem)
+                pairs = np.memmap(f"{name}.docs", dtype="<i8", mode="r").reshape(-1, 2) if local else np.frombuffer(fs.open_input_file(f"{name}.docs").read(), dtype="<i8").reshape(-1, 2)
+                # a store without memory maps is read by ranges
+                held = np.memmap(f"{name}.ids", dtype=f"<u{width}", mode="r") if local else fs.open_input_file(f"{name}.ids")
+                for i in range(0, len(pairs), 512):
+                    some = np.array(pairs[i : i + 512])
                     ends = some[:, 1]
                     starts = np.concatenate([[pairs[i - 1, 1] if i else 0], ends[:-1]])
-                    crc = [zlib.crc32(ids[a:b].astype("<u4").tobytes()) for a, b in zip(starts.tolist(), ends.tolist())]
+                    low, high = int(starts[0]), int(ends[-1])
+                    ids = held[low:high] if local else np.frombuffer(held.read_at((high - low) * width, low * width), dtype=f"<u{width}")
+                    within = list(zip((starts - low).tolist(), (ends - low).tolist()))
+                    crc = [zlib.crc32(ids[a:b].astype("<u4").tobytes()) for a, b in within]
                     key = pa.array(some[:, 0], mask=some[:, 0] == NO_ID)
                     columns = [key, pa.array(starts + row["base"]), pa.array(ends - starts), pa.array(crc, pa.int64())]
                     if with_ids:
-                        columns.append(pa.array([ids[a:b].astype(np.int64) for a, b in zip(starts.tolist(), ends.tolist())], pa.list_(pa.int64())))
+                        columns.append(pa.array([ids[a:b].astype(np.int64) for a, b in within], pa.list_(pa.int64())))
                     yield pa.record_batch(columns, schema=schema)
 
     spread = based.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")))
