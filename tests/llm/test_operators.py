@@ -294,12 +294,14 @@ def test_near_duplicate_vectors(spark):
 
 def test_top_inner_products(spark):
     rows = sample_vectors()
+    # rows that repeat a query's vec_id, with the same and with another vector
+    rows += [(20, rows[20][1], 1, "x"), (40, rows[3][1], 1, "x"), (7, rows[7][1], 1, "x")]
     got = topk.top_inner_products(vectors(spark, rows)).collect()
     sound = [(r[0], np.floor(64 * np.float32(r[1]).astype(float))) for r in rows if r[1] is not None and all(x is not None and np.isfinite(x) for x in r[1])]
     want = []
-    for i, q in sound:
+    for n_row, (i, q) in enumerate(sound):
         if i % 20 == 0:
-            best = sorted((-int(q @ v), j) for j, v in sound if j != i)[:20]
+            best = sorted((-int(q @ v), j) for m, (j, v) in enumerate(sound) if m != n_row)[:20]
             want += [(i, n + 1, j, -s) for n, (s, j) in enumerate(best)]
     assert sorted(map(tuple, got)) == sorted(want)
     assert topk.top_inner_products(vectors(spark, [])).count() == 0
