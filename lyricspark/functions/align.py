@@ -1,63 +1,80 @@
-"""Alignments of word sequences in numpy and difflib, as Arrow-batched functions."""
+"""Edit distances and alignments of sequences, as Arrow-batched functions.
+
+A column of the distance table differs from cell to cell by one at most, so it is kept as bits of long
+integers, which work out a whole column in a few operations. The differences of all columns are enough
+to trace an alignment back.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from difflib import SequenceMatcher
+from itertools import accumulate
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Cells of a direction matrix at most; beyond, a pair is divided in halves at a cheapest place.
-CELLS = 1 << 24
+#: Cells of the table whose differences are kept at most, at half a byte each; beyond, a pair is divided in halves at a cheapest place.
+CELLS = 1 << 28
 DELETE, INSERT, SUBSTITUTE, CORRECT = range(4)
 _NAMES = {DELETE: "deletion", INSERT: "insertion", SUBSTITUTE: "substitution", CORRECT: "correct"}
 
 
-def _coded(a: list[str], b: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    codes: dict[str, int] = {}
-    return tuple(np.array([codes.setdefault(w, len(codes)) for w in s], dtype=np.int64) for s in (a, b))
-
-
-def _row(before: np.ndarray, same: np.ndarray, first: int) -> np.ndarray:
-    """The next row of the distance table: the dependence on the cell to the left is a running minimum."""
-    n = len(same)
-    row = np.empty(n + 1, dtype=np.int64)
-    row[0] = first
-    row[1:] = np.minimum(before[1:] + 1, before[:-1] + ~same)
-    at = np.arange(n + 1)
-    return np.minimum.accumulate(row - at) + at
-
-
-def _distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    row = np.arange(len(b) + 1)
+def _columns(a: Sequence, b: Sequence):
+    """(HP, HN, VP, VN) for each element of b: bit i says whether the cell of a's first i + 1 elements is one more or one less than the cell to its left, or above it."""
+    places: dict = {}
     for i, x in enumerate(a):
-        row = _row(row, b == x, i + 1)
-    return row
-
-
-def align_ops(a: np.ndarray, b: np.ndarray, order: tuple[int, ...]) -> list[int]:
+        places.setdefault(x, []).append(i)
+    match = {x: sum(1 << i for i in at) for x, at in places.items()}
+    full = (1 << len(a)) - 1
+    vp, vn = full, 0
+    for y in b:
+        eq = match.get(y, 0)
+        xv = eq | vn
+        xh = (((eq & vp) + vp) ^ vp) | eq
+        hp, hn = (vn | ~(xh | vp)) & full, vp & xh
+        up, down = hp << 1 | 1, hn << 1
+        vp, vn = (down | ~(xv | up)) & full, up & xv & full
+        yield hp, hn, vp, vn
+
+
+def _distances(a: Sequence, b: Sequence) -> list[int]:
+    """The distances of a to every prefix of b."""
+    if not len(a):
+        return list(range(len(b) + 1))
+    last = len(a) - 1
+    return list(accumulate(((hp >> last) - (hn >> last) for hp, hn, _, _ in _columns(a, b)), initial=len(a)))
+
+
+def align_ops(a: Sequence, b: Sequence, order: tuple[int, ...]) -> list[int]:
     """The operations of a cheapest alignment, traced back from the end; `order` ranks the moves that tie."""
     if len(a) * len(b) > CELLS and len(a) > 1:
         half = len(a) // 2
-        cut = int(np.argmin(_distances(a[:half], b) + _distances(a[half:][::-1], b[::-1])[::-1]))
+        total = [x + y for x, y in zip(_distances(a[:half], b), reversed(_distances(a[half:][::-1], b[::-1])))]
+        cut = total.index(min(total))
         return align_ops(a[:half], b[:cut], order) + align_ops(a[half:], b[cut:], order)
-    table = np.empty((len(a) + 1, len(b) + 1), dtype=np.int32)
-    table[0] = np.arange(len(b) + 1)
-    for i, x in enumerate(a):
-        table[i + 1] = _row(table[i].astype(np.int64), b == x, i + 1)
     out, i, j = [], len(a), len(b)
+    # equal ends are correct in any order
+    while order[0] == CORRECT and i and j and a[i - 1] == b[j - 1]:
+        out.append(CORRECT)
+        i, j = i - 1, j - 1
+    kept = list(_columns(a[:i], b[:j]))
+
+    def down(i: int, j: int) -> int:
+        return (kept[j - 1][2] >> (i - 1) & 1) - (kept[j - 1][3] >> (i - 1) & 1) if j else 1
+
+    def right(i: int, j: int) -> int:
+        return (kept[j - 1][0] >> (i - 1) & 1) - (kept[j - 1][1] >> (i - 1) & 1) if i else 1
+
     while i or j:
-        here = table[i, j]
+        same = i and j and a[i - 1] == b[j - 1]
         for move in order:
-            if move == CORRECT and i and j and a[i - 1] == b[j - 1]:
-                i, j = i - 1, j - 1
-            elif move == SUBSTITUTE and i and j and a[i - 1] != b[j - 1] and table[i - 1, j - 1] + 1 == here:
+            if move == CORRECT and same or move == SUBSTITUTE and i and j and not same and down(i, j) + right(i - 1, j) == 1:
                 i, j = i - 1, j - 1
-            elif move == DELETE and i and table[i - 1, j] + 1 == here:
+            elif move == DELETE and i and down(i, j) == 1:
                 i -= 1
-            elif move == INSERT and j and table[i, j - 1] + 1 == here:
+            elif move == INSERT and j and right(i, j) == 1:
                 j -= 1
             else:
                 continue
@@ -68,14 +85,14 @@ def align_ops(a: np.ndarray, b: np.ndarray, order: tuple[int, ...]) -> list[int]
 
 def edit_counts(ref: list[str], hyp: list[str]) -> tuple[int, int, int]:
     """(insertions, deletions, substitutions); ties prefer a deletion, then an insertion, then a substitution."""
-    ops = align_ops(*_coded(ref, hyp), (CORRECT, DELETE, INSERT, SUBSTITUTE))
+    ops = align_ops(ref, hyp, (CORRECT, DELETE, INSERT, SUBSTITUTE))
     return ops.count(INSERT), ops.count(DELETE), ops.count(SUBSTITUTE)
 
 
 def word_alignment(ref: list[str], hyp: list[str]) -> list[tuple[str, str | None, str | None]]:
     """(op, ref_word, hyp_word) in order; ties prefer a substitution, then an insertion, then a deletion."""
     out, i, j = [], 0, 0
-    for op in align_ops(*_coded(ref, hyp), (CORRECT, SUBSTITUTE, INSERT, DELETE)):
+    for op in align_ops(ref, hyp, (CORRECT, SUBSTITUTE, INSERT, DELETE)):
         r = ref[i] if op != INSERT else None
         h = hyp[j] if op != DELETE else None
         i, j = i + (op != INSERT), j + (op != DELETE)
@@ -117,6 +134,16 @@ def align_words(ref: Column, hyp: Column) -> Column:
     return run(ref, hyp)
 
 
+def align_errors(ref: Column, hyp: Column) -> Column:
+    """array<struct<position, op, ref_word, hyp_word>>: the rows of align_words that aren't correct, with their places."""
+
+    @F.pandas_udf("array<struct<position:int,op:string,ref_word:string,hyp_word:string>>")
+    def run(r: pd.Series, h: pd.Series) -> pd.Series:
+        return pd.Series([[{"position": n, "op": op, "ref_word": x, "hyp_word": y} for n, (op, x, y) in enumerate(word_alignment(a, b)) if op != "correct"] for a, b in _lists(r, h)])
+
+    return run(ref, hyp)
+
+
 def diff_align(trans: Column, ref: Column) -> Column:
     """array<struct<trans, ref>> of two arrays of words."""
 
@@ -127,15 +154,24 @@ def diff_align(trans: Column, ref: Column) -> Column:
     return run(trans, ref)
 
 
-def distance(ref: list[str], hyp: list[str]) -> int:
-    a, b = _coded(ref, hyp)
-    n = min(len(a), len(b))
-    same = int(np.argmin(np.append(a[:n] == b[:n], False)))
-    a, b = a[same:], b[same:]
-    n = min(len(a), len(b))
-    same = int(np.argmin(np.append((a[::-1][:n] == b[::-1][:n]), False)))
-    a, b = a[: len(a) - same], b[: len(b) - same]
-    return int(_distances(a, b)[-1]) if len(a) and len(b) else max(len(a), len(b))
+def distance(a: Sequence, b: Sequence) -> int:
+    """The edit distance of two sequences; equal ends are cut off first."""
+    i, m, n = 0, len(a), len(b)
+    while i < m and i < n and a[i] == b[i]:
+        i += 1
+    while m > i and n > i and a[m - 1] == b[n - 1]:
+        m, n = m - 1, n - 1
+    return _distances(a[i:m], b[i:n])[-1]
+
+
+def char_distances(a: Column, b: Column) -> Column:
+    """The edit distance of two texts; nulls stay null."""
+
+    @F.pandas_udf("int")
+    def run(x: pd.Series, y: pd.Series) -> pd.Series:
+        return pd.Series([distance(p, q) if p is not None and q is not None else None for p, q in zip(x, y)], dtype="Int32")
+
+    return run(a, b)
 
 
 def distances(ref: Column, hyp: Column) -> Column:

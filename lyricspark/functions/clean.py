@@ -33,24 +33,25 @@ _CHANGES = "array<struct<type:string,removed:string,position:int>>"
 
 
 def metadata_changes(text: Column) -> Column:
-    """array<struct<type, removed, position>>: what strip_metadata takes out, in the order of the patterns, last match first."""
+    """array<struct<type, removed, position>>: what strip_metadata takes out, in the order of the patterns, last match first.
+
+    An editorial line has its number of keywords in its type and its line number as position.
+    """
     compiled = [(re.compile(p, re.M | re.I), name) for p, name in METADATA_PATTERNS]
+    brief = lambda cut: cut[:80] + "..." * (len(cut) > 80)
 
     def one(t: str | None) -> list:
-        out, t = [], t or ""
+        out, rest = [], t or ""
         for pattern, name in compiled:
-            found = [m for m in pattern.finditer(t) if m[0].strip()]
-            for m in reversed(found):
-                cut = m[0].strip()
-                out.append({"type": name, "removed": cut[:80] + ("..." if len(cut) > 80 else ""), "position": m.start()})
-            t = pattern.sub("\n", t)
-        at = 0
-        for line in t.split("\n"):
-            low = line.lower()
-            if len(line) > 40 and sum(k in low for k in EDITORIAL_KEYWORDS) >= 2:
-                out.append({"type": "editorial_line", "removed": line[:80] + ("..." if len(line) > 80 else ""), "position": at})
-            at += len(line) + 1
-        return out
+            taken = [(m.start(), m[0].strip()) for m in pattern.finditer(rest)]
+            out += [(name, brief(cut), at) for at, cut in taken[::-1] if cut]
+            if taken:
+                rest = pattern.sub("\n", rest)
+        for number, line in enumerate(rest.split("\n")):
+            known = sum(k in line.lower() for k in EDITORIAL_KEYWORDS) if len(line) > 40 else 0
+            if known >= 2:
+                out.append((f"editorial_line ({known} keywords)", brief(line), number))
+        return [dict(zip(("type", "removed", "position"), x)) for x in out]
 
     @F.pandas_udf(_CHANGES)
     def changes(texts):
@@ -64,10 +65,10 @@ def metadata_flags(text: Column, flags: Iterable[tuple[str, str]] = METADATA_FLA
 
 
 def contamination(df: DataFrame, text: str = "text") -> DataFrame:
-    """df with cleaned, original_len, cleaned_len, reduction_pct and contaminated."""
-    out = df.withColumn("cleaned", strip_metadata(F.col(text))).withColumn("original_len", F.char_length(text)).withColumn("cleaned_len", F.char_length("cleaned"))
+    """df with changes, cleaned, original_len, cleaned_len, reduction_pct and contaminated: whether there are any changes."""
+    out = df.withColumn("changes", metadata_changes(F.col(text))).withColumn("cleaned", strip_metadata(F.col(text))).withColumn("original_len", F.char_length(text)).withColumn("cleaned_len", F.char_length("cleaned"))
     share = (1 - F.col("cleaned_len") / F.greatest("original_len", F.lit(1))) * 100
-    return out.withColumn("reduction_pct", F.bround(share, 1)).withColumn("contaminated", F.col("cleaned") != F.regexp_replace(text, r"(?U)^\s+|\s+$", ""))
+    return out.withColumn("reduction_pct", F.bround(share, 1)).withColumn("contaminated", F.size("changes") > 0)
 
 
 def contamination_report(df: DataFrame, text: str = "text") -> DataFrame:
@@ -75,7 +76,7 @@ def contamination_report(df: DataFrame, text: str = "text") -> DataFrame:
 
 
 def apply_fixes(df: DataFrame, text: str = "text") -> DataFrame:
-    """The text replaced where cleaning changes it, and fixed."""
+    """The cleaned text in place of each contaminated one, and fixed."""
     marked = contamination(df, text)
     return marked.withColumn(text, F.when(F.col("contaminated"), F.col("cleaned")).otherwise(F.col(text))).withColumn("fixed", F.col("contaminated")).select(*df.columns, "fixed")
 

@@ -179,3 +179,14 @@ PHONETIC_PAIRS = {
     "slatt": ("slap", "flat", "slot"), "thang": ("thing", "tang"), "cuh": ("come", "cub", "cut"), "bruh": ("bro", "brother", "brr"),
     "skrrt": ("skirt", "skirt", "shirt"),
 }
+
+#: Tokens that a domain vocabulary always holds, in order.
+DOMAIN_TOKENS = (
+    *"yeah yuh yah uh ay ayy skrt brr woo sheesh gang aye".split(),
+    *"finna gonna wanna gotta tryna ima imma ion aint ain't bout 'bout bussin fire lit dope sick cap facts bet lowkey highkey".split(),
+    # one entry in the original table, for want of a comma
+    "deadhomieshomie",
+    *"dawg bruh fam bro sis plug opps bread bands guap racks stacks chip cheddar cheese drip flex swag ice".split(),
+    *"the a an is are was were i you he she it we they my your his her our their and but or so if when that".split(),
+    *"in on at to for with from got get like know want need come go make take see look all no not just up out".split(),
+)

@@ -7,13 +7,13 @@ from collections.abc import Iterable, Mapping
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .align import distances
+from .align import char_distances, distances
 from .constants import CATEGORY_ADLIBS, CATEGORY_SLANG, PHONETIC_PAIRS, SLANG_VARIANTS
 from .text import normalize_delete, strings, tokenize
 
 
 def word_distance(ref: Column, hyp: Column) -> Column:
-    """Edit distance between two arrays of words, row by row in numpy; equal ends are cut off first.
+    """Edit distance between two arrays of words, row by row; equal ends are cut off first.
 
     The built-in levenshtein would need each word as one character, looked up in an array in linear
     time for every word, which long texts don't allow.
@@ -29,10 +29,25 @@ def wer(ref: Column, hyp: Column, profile: str = "delete", empty_ref: str = "cou
     return F.bround(rate, round_to) if round_to is not None else rate
 
 
+#: Up to this length the built-in levenshtein, whose time grows with the product of the lengths, is the faster one.
+SHORT = 256
+
+
+def char_distance(a: Column, b: Column) -> Column:
+    """Edit distance of two texts: built in for short ones, by bits of long integers beyond."""
+    short = (F.char_length(a) <= SHORT) & (F.char_length(b) <= SHORT)
+    beyond = char_distances(F.when(~short, a), F.when(~short, b))
+    return F.when(short, F.levenshtein(a, b)).otherwise(beyond)
+
+
 def cer(ref: Column, hyp: Column) -> Column:
     """Character error rate of the normalized texts, spaces included."""
-    r, h = normalize_delete(ref), normalize_delete(hyp)
-    return F.when(r == "", F.char_length(h).cast("double")).otherwise(F.levenshtein(r, h) / F.char_length(r))
+    return char_rate(normalize_delete(ref), normalize_delete(hyp))
+
+
+def char_rate(r: Column, h: Column) -> Column:
+    """The same of texts that are normalized."""
+    return F.when(r == "", F.char_length(h).cast("double")).otherwise(char_distance(r, h) / F.char_length(r))
 
 
 def levenshtein_ratio(a: Column, b: Column) -> Column:
@@ -48,18 +63,18 @@ def phonetic_similarity(a: Column, b: Column, pairs: Mapping[str, Iterable[str]]
     return F.when(x == y, 1.0).when(listed, 0.95).when(bare(x) == bare(y), 0.9).otherwise(levenshtein_ratio(x, y))
 
 
-def score_pair(trans: Column, ref: Column, phonetic_threshold: float = 0.6, prefer_reference: bool = True) -> Column:
-    """struct<chosen, confidence, source> of an aligned pair of words, either of which may be null."""
-    sim = phonetic_similarity(trans, ref)
+def score_pair(trans: Column, ref: Column, sim: Column | None = None, phonetic_threshold: float = 0.6, prefer_reference: bool = True) -> Column:
+    """struct<chosen, confidence, source> of an aligned pair of words, either of which may be null; sim is their phonetic similarity where it is known."""
+    sim = phonetic_similarity(trans, ref) if sim is None else sim
 
     def out(word: Column, confidence, source: str) -> Column:
         return F.struct(word.alias("chosen"), (F.lit(confidence) if isinstance(confidence, float) else confidence).cast("double").alias("confidence"), F.lit(source).alias("source"))
 
     otherwise = out(ref, 0.5, "reference") if prefer_reference else out(trans, 0.4, "transcription")
+    heard = F.when(sim >= 0.9, out(ref, 0.9, "phonetic")).when(sim >= phonetic_threshold, out(ref, sim, "reference")).otherwise(otherwise)
     return (
         F.when(ref.isNull(), out(trans, 0.4, "transcription")).when(trans.isNull(), out(ref, 0.6, "reference"))
-        .when(F.lower(trans) == F.lower(ref), out(ref, 1.0, "exact")).when(sim >= 0.9, out(ref, 0.9, "phonetic"))
-        .when(sim >= phonetic_threshold, out(ref, sim, "reference")).otherwise(otherwise)
+        .when(F.lower(trans) == F.lower(ref), out(ref, 1.0, "exact")).otherwise(heard)
     )
 
 

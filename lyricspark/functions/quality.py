@@ -41,14 +41,17 @@ def is_repetitive(text: Column, at_least: int = 10, times: int = 5) -> Column:
         # sorted, an n-gram that stands `times` times equals the one `times - 1` places on
         return let(F.array_sort(ngrams(w, n)), lambda g: F.exists(F.arrays_zip(g.alias("x"), F.slice(g, times, 1 << 30).alias("y")), lambda p: p["x"] == p["y"]))
 
-    return let(tokenize(text, "ascii"), lambda w: (F.size(w) >= at_least) & (often(w, 2) | often(w, 3) | often(w, 4)))
+    def again(w: Column) -> Column:
+        return F.coalesce((F.size(w) >= at_least) & (often(w, 2) | often(w, 3) | often(w, 4)), F.lit(False))
+
+    return F.when(text.isNotNull(), let(tokenize(text, "ascii"), again))
 
 
 def alignment_score(pred: Column, ref: Column) -> Column:
     return 0.4 * word_jaccard(pred, ref) + 0.6 * bigram_jaccard(pred, ref)
 
 
-def combined_score(pred: Column, ref: Column) -> Column:
-    """The same, times 0.3 if the prediction is repetitive, to four decimals."""
-    score = alignment_score(pred, ref)
-    return F.bround(F.when(is_repetitive(pred), score * 0.3).otherwise(score), 4)
+def combined_score(pred: Column, ref: Column, repetitive: Column | None = None) -> Column:
+    """The same, times 0.3 if the prediction is repetitive, to four decimals; `repetitive` where that is known."""
+    again = is_repetitive(pred) if repetitive is None else repetitive
+    return let(alignment_score(pred, ref), lambda score: F.bround(F.when(again, score * 0.3).otherwise(score), 4))

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .constants import CONTEXT_WORDS, DIALECT_RULES, EXPLICIT_RULES, PHRASE_RULES, SLANG_RULES
-from .text import literal_map, strings, words
+from .text import let, literal_map, strings, words
 
 
 def _java(replacement: str) -> str:
@@ -17,10 +17,16 @@ def _java(replacement: str) -> str:
 
 def apply_phrase_rules(text: Column, rules: Iterable[tuple[str, str]] = PHRASE_RULES) -> Column:
     """Lower case, trimmed; each pattern sees what the ones before it left."""
-    out = F.trim(F.lower(text))
-    for pattern, replacement in rules:
-        out = F.regexp_replace(out, f"(?iU){pattern}", _java(replacement))
-    return out
+    rules = list(rules)
+
+    def each(out: Column) -> Column:
+        for pattern, replacement in rules:
+            out = F.regexp_replace(out, f"(?iU){pattern}", _java(replacement))
+        return out
+
+    # a text that no pattern finds is left as it is
+    some = "(?iU)" + "|".join(f"(?:{p})" for p, _ in rules)
+    return let(F.trim(F.lower(text)), lambda t: F.when(t.rlike(some), each(t)).otherwise(t)) if rules else F.trim(F.lower(text))
 
 
 def _clean(word: Column) -> Column:
@@ -33,17 +39,23 @@ def _tail(word: Column, clean: Column) -> Column:
 
 
 def _mapped(text: Column, mapping: Mapping[str, str], context: Iterable[str], special=lambda w, i, all_, clean: None) -> Column:
-    table, skip, tokens = literal_map(mapping), strings(context), words(text)
+    table, skip = literal_map(mapping), strings(context)
+
+    def every(tokens: Column) -> Column:
+        # the words of a line are cleaned together: none of them holds a space
+        cleaned = F.split(F.regexp_replace(F.lower(F.array_join(tokens, " ")), r"(?U)[^\w' ]", ""), " ", -1)
+
+        def one(pair: Column, i: Column) -> Column:
+            w, clean = pair["w"], pair["c"]
+            found = F.when(~F.array_contains(skip, clean), F.element_at(table, clean))
+            extra = special(w, i, tokens, clean)
+            if extra is not None:
+                found = F.coalesce(extra, found)
+            return let(found, lambda f: F.when(f.isNotNull(), F.concat(f, _tail(w, clean))).otherwise(w))
 
-    def one(w: Column, i: Column) -> Column:
-        clean = _clean(w)
-        found = F.when(~F.array_contains(skip, clean), F.element_at(table, clean))
-        extra = special(w, i, tokens, clean)
-        if extra is not None:
-            found = F.coalesce(extra, found)
-        return F.when(found.isNotNull(), F.concat(found, _tail(w, clean))).otherwise(w)
+        return F.array_join(F.transform(F.arrays_zip(tokens.alias("w"), cleaned.alias("c")), one), " ")
 
-    return F.array_join(F.transform(tokens, one), " ")
+    return let(words(text), lambda t: F.when(F.size(t) > 0, every(t)).otherwise(F.lit("")))
 
 
 def apply_dialect_rules(text: Column, mapping: Mapping[str, str] = DIALECT_RULES, context: Iterable[str] = CONTEXT_WORDS) -> Column:
@@ -82,7 +94,7 @@ def correct(text: Column, aggressive: bool = False, phrases: Iterable[tuple[str,
     return apply_explicit_rules(out, explicit) if aggressive else out
 
 
-def correct_with_changes(df: DataFrame, text: str = "text") -> DataFrame:
+def correct_with_changes(df: DataFrame, text: str = "text", aggressive: bool = False) -> DataFrame:
     """df with corrected, changes (category: before → after, in order), n_changes and was_modified.
 
     Each step is a column of its own; word steps compare the words before and after, phrase steps the
@@ -102,10 +114,16 @@ def correct_with_changes(df: DataFrame, text: str = "text") -> DataFrame:
         pairs = F.filter(F.arrays_zip(words(F.col(a)).alias("x"), words(F.col(b)).alias("y")), lambda p: p["x"] != p["y"])
         return F.transform(pairs, lambda p: F.concat(F.lit(f"{kind}: "), _clean(p["x"]), F.lit(" → "), _clean(p["y"])))
 
-    out = df.withColumn("_p", phrase).withColumn("_a", F.col("_p.t")).withColumn("_b", apply_dialect_rules(F.col("_a"))).withColumn("corrected", apply_slang_rules(F.col("_b")))
-    changes = F.concat(F.col("_p.c"), notes("dialect", "_a", "_b"), notes("slang", "_b", "corrected"))
+    out = df.withColumn("_p", phrase).withColumn("_a", F.col("_p.t")).withColumn("_b", apply_dialect_rules(F.col("_a"))).withColumn("_c", apply_slang_rules(F.col("_b")))
+    changes = [F.col("_p.c"), notes("dialect", "_a", "_b"), notes("slang", "_b", "_c")]
+    if aggressive:
+        out = out.withColumn("corrected", apply_explicit_rules(F.col("_c")))
+        changes.append(notes("explicit", "_c", "corrected"))
+    else:
+        out = out.withColumn("corrected", F.col("_c"))
+    changes = F.concat(*changes)
     out = out.withColumn("changes", changes).withColumn("n_changes", F.size("changes")).withColumn("was_modified", F.size("changes") > 0)
-    return out.drop("_p", "_a", "_b")
+    return out.drop("_p", "_a", "_b", "_c")
 
 
 def rule_table(spark: SparkSession) -> DataFrame:

@@ -79,14 +79,14 @@ def signal_quality(samples: Column, rate: Column) -> Column:
 
 
 def add_noise(samples: Column, row_id: Column, snr_db: float = 25.0, seed: int = 0) -> Column:
-    """Gaussian noise at a signal-to-noise ratio, drawn by the row's id; peaks above 0.99 are scaled down to it."""
+    """Gaussian noise at a signal-to-noise ratio, drawn by the row's id (null as -1); peaks above 0.99 are scaled down to it."""
 
     @F.pandas_udf("array<double>")
     def run(clips: pd.Series, ids: pd.Series) -> pd.Series:
         out = []
         for x, i in zip(map(_array, clips), ids):
             power = (x**2).mean() / 10 ** (snr_db / 10) if len(x) else 0.0
-            y = x + np.random.default_rng([seed, int(i)]).normal(size=len(x)) * np.sqrt(power)
+            y = x + np.random.default_rng([seed, 0 if i is None or pd.isna(i) else int(i) + 1]).normal(size=len(x)) * np.sqrt(power)
             peak = np.abs(y).max() if len(y) else 0.0
             out.append(y * (0.99 / peak) if peak > 0.99 else y)
         return pd.Series(out)

@@ -10,15 +10,11 @@ from pyspark.sql import functions as F
 
 from lyricspark.functions.clean import metadata_flags
 from lyricspark.functions.constants import AUDIT_STOPWORDS, AUGMENTATIONS
+from lyricspark.functions.signal import clipping_issues, format_checks, silence_issues
 from lyricspark.functions.quality import alignment_score, combined_score, is_repetitive, word_jaccard
 from lyricspark.functions.text import collapse_whitespace, words
 
-from .ranking import global_rank
-
-
-def hash_order(id_col: str | Column, seed: int = 42) -> Column:
-    """A random order that depends on the id and the seed alone."""
-    return F.xxhash64(F.col(id_col) if isinstance(id_col, str) else id_col, F.lit(seed))
+from .ranking import global_rank, hash_order
 
 
 # --- audits and filters -------------------------------------------------------------------------
@@ -32,7 +28,15 @@ def audit_metadata(segments: DataFrame, text: str = "text") -> DataFrame:
 
 
 def audit_summary(audited: DataFrame) -> DataFrame:
-    return audited.select(F.explode("issues").alias("issue")).groupBy("issue").agg(F.count("*").alias("n"))
+    """Segments by issue; `contaminated` counts those with a metadata flag, `total` all."""
+    flagged = F.size(F.array_except("issues", F.array(F.lit("empty"), F.lit("short")))) > 0
+    names = F.concat("issues", F.array(F.lit("total")), F.when(flagged, F.array(F.lit("contaminated"))).otherwise(F.array().cast("array<string>")))
+    return audited.select(F.explode(names).alias("issue")).groupBy("issue").agg(F.count("*").alias("n"))
+
+
+def contaminated_examples(audited: DataFrame, ids: Sequence[str], k: int = 20) -> DataFrame:
+    """The first k segments with a metadata flag."""
+    return audited.filter(F.size(F.array_except("issues", F.array(F.lit("empty"), F.lit("short")))) > 0).orderBy(*ids).limit(k)
 
 
 def audit_alignment(segments: DataFrame, predictions: DataFrame, key: str, text: str = "text") -> DataFrame:
@@ -40,7 +44,7 @@ def audit_alignment(segments: DataFrame, predictions: DataFrame, key: str, text:
     joined = segments.join(predictions.select(key, "prediction"), key, "left")
     score = word_jaccard(F.col("prediction"), F.col(text), AUDIT_STOPWORDS)
     status = F.when(F.col("prediction").isNull(), "missing").when(score > 0.1, "good").when(score < 0.05, "bad").otherwise("marginal")
-    return joined.withColumn("overlap", F.bround(score, 3)).withColumn("status", status)
+    return joined.withColumn("overlap", F.when(F.col("prediction").isNotNull(), F.bround(score, 3))).withColumn("status", status)
 
 
 def sample_segments(segments: DataFrame, n: int, id_col: str, seed: int = 42) -> DataFrame:
@@ -50,9 +54,10 @@ def sample_segments(segments: DataFrame, n: int, id_col: str, seed: int = 42) ->
 def quality_filter(segments: DataFrame, predictions: DataFrame, key: str, threshold: float = 0.08, text: str = "text") -> DataFrame:
     """segments with score and status: missing, empty_lyrics, good or bad; and whether the prediction repeats itself."""
     joined = segments.join(predictions.select(key, "prediction"), key, "left")
-    score = combined_score(F.col("prediction"), F.col(text))
-    status = F.when(F.col("prediction").isNull(), "missing").when(F.trim(F.col(text)) == "", "empty_lyrics").when(score >= threshold, "good").otherwise("bad")
-    return joined.withColumn("score", score).withColumn("status", status).withColumn("repetitive", F.coalesce(is_repetitive(F.col("prediction")), F.lit(False)))
+    joined = joined.withColumn("repetitive", F.coalesce(is_repetitive(F.col("prediction")), F.lit(False)))
+    scored = joined.withColumn("score", combined_score(F.col("prediction"), F.col(text), F.col("repetitive")))
+    status = F.when(F.col("prediction").isNull(), "missing").when(F.trim(F.col(text)) == "", "empty_lyrics").when(F.col("score") >= threshold, "good").otherwise("bad")
+    return scored.withColumn("status", status).select(*joined.columns[:-1], "score", "status", "repetitive")
 
 
 def filter_summary(filtered: DataFrame) -> DataFrame:
@@ -96,16 +101,42 @@ def full_windows(df: DataFrame, duration: str, length: float = 10.0, most: int =
     return out.withColumn("start", F.col("chunk_index") * length).withColumn("end", (F.col("chunk_index") + 1) * length)
 
 
-def _overlap(a: list[str], b: list[str], stop: frozenset) -> float:
-    x, y = set(a) - stop, set(b) - stop
-    one = len(x & y) / len(x | y) if x and y else 0.0
-    p, q = set(zip(a, a[1:])), set(zip(b, b[1:]))
-    two = len(p & q) / len(p | q) if p and q else 0.0
-    return 0.4 * one + 0.6 * two
+class _Window:
+    """Distinct items of a stretch that moves on, and how many of them are wanted; None is never counted."""
+
+    def __init__(self, items: list, wanted: set) -> None:
+        self.items, self.wanted, self.low, self.high = items, wanted, 0, 0
+        self.count: dict = {}
+        self.both = 0
+
+    def _add(self, x, by: int) -> None:
+        if x is None:
+            return
+        before = self.count.get(x, 0)
+        if before + by:
+            self.count[x] = before + by
+        else:
+            del self.count[x]
+        if x in self.wanted and (not before or not before + by):
+            self.both += by
+
+    def move(self, low: int, high: int) -> float:
+        """The share that is wanted of the items from low to high and the wanted ones together."""
+        low = min(low, len(self.items))
+        high = min(max(low, high), len(self.items))
+        for i in range(self.high, high):
+            self._add(self.items[i], 1)
+        for i in range(self.low, low):
+            self._add(self.items[i], -1)
+        self.low, self.high = low, max(self.high, high)
+        return self.both / (len(self.wanted) + len(self.count) - self.both) if self.wanted and self.count else 0.0
 
 
 def align_song(chunks: list[str], lyrics: str, length: float = 30.0, overlap: float = 5.0) -> list[tuple[str, float]]:
-    """(text, score) for each transcript in order: the best stretch of the lyrics near a cursor that moves forward."""
+    """(text, score) for each transcript in order: the best stretch of the lyrics near a cursor that moves forward.
+
+    Stretches near the end of the lyrics are shorter than the others.
+    """
     import re
 
     from lyricspark.functions.constants import STOPWORDS
@@ -114,6 +145,12 @@ def align_song(chunks: list[str], lyrics: str, length: float = 30.0, overlap: fl
     plain = lambda t: re.sub(r"[^a-z0-9\s]", "", t.lower()).split()
     tokens = lyrics.split()
     bare = [plain(t) for t in tokens]
+    flat = [w for t in bare for w in t]
+    at = [0]
+    for t in bare:
+        at.append(at[-1] + len(t))
+    single = [None if w in stop else w for w in flat]
+    double = list(zip(flat, flat[1:]))
     n, cursor, out = len(tokens), 0, []
     for chunk in chunks:
         heard = plain(chunk or "")
@@ -122,14 +159,17 @@ def align_song(chunks: list[str], lyrics: str, length: float = 30.0, overlap: fl
             cursor = min(n, cursor + max(1, int(max(1, n / max(1, len(chunks))) * ratio)))
             continue
         window = max(5, min(len(heard), n))
-        first, last = max(0, cursor - 15), min(max(0, n - window), cursor + max(window, 25))
-        best, at = -1.0, min(first, max(0, n - window))
-        for start in range(first, last + 1):
-            score = _overlap(heard, [w for t in bare[start : start + window] for w in t], stop)
+        first, last = max(0, cursor - 15), min(n - 1, cursor + max(window, 25))
+        one, two = _Window(single, set(heard) - stop), _Window(double, set(zip(heard, heard[1:])))
+        one.low = one.high = two.low = two.high = at[first] if first < n else at[-1]
+        best, start = -1.0, min(cursor, max(0, n - window))
+        for i in range(first, last + 1):
+            low, high = at[i], at[min(i + window, n)]
+            score = 0.4 * one.move(low, high) + 0.6 * two.move(low, high - 1)
             if score > best:
-                best, at = score, start
-        out.append((" ".join(tokens[at : at + window]), round(max(best, 0.0), 4)))
-        cursor = min(at + max(1, int(window * ratio)), n)
+                best, start = score, i
+        out.append((" ".join(tokens[start : start + window]), round(best, 4) if n else 0.0))
+        cursor = min(start + max(1, int(window * ratio)), n)
     return out
 
 
@@ -205,14 +245,14 @@ def manifest_stats(df: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
 
 def shuffle(df: DataFrame, id_col: str, seed: int = 42) -> DataFrame:
     """Rows with their position in a seeded random order."""
-    return global_rank(df, [hash_order(id_col, seed), F.col(id_col)], "position")
+    return global_rank(df, hash_order(id_col, seed), [id_col], "position")
 
 
 def split_rows(df: DataFrame, id_col: str, ratios: tuple[float, float, float] = (0.8, 0.1, 0.1), seed: int = 42) -> DataFrame:
     """df with split: train, val or test, cut exactly by position in a seeded random order."""
     if abs(sum(ratios) - 1) > 0.001:
         raise ValueError(f"ratios must sum to 1, not {sum(ratios)}")
-    ranked = global_rank(df, [hash_order(id_col, seed), F.col(id_col)], "_rank")
+    ranked = global_rank(df, hash_order(id_col, seed), [id_col], "_rank")
     total = df.agg(F.count("*").alias("_total"))
     ranked = ranked.crossJoin(F.broadcast(total))
     first, second = F.floor(F.col("_total") * ratios[0]), F.floor(F.col("_total") * (ratios[0] + ratios[1]))
@@ -222,7 +262,7 @@ def split_rows(df: DataFrame, id_col: str, ratios: tuple[float, float, float] =
 def split_groups(segments: DataFrame, group: str, val: float = 0.15, seed: int = 42, text: str = "text") -> DataFrame:
     """segments with split: whole groups to one side; rows with a text under 5 characters are left out."""
     usable = segments.filter(F.char_length(F.trim(F.col(text))) >= 5)
-    groups = global_rank(usable.select(group).distinct(), [hash_order(group, seed), F.col(group)], "_rank")
+    groups = global_rank(usable.select(group).distinct(), hash_order(group, seed), [group], "_rank")
     total = usable.select(group).agg(F.count_distinct(group).alias("_total"))
     sides = groups.crossJoin(F.broadcast(total)).select(group, F.when(F.col("_rank") <= F.greatest(F.lit(1), F.floor(F.col("_total") * val)), "val").otherwise("train").alias("split"))
     return usable.join(sides, group)
@@ -259,6 +299,17 @@ def pick_best_match(requests: DataFrame, candidates: DataFrame, key: str) -> Dat
     return j.withColumn("tier", tier).withColumn("_n", F.row_number().over(order)).filter("_n = 1").drop("_n")
 
 
+def validate_audio(df: DataFrame, samples: str = "samples", rate: str = "rate", shortest: float = 0.5, longest: float = 30.0, least_rate: int = 16000, window: int = 1600, quiet: float = 0.01, silent_share: float = 0.5, clip_level: float = 0.99) -> DataFrame:
+    """df with issues and is_valid: format checks, and, only where these find nothing, silence and clipping."""
+    x = F.col(samples)
+    out = df.withColumn("_format", format_checks(x, F.col(rate), shortest, longest, least_rate))
+    fine = F.size("_format") == 0
+    # clips that fail already aren't looked into
+    out = out.withColumn("_silence", silence_issues(F.when(fine, x), window, quiet, silent_share))
+    out = out.withColumn("issues", F.when(fine, F.concat("_silence", clipping_issues(x, clip_level))).otherwise(F.col("_format")))
+    return out.withColumn("is_valid", F.size("issues") == 0).drop("_format", "_silence")
+
+
 def validation_summary(checked: DataFrame, issues: str = "issues") -> DataFrame:
     out = checked.agg(F.count("*").alias("total"), F.count_if(F.size(issues) == 0).alias("valid"), F.count_if(F.size(issues) > 0).alias("invalid"))
     return out.withColumn("ratio", F.col("valid") / F.greatest("total", F.lit(1)))

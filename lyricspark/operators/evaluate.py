@@ -7,22 +7,24 @@ from collections.abc import Iterable, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lyricspark.functions.align import align_words, diff_align, edit_ops
-from lyricspark.functions.metrics import cer, error_category, normalize_delete, score_pair, term_accuracy, wer, word_distance
+from lyricspark.functions.align import align_errors, diff_align, edit_ops
+from lyricspark.functions.metrics import char_rate, error_category, normalize_delete, phonetic_similarity, score_pair, term_accuracy, wer, word_distance
 from lyricspark.functions.rules import correct
-from lyricspark.functions.text import tokenize
+from lyricspark.functions.text import tokenize, words
 
 
 def sample_metrics(df: DataFrame, ref: str = "reference", hyp: str = "hypothesis") -> DataFrame:
     """df with wer, cer, accuracies, insertions, deletions, substitutions and word and character counts; nulls count as empty."""
-    r, h = F.coalesce(F.col(ref), F.lit("")), F.coalesce(F.col(hyp), F.lit(""))
-    out = df.withColumn("_r", tokenize(r)).withColumn("_h", tokenize(h)).withColumn("_ops", edit_ops(F.col("_r"), F.col("_h")))
-    out = out.withColumn("wer", wer(r, h)).withColumn("cer", cer(r, h))
-    out = out.withColumn("word_accuracy", F.greatest(F.lit(0.0), 1 - F.col("wer"))).withColumn("char_accuracy", F.greatest(F.lit(0.0), 1 - F.col("cer")))
+    out = df.withColumns({f"_n{c[0]}": normalize_delete(F.coalesce(F.col(c[1]), F.lit(""))) for c in (("r", ref), ("h", hyp))})
+    out = out.withColumn("_r", words(F.col("_nr"))).withColumn("_h", words(F.col("_nh")))
+    out = out.withColumn("_ops", edit_ops(F.col("_r"), F.col("_h"))).withColumn("cer", char_rate(F.col("_nr"), F.col("_nh")))
     for name in ("insertions", "deletions", "substitutions"):
         out = out.withColumn(name, F.col(f"_ops.{name}"))
-    out = out.withColumn("ref_words", F.size("_r")).withColumn("hyp_words", F.size("_h"))
-    return out.withColumn("ref_chars", F.char_length(normalize_delete(r))).withColumn("hyp_chars", F.char_length(normalize_delete(h))).drop("_r", "_h", "_ops")
+    out = out.withColumns({"ref_words": F.size("_r"), "hyp_words": F.size("_h"), "ref_chars": F.char_length("_nr"), "hyp_chars": F.char_length("_nh")})
+    # the words of an empty reference count as the rate itself
+    out = out.withColumn("wer", (F.col("insertions") + F.col("deletions") + F.col("substitutions")) / F.greatest("ref_words", F.lit(1)))
+    out = out.withColumn("word_accuracy", F.greatest(F.lit(0.0), 1 - F.col("wer"))).withColumn("char_accuracy", F.greatest(F.lit(0.0), 1 - F.col("cer")))
+    return out.drop("_r", "_h", "_nr", "_nh", "_ops")
 
 
 def word_errors(df: DataFrame, ref: str = "reference", hyp: str = "hypothesis") -> DataFrame:
@@ -40,7 +42,7 @@ def batch_metrics(metrics: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
         F.avg("wer").alias("macro_wer"), F.avg("cer").alias("macro_cer"), F.sum("insertions").alias("insertions"), F.sum("deletions").alias("deletions"), F.sum("substitutions").alias("substitutions"),
     )
     out = out.withColumn("wer", F.col("total_errors") / F.greatest("total_ref_words", F.lit(1))).withColumn("cer", F.col("char_errors") / F.greatest("total_ref_chars", F.lit(1)))
-    return out.withColumn("word_accuracy", F.greatest(F.lit(0.0), 1 - F.col("wer"))).withColumn("char_accuracy", F.greatest(F.lit(0.0), 1 - F.col("cer")))
+    return out.withColumn("word_accuracy", 1 - F.col("wer")).withColumn("char_accuracy", 1 - F.col("cer"))
 
 
 def running_metrics(df: DataFrame, keys: Sequence[str], order: Sequence[str], values: Sequence[str] = ("wer", "cer")) -> DataFrame:
@@ -51,8 +53,8 @@ def running_metrics(df: DataFrame, keys: Sequence[str], order: Sequence[str], va
 
 def error_rows(df: DataFrame, ids: Sequence[str], ref: str = "reference", hyp: str = "hypothesis", keep: Sequence[str] = ()) -> DataFrame:
     """One row for each wrong word of the alignment: ids, position, op, ref_word, hyp_word, category."""
-    aligned = df.select(*ids, *keep, F.posexplode(align_words(tokenize(F.coalesce(F.col(ref), F.lit(""))), tokenize(F.coalesce(F.col(hyp), F.lit(""))))).alias("position", "a"))
-    rows = aligned.select(*ids, *keep, "position", "a.*").filter("op <> 'correct'")
+    r, h = (tokenize(F.coalesce(F.col(c), F.lit(""))) for c in (ref, hyp))
+    rows = df.select(*ids, *keep, F.explode(align_errors(r, h)).alias("a")).select(*ids, *keep, "a.*")
     return rows.withColumn("category", error_category(F.col("op"), F.col("ref_word"), F.col("hyp_word")))
 
 
@@ -108,16 +110,18 @@ def before_after(df: DataFrame, ref: str = "reference", hyp: str = "hypothesis",
     out = df.withColumn("_after", correct(F.col(hyp), aggressive))
     out = word_errors(out, ref, hyp).withColumnRenamed("errors", "errors_before").drop("ref_words")
     out = word_errors(out, ref, "_after").withColumnRenamed("errors", "errors_after")
-    rate = lambda e: F.when(F.col("ref_words") == 0, F.when(F.col(e) == 0, 0.0).otherwise(1.0)).otherwise(F.col(e) / F.col("ref_words"))
+    rate = lambda e: F.bround(F.col(e) / F.greatest("ref_words", F.lit(1)), 4)
     out = out.withColumn("wer_before", rate("errors_before")).withColumn("wer_after", rate("errors_after")).withColumn("wer_reduction", F.col("wer_before") - F.col("wer_after")).withColumn("errors_fixed", F.col("errors_before") - F.col("errors_after"))
     return out.withColumn("pct_improvement", F.when(F.col("wer_before") > 0, F.col("wer_reduction") / F.col("wer_before") * 100).otherwise(0.0)).drop("_after")
 
 
 def match_lyrics(df: DataFrame, trans: str = "hypothesis", ref: str = "reference", phonetic_threshold: float = 0.6, prefer_reference: bool = True) -> DataFrame:
-    """df with matched, confidence, alignments and stats: the transcript corrected by reference lyrics."""
+    """df with matched, confidence, alignments, stats and the word error rates before and after: the transcript corrected by reference lyrics."""
     t, r = tokenize(F.coalesce(F.col(trans), F.lit("")), "space"), tokenize(F.coalesce(F.col(ref), F.lit("")), "space")
     out = df.withColumn("_t", t).withColumn("_r", r).withColumn("_pairs", diff_align(F.col("_t"), F.col("_r")))
-    scored = F.transform("_pairs", lambda p: F.struct(p["trans"].alias("trans"), p["ref"].alias("ref"), score_pair(p["trans"], p["ref"], phonetic_threshold, prefer_reference).alias("s")))
+    # equal words need no similarity
+    alike = F.transform("_pairs", lambda p: F.struct(p["trans"].alias("trans"), p["ref"].alias("ref"), F.when(p["trans"] != p["ref"], phonetic_similarity(p["trans"], p["ref"])).alias("sim")))
+    scored = F.transform(alike, lambda p: F.struct(p["trans"].alias("trans"), p["ref"].alias("ref"), score_pair(p["trans"], p["ref"], p["sim"], phonetic_threshold, prefer_reference).alias("s")))
     no_t, no_r = F.size("_t") == 0, F.size("_r") == 0
     out = out.withColumn("alignments", F.when(no_t | no_r, F.array().cast("array<struct<trans:string,ref:string,s:struct<chosen:string,confidence:double,source:string>>>")).otherwise(scored))
     total = F.aggregate("alignments", F.lit(0.0), lambda s, x: s + x["s"]["confidence"])
@@ -131,7 +135,10 @@ def match_lyrics(df: DataFrame, trans: str = "hypothesis", ref: str = "reference
         n(lambda x: x["s"]["source"] == "exact").alias("exact"), n(lambda x: x["s"]["source"] == "reference").alias("corrections"), n(lambda x: x["s"]["source"] == "phonetic").alias("phonetic"),
         n(lambda x: x["s"]["confidence"] < 0.6).alias("uncertain"), F.size("alignments").alias("total"),
     )
-    return out.withColumn("matched", text).withColumn("confidence", confidence).withColumn("stats", stats).drop("_t", "_r", "_pairs")
+    out = out.withColumn("matched", text).withColumn("confidence", confidence).withColumn("stats", stats)
+    rate = lambda words_: F.when(no_r, 0.0).otherwise(word_distance(words_, F.col("_r")) / F.size("_r"))
+    out = out.withColumn("wer_before", rate(F.col("_t"))).withColumn("wer_after", F.when(no_t, 0.0).otherwise(rate(tokenize(F.col("matched"), "space"))))
+    return out.drop("_t", "_r", "_pairs")
 
 
 def stage_report(df: DataFrame, ids: Sequence[str], ref: str = "reference", hyp: str = "hypothesis", matched: str | None = None) -> DataFrame:
@@ -146,6 +153,12 @@ def stage_report(df: DataFrame, ids: Sequence[str], ref: str = "reference", hyp:
     return out.select(*ids, *(f"wer_{n}" for _, n in rates), (F.col("wer_raw") - F.col("wer_matched")).alias("reduction"))
 
 
+def stage_averages(report: DataFrame) -> DataFrame:
+    """One row: the mean rate of each stage, and how much the last one is below the first."""
+    out = report.agg(F.count("*").alias("samples"), *(F.avg(f"wer_{n}").alias(f"wer_{n}") for n in ("raw", "corrected", "matched")))
+    return out.withColumn("reduction", F.col("wer_raw") - F.col("wer_matched"))
+
+
 def batch_term_accuracy(df: DataFrame, terms: Iterable[str], keys: Sequence[str] = (), ref: str = "reference", hyp: str = "hypothesis") -> DataFrame:
     """Recall, precision and F1 by key: distinct correct terms of each row over term tokens."""
     s = df.withColumn("_s", term_accuracy(F.col(ref), F.col(hyp), list(terms), None))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -51,27 +52,59 @@ def build_vocab(df: DataFrame, vocab_size: int = 8192, min_frequency: int = 2, l
     return every.select((F.row_number().over(Window.orderBy("kind", "at")) - 1).alias("id"), "token")
 
 
+#: A vocabulary of up to so many entries is looked up in every task; a larger one is joined.
+SMALL_VOCAB = 1 << 16
+
+
+def _table(vocab: DataFrame, key: str, value: str) -> dict | None:
+    """The vocabulary as a dict, or None if it has more than SMALL_VOCAB entries."""
+    rows = vocab.select(key, value).limit(SMALL_VOCAB + 1).collect()
+    return dict(map(tuple, rows)) if len(rows) <= SMALL_VOCAB else None
+
+
 def encode(df: DataFrame, vocab: DataFrame, add_special: bool = True, id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """df's id and ids: token ids in order, unknown ones 1, within 2 and 3.
+    """df's id and ids: token ids in order, unknown ones 1, within 2 and 3; a row for each row of df, a null text as an empty one."""
+    rows = df.select(id_col, F.coalesce(words(tokenizer_preprocess(F.col(text))), F.array().cast("array<string>")).alias("tokens"))
+    table = _table(vocab, "token", "id")
+    if table is not None:
+        held = df.sparkSession.sparkContext.broadcast(table)
 
-    The vocabulary joins the exploded words, so that it may be of any size; a text's ids are put
-    together by position.
-    """
-    tokens = df.select(id_col, F.posexplode_outer(words(tokenizer_preprocess(F.col(text)))).alias("at", "token"))
-    found = tokens.join(vocab, "token", "left").select(id_col, "at", F.when(F.col("token").isNotNull(), F.coalesce("id", F.lit(1))).alias("id"))
-    listed = found.groupBy(id_col).agg(F.array_sort(F.collect_list(F.when(F.col("id").isNotNull(), F.struct("at", "id")))).alias("l"))
-    ids = F.transform("l", lambda x: x["id"])
-    return listed.select(id_col, (F.concat(F.array(F.lit(2)), ids, F.array(F.lit(3))) if add_special else ids).alias("ids"))
+        @F.pandas_udf("array<int>")
+        def look_up(lists: pd.Series) -> pd.Series:
+            get = held.value.get
+            return pd.Series([[get(t, 1) for t in x] for x in lists])
+
+        found = rows.select(id_col, look_up("tokens").alias("ids"))
+    else:
+        found = _joined(rows, "tokens", vocab, "token", "id", F.lit(1), id_col).withColumnRenamed("values", "ids")
+    ids = F.concat(F.array(F.lit(2)), "ids", F.array(F.lit(3))) if add_special else F.col("ids")
+    return found.select(id_col, ids.alias("ids"))
+
+
+def _joined(rows: DataFrame, items: str, vocab: DataFrame, key: str, value: str, unknown: Column, id_col: str) -> DataFrame:
+    """rows' id and values: the items looked up by a join, for vocabularies of any size; each row has a key of its own."""
+    keyed = rows.withColumn("_row", F.monotonically_increasing_id()).select("_row", id_col, F.posexplode_outer(items).alias("_at", key))
+    found = keyed.join(vocab.select(key, F.col(value).alias("_value")), key, "left")
+    entry = F.when(F.col("_at").isNotNull(), F.struct("_at", F.coalesce("_value", unknown).alias("v")))
+    listed = found.groupBy("_row", id_col).agg(F.array_sort(F.collect_list(entry)).alias("l"))
+    return listed.select(id_col, F.transform("l", lambda x: x["v"]).alias("values"))
 
 
 def decode(df: DataFrame, vocab: DataFrame, skip_special: bool = True, id_col: str = "doc_id") -> DataFrame:
-    """df's id and text: tokens joined by spaces, ids 0 to 4 left out, unknown ids as <unk>."""
-    tokens = df.select(id_col, F.posexplode_outer("ids").alias("at", "id"))
-    if skip_special:
-        tokens = tokens.withColumn("id", F.when(F.col("id") > 4, F.col("id")))
-    found = tokens.join(vocab, "id", "left").select(id_col, "at", F.when(F.col("id").isNotNull(), F.coalesce("token", F.lit("<unk>"))).alias("token"))
-    listed = found.groupBy(id_col).agg(F.array_sort(F.collect_list(F.when(F.col("token").isNotNull(), F.struct("at", "token")))).alias("l"))
-    return listed.select(id_col, F.array_join(F.transform("l", lambda x: x["token"]), " ").alias("text"))
+    """df's id and text: tokens joined by spaces, ids 0 to 4 left out, unknown ids as <unk>; a row for each row of df."""
+    ids = F.coalesce("ids", F.array().cast("array<int>"))
+    rows = df.select(id_col, (F.filter(ids, lambda i: i > 4) if skip_special else ids).alias("ids"))
+    table = _table(vocab, "id", "token")
+    if table is not None:
+        held = df.sparkSession.sparkContext.broadcast(table)
+
+        @F.pandas_udf("string")
+        def look_up(lists: pd.Series) -> pd.Series:
+            get = held.value.get
+            return pd.Series([" ".join([get(i, "<unk>") for i in x]) for x in lists])
+
+        return rows.select(id_col, look_up("ids").alias("text"))
+    return _joined(rows, "ids", vocab, "id", "token", F.lit("<unk>"), id_col).select(id_col, F.array_join("values", " ").alias("text"))
 
 
 def encode_phonemes(phonemes: Column, add_special: bool = True) -> Column:
@@ -133,11 +166,10 @@ def fuzzy_lookup(words_df: DataFrame, lexicon: DataFrame, max_distance: int = 2)
     Two words within distance k share a form with up to k characters left out of each; words meet on
     these forms, by an equi-join, and the distance is then checked. Distinct words meet once.
     """
-    w = words_df.select(F.lower("word").alias("word")).distinct().withColumn("form", F.explode(_deletions(F.col("word"), max_distance)))
-    e = lexicon.select(F.lower("word").alias("entry")).distinct().withColumn("form", F.explode(_deletions(F.col("entry"), max_distance)))
+    e = lexicon.select(F.lower("word").alias("entry")).distinct()
+    longest = e.agg(F.max(F.char_length("entry")).alias("longest"))
+    # a word that is longer than any entry by more than the distance is near none; one row is broadcast
+    w = words_df.select(F.lower("word").alias("word")).distinct().join(F.broadcast(longest), F.char_length("word") <= F.col("longest") + max_distance).drop("longest")
+    w, e = (d.withColumn("form", F.explode(_deletions(F.col(c), max_distance))) for d, c in ((w, "word"), (e, "entry")))
     near = w.join(e, "form").select("word", "entry").distinct().withColumn("distance", F.levenshtein("word", "entry"))
     return near.filter(F.col("distance") <= max_distance)
-
-
-def read_vocab(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema("id int, token string").parquet(path)

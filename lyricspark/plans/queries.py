@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lyricspark.functions import clean, metrics, quality, rules, signal, text
-from lyricspark.functions.constants import ADLIB_TERMS, AUGMENTATIONS, CATEGORY_ADLIBS, CENSORED, CONTRACTIONS, DIALECT_RULES, CONTEXT_WORDS, PHRASE_RULES, SLANG_EXPANSIONS, SLANG_TERMS, STOPWORDS
+from lyricspark.functions.constants import ADLIB_TERMS, AUDIT_STOPWORDS, AUGMENTATIONS, CATEGORY_ADLIBS, CENSORED, CONTRACTIONS, CONTEXT_WORDS, DIALECT_RULES, DOMAIN_TOKENS, PHONEMES, PHRASE_RULES, SLANG_EXPANSIONS, STOPWORDS
 from lyricspark.functions.align import align_words, edit_ops
 from lyricspark.operators import corpus, evaluate, vocab
 from lyricspark.sources import parse_song_list
@@ -119,10 +119,18 @@ _by_rule("r4_explicit_rules", rules.apply_explicit_rules, None)
 _by_rule("r5_correct_transcripts", lambda t: rules.correct(t, aggressive=True), None)
 
 
+def _changed(df: DataFrame) -> DataFrame:
+    return df.select("key", "corrected", F.array_join("changes", "; ").alias("changes"), "n_changes", "was_modified")
+
+
 @query("r6_correct_with_changes")
 def r6(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = rules.correct_with_changes(_rule_texts(spark, sf_dir))
-    return out.select("key", "corrected", F.array_join("changes", "; ").alias("changes"), "n_changes", "was_modified")
+    return _changed(rules.correct_with_changes(_rule_texts(spark, sf_dir)))
+
+
+@query("r6_correct_aggressively")
+def r6a(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _changed(rules.correct_with_changes(_rule_texts(spark, sf_dir), aggressive=True))
 
 
 @query("r7_extend_rules")
@@ -166,11 +174,20 @@ def c3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _dirty(spark, sf_dir).select("doc_id", F.explode(clean.metadata_changes(F.col("text"))).alias("c")).select("doc_id", "c.*")
 
 
-@query("c4_contamination_report")
+@query("c4_contamination")
 def c4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return clean.contamination(_dirty(spark, sf_dir)).select("doc_id", "original_len", "cleaned_len", "reduction_pct", "contaminated")
 
 
+_CHANGED_SQL = f"""{_DIRTY_SQL}, flags AS (SELECT doc_id, {' OR '.join(f"len(list_filter(regexp_extract_all(text, {_sql('(?im)' + pattern)}), lambda m: trim(m, chr(10) || chr(13) || chr(9) || ' ') <> '')) > 0" for pattern, _ in clean.METADATA_PATTERNS)}
+  OR len(list_filter(string_split(text, chr(10)), lambda x: length(x) > 40 AND len(list_filter({_KEYWORDS}, lambda k: contains(lower(x), k))) >= 2)) > 0 AS contaminated FROM dirty)"""
+
+
+@query("c4_contamination_report", f"WITH {_CHANGED_SQL} SELECT count(*) AS total, count_if(contaminated) AS contaminated, count_if(NOT contaminated) AS clean FROM flags")
+def c4r(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return clean.contamination_report(_dirty(spark, sf_dir))
+
+
 @query("c5_apply_fixes")
 def c5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return clean.apply_fixes(_dirty(spark, sf_dir)).select("doc_id", "text", "fixed")
@@ -238,58 +255,86 @@ def v2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vocab.vocabulary(read(spark, sf_dir, "documents"))
 
 
-@query("v3_vocab_stats")
+@query(
+    "v3_vocab_stats",
+    f"""WITH {_TOKENS_SQL}, c AS (SELECT word, count(*) AS n FROM tokens GROUP BY word), chars AS (SELECT count(DISTINCT char) AS unique_chars FROM (SELECT unnest(string_split(text, '')) AS char FROM documents) WHERE char <> ''),
+best AS (SELECT string_agg(word || ':' || n, ' ' ORDER BY n DESC, word) AS top FROM (SELECT * FROM c ORDER BY n DESC, word LIMIT 20))
+SELECT CAST(sum(n) AS BIGINT) AS total_words, count(*) AS unique_words, count_if(n >= 2) AS vocab_size, any_value(unique_chars) AS unique_chars, any_value(top) AS top FROM c, chars, best""",
+)
 def v3(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return vocab.vocab_stats(read(spark, sf_dir, "documents")).withColumn("top", F.to_json("top"))
+    top = F.array_join(F.transform("top", lambda x: F.concat(x["word"], F.lit(":"), x["n"].cast("string"))), " ")
+    return vocab.vocab_stats(read(spark, sf_dir, "documents")).withColumn("top", top)
 
 
-@query(
-    "v4_build_vocab",
-    f"""
-WITH t AS (SELECT doc_id, {words_sql(_WS.replace('{0}', 'lower(text)'))} AS w FROM documents),
+_VOCAB_SQL = f"""t AS (SELECT doc_id, {words_sql(_WS.replace('{0}', 'lower(text)'))} AS w FROM documents),
 p AS (SELECT doc_id, i, w[i] AS token FROM (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS i FROM t)),
 g AS (SELECT token, count(*) AS n, min(doc_id * 10000000 + i) AS first FROM p GROUP BY token HAVING count(*) >= 2),
-k AS (SELECT token, row_number() OVER (ORDER BY n DESC, first) + 4 AS id FROM g)
-SELECT CAST(id AS INTEGER) AS id, token FROM k WHERE id < 8192
-UNION ALL SELECT id, token FROM (VALUES (0, '<blank>'), (1, '<unk>'), (2, '<sos>'), (3, '<eos>'), (4, '<pad>')) s(id, token)""",
-)
+k AS (SELECT token, row_number() OVER (ORDER BY n DESC, first) + 4 AS id FROM g),
+vocab AS (SELECT CAST(id AS INTEGER) AS id, token FROM k WHERE id < 8192
+UNION ALL SELECT id, token FROM (VALUES (0, '<blank>'), (1, '<unk>'), (2, '<sos>'), (3, '<eos>'), (4, '<pad>')) s(id, token))"""
+_PREPARED = r"regexp_replace(replace(replace(replace(replace(replace(lower({0}), '…', '...'), 'f**k', 'fuck'), 's**t', 'shit'), 'b***h', 'bitch'), 'a**', 'ass'), '\[.*?\]', '', 'g')"
+_IDS_SQL = f"""{_VOCAB_SQL}, e AS (SELECT doc_id, {words_sql(_WS.replace('{0}', _PREPARED.replace('{0}', 'text')))} AS w FROM documents),
+x AS (SELECT doc_id, unnest(range(1, len(w) + 1)) AS i, w FROM e), y AS (SELECT doc_id, i, w[i] AS token FROM x),
+ids AS (SELECT doc_id, i, coalesce(vocab.id, 1) AS id FROM y LEFT JOIN vocab USING (token))"""
+
+
+@query("v4_build_vocab", f"WITH {_VOCAB_SQL} SELECT id, token FROM vocab")
 def v4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vocab.build_vocab(read(spark, sf_dir, "documents"))
 
 
-@query("v5_build_domain_vocab")
+_DOMAIN = ("<blank>", "<unk>", "<sos>", "<eos>", "<pad>", *dict.fromkeys(DOMAIN_TOKENS))
+
+
+@query(
+    "v5_build_domain_vocab",
+    f"""WITH t AS (SELECT doc_id, {words_sql(_WS.replace('{0}', _PREPARED.replace('{0}', 'text')))} AS w FROM documents),
+p AS (SELECT doc_id, i, w[i] AS token FROM (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS i FROM t)),
+g AS (SELECT token, count(*) AS n, min(doc_id * 10000000 + i) AS first FROM p GROUP BY token HAVING count(*) >= 2),
+fixed AS (SELECT unnest(range({len(_DOMAIN)})) AS id, unnest([{', '.join(map(_sql, _DOMAIN))}]) AS token),
+k AS (SELECT token, n, first FROM g ORDER BY n DESC, first LIMIT 8187),
+rest AS (SELECT token, row_number() OVER (ORDER BY n DESC, first) + {len(_DOMAIN) - 1} AS id FROM k WHERE token NOT IN (SELECT token FROM fixed))
+SELECT CAST(id AS INTEGER) AS id, token FROM fixed UNION ALL SELECT CAST(id AS INTEGER), token FROM rest""",
+)
 def v5(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return vocab.build_vocab(read(spark, sf_dir, "documents"), domain=SLANG_TERMS)
+    return vocab.build_vocab(read(spark, sf_dir, "documents"), domain=DOMAIN_TOKENS)
 
 
-@query("v6_encode")
+@query("v6_encode", f"WITH {_IDS_SQL} SELECT documents.doc_id, '2 ' || coalesce(string_agg(id, ' ' ORDER BY i) || ' ', '') || '3' AS ids FROM documents LEFT JOIN ids ON documents.doc_id = ids.doc_id GROUP BY documents.doc_id")
 def v6(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
     return vocab.encode(docs, vocab.build_vocab(docs)).withColumn("ids", F.array_join("ids", " "))
 
 
-@query("v7_decode")
+@query("v7_decode", f"WITH {_IDS_SQL} SELECT documents.doc_id, coalesce(string_agg(token, ' ' ORDER BY i), '') AS text FROM documents LEFT JOIN (SELECT doc_id, i, token FROM ids JOIN vocab ON ids.id = vocab.id WHERE ids.id > 4) d ON documents.doc_id = d.doc_id GROUP BY documents.doc_id")
 def v7(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
     table = vocab.build_vocab(docs)
     return vocab.decode(vocab.encode(docs, table), table)
 
 
-@query("v8_phonemes")
+_SOUNDS = "[" + ", ".join(map(_sql, PHONEMES)) + "]"
+
+
+@query(
+    "v8_phonemes",
+    f"""WITH {SEGMENTS_SQL}, s AS (SELECT key, [coalesce(list_position({_SOUNDS}, c) - 1, 3) FOR c IN list_filter(string_split(upper(replace(text, 'ß', 'ss')), ''), lambda c: c <> '')] AS ids FROM segments)
+SELECT key, array_to_string([1] || ids || [2], ' ') AS ids, array_to_string([{_SOUNDS}[i + 1] FOR i IN ids IF i > 4], ' ') AS decoded FROM s""",
+)
 def v8(spark: SparkSession, sf_dir: str) -> DataFrame:
-    sounds = F.filter(F.split(F.upper("text"), ""), lambda c: c.rlike("[A-Z]"))
-    ids = vocab.encode_phonemes(sounds)
-    return segments(spark, sf_dir).select("key", F.array_join(ids, " ").alias("ids"), F.array_join(vocab.decode_phonemes(ids), " ").alias("decoded"))
+    sounds = F.filter(F.split(F.upper("text"), ""), lambda c: c != "")
+    ids = segments(spark, sf_dir).select("key", vocab.encode_phonemes(sounds).alias("ids"))
+    return ids.select("key", F.array_join("ids", " ").alias("ids"), F.array_join(vocab.decode_phonemes(F.col("ids")), " ").alias("decoded"))
 
 
 def _lexicon(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The words of the benchmark as entries."""
     counted = vocab.word_counts(read(spark, sf_dir, "benchmark"))
     letters = F.split(F.upper("word"), "")
-    return counted.filter(F.col("n") >= 5).select("word", letters.alias("canonical"), F.array(F.reverse(letters)).alias("variants"), F.col("n").cast("string").alias("definition"), F.array("word").alias("examples"))
+    return counted.select("word", letters.alias("canonical"), F.array(F.reverse(letters)).alias("variants"), F.col("n").cast("string").alias("definition"), F.array("word").alias("examples"))
 
 
-_LEX_SQL = f"lex AS (SELECT w AS word, count(*) AS n FROM (SELECT unnest({_WORDS.replace('{0}', 'text')}) AS w FROM benchmark) GROUP BY w HAVING count(*) >= 5)"
+_LEX_SQL = f"lex AS (SELECT w AS word, count(*) AS n FROM (SELECT unnest({_WORDS.replace('{0}', 'text')}) AS w FROM benchmark) GROUP BY w HAVING count(*) >= 1)"
 
 
 @query("v9_lexicon_lookup", f"WITH {_TOKENS_SQL}, {_LEX_SQL}, k AS (SELECT DISTINCT word FROM tokens) SELECT k.word, CAST(lex.n AS VARCHAR) AS definition FROM k LEFT JOIN lex ON lower(k.word) = lower(lex.word)")
@@ -310,7 +355,7 @@ def v10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vocab.add_words(old, new).select("word", "definition")
 
 
-@query("v11_pronunciations")
+@query("v11_pronunciations", f"WITH {_TOKENS_SQL}, {_LEX_SQL}, k AS (SELECT DISTINCT word FROM tokens), m AS (SELECT k.word, lex.word AS entry FROM k JOIN lex ON lower(k.word) = lower(lex.word)) SELECT word, 0 AS position, array_to_string(string_split(upper(replace(entry, 'ß', 'ss')), ''), ' ') AS phonemes FROM m UNION ALL SELECT word, 1, array_to_string(list_reverse(string_split(upper(replace(entry, 'ß', 'ss')), '')), ' ') FROM m")
 def v11(spark: SparkSession, sf_dir: str) -> DataFrame:
     w = vocab.word_counts(read(spark, sf_dir, "documents")).select("word")
     return vocab.pronunciations(w, _lexicon(spark, sf_dir)).withColumn("phonemes", F.array_join("phonemes", " "))
@@ -382,16 +427,20 @@ def m8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "part").select("p_partkey", F.round(metrics.levenshtein_ratio(F.col("p_name"), F.col("p_type")), 6).alias("ratio"))
 
 
-@query("m9_phonetic_similarity")
+@query(
+    "m9_phonetic_similarity",
+    """WITH w AS (SELECT p_partkey, lower(trim(split_part(p_type, ' ', 1))) AS x, lower(trim(split_part(p_name, ' ', 1))) AS y FROM part)
+SELECT p_partkey, round(CASE WHEN x = y THEN 1.0 WHEN regexp_replace(x, 'g+$', '') = regexp_replace(y, 'g+$', '') THEN 0.9 WHEN x = '' OR y = '' THEN 0.0 ELSE 1 - levenshtein(x, y) / greatest(length(x), length(y)) END, 6) AS similarity FROM w""",
+)
 def m9(spark: SparkSession, sf_dir: str) -> DataFrame:
-    w = F.split("p_type", " ")
-    return read(spark, sf_dir, "part").select("p_partkey", F.round(metrics.phonetic_similarity(F.get(w, F.lit(0)), F.get(w, F.lit(1))), 6).alias("similarity"))
+    first = lambda c: F.split(c, " ")[0]
+    return read(spark, sf_dir, "part").select("p_partkey", F.round(metrics.phonetic_similarity(first("p_type"), first("p_name")), 6).alias("similarity"))
 
 
 @query("m10_m12_match_lyrics")
 def m12(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = evaluate.match_lyrics(pairs(spark, sf_dir))
-    return out.select("key", "matched", F.round("confidence", 6).alias("confidence"), "stats.exact", "stats.corrections", "stats.phonetic", "stats.uncertain", "stats.total")
+    return out.select("key", "matched", F.round("confidence", 6).alias("confidence"), "stats.exact", "stats.corrections", "stats.phonetic", "stats.uncertain", "stats.total", F.round("wer_before", 6).alias("wer_before"), F.round("wer_after", 6).alias("wer_after"))
 
 
 @query("m13_alignment_marker", "SELECT event_id, CASE WHEN value / 100 >= 0.9 THEN '✓' WHEN value / 100 >= 0.6 THEN '~' ELSE '?' END AS marker FROM events")
@@ -415,7 +464,7 @@ def m15(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _with_wer(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return evaluate.word_errors(pairs(spark, sf_dir)).withColumn("wer", F.when(F.col("ref_words") > 0, F.col("errors") / F.col("ref_words")).otherwise(0.0))
+    return evaluate.word_errors(pairs(spark, sf_dir)).withColumn("wer", F.bround(F.col("errors") / F.greatest("ref_words", F.lit(1)), 4))
 
 
 @query("m16_overall_summary")
@@ -468,6 +517,11 @@ def m25(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evaluate.stage_report(evaluate.match_lyrics(pairs(spark, sf_dir)), ["key"], matched="matched")
 
 
+@query("m25_stage_averages")
+def m25a(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return evaluate.stage_averages(m25(spark, sf_dir))
+
+
 @query("m26_wer_grade", "SELECT event_id, CASE WHEN value / 100 < 0.1 THEN 'Excellent' WHEN value / 100 < 0.2 THEN 'Good' WHEN value / 100 < 0.3 THEN 'Fair' WHEN value / 100 < 0.5 THEN 'Poor' ELSE 'Very Poor' END AS grade FROM events")
 def m26(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "events").select("event_id", metrics.wer_grade(F.col("value") / 100).alias("grade"))
@@ -487,15 +541,22 @@ def m27(spark: SparkSession, sf_dir: str) -> DataFrame:
 _PAIR_TERMS = f"WITH {PAIRS_SQL}, t AS (SELECT key, lang, {_TERM_SQL.replace('{0}', 'reference')} AS r, {_TERM_SQL.replace('{0}', 'hypothesis')} AS h FROM pairs), s AS (SELECT *, list_distinct(r) AS rs, list_distinct(h) AS hs, list_intersect(list_distinct(r), list_distinct(h)) AS good FROM t)"
 
 
-@query("m28_slang_accuracy", _PAIR_TERMS + " SELECT key, CAST(len(good) AS INTEGER) AS correct, CAST(len(rs) - len(good) AS INTEGER) AS missed, CAST(len(hs) - len(good) AS INTEGER) AS extra, round(CASE WHEN len(rs) = 0 THEN 1.0 ELSE len(good) / len(rs) END, 6) AS recall FROM s")
+_RATES = "recall, precision, CASE WHEN recall + precision = 0 THEN 0.0 ELSE 2 * recall * precision / (recall + precision) END AS f1"
+
+
+def _rounded(df: DataFrame) -> DataFrame:
+    return df.withColumns({c: F.round(c, 6) for c in ("recall", "precision", "f1")})
+
+
+@query("m28_slang_accuracy", _PAIR_TERMS + f", m AS (SELECT key, CAST(len(good) AS INTEGER) AS correct, CAST(len(rs) - len(good) AS INTEGER) AS missed, CAST(len(hs) - len(good) AS INTEGER) AS extra, CASE WHEN len(rs) = 0 THEN 1.0 ELSE len(good) / len(rs) END AS recall, CASE WHEN len(hs) = 0 THEN 1.0 ELSE len(good) / len(hs) END AS precision FROM s), f AS (SELECT key, correct, missed, extra, {_RATES} FROM m) SELECT key, correct, missed, extra, round(recall, 6) AS recall, round(precision, 6) AS precision, round(f1, 6) AS f1 FROM f")
 def m28(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = pairs(spark, sf_dir).select("key", metrics.term_accuracy(F.col("reference"), F.col("hypothesis"), _TERMS).alias("s"))
-    return s.select("key", F.size("s.correct").alias("correct"), F.size("s.missed").alias("missed"), F.size("s.extra").alias("extra"), F.round("s.recall", 6).alias("recall"))
+    return _rounded(s.select("key", F.size("s.correct").alias("correct"), F.size("s.missed").alias("missed"), F.size("s.extra").alias("extra"), "s.recall", "s.precision", "s.f1"))
 
 
-@query("m29_batch_slang_accuracy", _PAIR_TERMS + " SELECT lang, CAST(sum(len(good)) AS BIGINT) AS correct, CAST(sum(len(r)) AS BIGINT) AS ref_terms, CAST(sum(len(h)) AS BIGINT) AS hyp_terms FROM s GROUP BY lang")
+@query("m29_batch_slang_accuracy", _PAIR_TERMS + f", t2 AS (SELECT lang, CAST(sum(len(good)) AS BIGINT) AS correct, CAST(sum(len(r)) AS BIGINT) AS ref_terms, CAST(sum(len(h)) AS BIGINT) AS hyp_terms FROM s GROUP BY lang), m AS (SELECT *, CASE WHEN ref_terms = 0 THEN 1.0 ELSE correct / ref_terms END AS recall, CASE WHEN hyp_terms = 0 THEN 1.0 ELSE correct / hyp_terms END AS precision FROM t2), f AS (SELECT lang, correct, ref_terms, hyp_terms, {_RATES} FROM m) SELECT lang, correct, ref_terms, hyp_terms, round(recall, 6) AS recall, round(precision, 6) AS precision, round(f1, 6) AS f1 FROM f")
 def m29(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return evaluate.batch_term_accuracy(pairs(spark, sf_dir), _TERMS, ["lang"]).select("lang", "correct", "ref_terms", "hyp_terms")
+    return _rounded(evaluate.batch_term_accuracy(pairs(spark, sf_dir), _TERMS, ["lang"]).select("lang", "correct", "ref_terms", "hyp_terms", "recall", "precision", "f1"))
 
 
 @query("m30_most_missed", _PAIR_TERMS + " SELECT term, count(*) AS n FROM (SELECT unnest(list_filter(rs, lambda x: NOT list_contains(good, x))) AS term FROM s) GROUP BY term ORDER BY n DESC, term LIMIT 10")
@@ -503,7 +564,10 @@ def m30(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evaluate.most_missed(pairs(spark, sf_dir), _TERMS)
 
 
-@query("m31_adlib_accuracy")
+_ADLIB_SQL = r"list_distinct(list_filter(regexp_extract_all(lower({0}), '[\p{L}\p{N}_][\p{L}\p{N}_'']*'), lambda w: list_contains([" + ", ".join(map(_sql, ADLIB_TERMS)) + "], w)))"
+
+
+@query("m31_adlib_accuracy", f"WITH {PAIRS_SQL}, s AS (SELECT key, {_ADLIB_SQL.replace('{0}', 'reference')} AS r, {_ADLIB_SQL.replace('{0}', 'hypothesis')} AS h FROM pairs) SELECT key, CASE WHEN len(r) = 0 THEN 1.0 ELSE len(list_intersect(r, h)) / len(r) END AS recall, CASE WHEN len(h) = 0 THEN 1.0 ELSE len(list_intersect(r, h)) / len(h) END AS precision FROM s")
 def m31(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = pairs(spark, sf_dir).select("key", metrics.term_accuracy(F.col("reference"), F.col("hypothesis"), ADLIB_TERMS, None).alias("s"))
     return s.select("key", "s.recall", "s.precision")
@@ -512,7 +576,19 @@ def m31(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- quality ------------------------------------------------------------------------------------
 _STOP = "[" + ", ".join(map(_sql, STOPWORDS)) + "]"
 _SETS = f"WITH {PAIRS_SQL}, s AS (SELECT key, {words_sql(_NA.replace('{0}', 'reference'))} AS a, {words_sql(_NA.replace('{0}', 'hypothesis'))} AS b FROM pairs)"
-_JACCARD = "CASE WHEN len(x) = 0 OR len(y) = 0 THEN 0.0 ELSE len(list_intersect(x, y)) / len(list_distinct(list_concat(x, y))) END"
+
+
+def _half_even(x: str, digits: int) -> str:
+    """x rounded as Spark's bround does: by its decimal digits, ties to even."""
+    scaled = f"(CAST(CAST({x} AS VARCHAR) AS DECIMAL(28, 18)) * {10**digits})"
+    return f"CAST((floor({scaled}) + CASE WHEN {scaled} - floor({scaled}) > 0.5 OR ({scaled} - floor({scaled}) = 0.5 AND floor({scaled}) % 2 = 1) THEN 1 ELSE 0 END) / {10**digits} AS DOUBLE)"
+
+
+def _shared(x: str, y: str) -> str:
+    return f"CASE WHEN len({x}) = 0 OR len({y}) = 0 THEN 0.0 ELSE len(list_intersect({x}, {y})) / len(list_distinct(list_concat({x}, {y}))) END"
+
+
+_JACCARD = _shared("x", "y")
 
 
 @query("q1_word_jaccard", f"{_SETS}, d AS (SELECT key, list_distinct(list_filter(a, lambda w: NOT list_contains({_STOP}, w))) AS x, list_distinct(list_filter(b, lambda w: NOT list_contains({_STOP}, w))) AS y FROM s) SELECT key, round({_JACCARD}, 6) AS score FROM d")
@@ -525,48 +601,90 @@ def q2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pairs(spark, sf_dir).select("key", F.round(quality.bigram_jaccard(F.col("reference"), F.col("hypothesis")), 6).alias("score"))
 
 
-@query("q3_is_repetitive")
+_AUDIT = "[" + ", ".join(map(_sql, AUDIT_STOPWORDS)) + "]"
+
+
+def _content(words_: str, stop: str = _STOP) -> str:
+    return f"list_distinct(list_filter({words_}, lambda w: NOT list_contains({stop}, w)))"
+
+
+def _grams(words_: str, n: int) -> str:
+    return f"[array_to_string({words_}[i:i + {n - 1}], ' ') FOR i IN range(1, len({words_}) - {n - 2})]"
+
+
+#: Of (key, a) the keys whose words repeat themselves.
+_REPEATS = "rep AS (SELECT DISTINCT key FROM (" + " UNION ALL ".join(f"SELECT key, unnest({_grams('a', n)}) AS g, {n} AS n FROM heard WHERE len(a) >= 10" for n in (2, 3, 4)) + ") GROUP BY key, n, g HAVING count(*) >= 5)"
+_OVERLAP = f"0.4 * ({_shared('wx', 'wy')}) + 0.6 * ({_shared('gx', 'gy')})"
+#: segments with the prediction's words a and the text's words b; scored: alignment and combined score by key.
+_SCORED = f"heard AS (SELECT key, {words_sql(_NA.replace('{0}', 'hypothesis'))} AS a, {words_sql(_NA.replace('{0}', 'reference'))} AS b FROM pairs), {_REPEATS}, sets AS (SELECT key, {_content('a')} AS wx, {_content('b')} AS wy, list_distinct({_grams('a', 2)}) AS gx, list_distinct({_grams('b', 2)}) AS gy FROM heard), rated AS (SELECT key, {_OVERLAP} AS s, key IN (SELECT key FROM rep) AS repetitive FROM sets), scored AS (SELECT key, s, repetitive, {_half_even('CASE WHEN repetitive THEN s * 0.3 ELSE s END', 4)} AS score FROM rated)"
+
+
+@query("q3_is_repetitive", f"WITH {SEGMENTS_SQL}, heard AS (SELECT key, {words_sql(_NA.replace('{0}', 'text'))} AS a FROM segments), {_REPEATS} SELECT key, key IN (SELECT key FROM rep) AS repetitive FROM segments")
 def q3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return segments(spark, sf_dir).select("key", quality.is_repetitive(F.col("text")).alias("repetitive"))
 
 
-@query("q4_combined_score")
+@query("q4_combined_score", f"WITH {PAIRS_SQL}, {_SCORED} SELECT key, score FROM scored")
 def q4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pairs(spark, sf_dir).select("key", quality.combined_score(F.col("hypothesis"), F.col("reference")).alias("score"))
 
 
-@query("q5_alignment_score")
+@query("q5_alignment_score", f"WITH {PAIRS_SQL}, {_SCORED} SELECT key, round(s, 6) AS score FROM scored")
 def q5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pairs(spark, sf_dir).select("key", F.round(quality.alignment_score(F.col("hypothesis"), F.col("reference")), 6).alias("score"))
 
 
-@query("q6_audit_metadata")
+@query(
+    "q6_audit_metadata",
+    f"""WITH {_DIRTY_SQL}, i AS (SELECT CASE WHEN length(trim(text)) = 0 THEN 'empty' WHEN length(trim(text)) < 10 THEN 'short' END AS own, list_filter([{_FLAG_SQL}], lambda x: x IS NOT NULL) AS flags FROM dirty)
+SELECT issue, count(*) AS n FROM (SELECT unnest(flags || list_filter([own, 'total', CASE WHEN len(flags) > 0 THEN 'contaminated' END], lambda x: x IS NOT NULL)) AS issue FROM i) GROUP BY issue""",
+)
 def q6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus.audit_summary(corpus.audit_metadata(_dirty(spark, sf_dir)))
 
 
+@query("q6_contaminated_examples", f"WITH {_DIRTY_SQL} SELECT doc_id FROM dirty WHERE len(list_filter([{_FLAG_SQL}], lambda x: x IS NOT NULL)) > 0 ORDER BY doc_id LIMIT 20")
+def q6e(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return corpus.contaminated_examples(corpus.audit_metadata(_dirty(spark, sf_dir)), ["doc_id"]).select("doc_id")
+
+
 def _predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents of three languages have predictions; those of one source failed."""
     failed = F.when(F.col("source") == "src1", "[ERROR] no audio").otherwise(F.col("hypothesis"))
     return pairs(spark, sf_dir).filter("lang <> 'de'").select("key", failed.alias("prediction"))
 
 
-@query("q7_audit_alignment")
+#: The same, with pairs in which predictions stand in for hypotheses; null where there are none.
+_PREDICTED = PAIRS_SQL.replace("pairs AS (", "made AS (") + ", pairs AS (SELECT key, reference, lang, CASE WHEN lang = 'de' THEN NULL WHEN source = 'src1' THEN '[ERROR] no audio' ELSE hypothesis END AS hypothesis FROM made)"
+_STATUS = "CASE WHEN p.hypothesis IS NULL THEN 'missing' WHEN trim(p.reference) = '' THEN 'empty_lyrics' WHEN score >= 0.08 THEN 'good' ELSE 'bad' END"
+_FILTERED = f"{_PREDICTED}, {_SCORED}, filtered AS (SELECT p.key, CASE WHEN p.hypothesis IS NOT NULL THEN score END AS score, {_STATUS} AS status, coalesce(repetitive AND p.hypothesis IS NOT NULL, false) AS repetitive FROM pairs p LEFT JOIN scored ON p.key = scored.key)"
+
+
+@query(
+    "q7_audit_alignment",
+    f"""WITH {_PREDICTED}, s AS (SELECT key, hypothesis, {_content(words_sql(_NA.replace('{0}', 'hypothesis')), _AUDIT)} AS x, {_content(words_sql(_NA.replace('{0}', 'reference')), _AUDIT)} AS y FROM pairs),
+r AS (SELECT key, hypothesis, {_JACCARD} AS o FROM s)
+SELECT key, CASE WHEN hypothesis IS NOT NULL THEN {_half_even('o', 3)} END AS overlap, CASE WHEN hypothesis IS NULL THEN 'missing' WHEN o > 0.1 THEN 'good' WHEN o < 0.05 THEN 'bad' ELSE 'marginal' END AS status FROM r""",
+)
 def q7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus.audit_alignment(segments(spark, sf_dir), _predictions(spark, sf_dir), "key").select("key", "overlap", "status")
 
 
-@query("q8_sample_segments")
+@query("q8_sample_segments", f"WITH {SEGMENTS_SQL} SELECT key, text FROM segments WHERE trim(text) <> '' ORDER BY md5('42_' || key), key LIMIT 100")
 def q8(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return corpus.sample_segments(segments(spark, sf_dir).filter(F.trim("text") != ""), 100, "key")
+    return corpus.sample_segments(segments(spark, sf_dir).filter(F.trim("text") != ""), 100, "key").select("key", "text")
 
 
-@query("q9_quality_filter")
+@query(
+    "q9_quality_filter",
+    f"""WITH {_FILTERED}, n AS (SELECT count(*) AS total, {', '.join(f"count_if(status = '{x}') AS {x}" for x in ('missing', 'empty_lyrics', 'good', 'bad'))}, count_if(repetitive) AS repetitive FROM filtered)
+SELECT *, good / greatest(good + bad, 1) AS survival_rate FROM n""",
+)
 def q9(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus.filter_summary(corpus.quality_filter(segments(spark, sf_dir), _predictions(spark, sf_dir), "key"))
 
 
-@query("q10_filter_examples")
+@query("q10_filter_examples", f"WITH {_FILTERED} SELECT * FROM (SELECT key, score, status FROM filtered WHERE status = 'bad' ORDER BY score, key LIMIT 20) UNION ALL SELECT * FROM (SELECT key, score, status FROM filtered WHERE status = 'good' ORDER BY score DESC, key LIMIT 10)")
 def q10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus.filter_examples(corpus.quality_filter(segments(spark, sf_dir), _predictions(spark, sf_dir), "key"), ["key"]).select("key", "score", "status")
 
@@ -607,15 +725,19 @@ def d2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus.align_chunks(p, read(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("lyrics")), "doc_id")
 
 
-@query("d3_keep_short")
+@query(
+    "d3_keep_short",
+    f"""WITH {_MANIFEST}, heard AS (SELECT id, {words_sql(_NA.replace('{0}', "string_split(text, ' ')[-1]"))} AS a, {words_sql(_NA.replace('{0}', 'text'))} AS b FROM manifest WHERE duration <= 35),
+sets AS (SELECT id, {_content('a')} AS wx, {_content('b')} AS wy, list_distinct({_grams('a', 2)}) AS gx, list_distinct({_grams('b', 2)}) AS gy FROM heard) SELECT id, round({_OVERLAP}, 6) AS score FROM sets""",
+)
 def d3(spark: SparkSession, sf_dir: str) -> DataFrame:
     m = _manifest(spark, sf_dir).withColumn("prediction", F.reverse(F.split("text", " "))[0])
-    return corpus.keep_short(m, "duration", "prediction", "text").select("id", "score")
+    return corpus.keep_short(m, "duration", "prediction", "text").select("id", F.round("score", 6).alias("score"))
 
 
-@query("d4_segment_summary", "SELECT user_id, count(*) AS segments, count_if(value / 100 >= 0.12) AS aligned FROM events GROUP BY user_id")
+@query("d4_segment_summary", "SELECT user_id, count(*) AS segments, round(avg(value / 100), 2) AS mean_score, count_if(value / 100 >= 0.12) AS aligned FROM events GROUP BY user_id")
 def d4(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return corpus.segment_summary(read(spark, sf_dir, "events").withColumn("score", F.col("value") / 100), ["user_id"]).select("user_id", "segments", "aligned")
+    return corpus.segment_summary(read(spark, sf_dir, "events").withColumn("score", F.col("value") / 100), ["user_id"]).withColumn("mean_score", F.round("mean_score", 2))
 
 
 @query("d5_resume_pending", "SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)")
@@ -661,19 +783,34 @@ def d11(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("lang", "entries", *(F.round(c, 6).alias(c) for c in ("hours", "min_duration", "max_duration")), "artists")
 
 
-@query("d12_shuffle")
+_MANIFEST_ROWS = "id, round(duration, 6) AS duration, artist, song, lang"
+
+
+def _whole_manifest(df: DataFrame) -> DataFrame:
+    return df.withColumn("duration", F.round("duration", 6)).drop("text")
+
+
+_RANKED = f"{_MANIFEST}, ranked AS (SELECT *, row_number() OVER (ORDER BY md5('42_' || id), id) AS position, count(*) OVER () AS total FROM manifest)"
+
+
+@query("d12_shuffle", f"WITH {_RANKED} SELECT {_MANIFEST_ROWS}, position FROM ranked")
 def d12(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return corpus.shuffle(_manifest(spark, sf_dir).select("id"), "id")
+    return _whole_manifest(corpus.shuffle(_manifest(spark, sf_dir), "id"))
 
 
-@query("d13_split_rows")
+@query("d13_split_rows", f"WITH {_RANKED} SELECT {_MANIFEST_ROWS}, CASE WHEN position <= floor(total * CAST(0.8 AS DOUBLE)) THEN 'train' WHEN position <= floor(total * CAST(0.9 AS DOUBLE)) THEN 'val' ELSE 'test' END AS split FROM ranked")
 def d13(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return corpus.split_rows(_manifest(spark, sf_dir).select("id"), "id")
+    return _whole_manifest(corpus.split_rows(_manifest(spark, sf_dir), "id"))
 
 
-@query("d14_split_groups")
+@query(
+    "d14_split_groups",
+    f"""WITH {SEGMENTS_SQL}, usable AS (SELECT * FROM segments WHERE length(trim(text)) >= 5), g AS (SELECT DISTINCT doc_id FROM usable),
+r AS (SELECT doc_id, row_number() OVER (ORDER BY md5('42_' || doc_id), doc_id) AS n, count(*) OVER () AS total FROM g)
+SELECT key, doc_id, text, CASE WHEN n <= greatest(1, floor(total * CAST(0.15 AS DOUBLE))) THEN 'val' ELSE 'train' END AS split FROM usable JOIN r USING (doc_id)""",
+)
 def d14(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return corpus.split_groups(segments(spark, sf_dir), "doc_id").select("key", "doc_id", "split")
+    return corpus.split_groups(segments(spark, sf_dir), "doc_id").select("key", "doc_id", "text", "split")
 
 
 @query("d15_exclude_leaks", "WITH val AS (SELECT doc_id FROM labels WHERE toxic = 1) SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM val)")
@@ -721,25 +858,40 @@ def _waves(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "embeddings").withColumnRenamed("embedding", "samples").withColumn("rate", F.lit(16))
 
 
-@query("a1_peak_and_pad", "SELECT vec_id, round(list_max(list_transform(embedding, lambda x: abs(x::DOUBLE))) , 6) AS peak, CAST(100 AS INTEGER) AS n FROM embeddings")
+_CLIP = "SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS e, list_max(list_transform(embedding, lambda x: abs(x::DOUBLE))) AS peak FROM embeddings"
+
+
+@query("a1_peak_and_pad", f"WITH c AS ({_CLIP}) SELECT vec_id, array_to_string(list_transform(e, lambda x: CAST(round(CASE WHEN peak > 0 THEN x / peak ELSE x END * 1000) AS BIGINT)), ' ') AS loud, array_to_string(list_transform(e, lambda x: CAST(round(x * 1000) AS BIGINT)) || [0 FOR i IN range(100 - len(e))], ' ') AS padded FROM c")
 def a1(spark: SparkSession, sf_dir: str) -> DataFrame:
-    w = _waves(spark, sf_dir).withColumn("loud", signal.peak_normalize(F.col("samples"))).withColumn("padded", signal.trim_or_pad(F.col("samples"), 100))
-    peak = F.array_max(F.transform("samples", lambda x: F.abs(x.cast("double"))))
-    return w.filter(F.abs(F.array_max(F.transform("loud", lambda x: F.abs(x))) - 1) < 1e-6).select("vec_id", F.round(peak, 6).alias("peak"), F.size("padded").alias("n"))
+    whole = lambda c: F.array_join(F.transform(c, lambda x: F.round(x.cast("double") * 1000).cast("long")), " ")
+    doubled = F.transform("samples", lambda x: x.cast("double"))
+    return _waves(spark, sf_dir).select("vec_id", whole(signal.peak_normalize(doubled)).alias("loud"), whole(signal.trim_or_pad(F.col("samples"), 100)).alias("padded"))
 
 
-@query("a2_format_checks")
+@query("a1_to_mono", f"WITH c AS ({_CLIP}) SELECT vec_id, array_to_string([CAST(round((e[i] + e[len(e) + 1 - i]) / 2 * 1000) AS BIGINT) FOR i IN range(1, len(e) + 1)], ' ') AS mono FROM c")
+def a1m(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mono = signal.to_mono(F.array("samples", F.reverse("samples")))
+    return _waves(spark, sf_dir).select("vec_id", F.array_join(F.transform(mono, lambda x: F.round(x * 1000).cast("long")), " ").alias("mono"))
+
+
+@query("a2_format_checks", "SELECT vec_id, array_to_string(list_filter([CASE WHEN len(embedding) / 16 < 0.5 THEN 'too_short: ' || printf('%.2f', len(embedding) / 16) END, CASE WHEN len(embedding) / 16 > 30 THEN 'too_long: ' || printf('%.2f', len(embedding) / 16) END, 'low_sample_rate: 16'], lambda x: x IS NOT NULL), ',') AS issues FROM embeddings")
 def a2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _waves(spark, sf_dir).select("vec_id", F.array_join(signal.format_checks(F.col("samples"), F.col("rate")), ",").alias("issues"))
 
 
-@query("a3_a5_validate_audio")
+def _validated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return corpus.validate_audio(_waves(spark, sf_dir), least_rate=8, window=8, quiet=0.1, silent_share=0.25, clip_level=0.3)
+
+
+_VALID_SQL = """d AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings),
+w AS (SELECT vec_id, e, [sqrt(list_sum(list_transform(e[8 * i + 1:8 * i + 8], lambda x: x * x)) / 8) FOR i IN range(len(e) // 8)] AS levels, sqrt(list_sum(list_transform(e, lambda x: x * x)) / len(e)) AS overall, len(list_filter(e, lambda x: abs(x) > 0.3)) / len(e) AS clipped FROM d),
+q AS (SELECT *, len(list_filter(levels, lambda x: x < 0.1)) / greatest(len(levels), 1) AS share FROM w),
+checked AS (SELECT vec_id, list_filter([CASE WHEN share > 0.25 THEN 'high_silence: ' || printf('%.2f', share) END, CASE WHEN overall < 0.1 THEN 'silent: overall level' END, CASE WHEN clipped > 0.001 THEN 'clipping: ' || printf('%.4f', clipped) END], lambda x: x IS NOT NULL) AS issues FROM q)"""
+
+
+@query("a3_a5_validate_audio", f"WITH {_VALID_SQL} SELECT vec_id, array_to_string(issues, ',') AS issues, len(issues) = 0 AS is_valid FROM checked")
 def a5(spark: SparkSession, sf_dir: str) -> DataFrame:
-    w = _waves(spark, sf_dir)
-    first = signal.format_checks(F.col("samples"), F.col("rate"), least_rate=8)
-    w = w.withColumn("silence", signal.silence_issues(F.col("samples"), 8, 0.1, 0.25)).withColumn("clipping", signal.clipping_issues(F.col("samples"), 0.3))
-    issues = F.when(F.size(first) > 0, first).otherwise(F.concat("silence", "clipping"))
-    return w.select("vec_id", issues.alias("issues")).select("vec_id", F.array_join("issues", ",").alias("issues"), (F.size("issues") == 0).alias("is_valid"))
+    return _validated(spark, sf_dir).select("vec_id", F.array_join("issues", ",").alias("issues"), "is_valid")
 
 
 @query("a4_clipping", "SELECT vec_id, len(list_filter(embedding, lambda x: abs(x::DOUBLE) > 0.3)) / len(embedding) > 0.001 AS clipped FROM embeddings")
@@ -747,15 +899,26 @@ def a4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _waves(spark, sf_dir).select("vec_id", (F.size(signal.clipping_issues(F.transform("samples", lambda x: x.cast("double")), 0.3)) > 0).alias("clipped"))
 
 
-@query("a6_validation_summary")
+@query("a6_issue_counts", f"WITH {_VALID_SQL} SELECT split_part(i, ':', 1) AS issue, count(*) AS n FROM (SELECT unnest(issues) AS i FROM checked) GROUP BY 1")
 def a6(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return corpus.issue_counts(_waves(spark, sf_dir).withColumn("issues", F.concat(signal.silence_issues(F.col("samples"), 8, 0.1, 0.25), signal.clipping_issues(F.col("samples"), 0.3))))
+    return corpus.issue_counts(_validated(spark, sf_dir))
+
+
+@query("a6_validation_summary", f"WITH {_VALID_SQL} SELECT count(*) AS total, count_if(len(issues) = 0) AS valid, count_if(len(issues) > 0) AS invalid, count_if(len(issues) = 0) / count(*) AS ratio FROM checked")
+def a6s(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return corpus.validation_summary(_validated(spark, sf_dir))
 
 
-@query("a7_signal_quality", "WITH d AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings) SELECT vec_id, len(e) / 16 AS duration, round(sqrt(list_sum(list_transform(e, lambda x: x * x)) / len(e)), 6) AS rms, round(list_max(list_transform(e, lambda x: abs(x))), 6) AS peak FROM d")
+@query(
+    "a7_signal_quality",
+    """WITH d AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings),
+m AS (SELECT vec_id, e, sqrt(list_sum(list_transform(e, lambda x: x * x)) / len(e)) AS rms, list_max(list_transform(e, lambda x: abs(x))) AS peak FROM d)
+SELECT vec_id, len(e) / 16 AS duration, round(rms, 6) AS rms, round(peak, 6) AS peak, round(CASE WHEN rms > 0 THEN 20 * log10(peak / rms) ELSE 0 END, 6) AS dynamic_range_db, round(CASE WHEN rms > 0 THEN peak / rms ELSE 0 END, 6) AS crest_factor,
+round(len([1 FOR i IN range(2, len(e) + 1) IF e[i] * e[i - 1] < 0]) / len(e), 6) AS zero_crossing_rate FROM m""",
+)
 def a7(spark: SparkSession, sf_dir: str) -> DataFrame:
     q = _waves(spark, sf_dir).select("vec_id", signal.signal_quality(F.col("samples"), F.col("rate")).alias("q"))
-    return q.select("vec_id", "q.duration", F.round("q.rms", 6).alias("rms"), F.round("q.peak", 6).alias("peak"))
+    return q.select("vec_id", "q.duration", *(F.round(f"q.{c}", 6).alias(c) for c in ("rms", "peak", "dynamic_range_db", "crest_factor", "zero_crossing_rate")))
 
 
 @query("a8_add_noise")

@@ -48,6 +48,8 @@ def step(buffer: tuple[int, str], kind: str, data: str | None) -> tuple[tuple[in
         return ((0, ""), ("transcript", held, size), False) if size else (buffer, ("error", "no audio", 0), False)
     if kind == "clear":
         return (0, ""), ("cleared", "", 0), False
+    if kind == "ping":
+        return buffer, ("pong", "", size), False
     if kind == "end":
         return (0, ""), ("closed", "", size), True
     return buffer, ("error", f"unknown type: {kind}", size), False

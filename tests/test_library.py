@@ -11,7 +11,8 @@ from lyricspark.functions import clean, metrics, rules, signal, text
 from lyricspark.functions.align import distance, edit_counts, word_alignment
 from lyricspark.functions.constants import ADLIB_TERMS, SLANG_TERMS
 from lyricspark.operators import corpus, evaluate, vocab
-from lyricspark.sources import load_lexicon, parse_song_list, read_manifest, save_lexicon
+from lyricspark.operators.ranking import global_rank, hash_order
+from lyricspark.sources import load_lexicon, load_vocab, parse_song_list, read_lexicon, read_lyrics_corpus, read_manifest, save_lexicon, save_vocab, write_dataset
 from lyricspark.streaming import step
 
 
@@ -157,3 +158,134 @@ def test_session_stream(spark, tmp_path):
         time.sleep(0.5)
     run.stop()
     assert sorted((r.session, r.kind) for r in spark.table("sessions").collect()) == [("s", "ack"), ("s", "transcript"), ("t", "error")]
+
+
+def test_batch_goldens(spark):
+    pairs = [
+        ("i'm finna get this bread yeah", "i'm gonna get this bread yeah"), ("she bussin it down skrt skrt", "she busting it down skirt skirt"), ("no cap this fire bruh", "no cap this fire bro"),
+        ("we getting money every day", "we getting money every day"), ("ayy let's go yeah", "hey let's go yeah"),
+    ]
+    df = spark.createDataFrame(pairs, "reference string, hypothesis string")
+    got = evaluate.batch_metrics(evaluate.sample_metrics(df)).first()
+    assert got.wer == pytest.approx(6 / 26) and got.word_accuracy == pytest.approx(1 - 6 / 26) and got.cer == pytest.approx(0.08264463, abs=1e-6)
+    slang = evaluate.batch_term_accuracy(df, SLANG_TERMS).first()
+    assert slang.recall == pytest.approx(5 / 11) and slang.f1 == pytest.approx(0.55555556)
+
+
+def test_batch_accuracy_goes_below_zero(spark):
+    df = spark.createDataFrame([("a", "b c d")], "reference string, hypothesis string")
+    got = evaluate.batch_metrics(evaluate.sample_metrics(df)).first()
+    assert got.wer == 3.0 and got.word_accuracy == -2.0
+
+
+def test_ranks_are_exact_with_further_columns(spark, tmp_path):
+    n = 200_000
+    df = spark.range(n, numPartitions=7).select("id", F.md5(F.col("id").cast("string")).alias("other"), (F.col("id") % 11).alias("k"))
+    corpus.shuffle(df, "id").write.parquet(f"{tmp_path}/shuffled")
+    got = spark.read.parquet(f"{tmp_path}/shuffled")
+    row = got.agg(F.count_distinct("position").alias("d"), F.min("position").alias("a"), F.max("position").alias("b"), F.count_distinct("id").alias("i")).first()
+    assert tuple(row) == (n, 1, n, n)
+    sizes = dict(map(tuple, corpus.split_rows(df, "id").groupBy("split").count().collect()))
+    assert sizes == {"train": 160_000, "val": 20_000, "test": 20_000}
+    ranked = global_rank(df.limit(500), hash_order("id"), ["id"]).select("id", "rank").collect()
+    import hashlib
+
+    want = sorted((hashlib.md5(f"42_{r.id}".encode()).hexdigest(), r.id) for r in ranked)
+    assert [r.id for r in sorted(ranked, key=lambda r: r.rank)] == [i for _, i in want]
+
+
+def test_contamination_asks_for_changes(spark):
+    df = spark.createDataFrame([("a line\n\n\n\nb line",), ("12 Contributors\nwords",), ("The single was released as an album and peaked on the chart in May",)], "text string")
+    got = clean.contamination(df).collect()
+    assert [r.contaminated for r in got] == [False, True, True]
+    assert [r.text for r in clean.apply_fixes(df).collect()][0] == "a line\n\n\n\nb line"
+    assert got[2].changes[0].type == "editorial_line (5 keywords)" and got[2].changes[0].position == 0
+
+
+def test_alignment_reaches_the_end():
+    rng = random.Random(3)
+    lyrics = ["".join(rng.choice("abcdefgh") for _ in range(6)) for _ in range(60)]
+    chunks = [" ".join(lyrics[i : i + 20]) for i in (0, 20)] + [" ".join(lyrics[-8:])]
+    found = corpus.align_song(chunks, " ".join(lyrics))
+    assert [s for _, s in found] == [1.0, 1.0, 1.0] and found[-1][0].split()[-1] == lyrics[-1]
+
+
+def brute_align(chunks, lyrics):
+    from lyricspark.functions.constants import STOPWORDS
+
+    plain = lambda t: "".join(c for c in t.lower() if c.isspace() or c in "abcdefghijklmnopqrstuvwxyz0123456789").split()
+    tokens, cursor, out = lyrics.split(), 0, []
+    for chunk in chunks:
+        a = plain(chunk)
+        w = max(5, min(len(a), len(tokens)))
+        best, at = -1.0, 0
+        for i in range(max(0, cursor - 15), min(len(tokens) - 1, cursor + max(w, 25)) + 1):
+            b = plain(" ".join(tokens[i : i + w]))
+            score = 0.0
+            for share, x, y in ((0.4, set(a) - set(STOPWORDS), set(b) - set(STOPWORDS)), (0.6, set(zip(a, a[1:])), set(zip(b, b[1:])))):
+                score += share * (len(x & y) / len(x | y) if x and y else 0)
+            if score > best + 1e-12:
+                best, at = score, i
+        out.append((" ".join(tokens[at : at + w]), round(best, 4)))
+        cursor = min(at + max(1, int(w * 25 / 30)), len(tokens))
+    return out
+
+
+def test_alignment_is_that_of_brute_force():
+    rng = random.Random(8)
+    for _ in range(30):
+        lyrics = " ".join(rng.choice(["the", "a-b", "--", "cat", "dog", "hat", "It's", "sun", "moon"]) for _ in range(rng.randint(6, 90)))
+        chunks = [" ".join(rng.choice(["the", "cat", "dog", "hat", "sun", "ab"]) for _ in range(rng.randint(1, 12))) for _ in range(5)]
+        got, want = corpus.align_song(chunks, lyrics), brute_align(chunks, lyrics)
+        assert [s for _, s in got] == pytest.approx([s for _, s in want])
+
+
+def test_long_texts_have_exact_distances(spark):
+    rng = random.Random(2)
+    a = "".join(rng.choice("abc") for _ in range(700))
+    b = "".join(c for c in a if rng.random() > 0.1) + "xyz"
+    got = spark.createDataFrame([(a, b), ("ab", "b"), (None, "b")], "a string, b string").select(metrics.char_distance(F.col("a"), F.col("b")).alias("d"), F.levenshtein("a", "b").alias("e")).collect()
+    assert all(r.d == r.e for r in got)
+
+
+def test_encode_keeps_rows_with_one_id(spark, monkeypatch):
+    docs = spark.createDataFrame([(1, "a b a"), (1, "b"), (2, None), (3, "")], "doc_id long, text string")
+    table = spark.createDataFrame([(5, "a"), (6, "b")], "id int, token string")
+    want = [(1, [2, 5, 6, 5, 3]), (1, [2, 6, 3]), (2, [2, 3]), (3, [2, 3])]
+    for small in (1 << 16, 1):
+        monkeypatch.setattr(vocab, "SMALL_VOCAB", small)
+        ids = vocab.encode(docs, table)
+        assert sorted(map(tuple, ids.collect())) == want
+        assert sorted(map(tuple, vocab.decode(ids, table).collect())) == [(1, "a b a"), (1, "b"), (2, ""), (3, "")]
+
+
+def test_noise_of_rows_without_id(spark):
+    df = spark.createDataFrame([(None, [0.1, 0.2]), (1, [0.1, 0.2])], "i long, x array<double>")
+    assert all(len(r.y) == 2 for r in df.select(signal.add_noise(F.col("x"), F.col("i")).alias("y")).collect())
+
+
+def test_readers_and_writers(spark, tmp_path):
+    (tmp_path / "lyrics" / "sub").mkdir(parents=True)
+    (tmp_path / "lyrics" / "one.txt").write_text("a\n b")
+    (tmp_path / "lyrics" / "sub" / "two.txt").write_text("c")
+    assert dict(map(tuple, read_lyrics_corpus(spark, f"{tmp_path}/lyrics", collapse=True).collect())) == {"one": "a b", "two": "c"}
+    (tmp_path / "a.json").write_text('{"finna": {"canonical": ["F"], "definition": "old"}, "cap": {"definition": "lie"}}')
+    (tmp_path / "b.json").write_text('{"finna": {"canonical": ["F", "IH"], "definition": "new"}}')
+    got = {r.word: r.definition for r in read_lexicon(spark, [f"{tmp_path}/a.json", f"{tmp_path}/b.json"]).collect()}
+    assert got == {"finna": "new", "cap": "lie"}
+    table = spark.createDataFrame([(0, "<blank>"), (1, "a")], "id int, token string")
+    save_vocab(table, f"{tmp_path}/vocab")
+    assert sorted(map(tuple, load_vocab(spark, f"{tmp_path}/vocab").collect())) == [(0, "<blank>"), (1, "a")]
+    write_dataset(table.withColumn("split", F.lit("train")), f"{tmp_path}/set", "parquet", "split")
+    assert spark.read.parquet(f"{tmp_path}/set/split=train").count() == 2
+
+
+def test_ping():
+    assert step((3, "abc"), "ping", None) == ((3, "abc"), ("pong", "", 3), False)
+
+
+def test_domain_vocabulary_holds_its_tokens(spark):
+    from lyricspark.functions.constants import DOMAIN_TOKENS
+
+    got = [r.token for r in vocab.build_vocab(spark.createDataFrame([(1, "yeah x x")], "doc_id long, text string"), domain=DOMAIN_TOKENS).orderBy("id").collect()]
+    assert got[5:7] == ["yeah", "yuh"] and "deadhomieshomie" in got and got[-1] == "x"
