@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import IdFilter, again, drop_kept, id_filter, keep, small_batches
+from .common import IdFilter, drop_kept, id_filter, keep, small_batches
 from .components import components
 from .hashing import hashed_words, mix, shingles
 
@@ -30,7 +30,7 @@ COMBINED = ((64, 2), (4096, 3))
 #: Frequency counts are kept for so many shingles at most; the others count as rare, which changes no result.
 COUNTED = 1 << 19
 #: Rounds in which each list is linked to one member, at most, before all its pairs between components are checked.
-STARS = 4
+STARS = 3
 #: Members that a member of a list still meets, on average, from which on another such round is worth it.
 WORTH = 32
 #: Members of a list that meet in one task; longer lists are dealt out in blocks.
@@ -241,8 +241,7 @@ def jaccard_components(docs: DataFrame, k: int = 3, similarity: tuple[int, int]
     entries = listed.join(shared, "sig").filter(least(F.col("n"), F.greatest("low", F.ceil(F.col("n") * num / den))) <= F.col("slack"))
     entries = entries.groupBy("list", "doc_id").agg(F.max("n").alias("n"), F.max("slack").alias("slack"))
     entries = keep(entries.withColumnRenamed("list", "sig"), "entries")
-    bits = marked.drop("sigs", "ends", "wide")
-    long_ones = marked.filter("wide is not null").select("doc_id", "n", "wide")
+    bits = marked.drop("sigs", "ends")
 
     def fits(a: str, b: str):
         """Whether two entries of a list can show a link of their sets."""
@@ -252,22 +251,19 @@ def jaccard_components(docs: DataFrame, k: int = 3, similarity: tuple[int, int]
 
     def near(a: str, b: str):
         far = sum((F.bit_count(F.col(f"{a}.b{i}").bitwiseXOR(F.col(f"{b}.b{i}"))) for i in range(1, _LANES)), F.bit_count(F.col(f"{a}.b0").bitwiseXOR(F.col(f"{b}.b0"))))
-        na, nb = F.col(f"{a}.n"), F.col(f"{b}.n")
-        return far <= na + nb - 2 * least(na, nb)
+        wide = F.aggregate(F.zip_with(f"{a}.wide", f"{b}.wide", lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0), lambda s, v: s + v)
+        most = F.col(f"{a}.n") + F.col(f"{b}.n") - 2 * least(F.col(f"{a}.n"), F.col(f"{b}.n"))
+        return (far <= most) & F.coalesce(wide <= most, F.lit(True))
 
     def verified(pairs: DataFrame) -> DataFrame:
         """The pairs (x, y) that are links: by parities first, then by their whole sets."""
-        pairs = pairs.join(bits.alias("a"), F.col("x") == F.col("a.doc_id")).join(bits.alias("b"), F.col("y") == F.col("b.doc_id")).filter(near("a", "b")).select("x", "y")
-        a, b = (long_ones.select(F.col("doc_id").alias(c), F.col("n").alias(f"n{c}"), F.col("wide").alias(f"w{c}")) for c in "xy")
-        far = F.aggregate(F.zip_with("wx", "wy", lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0), lambda s, v: s + v)
-        close = F.coalesce(far <= F.col("nx") + F.col("ny") - 2 * least(F.col("nx"), F.col("ny")), F.lit(True))
-        pairs = keep(pairs.join(a, "x", "left").join(b, "y", "left").filter(close).select("x", "y"), "pairs")
-        wanted = pairs.select(F.col("x").alias("doc_id")).union(pairs.select("y")).distinct()
-        sets = rows.mapInArrow(_whole_sets(k, id_filter(wanted, "doc_id")), "doc_id long, tokens array<long>")
-        sets = keep(sets.join(wanted, "doc_id", "left_semi"), "whole")
+        pairs = keep(pairs.join(bits.alias("a"), F.col("x") == F.col("a.doc_id")).join(bits.alias("b"), F.col("y") == F.col("b.doc_id")).filter(near("a", "b")).select("x", "y"), "pairs")
+        wanted = pairs.select(F.col("x").alias("doc_id")).union(pairs.select("y"))
+        # what the filter lets through beyond the pairs goes in the joins
+        sets = keep(rows.mapInArrow(_whole_sets(k, id_filter(wanted, "doc_id")), "doc_id long, tokens array<long>"), "whole")
         left, right = sets.select(F.col("doc_id").alias("x"), F.col("tokens").alias("s")), sets.select(F.col("doc_id").alias("y"), F.col("tokens").alias("t"))
         both = F.size(F.array_intersect("s", "t"))
-        links = keep(pairs.join(left, "x").join(right, "y").filter(den * both >= num * (F.size("s") + F.size("t") - both)).select("x", "y").distinct(), "links")
+        links = keep(pairs.join(left, "x").join(right, "y").filter(den * both >= num * (F.size("s") + F.size("t") - both)).select("x", "y"), "links")
         drop_kept(pairs)
         drop_kept(sets)
         return links
@@ -278,18 +274,19 @@ def jaccard_components(docs: DataFrame, k: int = 3, similarity: tuple[int, int]
         drop_kept(links)
         return out
 
+    def placed_in(begun: DataFrame) -> DataFrame:
+        """The entries of lists whose members lie in several components, with these; a list in one component is settled."""
+        found = entries.join(begun.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
+        open_ones = found.groupBy("sig").agg(F.min("component").alias("_low"), F.max("component").alias("_high"), F.count("*").alias("m")).filter("_low < _high").select("sig", "m")
+        return keep(found.join(open_ones, "sig").select("sig", "doc_id", "n", "slack", "component", "m"), "placed")
+
     # rows with one doc_id and several texts hold their sets' groups together
-    held = several_texts.select("doc_id").join(named, "doc_id").filter("rep is not null").select(F.col("doc_id").alias("x"), F.col("rep").alias("y"))
-    begun = hung(keep(held.filter("x <> y").distinct(), "links"))
-    here = entries
+    begun = spark.createDataFrame([], "node long, component long")
+    if several_texts.limit(1).count():
+        held = several_texts.select("doc_id").join(named, "doc_id").filter("rep is not null").select(F.col("doc_id").alias("x"), F.col("rep").alias("y"))
+        begun = hung(keep(held.filter("x <> y").distinct(), "links"))
+    placed = placed_in(begun)
     for turn in range(STARS):
-        # a list whose members lie in one component is settled
-        placed = here.join(begun.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
-        open_ones = placed.groupBy("sig").agg(F.min("component").alias("_low"), F.max("component").alias("_high")).filter("_low < _high").select("sig")
-        placed = keep(placed.join(open_ones, "sig").select("sig", "doc_id", "n", "slack", "component"), "entries")
-        drop_kept(here)
-        here = placed.select("sig", "doc_id", "n", "slack")
-        here._kept_path = placed._kept_path
         # copies are most like the first of them, so that one leads; then others do, by hash
         order = F.xxhash64("doc_id", F.lit(turn)) if turn else F.col("doc_id")
         pivots = placed.groupBy("sig").agg(F.min_by(F.struct("doc_id", "n", "slack", "component"), order).alias("p")).select("sig", "p.*")
@@ -298,21 +295,20 @@ def jaccard_components(docs: DataFrame, k: int = 3, similarity: tuple[int, int]
         joined = hung(keep(found.union(begun.select("node", "component")), "links"))
         drop_kept(found)
         drop_kept(begun)
+        drop_kept(placed)
         begun = joined
-        after = here.join(begun.withColumnRenamed("node", "doc_id"), "doc_id", "left").groupBy("sig").agg(F.count("*").alias("m"), F.min(F.coalesce("component", "doc_id")).alias("_low"), F.max(F.coalesce("component", "doc_id")).alias("_high"))
-        weight = after.filter("_low < _high").agg(F.sum(F.col("m") * F.col("m")), F.sum("m")).first()
-        if not weight[0] or weight[0] <= WORTH * weight[1]:
+        placed = placed_in(begun)
+        # a member meets m - 1 others
+        weight = placed.agg(F.sum("m"), F.count("*")).first()
+        if not weight[1] or weight[0] <= WORTH * weight[1]:
             break
-    placed = here.join(begun.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
-    open_ones = placed.groupBy("sig").agg(F.min("component").alias("_low"), F.max("component").alias("_high"), F.ceil(F.count("*") / MEET).cast("int").alias("blocks")).filter("_low < _high").select("sig", "blocks")
-    placed = keep(placed.join(open_ones, "sig").withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int")), "entries")
+    placed = placed.withColumn("blocks", F.ceil(F.col("m") / MEET).cast("int")).withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
     every = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    left, right = placed.withColumn("other", every), again(placed).withColumnRenamed("block", "other").withColumn("block", every)
+    left, right = placed.withColumn("other", every), placed.withColumnRenamed("block", "other").withColumn("block", every)
     apart = left.alias("a").join(right.alias("b"), (F.col("a.sig") == F.col("b.sig")) & (F.col("a.block") == F.col("b.block")) & (F.col("a.other") == F.col("b.other")) & (F.col("a.doc_id") < F.col("b.doc_id")) & (F.col("a.component") != F.col("b.component")) & fits("a", "b"))
     more = verified(apart.select(F.col("a.doc_id").alias("x"), F.col("b.doc_id").alias("y")).distinct())
-    drop_kept(placed)
-    drop_kept(here)
     drop_kept(marked)
+    drop_kept(entries)
     joined = hung(keep(more.union(begun.select("node", "component")), "links"))
     drop_kept(more)
     out = named.join(joined.select(F.col("node").alias("rep"), "component"), "rep", "left")
