@@ -29,7 +29,7 @@ SMALL = 20
 COMBINED = ((64, 2), (4096, 3))
 #: Frequency counts are kept for so many shingles at most; the others count as rare, which changes no result.
 COUNTED = 1 << 19
-#: Rounds in which each list is linked to one member, at most, before all its pairs between components are checked.
+#: Rounds in which each member is linked to the pivot of one of its lists, at most, before all its pairs between components are checked.
 STARS = 3
 #: Members that a member of a list still meets, on average, from which on another such round is worth it.
 WORTH = 32
@@ -291,7 +291,10 @@ def jaccard_components(docs: DataFrame, k: int = 3, similarity: tuple[int, int]
         order = F.xxhash64("doc_id", F.lit(turn)) if turn else F.col("doc_id")
         pivots = placed.groupBy("sig").agg(F.min_by(F.struct("doc_id", "n", "slack", "component"), order).alias("p")).select("sig", "p.*")
         star = placed.alias("e").join(pivots.alias("p"), (F.col("e.sig") == F.col("p.sig")) & (F.col("e.component") != F.col("p.component")) & fits("e", "p"))
-        found = verified(star.select(F.least("e.doc_id", "p.doc_id").alias("x"), F.greatest("e.doc_id", "p.doc_id").alias("y")).distinct())
+        # the pivot that a member shares most lists with; what it misses is left to later rounds and to all pairs
+        shares = star.groupBy(F.col("e.doc_id").alias("x"), F.col("p.doc_id").alias("y")).agg(F.count("*").alias("c"))
+        nearest = shares.groupBy("x").agg(F.max(F.struct("c", (-F.col("y")).alias("y"))).alias("p")).select("x", (-F.col("p.y")).alias("y"))
+        found = verified(nearest.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct())
         joined = hung(keep(found.union(begun.select("node", "component")), "links"))
         drop_kept(found)
         drop_kept(begun)
