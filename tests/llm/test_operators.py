@@ -113,12 +113,15 @@ def test_word_hashes_depend_on_words_alone():
 ODD = ["", None, " a", "a ", "a  b", "a\n b\t c \n", "▁a▁ b ▁c  ▁▁d", "<|endoftext|> hi <s> </s>", "   ", "it's we'll  I'd\n\n\n ok 12 345 !!! é🎉 z", "▁", "y" * 3000, "same words here", "same words here"]
 
 
-def test_sentencepiece_is_the_library(spark):
+@pytest.mark.parametrize("block", [1, 40, 1 << 22])
+def test_sentencepiece_is_the_library(spark, block):
     import sentencepiece
 
     model = sentencepiece.SentencePieceProcessor(model_file=queries.vocabulary("piece_bpe_32k.model"))
     docs = table(spark, [(i, t, "s") for i, t in enumerate(ODD)])
-    got = {r.doc_id: r for r in encode_pieces(docs, queries.vocabulary("piece_bpe_32k.model"), with_ids=True).collect()}
+    rows = encode_pieces(docs, queries.vocabulary("piece_bpe_32k.model"), with_ids=True, block=block).collect()
+    got = {r.doc_id: r for r in rows}
+    assert len(rows) == len(ODD)
     for i, t in enumerate(ODD):
         ids = model.encode(t or "")
         assert got[i].ids == ids and got[i].n_tokens == len(ids) and got[i].decoded == model.decode(ids)
