@@ -1,10 +1,8 @@
-"""SentencePiece ids of documents by a table of distinct marked words.
+"""SentencePiece ids of documents by tables of distinct marked words.
 
 Where no piece reaches from another character over a following white-space marker, the segmentation
-of a text is that of its marked words, one after another. Texts are taken in blocks: a block lists its
-distinct words, and a document is a row of places in that list. The distinct words of all blocks make
-one table, in which each word is segmented and decoded once; ids are joined back to the blocks' words
-and read out place by place.
+of a text is that of its marked words, one after another. Each distinct marked word is segmented and
+decoded once by a Python worker's table; a text's ids are looked up word by word, in order.
 """
 
 from __future__ import annotations
@@ -12,27 +10,20 @@ from __future__ import annotations
 import hashlib
 import re
 
-import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import again, keep, small_batches, text_of
+from .common import small_batches, text_of
 
-#: Bytes of text in a block, the last document's excepted.
-BLOCK = 4 << 20
-#: A word's blocks meet it in so many groups.
-SALTS = 64
+#: So many distinct words are remembered by a Python worker; then it starts anew.
+REMEMBERED = 200_000
 _MARK = "▁"
 _MARKED = re.compile(f"{_MARK}+[^{_MARK}]*")
-_MODELS: dict[str, WordPieces] = {}
+_TABLES: dict[str, WordPieces] = {}
 
 
 class WordPieces:
-    """A model, and whether its words are independent; a word is given without its first marker."""
-
     def __init__(self, path: str) -> None:
         import sentencepiece
 
@@ -41,127 +32,85 @@ class WordPieces:
         kept = "".join(self.model.encode(" a  b ", out_type=str)) == f"{_MARK}{_MARK}a{_MARK}{_MARK}b{_MARK}"
         #: Whether words are independent of one another under this model.
         self.by_word = kept and not any(re.search(f"[^{_MARK}]{_MARK}", p) for p in pieces)
-        self.mark = self.model.piece_to_id(_MARK)
-
-    def split(self, texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
-        """(words of all texts, number of words of each text, the texts' places in the order of these)."""
-        texts = texts.cast(pa.large_string())
+        self.mark = str(self.model.piece_to_id(_MARK))
+        self.clear()
+
+    def clear(self) -> None:
+        #: Ids as decimal numbers with commas, by the text after a word's first marker.
+        self.ids: dict[str, str] = {"": self.mark}
+        #: The decoded text after the first marker, where it isn't the text itself.
+        self.odd: dict[str, str] = {}
+
+    def learn(self, words: set[str]) -> None:
+        known = self.ids
+        new = [w for w in words if w not in known]
+        for i in range(0, len(new), 8192):
+            some = new[i : i + 8192]
+            found = self.model.encode(some, num_threads=1)
+            for word, ids, text in zip(some, found, self.model.decode(found, num_threads=1)):
+                self.ids[word] = ",".join(map(str, ids))
+                if text != word:
+                    self.odd[word] = text
+
+    def encode(self, texts: list[str]) -> list[tuple[str, str]]:
+        """(ids with commas, decoded text) of each text."""
         if not self.by_word:
-            some = np.flatnonzero(pc.not_equal(texts, "").to_numpy(zero_copy_only=False))
-            order = np.concatenate([some, np.setdiff1d(np.arange(len(texts)), some)])
-            return texts.take(pa.array(some)), (np.arange(len(texts)) < len(some)).astype(np.int64), order
-        odd = pc.or_(pc.equal(texts, ""), pc.match_substring_regex(texts, f"^ | $|  |{_MARK}"))
-        plain = pc.split_pattern(texts.filter(pc.invert(odd)), " ")
-        rest = [[m[1:] for m in _MARKED.findall(_MARK + t.replace(" ", _MARK))] if t else [] for t in texts.filter(odd).to_pylist()]
-        words = pa.concat_arrays([plain.flatten().cast(pa.large_string()), pa.array([w for x in rest for w in x], pa.large_string())])
-        odd = odd.to_numpy(zero_copy_only=False)
-        counts = np.concatenate([pc.list_value_length(plain).to_numpy(zero_copy_only=False), np.array([len(x) for x in rest])]).astype(np.int64)
-        return words, counts, np.concatenate([np.flatnonzero(~odd), np.flatnonzero(odd)])
-
-    def segment(self, words: list[str]) -> tuple[list[str], list[str]]:
-        """Ids, as decimal numbers with commas, and the decoded text after the first marker of each word."""
-        ids = [x if w or not self.by_word else [self.mark] for w, x in zip(words, self.model.encode(words, num_threads=1))]
-        texts = [x if w else "" for w, x in zip(words, self.model.decode(ids, num_threads=1))]
-        return [",".join(map(str, x)) for x in ids], texts
-
-
-def _model(path: str) -> WordPieces:
-    if path not in _MODELS:
-        _MODELS[path] = WordPieces(path)
-    return _MODELS[path]
-
-
-def _width(n_words: int) -> str:
-    return "<u2" if n_words <= 1 << 16 else "<u4"
-
-
-def _blocks(model: str, least: int):
-    """A row for each document with its words' places in its block's list; a block's first row has the list."""
-    schema = pa.schema([("block", pa.int64()), ("doc_id", pa.int64()), ("places", pa.binary()), ("words", pa.list_(pa.string()))])
-
-    def coded(block: int, ids: pa.Array, texts: pa.Array) -> pa.RecordBatch:
-        words, counts, order = _model(model).split(texts)
-        found = words.dictionary_encode()
-        ends = np.cumsum(counts)
-        places = np.split(found.indices.to_numpy().astype(_width(len(found.dictionary))), ends[:-1])
-        lists = [found.dictionary.to_pylist()] + [None] * (len(order) - 1)
-        columns = [np.full(len(order), block), ids.take(pa.array(order)), pa.array([x.tobytes() for x in places], pa.binary()), pa.array(lists, schema.field("words").type)]
-        return pa.record_batch([pa.array(columns[0]), *columns[1:]], schema=schema)
-
-    def run(batches):
-        block, held, size = TaskContext.get().partitionId() << 32, [], 0
-        for batch in batches:
-            sizes = np.cumsum(pc.binary_length(batch.column("text")).to_numpy(zero_copy_only=False).astype(np.int64))
-            at = 0
-            while at < batch.num_rows:
-                before = int(sizes[at - 1]) if at else 0
-                to = min(batch.num_rows, int(np.searchsorted(sizes, before + least - size)) + 1)
-                held.append(batch.slice(at, to - at))
-                size, at = size + int(sizes[to - 1]) - before, to
-                if size >= least:
-                    whole = pa.Table.from_batches(held).combine_chunks()
-                    yield coded(block, whole["doc_id"].combine_chunks(), whole["text"].cast(pa.large_string()).combine_chunks())
-                    block, held, size = block + 1, [], 0
-        if held:
-            whole = pa.Table.from_batches(held).combine_chunks()
-            yield coded(block, whole["doc_id"].combine_chunks(), whole["text"].cast(pa.large_string()).combine_chunks())
-
-    return run
-
-
-def _segmented(model: str):
-    schema = pa.schema([("word", pa.string()), ("ids", pa.string()), ("decoded", pa.string())])
-
-    def run(batches):
-        for batch in batches:
-            words = batch.column("word").to_pylist()
-            ids, texts = _model(model).segment(words)
-            yield pa.record_batch([pa.array(x, pa.string()) for x in (words, ids, texts)], schema=schema)
-
-    return run
-
-
-def _read_out(model: str, schema: pa.Schema):
-    """Ids and texts of one block's documents, from their places and the block's words."""
-
-    def run(docs: pa.Table, words: pa.Table) -> pa.Table:
-        at = words["at"].to_numpy()
-        ids, texts = np.empty(len(at), dtype=object), np.empty(len(at), dtype=object)
-        ids[at], texts[at] = words["ids"].to_pylist(), words["decoded"].to_pylist()
-        sizes = np.array([x.count(",") + 1 for x in ids], dtype=np.int64)
-        rows = [np.frombuffer(x.as_py(), dtype=_width(len(at))) for x in docs["places"]]
-        found = [",".join(ids[x].tolist()) for x in rows]
-        back = [" ".join(texts[x].tolist()) for x in rows]
-        columns = [
-            docs["doc_id"],
-            pa.array([int(sizes[x].sum()) for x in rows], pa.int64()),
-            pa.array([hashlib.sha256(x.encode()).hexdigest() for x in found], pa.string()),
-            pa.array([hashlib.sha256(x.encode()).hexdigest() for x in back], pa.string()),
-        ]
-        if len(schema) > 4:
-            columns += [pa.array([[int(n) for n in x.split(",")] if x else [] for x in found], pa.list_(pa.int64())), pa.array(back, pa.string())]
-        return pa.table(columns, schema=schema)
-
-    return run
-
-
-def encode_pieces(docs: DataFrame, model: str, with_ids: bool = False, block: int = BLOCK) -> DataFrame:
+            found = self.model.encode(texts, num_threads=1)
+            return [(",".join(map(str, x)), y) for x, y in zip(found, self.model.decode(found, num_threads=1))]
+        if len(self.ids) > REMEMBERED:
+            self.clear()
+        split = []
+        for text in texts:
+            if not text:
+                split.append([])
+            elif "  " in text or _MARK in text or text[0] == " " or text[-1] == " ":
+                split.append([m[1:] for m in _MARKED.findall(_MARK + text.replace(" ", _MARK))])
+            else:
+                split.append(text.split(" "))
+        words: set[str] = set()
+        for parts in split:
+            words.update(parts)
+        self.learn(words)
+        get, odd = self.ids.__getitem__, self.odd
+        out = []
+        for parts in split:
+            back = parts if odd.keys().isdisjoint(parts) else [odd.get(p, p) for p in parts]
+            out.append((",".join(map(get, parts)), " ".join(back)))
+        return out
+
+
+def _table(path: str) -> WordPieces:
+    if path not in _TABLES:
+        _TABLES[path] = WordPieces(path)
+    return _TABLES[path]
+
+
+def encode_pieces(docs: DataFrame, model: str, with_ids: bool = False) -> DataFrame:
     """(doc_id, n_tokens, ids_sha256, decoded_sha256[, ids, decoded]) of each row of docs(doc_id, text).
 
-    No begin or end ids, no sampling. A block takes documents up to `block` bytes of text. Under a model whose words depend on one another, a whole text is
-    its only word. Null texts count as empty, with no ids; a null doc_id stays null; equal rows stay;
-    a very long text is a block of its own; other columns are ignored; an empty table gives an empty result.
+    No begin or end ids, no sampling. Null texts count as empty, with no ids; a null doc_id stays
+    null; equal rows stay; other columns are ignored; an empty table gives an empty result.
     """
     small_batches(docs.sparkSession)
     fields = [("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string())]
     fields += [("ids", pa.list_(pa.int64())), ("decoded", pa.string())] * with_ids
+    schema = pa.schema(fields)
+
+    def run(batches):
+        table = _table(model)
+        for batch in batches:
+            texts = batch.column("text")
+            for i in range(0, len(texts), 128):
+                found = table.encode(texts[i : i + 128].to_pylist())
+                columns = [
+                    batch.column("doc_id")[i : i + 128],
+                    pa.array([x.count(",") + 1 if x else 0 for x, _ in found], pa.int64()),
+                    pa.array([hashlib.sha256(x.encode()).hexdigest() for x, _ in found]),
+                    pa.array([hashlib.sha256(y.encode()).hexdigest() for _, y in found]),
+                ]
+                if with_ids:
+                    columns += [pa.array([[int(n) for n in x.split(",")] if x else [] for x, _ in found], pa.list_(pa.int64())), pa.array([y for _, y in found], pa.string())]
+                yield pa.record_batch(columns, schema=schema)
+
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text"))
-    blocks = keep(rows.mapInArrow(_blocks(model, block), "block long, doc_id long, places binary, words array<string>"), "word-blocks")
-    # a frequent word is in every block: its blocks are dealt out by salt, and distinct pairs carry its ids to them
-    uses = blocks.filter("words is not null").select("block", F.pmod(F.xxhash64("block"), F.lit(SALTS)).alias("salt"), F.posexplode("words").alias("at", "word"))
-    salted = uses.select("word", "salt").distinct()
-    table = uses.select("word").distinct().mapInArrow(_segmented(model), "word string, ids string, decoded string")
-    found = uses.join(salted.join(table, "word"), ["word", "salt"]).select("block", "at", "ids", "decoded")
-    ddl = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<long>, decoded string" * with_ids
-    placed = again(blocks).select("block", "doc_id", "places")
-    return placed.groupBy("block").cogroup(found.groupBy("block")).applyInArrow(_read_out(model, pa.schema(fields)), ddl)
+    return rows.mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<long>, decoded string" * with_ids)
