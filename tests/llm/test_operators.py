@@ -292,6 +292,34 @@ def test_near_duplicate_vectors(spark):
     assert near_duplicates(vectors(spark, [])).count() == 0
 
 
+@pytest.mark.parametrize("k", [16, 48])
+def test_recall_of_the_grid_on_held_out_rows(k):
+    from lyricspark.llm import embed_dedup
+
+    rng = np.random.default_rng(k)
+    unit = lambda v: v / np.linalg.norm(v, axis=1, keepdims=True)
+    centres = rng.normal(size=(50, 64))
+    x = unit(centres[rng.integers(0, 50, 9000)] + rng.normal(size=(9000, 64)))
+    fit, calibrate, x = x[:6000], x[6000:8000], x[8000:]
+    books = (embed_dedup.fit_codebook(fit[:, :32], k, 1), embed_dedup.fit_codebook(fit[:, 32:], k, 2))
+    cells = embed_dedup.cells_for_recall(calibrate, books, 0.93, 0.995)
+    noise = rng.normal(size=x.shape)
+    y = unit(0.93 * x + (1 - 0.93**2) ** 0.5 * unit(noise - (noise * x).sum(1, keepdims=True) * x))
+    vx, vy = embed_dedup.visits(x, books, cells), embed_dedup.visits(y, books, cells)
+    found = (vx == vy[:, :1]).any(1) | (vy == vx[:, :1]).any(1)
+    assert cells < k * k / 2 and found.mean() >= 0.98
+    # the traversal's order is that of the distances to all cells
+    a, b = embed_dedup._halves(x[:50], books)
+    brute = np.argsort((a[:, :, None] + b[:, None]).reshape(50, -1), 1, kind="stable")[:, :cells]
+    assert (np.sort(brute, 1) == np.sort(vx[:50], 1)).all()
+
+
+def test_near_duplicates_on_a_finer_grid(spark):
+    rows = vectors(spark, sample_vectors())
+    got = near_duplicates(rows, k=24).agg(F.sum("n_links")).first()[0]
+    assert 0.9 * near_duplicates(rows, k=1).agg(F.sum("n_links")).first()[0] <= got
+
+
 def test_top_inner_products(spark):
     rows = sample_vectors()
     # rows that repeat a query's vec_id, with the same and with another vector
