@@ -364,10 +364,13 @@ def test_repeated_passages(spark):
     assert substring_dedup.repeated_passages(table(spark, [])).count() == 0
 
 
-def test_minimizers_cover_windows():
-    h = np.random.default_rng(0).integers(0, 1 << 60, 200).astype(np.uint64)
-    at = substring_dedup.minimizers(h, 12)
-    assert (np.diff(np.concatenate([[-1], at, [200]])) <= 12).all()
+def test_seeds_lie_within_documents():
+    import pyarrow as pa
+
+    texts, ids = ["a b c d e", "", None, "a b c", "x a b c d", "p q r s"], [5, 1, 2, 3, 4, None]
+    found = [r for b in substring_dedup._seeds([pa.record_batch({"doc_id": pa.array(ids), "text": pa.array(texts)})]) for r in b.to_pylist()]
+    assert [(r["doc_id"], r["at"]) for r in found] == [(5, 0), (5, 1), (4, 0), (4, 1)]
+    assert found[0]["seed"] == found[3]["seed"] and len({r["seed"] for r in found}) == 3
 
 
 def test_chains_miss_no_near_predecessor():
