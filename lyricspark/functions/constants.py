@@ -18,6 +18,9 @@ DIALECT_ING = (
 DIALECT_RULES = {w: w[:-1] + "'" for w in DIALECT_ING} | {"hey": "aye", "hay": "aye"}
 CONTEXT_WORDS = ("her", "thing", "still", "fly", "na", "well", "yeah")
 
+#: What the rules with a context put for a word.
+IN_CONTEXT = {"well": "12", "her": "hoes", "na": "nigga"}
+
 # Ordered phrase corrections (pattern, replacement).
 PHRASE_RULES = (
     (r"\bit's\s+my\s+watch\s+it's\s+my\s+watch\s+it's\s+my\b", "is it my watch is it my watch is it my"),

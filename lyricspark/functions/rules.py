@@ -7,7 +7,7 @@ from collections.abc import Iterable, Mapping
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .constants import CONTEXT_WORDS, DIALECT_RULES, EXPLICIT_RULES, PHRASE_RULES, SLANG_RULES
+from .constants import CONTEXT_WORDS, DIALECT_RULES, EXPLICIT_RULES, IN_CONTEXT, PHRASE_RULES, SLANG_RULES
 from .text import let, literal_map, strings, words
 
 
@@ -71,7 +71,7 @@ def apply_slang_rules(text: Column, mapping: Mapping[str, str] = SLANG_RULES, co
     """As the dialect rules; well becomes 12 only where jam stands in the two words before."""
 
     def jam(w: Column, i: Column, tokens: Column, clean: Column) -> Column:
-        return F.when((clean == "well") & F.contains(_around(tokens, i, 2, 0)[0], F.lit("jam")), F.lit("12"))
+        return F.when((clean == "well") & F.contains(_around(tokens, i, 2, 0)[0], F.lit("jam")), F.lit(IN_CONTEXT["well"]))
 
     return _mapped(text, mapping, context, jam)
 
@@ -84,7 +84,7 @@ def apply_explicit_rules(text: Column, mapping: Mapping[str, str] = EXPLICIT_RUL
         b3, a2 = _around(tokens, i, 3, 2)
         near = F.concat(b3, a2)
         hinted = near.rlike("try|gang|jam|young|ass|can't")
-        return F.when((clean == "her") & F.contains(b2, F.lit("these")) & F.contains(a1, F.lit("gon")), F.lit("hoes")).when((clean == "na") & hinted, F.lit("nigga"))
+        return F.when((clean == "her") & F.contains(b2, F.lit("these")) & F.contains(a1, F.lit("gon")), F.lit(IN_CONTEXT["her"])).when((clean == "na") & hinted, F.lit(IN_CONTEXT["na"]))
 
     return _mapped(text, mapping, (), special)
 

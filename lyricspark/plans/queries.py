@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lyricspark.functions import clean, metrics, quality, rules, signal, text
-from lyricspark.functions.constants import ADLIB_TERMS, AUDIT_STOPWORDS, AUGMENTATIONS, CATEGORY_ADLIBS, CENSORED, CONTRACTIONS, CONTEXT_WORDS, DIALECT_RULES, DOMAIN_TOKENS, PHONEMES, PHRASE_RULES, SLANG_EXPANSIONS, STOPWORDS
+from lyricspark.functions.constants import ADLIB_TERMS, AUDIT_STOPWORDS, AUGMENTATIONS, CAPITALIZED, CATEGORY_ADLIBS, CENSORED, CONTRACTIONS, CONTEXT_WORDS, DIALECT_RULES, DOMAIN_TOKENS, EXPLICIT_RULES, IN_CONTEXT, PHONEMES, PHRASE_RULES, SLANG_EXPANSIONS, SLANG_RULES, STOPWORDS
 from lyricspark.functions.align import align_words, edit_ops
 from lyricspark.operators import corpus, evaluate, vocab
 from lyricspark.sources import parse_song_list
@@ -61,31 +61,62 @@ def _mapped_words(pairs_: dict[str, str]) -> str:
     return f"array_to_string(list_transform({_WORDS}, lambda w: coalesce({_sql_map(pairs_)}[lower(w)], w)), ' ')"
 
 
+def _let(name: str, value: str, body: str) -> str:
+    """body, in which name stands for value."""
+    return f"list_transform([{value}], lambda {name}: {body})[1]"
+
+
+def _sql_list(words: Iterable[str]) -> str:
+    return "[" + ", ".join(map(_sql, words)) + "]"
+
+
+_UNICODE = r"regexp_replace(nfc_normalize(replace(translate({0}, '—–•·' || chr(8203) || chr(65279), '--'), '…', '...')), '[\x00-\x08\x0B-\x1F\x7F-\x{A0}\p{Cf}\p{Co}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]', '', 'g')"
+_BARE = r"regexp_replace({0}, '\[.*?\]', '', 'g')"
+_PUNCTUATION = [("([!?.]){2,}", r"\1"), (r"\s*([,;:!?])\s*", r"\1 "), (r"\s*\.\s*", ". ")]
+_CAPITAL = "upper(substr(w, 1, 1)) || lower(substr(w, 2))"
+_CAPITALS = f"array_to_string(list_transform({_WORDS}, lambda w, i: CASE WHEN list_contains({_sql_list(CAPITALIZED)}, lower(w)) THEN upper(substr(w, 1, 1)) || substr(w, 2) WHEN i = 1 THEN {_CAPITAL} ELSE w END), ' ')"
+_RESTORED = _let("t", "{0}", rf"array_to_string(list_transform(string_split(CASE WHEN regexp_matches(t, '[\p{{L}}\p{{N}}]$') THEN t || '.' ELSE t END, '. '), lambda w: {_CAPITAL}), '. ')")
+_MASKS = [(rf"(?i)\b{w}\b", m) for w, m in CENSORED]
+
+
+def _adlibs_sql() -> str:
+    on = lambda n: f"coalesce(h[i + {n}], false)"
+    opens = f"{on(0)} AND (({on(1)} AND {on(2)} AND NOT {on(3)}) OR (NOT ({on(1)} AND {on(2)}) AND NOT {on(-1)}))"
+    one = f"CASE WHEN {opens} THEN '(' ELSE '' END || x || CASE WHEN {on(0)} AND NOT {on(1)} THEN ')' ELSE '' END"
+    hits = f"list_transform(w, lambda x: list_contains({_sql_list(ADLIB_TERMS)}, lower(regexp_replace(x, '^[.,!?]+|[.,!?]+$', '', 'g'))))"
+    return _let("w", _WORDS, _let("h", hits, f"array_to_string(list_transform(w, lambda x, i: {one}), ' ')"))
+
+
 # --- text functions -----------------------------------------------------------------------------
 _by_line("t1_normalize_delete", text.normalize_delete, _N)
 _by_line("t2_normalize_space", text.normalize_space, _NS)
 _by_line("t3_normalize_ascii", text.normalize_ascii, _NA)
 _by_line("t4_tokenize", lambda t: F.array_join(text.tokenize(t), "|"), f"array_to_string({words_sql(_N)}, '|')")
-_by_line("t5_unicode_clean", text.unicode_clean, None)
+_by_line("t5_unicode_clean", text.unicode_clean, _UNICODE)
 _by_line("t6_strip_annotations", lambda t: text.strip_annotations(F.replace(t, F.lit("the"), F.lit("[the x]"))), r"regexp_replace(replace({0}, 'the', '[the x]'), '\[.*?\]', '', 'g')")
 _by_line("t7_expand_contractions", lambda t: text.expand_contractions(F.replace(t, F.lit(" the "), F.lit(" I'm don't "))), _mapped_words(CONTRACTIONS).replace("{0}", "replace({0}, ' the ', ' I''m don''t ')"))
 _by_line("t8_remove_punctuation", lambda t: text.remove_punctuation(t, False), r"regexp_replace({0}, '[^\p{L}\p{N}_\s]', '', 'g')")
-_by_line("t9_clean_punctuation", text.clean_punctuation, _replaced("{0}", [("([!?.]){2,}", r"\1"), (r"\s*([,;:!?])\s*", r"\1 "), (r"\s*\.\s*", ". ")]))
-_by_line("t10_normalize_lyrics", lambda t: text.normalize_lyrics(t, contractions=True, punctuation=True), None)
-_by_line("t11_preprocess_lyrics", lambda t: text.preprocess_lyrics(F.concat(t, F.lit(" (2x)"))), None)
-_by_line("t12_extract_ad_libs", lambda t: F.to_json(text.extract_ad_libs(F.regexp_replace(t, "(the|que|der)", "($1)"))), None)
+_by_line("t9_clean_punctuation", text.clean_punctuation, _replaced("{0}", _PUNCTUATION))
+_by_line("t10_normalize_lyrics", lambda t: text.normalize_lyrics(t, contractions=True, punctuation=True), _WS.replace("{0}", "regexp_replace(" + _mapped_words(CONTRACTIONS).replace("{0}", f"lower({_BARE.replace('{0}', _UNICODE)})") + r", '[^\p{L}\p{N}_\s'']', '', 'g')"))
+_by_line("t11_preprocess_lyrics", lambda t: text.preprocess_lyrics(F.concat(t, F.lit(" (2x)"))), r"trim(regexp_replace(" + _WS.replace("{0}", _replaced(f"lower({_BARE.replace('{0}', _UNICODE)})", _PUNCTUATION)).replace("{0}", "({0} || ' (2x)')") + r", '(?i)\s*\(?\s*(?:x\s*\d+|\d+\s*x)\s*\)?\s*$', ''))")
+_by_line("t12_extract_ad_libs", lambda t: F.to_json(text.extract_ad_libs(F.regexp_replace(t, "(the|que|der)", "($1)"))), _let("t", r"regexp_replace({0}, '(the|que|der)', '(\1)', 'g')", r"CAST(to_json({'text': trim(regexp_replace(t, '\(([^)]+)\)', '', 'g')), 'ad_libs': regexp_extract_all(t, '\(([^)]+)\)', 1)}) AS VARCHAR)"))
 _by_line("t13_tokenizer_preprocess", text.tokenizer_preprocess, _WS.replace("{0}", r"regexp_replace(replace(replace(replace(replace(replace(lower({0}), '…', '...'), 'f**k', 'fuck'), 's**t', 'shit'), 'b***h', 'bitch'), 'a**', 'ass'), '\[.*?\]', '', 'g')"))
 _by_line("t14_collapse_whitespace", text.collapse_whitespace, _WS)
-_by_line("t15_capitalize_words", text.capitalize_words, None)
+_by_line("t15_capitalize_words", text.capitalize_words, _CAPITALS)
 _by_line("t16_expand_slang", lambda t: text.expand_slang(F.replace(t, F.lit(" the "), F.lit(" finna Ion "))), _mapped_words(SLANG_EXPANSIONS).replace("{0}", "replace({0}, ' the ', ' finna Ion ')"))
-_by_line("t17_restore_punctuation", text.restore_punctuation, None)
-_by_line("t18_censor", lambda t: text.censor(F.replace(t, F.lit("the"), F.lit("hell"))), _replaced("replace({0}, 'the', 'hell')", [(rf"(?i)\b{w}\b", m) for w, m in CENSORED]))
-_by_line("t19_postprocess_text", lambda t: text.postprocess_text(t, slang=True, punctuation=True, masked=True), None)
-_by_line("t20_format_adlibs", lambda t: text.format_adlibs(F.replace(t, F.lit("the "), F.lit("yeah yuh ")), ADLIB_TERMS), None)
+_by_line("t17_restore_punctuation", text.restore_punctuation, _RESTORED)
+_by_line("t18_censor", lambda t: text.censor(F.replace(t, F.lit("the"), F.lit("hell"))), _replaced("replace({0}, 'the', 'hell')", _MASKS))
+_by_line("t19_postprocess_text", lambda t: text.postprocess_text(t, slang=True, punctuation=True, masked=True), _replaced(_RESTORED.replace("{0}", _CAPITALS.replace("{0}", _mapped_words(SLANG_EXPANSIONS))), _MASKS))
+_by_line("t20_format_adlibs", lambda t: text.format_adlibs(F.replace(t, F.lit("the "), F.lit("yeah yuh ")), ADLIB_TERMS), _adlibs_sql().replace("{0}", "replace({0}, 'the ', 'yeah yuh ')"))
 _by_line("t21_break_lines", lambda t: F.array_join(text.break_lines(t), "\n"), None)
 
 
-@query("t22_mark_structure")
+@query(
+    "t22_mark_structure",
+    f"""WITH {SEGMENTS_SQL}, k AS (SELECT doc_id, line_no, text, count(*) OVER (PARTITION BY doc_id, lower(trim(text))) > 1 AS again FROM segments),
+m AS (SELECT *, coalesce(lag(again) OVER (PARTITION BY doc_id ORDER BY line_no), false) AS before FROM k)
+SELECT doc_id, string_agg(CASE WHEN again AND NOT before THEN chr(10) || '[Chorus]' || chr(10) WHEN before AND NOT again THEN chr(10) || '[Verse]' || chr(10) ELSE '' END || text, chr(10) ORDER BY line_no) AS out FROM m GROUP BY doc_id""",
+)
 def t22(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "documents").select("doc_id", F.array_join(text.mark_structure(F.split("text", "\n", -1)), "\n").alias("out"))
 
@@ -110,13 +141,42 @@ def _by_rule(name: str, f: Callable[[Column], Column], sql: str | None) -> None:
         return _rule_texts(spark, sf_dir).select("key", f(F.col("text")).alias("out"))
 
 
-_by_rule("r1_phrase_rules", rules.apply_phrase_rules, _replaced("trim(lower({0}))", [(f"(?i){p}", r) for p, r in PHRASE_RULES]))
 _CLEAN = r"regexp_replace(lower(w), '[^\p{L}\p{N}_'']', '', 'g')"
 _dialect = {k: v for k, v in DIALECT_RULES.items() if k not in CONTEXT_WORDS}
-_by_rule("r2_dialect_rules", rules.apply_dialect_rules, f"array_to_string(list_transform({_WORDS}, lambda w: coalesce({_sql_map(_dialect)}[{_CLEAN}] || substr(w, length({_CLEAN}) + 1), w)), ' ')")
-_by_rule("r3_slang_rules", rules.apply_slang_rules, None)
-_by_rule("r4_explicit_rules", rules.apply_explicit_rules, None)
-_by_rule("r5_correct_transcripts", lambda t: rules.correct(t, aggressive=True), None)
+
+
+def _around_sql(before: int, after: int) -> tuple[str, str]:
+    """The words around the i-th of list s, in lower case."""
+    return f"lower(array_to_string(s[greatest(i - {before}, 1):i - 1], ' '))", f"lower(array_to_string(s[i + 1:i + {after}], ' '))"
+
+
+def _rules_sql(special: str, mapping: dict[str, str]) -> str:
+    found = f"coalesce({special}, {_sql_map(mapping)}[c])"
+    one = _let("c", _CLEAN, f"coalesce({found} || substr(w, length(c) + 1), w)")
+    return _let("s", _WORDS, f"array_to_string(list_transform(s, lambda w, i: {one}), ' ')")
+
+
+_R1 = _replaced("trim(lower({0}))", [(f"(?i){p}", r) for p, r in PHRASE_RULES])
+_R2 = f"array_to_string(list_transform({_WORDS}, lambda w: coalesce({_sql_map(_dialect)}[{_CLEAN}] || substr(w, length({_CLEAN}) + 1), w)), ' ')"
+_R3 = _rules_sql(f"CASE WHEN c = 'well' AND contains({_around_sql(2, 0)[0]}, 'jam') THEN {_sql(IN_CONTEXT['well'])} END", {k: v for k, v in SLANG_RULES.items() if k not in CONTEXT_WORDS})
+_R4 = _rules_sql(
+    f"CASE WHEN c = 'her' AND contains({_around_sql(2, 1)[0]}, 'these') AND contains({_around_sql(2, 1)[1]}, 'gon') THEN {_sql(IN_CONTEXT['her'])} "
+    f"WHEN c = 'na' AND regexp_matches({' || '.join(_around_sql(3, 2))}, 'try|gang|jam|young|ass|can''t') THEN {_sql(IN_CONTEXT['na'])} END",
+    EXPLICIT_RULES,
+)
+_by_rule("r1_phrase_rules", rules.apply_phrase_rules, _R1)
+_by_rule("r2_dialect_rules", rules.apply_dialect_rules, _R2)
+_by_rule("r3_slang_rules", rules.apply_slang_rules, _R3)
+_by_rule("r4_explicit_rules", rules.apply_explicit_rules, _R4)
+
+
+@query(
+    "r5_correct_transcripts",
+    f"""WITH {SEGMENTS_SQL}, a AS MATERIALIZED (SELECT key, {_R1.replace('{0}', f'({_CUE_SQL})')} AS t FROM segments), b AS MATERIALIZED (SELECT key, {_R2.replace('{0}', 't')} AS t FROM a),
+c AS MATERIALIZED (SELECT key, {_R3.replace('{0}', 't')} AS t FROM b) SELECT key, {_R4.replace('{0}', 't')} AS out FROM c""",
+)
+def r5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rule_texts(spark, sf_dir).select("key", rules.correct(F.col("text"), aggressive=True).alias("out"))
 
 
 def _changed(df: DataFrame) -> DataFrame:
@@ -133,7 +193,16 @@ def r6a(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _changed(rules.correct_with_changes(_rule_texts(spark, sf_dir), aggressive=True))
 
 
-@query("r7_extend_rules")
+_RULE_ROWS = [("phrase", i, p, r) for i, (p, r) in enumerate(PHRASE_RULES)] + [(c, i, p, r) for c, m in (("dialect", DIALECT_RULES), ("slang", SLANG_RULES), ("explicit", EXPLICIT_RULES)) for i, (p, r) in enumerate(m.items())]
+
+
+@query(
+    "r7_extend_rules",
+    f"""WITH old AS (SELECT * FROM (VALUES {', '.join(f'({_sql(c)}, {i}, {_sql(p)}, {_sql(r)})' for c, i, p, r in _RULE_ROWS)}) v(category, priority, pattern, replacement)),
+new AS (SELECT 'slang' AS category, CAST(p_partkey + (SELECT max(priority) FROM old WHERE category = 'slang') + 1 AS INTEGER) AS priority, lower(p_name) AS pattern, lower(p_brand) AS replacement FROM part),
+every AS (SELECT *, 0 AS fresh FROM old UNION ALL SELECT *, 1 FROM new)
+SELECT category, priority, pattern, replacement FROM (SELECT *, row_number() OVER (PARTITION BY category, pattern ORDER BY fresh DESC, priority DESC) AS n FROM every) WHERE n = 1 OR category = 'phrase'""",
+)
 def r7(spark: SparkSession, sf_dir: str) -> DataFrame:
     custom = read(spark, sf_dir, "part").select(F.lit("slang").alias("category"), F.col("p_partkey").cast("int").alias("priority"), F.col("p_name").alias("pattern"), F.col("p_brand").alias("replacement"))
     return rules.extend_rules(rules.rule_table(spark), custom)
@@ -156,15 +225,24 @@ def _dirty(spark: SparkSession, sf_dir: str) -> DataFrame:
 _DIRTY_SQL = f"dirty AS (SELECT doc_id, [{', '.join(map(_sql, _DIRT))}][doc_id % {len(_DIRT)} + 1] || chr(10) || text AS text FROM documents)"
 
 
-@query("c1_strip_metadata")
-def c1(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _dirty(spark, sf_dir).select("doc_id", clean.strip_metadata(F.col("text")).alias("cleaned"))
+_KEYWORDS = "[" + ", ".join(map(_sql, clean.EDITORIAL_KEYWORDS)) + "]"
+_EDITORIAL = f"(length(x) > 40 AND len(list_filter({_KEYWORDS}, lambda k: contains(lower(x), k))) >= 2)"
 
 
-_KEYWORDS = "[" + ", ".join(map(_sql, clean.EDITORIAL_KEYWORDS)) + "]"
+def _stripped_sql() -> str:
+    out = "text"
+    for pattern, _ in clean.METADATA_PATTERNS:
+        out = f"regexp_replace({out}, {_sql('(?im)' + pattern)}, chr(10), 'g')"
+    kept = f"array_to_string(list_filter(string_split({out}, chr(10)), lambda x: NOT {_EDITORIAL}), chr(10))"
+    return rf"regexp_replace(regexp_replace({kept}, '\n{{3,}}', chr(10) || chr(10), 'g'), '^\s+|\s+$', '', 'g')"
+
+
+@query("c1_strip_metadata", f"WITH {_DIRTY_SQL} SELECT doc_id, {_stripped_sql()} AS cleaned FROM dirty")
+def c1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _dirty(spark, sf_dir).select("doc_id", clean.strip_metadata(F.col("text")).alias("cleaned"))
 
 
-@query("c2_editorial_lines", f"WITH {_DIRTY_SQL} SELECT doc_id, array_to_string(list_filter(string_split(text, chr(10)), lambda x: length(x) > 40 AND len(list_filter({_KEYWORDS}, lambda k: contains(lower(x), k))) >= 2), '|') AS lines FROM dirty")
+@query("c2_editorial_lines", f"WITH {_DIRTY_SQL} SELECT doc_id, array_to_string(list_filter(string_split(text, chr(10)), lambda x: {_EDITORIAL}), '|') AS lines FROM dirty")
 def c2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _dirty(spark, sf_dir).select("doc_id", F.array_join(clean.editorial_lines(F.col("text")), "|").alias("lines"))
 
@@ -174,13 +252,13 @@ def c3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _dirty(spark, sf_dir).select("doc_id", F.explode(clean.metadata_changes(F.col("text"))).alias("c")).select("doc_id", "c.*")
 
 
-@query("c4_contamination")
-def c4(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return clean.contamination(_dirty(spark, sf_dir)).select("doc_id", "original_len", "cleaned_len", "reduction_pct", "contaminated")
+_CHANGED_SQL = f"""{_DIRTY_SQL}, flags AS (SELECT doc_id, text, {_stripped_sql()} AS cleaned, {' OR '.join(f"len(list_filter(regexp_extract_all(text, {_sql('(?im)' + pattern)}), lambda m: trim(m, chr(10) || chr(13) || chr(9) || ' ') <> '')) > 0" for pattern, _ in clean.METADATA_PATTERNS)}
+  OR len(list_filter(string_split(text, chr(10)), lambda x: {_EDITORIAL})) > 0 AS contaminated FROM dirty)"""
 
 
-_CHANGED_SQL = f"""{_DIRTY_SQL}, flags AS (SELECT doc_id, {' OR '.join(f"len(list_filter(regexp_extract_all(text, {_sql('(?im)' + pattern)}), lambda m: trim(m, chr(10) || chr(13) || chr(9) || ' ') <> '')) > 0" for pattern, _ in clean.METADATA_PATTERNS)}
-  OR len(list_filter(string_split(text, chr(10)), lambda x: length(x) > 40 AND len(list_filter({_KEYWORDS}, lambda k: contains(lower(x), k))) >= 2)) > 0 AS contaminated FROM dirty)"""
+@query("c4_contamination", f"WITH {_CHANGED_SQL} SELECT doc_id, CAST(length(text) AS INTEGER) AS original_len, CAST(length(cleaned) AS INTEGER) AS cleaned_len, round_even((1 - length(cleaned) / greatest(length(text), 1)) * 100, 1) AS reduction_pct, contaminated FROM flags")
+def c4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return clean.contamination(_dirty(spark, sf_dir)).select("doc_id", "original_len", "cleaned_len", "reduction_pct", "contaminated")
 
 
 @query("c4_contamination_report", f"WITH {_CHANGED_SQL} SELECT count(*) AS total, count_if(contaminated) AS contaminated, count_if(NOT contaminated) AS clean FROM flags")
@@ -188,7 +266,7 @@ def c4r(spark: SparkSession, sf_dir: str) -> DataFrame:
     return clean.contamination_report(_dirty(spark, sf_dir))
 
 
-@query("c5_apply_fixes")
+@query("c5_apply_fixes", f"WITH {_CHANGED_SQL} SELECT doc_id, CASE WHEN contaminated THEN cleaned ELSE text END AS text, contaminated AS fixed FROM flags")
 def c5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return clean.apply_fixes(_dirty(spark, sf_dir)).select("doc_id", "text", "fixed")
 
