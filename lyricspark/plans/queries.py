@@ -87,6 +87,19 @@ def _adlibs_sql() -> str:
     return _let("w", _WORDS, _let("h", hits, f"array_to_string(list_transform(w, lambda x, i: {one}), ' ')"))
 
 
+_FULL = "length(string_split(done, chr(10))[-1]) + length(w) + 1 > 60"
+_WRAPPED = f"list_reduce({_WORDS.replace('{0}', 'part')}, lambda done, w: done || CASE WHEN {_FULL} THEN chr(10) ELSE ' ' END || w)"
+_PARTS = r"list_filter(string_split(regexp_replace({0}, '([.!?]|yeah|ayy)\s+', '\1' || chr(1), 'g'), chr(1)), lambda part: regexp_matches(part, '\S'))"
+_BROKEN = f"array_to_string(list_transform({_PARTS}, lambda part: {_WRAPPED}), chr(10))"
+
+
+def _marked_sql(lines: str, key: str) -> str:
+    """Common table expressions that end in marked(key, out), from lines(key, line_no, text)."""
+    return f"""counted AS (SELECT {key}, line_no, text, count(*) OVER (PARTITION BY {key}, lower(trim(text))) > 1 AS again FROM {lines}),
+turns AS (SELECT *, coalesce(lag(again) OVER (PARTITION BY {key} ORDER BY line_no), false) AS before FROM counted),
+marked AS (SELECT {key}, string_agg(CASE WHEN again AND NOT before THEN chr(10) || '[Chorus]' || chr(10) WHEN before AND NOT again THEN chr(10) || '[Verse]' || chr(10) ELSE '' END || text, chr(10) ORDER BY line_no) AS out FROM turns GROUP BY {key})"""
+
+
 # --- text functions -----------------------------------------------------------------------------
 _by_line("t1_normalize_delete", text.normalize_delete, _N)
 _by_line("t2_normalize_space", text.normalize_space, _NS)
@@ -108,20 +121,24 @@ _by_line("t17_restore_punctuation", text.restore_punctuation, _RESTORED)
 _by_line("t18_censor", lambda t: text.censor(F.replace(t, F.lit("the"), F.lit("hell"))), _replaced("replace({0}, 'the', 'hell')", _MASKS))
 _by_line("t19_postprocess_text", lambda t: text.postprocess_text(t, slang=True, punctuation=True, masked=True), _replaced(_RESTORED.replace("{0}", _CAPITALS.replace("{0}", _mapped_words(SLANG_EXPANSIONS))), _MASKS))
 _by_line("t20_format_adlibs", lambda t: text.format_adlibs(F.replace(t, F.lit("the "), F.lit("yeah yuh ")), ADLIB_TERMS), _adlibs_sql().replace("{0}", "replace({0}, 'the ', 'yeah yuh ')"))
-_by_line("t21_break_lines", lambda t: F.array_join(text.break_lines(t), "\n"), None)
+_by_line("t21_break_lines", lambda t: F.array_join(text.break_lines(t), "\n"), _BROKEN)
 
 
-@query(
-    "t22_mark_structure",
-    f"""WITH {SEGMENTS_SQL}, k AS (SELECT doc_id, line_no, text, count(*) OVER (PARTITION BY doc_id, lower(trim(text))) > 1 AS again FROM segments),
-m AS (SELECT *, coalesce(lag(again) OVER (PARTITION BY doc_id ORDER BY line_no), false) AS before FROM k)
-SELECT doc_id, string_agg(CASE WHEN again AND NOT before THEN chr(10) || '[Chorus]' || chr(10) WHEN before AND NOT again THEN chr(10) || '[Verse]' || chr(10) ELSE '' END || text, chr(10) ORDER BY line_no) AS out FROM m GROUP BY doc_id""",
-)
+@query("t22_mark_structure", f"WITH {SEGMENTS_SQL}, {_marked_sql('segments', 'doc_id')} SELECT doc_id, out FROM marked")
 def t22(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "documents").select("doc_id", F.array_join(text.mark_structure(F.split("text", "\n", -1)), "\n").alias("out"))
 
 
-_by_line("t23_clean_transcript", lambda t: text.clean_transcript(t, as_lyrics=True, adlibs=ADLIB_TERMS), None)
+
+@query(
+    "t23_clean_transcript",
+    f"""WITH {SEGMENTS_SQL}, formatted AS MATERIALIZED (SELECT key, {_adlibs_sql().replace('{0}', _CAPITALS.replace('{0}', 'text'))} AS t FROM segments),
+broken AS (SELECT key, string_split({_BROKEN.replace('{0}', 't')}, chr(10)) AS ls FROM formatted), lines_of AS (SELECT key, i AS line_no, ls[i] AS text FROM (SELECT key, ls, unnest(range(1, len(ls) + 1)) AS i FROM broken)),
+{_marked_sql('lines_of', 'key')} SELECT key, out FROM marked""",
+)
+def t23(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return segments(spark, sf_dir).select("key", text.clean_transcript(F.col("text"), as_lyrics=True, adlibs=ADLIB_TERMS).alias("out"))
+
 
 # --- rules --------------------------------------------------------------------------------------
 _CUES = ("it's my watch it's my", "pants up now she wanna", "jam us, well ok", "i keeping the rain", "hey going well,", "same thing (doing)", "stick jam well. pant", "all these her gon na try", "groups beaches na gang", "one of one skirts op")
@@ -183,12 +200,29 @@ def _changed(df: DataFrame) -> DataFrame:
     return df.select("key", "corrected", F.array_join("changes", "; ").alias("changes"), "n_changes", "was_modified")
 
 
-@query("r6_correct_with_changes")
+def _changes_sql(aggressive: bool) -> str:
+    """Every phrase rule in a step of its own; the words of the other steps compared in place."""
+    steps = [f"s0 AS MATERIALIZED (SELECT key, trim(lower({_CUE_SQL})) AS t, [] :: VARCHAR[] AS notes FROM segments)"]
+    for n, (p, r) in enumerate(PHRASE_RULES):
+        note = _sql(f"phrase: '{p}' → '{r}'")
+        steps.append(f"s{n + 1} AS MATERIALIZED (SELECT key, u AS t, CASE WHEN u <> t THEN list_append(notes, {note}) ELSE notes END AS notes FROM (SELECT *, regexp_replace(t, {_sql('(?i)' + p)}, {_sql(r)}, 'g') AS u FROM s{n}))")
+    last = f"s{len(PHRASE_RULES)}"
+    for kind, rule in (("dialect", _R2), ("slang", _R3), ("explicit", _R4))[: 3 if aggressive else 2]:
+        x, y = (_WORDS.replace("{0}", c) for c in ("t", "u"))
+        bare = lambda w: _CLEAN.replace("lower(w)", f"lower({w})")
+        pairs_ = f"list_filter(list_zip({x}, {y}), lambda p: p[1] <> p[2])"
+        notes = f"list_transform({pairs_}, lambda p: '{kind}: ' || {bare('p[1]')} || ' → ' || {bare('p[2]')})"
+        steps.append(f"{kind} AS MATERIALIZED (SELECT key, u AS t, list_concat(notes, {notes}) AS notes FROM (SELECT *, {rule.replace('{0}', 't')} AS u FROM {last}))")
+        last = kind
+    return f"WITH {SEGMENTS_SQL}, {', '.join(steps)} SELECT key, t AS corrected, array_to_string(notes, '; ') AS changes, CAST(len(notes) AS INTEGER) AS n_changes, len(notes) > 0 AS was_modified FROM {last}"
+
+
+@query("r6_correct_with_changes", _changes_sql(False))
 def r6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _changed(rules.correct_with_changes(_rule_texts(spark, sf_dir)))
 
 
-@query("r6_correct_aggressively")
+@query("r6_correct_aggressively", _changes_sql(True))
 def r6a(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _changed(rules.correct_with_changes(_rule_texts(spark, sf_dir), aggressive=True))
 
@@ -464,7 +498,18 @@ def m1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pairs(spark, sf_dir).select("key", F.round(metrics.wer(r, h), 6).alias("wer"), F.round(metrics.wer(r, h, "space", "one"), 6).alias("wer_space"))
 
 
-@query("m2_cer")
+def _coded(text: str, chars: str) -> str:
+    """text with each character as one byte, its place in chars: DuckDB's levenshtein counts bytes."""
+    return f"array_to_string(list_transform(list_filter(string_split({text}, ''), lambda c: c <> ''), lambda c: chr(CAST(list_position({chars}, c) AS INTEGER))), '')"
+
+
+@query(
+    "m2_cer",
+    f"""WITH {PAIRS_SQL}, n AS (SELECT key, {_N.replace('{0}', 'reference')} AS r, {_N.replace('{0}', 'hypothesis')} AS h FROM pairs),
+a AS (SELECT *, list_distinct(list_filter(string_split(r || h, ''), lambda c: c <> '')) AS chars FROM n),
+d AS (SELECT key, r, h, CASE WHEN len(chars) < 128 THEN levenshtein({_coded('r', 'chars')}, {_coded('h', 'chars')}) ELSE error('more than 127 characters') END AS d FROM a)
+SELECT key, round(CASE WHEN r = '' THEN length(h) ELSE d / length(r) END, 6) AS cer FROM d""",
+)
 def m2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pairs(spark, sf_dir).select("key", F.round(metrics.cer(F.col("reference"), F.col("hypothesis")), 6).alias("cer"))
 
@@ -1019,7 +1064,16 @@ def p1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return overlapping_chunks(read(spark, sf_dir, "events"), seconds=50_000, overlap=5_000).select("start_time", "end_time", "n")
 
 
-@query("p2_assemble_sessions")
+@query(
+    "p2_assemble_sessions",
+    """WITH m AS (SELECT CAST(user_id AS VARCHAR) AS session, event_id AS seq, props AS data, CASE event_type WHEN 'click' THEN 'audio' WHEN 'view' THEN 'audio' WHEN 'purchase' THEN 'transcribe' WHEN 'signup' THEN 'clear' WHEN 'error' THEN 'end' ELSE event_type END AS kind FROM events),
+runs AS (SELECT *, CASE WHEN kind = 'audio' THEN coalesce(data, '') ELSE '' END AS heard, coalesce(count_if(kind IN ('transcribe', 'clear', 'end')) OVER (PARTITION BY session ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS run FROM m),
+held AS (SELECT session, run, string_agg(heard, '' ORDER BY seq) AS held FROM runs GROUP BY session, run),
+sized AS (SELECT runs.*, held, CAST(sum(length(heard)) OVER (PARTITION BY runs.session, runs.run ORDER BY seq ROWS UNBOUNDED PRECEDING) AS BIGINT) AS size FROM runs JOIN held ON runs.session IS NOT DISTINCT FROM held.session AND runs.run = held.run)
+SELECT session, seq, CASE kind WHEN 'audio' THEN 'ack' WHEN 'transcribe' THEN CASE WHEN size > 0 THEN 'transcript' ELSE 'error' END WHEN 'clear' THEN 'cleared' WHEN 'ping' THEN 'pong' WHEN 'end' THEN 'closed' ELSE 'error' END AS kind,
+  CASE WHEN kind = 'transcribe' THEN CASE WHEN size > 0 THEN held ELSE 'no audio' END WHEN kind IN ('audio', 'clear', 'ping', 'end') THEN '' ELSE 'unknown type: ' || kind END AS detail,
+  CASE WHEN kind = 'clear' THEN 0 ELSE size END AS bytes FROM sized""",
+)
 def p2(spark: SparkSession, sf_dir: str) -> DataFrame:
     kinds = F.create_map(*(F.lit(x) for kv in (("click", "audio"), ("view", "audio"), ("purchase", "transcribe"), ("signup", "clear"), ("error", "end")) for x in kv))
     messages = read(spark, sf_dir, "events").select(F.col("user_id").cast("string").alias("session"), F.col("event_id").alias("seq"), F.coalesce(kinds[F.col("event_type")], F.col("event_type")).alias("type"), F.col("props").alias("data"))
@@ -1031,7 +1085,7 @@ def p3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return running_metrics_stream(read(spark, sf_dir, "events"), ("event_type",), ("value",)).withColumn("avg_value", F.round("avg_value", 6))
 
 
-@query("p4_clean_stream")
+@query("p4_clean_stream", f"WITH c AS (SELECT conv_id, turn, {_CAPITALS.replace('{0}', "coalesce(text, '')")} AS t FROM conversations) SELECT conv_id, coalesce(string_agg(t, ' ' ORDER BY turn, t) FILTER (WHERE t <> ''), '') AS text FROM c GROUP BY conv_id")
 def p4(spark: SparkSession, sf_dir: str) -> DataFrame:
     cleaned = clean_stream(read(spark, sf_dir, "conversations"))
     return final_transcripts(cleaned, "conv_id", "turn")
