@@ -475,12 +475,14 @@ def v11(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "v12_fuzzy_lookup",
-    f"""WITH {_TOKENS_SQL}, {_LEX_SQL}, k AS (SELECT DISTINCT lower(word) AS word FROM tokens WHERE regexp_matches(word, '^[A-Za-z]+$')), e AS (SELECT DISTINCT lower(word) AS entry FROM lex WHERE regexp_matches(word, '^[A-Za-z]+$'))
-SELECT word, entry, CAST(levenshtein(word, entry) AS INTEGER) AS distance FROM k JOIN e ON length(word) BETWEEN length(entry) - 1 AND length(entry) + 1 WHERE levenshtein(word, entry) <= 1""",
+    f"""WITH {_TOKENS_SQL}, {_LEX_SQL}, k AS (SELECT DISTINCT lower(word) AS word FROM tokens), e AS (SELECT DISTINCT lower(word) AS entry FROM lex),
+wide AS (SELECT string_agg(DISTINCT c, '') AS chars FROM (SELECT unnest(string_split(word, '')) AS c FROM (SELECT word FROM k UNION ALL SELECT entry FROM e)) WHERE unicode(c) > 127),
+code AS (SELECT coalesce(chars, '') AS chars, CASE WHEN coalesce(length(chars), 0) <= 26 THEN 'ABCDEFGHIJKLMNOPQRSTUVWXYZ' ELSE error('more than 26 characters beyond ASCII') END AS letters FROM wide),
+kc AS MATERIALIZED (SELECT word, translate(word, chars, letters[1:length(chars)]) AS w, length(word) AS n FROM k, code), ec AS MATERIALIZED (SELECT entry, translate(entry, chars, letters[1:length(chars)]) AS x, length(entry) AS m FROM e, code)
+SELECT word, entry, CAST(levenshtein(w, x) AS INTEGER) AS distance FROM kc JOIN (SELECT *, unnest([m - 2, m - 1, m, m + 1, m + 2]) AS n FROM ec) b ON kc.n = b.n WHERE levenshtein(w, x) <= 2""",
 )
 def v12(spark: SparkSession, sf_dir: str) -> DataFrame:
-    plain = F.col("word").rlike("^[A-Za-z]+$")
-    return vocab.fuzzy_lookup(vocab.word_counts(read(spark, sf_dir, "documents")).filter(plain), _lexicon(spark, sf_dir).filter(plain), 1)
+    return vocab.fuzzy_lookup(vocab.word_counts(read(spark, sf_dir, "documents")), _lexicon(spark, sf_dir))
 
 
 @query("v13_ctc_collapse", f"WITH {SEGMENTS_SQL}, c AS (SELECT key, list_transform(list_filter(string_split(text, ''), lambda c: c <> ''), lambda c: unicode(c) % 3) AS ids FROM segments) SELECT key, array_to_string([ids[i] FOR i IN range(1, len(ids) + 1) IF ids[i] <> 0 AND (i = 1 OR ids[i] <> ids[i - 1])], ' ') AS out FROM c")
