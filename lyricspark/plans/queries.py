@@ -11,8 +11,9 @@ from lyricspark.functions import clean, metrics, quality, rules, signal, text
 from lyricspark.functions.constants import ADLIB_TERMS, AUDIT_STOPWORDS, AUGMENTATIONS, CAPITALIZED, CATEGORY_ADLIBS, CENSORED, CONTRACTIONS, CONTEXT_WORDS, DIALECT_RULES, DOMAIN_TOKENS, EXPLICIT_RULES, IN_CONTEXT, PHONEMES, PHRASE_RULES, SLANG_EXPANSIONS, SLANG_RULES, STOPWORDS
 from lyricspark.functions.align import align_words, edit_ops
 from lyricspark.operators import corpus, evaluate, vocab
-from lyricspark.sources import parse_song_list
-from lyricspark.streaming import assemble_sessions, clean_stream, final_transcripts, overlapping_chunks, running_metrics_stream
+from lyricspark.sources import load_buckets, override_words, parse_song_list, read_manifest, save_buckets, write_dataset
+from lyricspark.sources.shared import shared_path
+from lyricspark.streaming import assemble_sessions, clean_stream, final_transcripts, final_windows, indexed_chunks, overlapping_chunks, running_metrics_stream, running_rows, start_stream
 
 from .fixtures import ASCII, NORMAL, NORMAL_SPACE, PAIRS_SQL, SEGMENTS_SQL, pairs, read, segments, words_sql
 
@@ -1077,9 +1078,12 @@ SELECT session, seq, CASE kind WHEN 'audio' THEN 'ack' WHEN 'transcribe' THEN CA
   CASE WHEN kind = 'clear' THEN 0 ELSE size END AS bytes FROM sized""",
 )
 def p2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return assemble_sessions(_messages(spark, sf_dir))
+
+
+def _messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     kinds = F.create_map(*(F.lit(x) for kv in (("click", "audio"), ("view", "audio"), ("purchase", "transcribe"), ("signup", "clear"), ("error", "end")) for x in kv))
-    messages = read(spark, sf_dir, "events").select(F.col("user_id").cast("string").alias("session"), F.col("event_id").alias("seq"), F.coalesce(kinds[F.col("event_type")], F.col("event_type")).alias("type"), F.col("props").alias("data"))
-    return assemble_sessions(messages)
+    return read(spark, sf_dir, "events").select(F.col("user_id").cast("string").alias("session"), F.col("event_id").alias("seq"), F.coalesce(kinds[F.col("event_type")], F.col("event_type")).alias("type"), F.col("props").alias("data"))
 
 
 @query("p3_running_metrics", "SELECT event_type, count(*) AS samples, round(avg(value), 6) AS avg_value FROM events GROUP BY event_type")
@@ -1091,3 +1095,121 @@ def p3(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p4(spark: SparkSession, sf_dir: str) -> DataFrame:
     cleaned = clean_stream(read(spark, sf_dir, "conversations"))
     return final_transcripts(cleaned, "conv_id", "turn")
+
+
+# --- streams ------------------------------------------------------------------------------------
+
+
+def _as_stream(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
+    """df as a stream, by way of the shared folder."""
+    path = shared_path(spark, name)
+    df.write.parquet(path)
+    return spark.readStream.schema(df.schema).parquet(path)
+
+
+def _streamed(spark: SparkSession, stream: DataFrame, name: str) -> DataFrame:
+    """What a stream has written once its input is used up."""
+    path = shared_path(spark, name)
+    run = start_stream(stream, f"{path}/out", f"{path}/checkpoint")
+    run.awaitTermination()
+    return spark.read.schema(stream.schema).parquet(f"{path}/out")
+
+
+def _watched(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The events, and one much later row of another key, behind which the watermark passes all of them."""
+    rows = read(spark, sf_dir, "events").select(F.concat(F.lit("u"), "user_id").alias("session"), F.col("ts").cast("timestamp").alias("ts"), F.lit(1.0).alias("value"))
+    return rows.union(rows.agg(F.lit("~"), F.max("ts") + F.expr("INTERVAL 30 DAYS"), F.lit(0.0)))
+
+
+_CHUNKS_SQL = """WITH e AS (SELECT 'u' || user_id AS session, epoch_us(ts) AS us FROM events WHERE user_id IS NOT NULL AND ts IS NOT NULL), o AS (SELECT session, us - min(us) OVER (PARTITION BY session) AS o, min(us) OVER (PARTITION BY session) AS first FROM e),
+c AS (SELECT session, first, unnest(range(greatest(0, o // 79200000000 - 1), o // 79200000000 + 1)) AS chunk, o FROM o)
+SELECT session, chunk, make_timestamp(first + chunk * 79200000000) AS start_time, make_timestamp(first + chunk * 79200000000 + 86400000000) AS end_time, count(*) AS n FROM c WHERE o < chunk * 79200000000 + 86400000000 GROUP BY session, first, chunk"""
+
+
+@query("p1_indexed_chunks", _CHUNKS_SQL)
+def p1i(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = indexed_chunks(_watched(spark, sf_dir), "session", seconds=86_400, overlap=7_200).filter("session <> '~'")
+    return out.select("session", "chunk", F.col("start_time").cast("timestamp_ntz").alias("start_time"), F.col("end_time").cast("timestamp_ntz").alias("end_time"), "n")
+
+
+@query("p1_indexed_chunk_stream", _CHUNKS_SQL)
+def p1s(spark: SparkSession, sf_dir: str) -> DataFrame:
+    stream = indexed_chunks(_as_stream(spark, _watched(spark, sf_dir), "events"), "session", seconds=86_400, overlap=7_200)
+    out = _streamed(spark, stream, "chunks").filter("session <> '~'")
+    return out.select("session", "chunk", F.col("start_time").cast("timestamp_ntz").alias("start_time"), F.col("end_time").cast("timestamp_ntz").alias("end_time"), "n")
+
+
+@query("p2_session_stream", ORACLES["p2_assemble_sessions"])
+def p2s(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _streamed(spark, assemble_sessions(_as_stream(spark, _messages(spark, sf_dir), "messages"), timeout_ms=None), "sessions")
+
+
+_RUNNING_SQL = """SELECT event_type, event_id, count(*) OVER w AS samples, round((avg(value) OVER w) * (count(value) OVER w), 4) AS total FROM events
+WINDOW w AS (PARTITION BY event_type ORDER BY event_id ROWS UNBOUNDED PRECEDING)"""
+
+
+@query("p3_running_rows", _RUNNING_SQL)
+def p3r(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _totals(running_rows(read(spark, sf_dir, "events"), ("event_type",), "event_id", ("value",)))
+
+
+def _totals(df: DataFrame) -> DataFrame:
+    """Means times counts: rounded means would tie where sums don't."""
+    return df.select("event_type", "event_id", "samples", F.round(F.col("avg_value") * F.col("samples"), 4).alias("total"))
+
+
+@query("p3_running_stream", _RUNNING_SQL)
+def p3s(spark: SparkSession, sf_dir: str) -> DataFrame:
+    events = read(spark, sf_dir, "events").select("event_type", "event_id", "value")
+    return _totals(_streamed(spark, running_rows(_as_stream(spark, events, "events"), ("event_type",), "event_id", ("value",)), "running"))
+
+
+def _timed_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each turn 20 seconds after the last, with a longer pause before every fifth; at the end a much later row."""
+    seconds = F.col("turn") * 20 + F.expr("turn div 5") * 60
+    rows = read(spark, sf_dir, "conversations").select(F.col("conv_id").cast("string").alias("conv_id"), F.col("turn").cast("long").alias("turn"), F.timestamp_seconds(1_700_000_000 + seconds).alias("ts"), "text")
+    return rows.union(rows.agg(F.lit("~"), F.lit(0).cast("long"), F.max("ts") + F.expr("INTERVAL 30 DAYS"), F.lit("")))
+
+
+_WINDOWS_SQL = f"""WITH c AS (SELECT CAST(conv_id AS VARCHAR) AS conv_id, turn, turn * 20 + turn // 5 * 60 AS s, {_CAPITALS.replace('{0}', "coalesce(text, '')")} AS t FROM conversations),
+g AS (SELECT *, CASE WHEN s - lag(s) OVER (PARTITION BY conv_id ORDER BY s) < 30 THEN 0 ELSE 1 END AS fresh FROM c),
+r AS (SELECT *, sum(fresh) OVER (PARTITION BY conv_id ORDER BY s, fresh DESC ROWS UNBOUNDED PRECEDING) AS run FROM g)
+SELECT conv_id, 1700000000 + min(s) AS start_second, 1700000000 + max(s) + 30 AS end_second, CAST(count(*) AS INTEGER) AS partials, coalesce(string_agg(t, ' ' ORDER BY turn, t) FILTER (WHERE t <> ''), '') AS text FROM r GROUP BY conv_id, run"""
+
+
+def _windows(df: DataFrame) -> DataFrame:
+    return df.filter("conv_id <> '~'").select("conv_id", F.unix_timestamp("start_time").alias("start_second"), F.unix_timestamp("end_time").alias("end_second"), "partials", "text")
+
+
+@query("p4_final_windows", _WINDOWS_SQL)
+def p4w(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _windows(final_windows(clean_stream(_timed_turns(spark, sf_dir)), "conv_id", "turn"))
+
+
+@query("p4_final_window_stream", _WINDOWS_SQL)
+def p4s(spark: SparkSession, sf_dir: str) -> DataFrame:
+    stream = final_windows(clean_stream(_as_stream(spark, _timed_turns(spark, sf_dir), "turns")), "conv_id", "turn")
+    return _windows(_streamed(spark, stream, "windows"))
+
+
+# --- sources and sinks --------------------------------------------------------------------------
+
+
+@query("s1_s6_manifest_array", f"WITH {SEGMENTS_SQL} SELECT key AS id, text, source AS artist, CAST(line_no AS DOUBLE) AS duration, coalesce(lang = 'en', false) AS has_adlibs FROM segments")
+def s1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All lines of all documents, written as one array and read again."""
+    path = shared_path(spark, "manifest") + ".json"
+    rows = segments(spark, sf_dir)
+    write_dataset(rows.select(F.col("key").alias("id"), F.col("text").alias("lyrics"), F.struct(F.col("source").alias("artist"), F.col("line_no").cast("double").alias("duration_seconds")).alias("metadata"), (F.col("lang") == "en").alias("has_adlibs")), path, "array")
+    return read_manifest(spark, path).select("id", "text", "artist", "duration", "has_adlibs")
+
+
+@query("s5_s7_lexicon_override", f"WITH {_LEX_SQL}, n AS (SELECT lower(p_name) AS word, max(p_brand) AS definition FROM part GROUP BY lower(p_name) UNION ALL SELECT upper(word), 'new' FROM lex WHERE n % 3 = 0) SELECT word, definition FROM n UNION ALL SELECT word, CAST(n AS VARCHAR) FROM lex WHERE lower(word) NOT IN (SELECT lower(word) FROM n)")
+def s5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The words of the benchmark as buckets, overridden by new and by changed words, and read again."""
+    path, lexicon = shared_path(spark, "lexicon"), _lexicon(spark, sf_dir)
+    save_buckets(lexicon, path, 32)
+    names = read(spark, sf_dir, "part").groupBy(F.lower("p_name").alias("word")).agg(F.max("p_brand").alias("definition"))
+    changed = lexicon.filter(F.col("definition").cast("int") % 3 == 0).select(F.upper("word").alias("word"), F.lit("new").alias("definition"))
+    override_words(spark, path, lexicon.limit(0).unionByName(names.union(changed), allowMissingColumns=True))
+    return load_buckets(spark, path).select("word", "definition")

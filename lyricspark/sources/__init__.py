@@ -7,20 +7,23 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .json_array import read_elements
+from .json_sink import JsonSink
+from .lexicon_store import load_buckets, override_words, save_buckets
+
+__all__ = ["load_buckets", "load_lexicon", "load_vocab", "override_words", "pair_by_stem", "parse_song_list", "read_elements", "read_lexicon", "read_lyrics_corpus", "read_manifest", "save_buckets", "save_lexicon", "save_vocab", "write_dataset"]
+
 ENTRY = "audio_path string, audio string, audio_file string, text string, lyrics string, transcript_file string, duration double, duration_seconds double, phonemes string, artist string, song string, song_title string, genre string, has_adlibs boolean, id string, source_id string, augmentation string, challenge_tags array<string>, tags array<string>, alignment_score double, chunk_index int, start double, `end` double, original_sample_id string, word_count int, metadata struct<artist:string,song:string,duration_seconds:double,word_count:int>"
 
 
-def read_manifest(spark: SparkSession, path: str) -> DataFrame:
+def read_manifest(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:
     """Rows of a JSON manifest: an envelope with entries, samples, segments or augmented_samples, or a bare list.
 
     Aliases of a field are merged, nested metadata stand in for missing flat fields, and a missing
-    has_adlibs is false.
+    has_adlibs is false. Files are divided among tasks, whatever their size.
     """
-    keys = ("entries", "samples", "segments", "augmented_samples")
-    texts = spark.read.text(path, wholetext=True).filter(F.trim("value") != "")
-    envelope = F.from_json("value", ", ".join(f"{k} array<struct<{_as_struct()}>>" for k in keys))
-    bare = F.from_json("value", f"array<struct<{_as_struct()}>>")
-    rows = texts.select(F.when(F.ltrim("value").startswith("["), bare).otherwise(F.coalesce(*(envelope[k] for k in keys))).alias("e")).select(F.inline("e"))
+    entry = F.from_json("element", ENTRY)
+    rows = read_elements(spark, path).select(entry.alias("e")).filter("e is not null").select("e.*")
     merged = {
         "audio_path": ("audio_path", "audio", "audio_file"), "text": ("text", "lyrics"), "duration": ("duration", "duration_seconds", "metadata.duration_seconds"),
         "artist": ("artist", "metadata.artist"), "song": ("song", "song_title", "metadata.song"), "word_count": ("word_count", "metadata.word_count"), "tags": ("tags", "challenge_tags"),
@@ -29,10 +32,6 @@ def read_manifest(spark: SparkSession, path: str) -> DataFrame:
     return rows.select(*(F.coalesce(*cols).alias(n) for n, cols in merged.items()), *kept, F.coalesce("has_adlibs", F.lit(False)).alias("has_adlibs"))
 
 
-def _as_struct() -> str:
-    return ENTRY.replace(" string", ":string").replace(" double", ":double").replace(" boolean", ":boolean").replace(" int", ":int").replace(" array<", ":array<").replace(" struct<", ":struct<")
-
-
 def read_lyrics_corpus(spark: SparkSession, path: str, collapse: bool = False) -> DataFrame:
     """(sample_id, text) of every .txt file below a folder; the id is the file's stem."""
     raw = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.txt").text(path, wholetext=True)
@@ -73,8 +72,28 @@ def read_lexicon(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
     return every.withColumn("_n", F.row_number().over(last)).filter("_n = 1").drop("_n", "_source")
 
 
+#: Splits that are written as files of their own at most.
+SPLITS = 1000
+
+
 def write_dataset(df: DataFrame, path: str, fmt: str = "json", split: str | None = None) -> None:
-    """The dataset as JSON lines or Parquet, in folders by split where it has one."""
+    """The dataset as JSON lines or Parquet, in folders by split where it has one, or as one JSON array.
+
+    `array` writes one file, `path`, or with a split one file `path/<split>.json` for each, at most SPLITS of
+    them; `lines` writes a folder of JSON lines. Both appear at once, in the rows' order, after all tasks
+    have ended, whatever attempts failed before. An array's bytes go through one process, piece by piece.
+    """
+    if fmt in ("array", "lines"):
+        df.sparkSession.dataSource.register(JsonSink)
+        if split is None:
+            df.write.format(JsonSink.name()).mode("overwrite").option("layout", fmt).save(path)
+            return
+        values = [r[0] for r in df.select(split).distinct().limit(SPLITS + 1).collect()]
+        if len(values) > SPLITS:
+            raise ValueError(f"more than {SPLITS} splits")
+        for value in values:
+            write_dataset(df.filter(F.col(split).eqNullSafe(F.lit(value))).drop(split), f"{path.rstrip('/')}/{value}.json" if fmt == "array" else f"{path.rstrip('/')}/{value}", fmt)
+        return
     writer = df.write.mode("overwrite")
     (writer.partitionBy(split) if split else writer).format(fmt).save(path)
 

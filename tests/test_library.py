@@ -1,7 +1,7 @@
 """Golden cases and properties of the transcript, curation, signal and streaming operators."""
 
 import random
-import time
+
 
 import numpy as np
 import pytest
@@ -13,7 +13,7 @@ from lyricspark.functions.constants import ADLIB_TERMS, SLANG_TERMS
 from lyricspark.operators import corpus, evaluate, vocab
 from lyricspark.operators.ranking import global_rank, hash_order
 from lyricspark.sources import load_lexicon, load_vocab, parse_song_list, read_lexicon, read_lyrics_corpus, read_manifest, save_lexicon, save_vocab, write_dataset
-from lyricspark.streaming import step
+
 
 
 def value(spark, column):
@@ -136,30 +136,6 @@ def test_sources(spark, tmp_path):
     assert load_lexicon(spark, str(tmp_path / "lex")).collect() == lexicon.collect()
 
 
-def test_sessions():
-    buffer, out, closed = step((0, ""), "audio", "abc")
-    assert buffer == (3, "abc") and out == ("ack", "", 3) and not closed
-    assert step(buffer, "transcribe", None) == ((0, ""), ("transcript", "abc", 3), False)
-    assert step((0, ""), "transcribe", None)[1][0] == "error" and step(buffer, "end", None)[2] and step(buffer, "what", None)[1][0] == "error"
-
-
-def test_session_stream(spark, tmp_path):
-    from lyricspark.streaming import assemble_sessions
-
-    rows = [("s", 1, "audio", "ab"), ("s", 2, "transcribe", None), ("t", 1, "transcribe", None)]
-    schema = "session string, seq long, type string, data string"
-    spark.createDataFrame(rows, schema).write.parquet(str(tmp_path / "in"))
-    stream = assemble_sessions(spark.readStream.schema(schema).parquet(str(tmp_path / "in")))
-    run = stream.writeStream.format("memory").queryName("sessions").outputMode("append").option("checkpointLocation", str(tmp_path / "c")).start()
-    # a processing-time timeout keeps the stream alive, so that it is stopped once the answers are there
-    for _ in range(120):
-        if spark.table("sessions").count() == 3 or not run.isActive:
-            break
-        time.sleep(0.5)
-    run.stop()
-    assert sorted((r.session, r.kind) for r in spark.table("sessions").collect()) == [("s", "ack"), ("s", "transcript"), ("t", "error")]
-
-
 def test_batch_goldens(spark):
     pairs = [
         ("i'm finna get this bread yeah", "i'm gonna get this bread yeah"), ("she bussin it down skrt skrt", "she busting it down skirt skirt"), ("no cap this fire bruh", "no cap this fire bro"),
