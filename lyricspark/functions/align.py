@@ -10,25 +10,32 @@ from __future__ import annotations
 from collections.abc import Sequence
 from difflib import SequenceMatcher
 from itertools import accumulate
+from math import isqrt
 
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Cells of the table whose differences are kept at most, at half a byte each; beyond, a pair is divided in halves at a cheapest place.
+#: Cells of the table whose differences are kept at most, at half a byte each; of a larger table each √n-th column is
+#: kept, and those between are worked out again on the way back.
 CELLS = 1 << 28
 DELETE, INSERT, SUBSTITUTE, CORRECT = range(4)
 _NAMES = {DELETE: "deletion", INSERT: "insertion", SUBSTITUTE: "substitution", CORRECT: "correct"}
 
 
-def _columns(a: Sequence, b: Sequence):
-    """(HP, HN, VP, VN) for each element of b: bit i says whether the cell of a's first i + 1 elements is one more or one less than the cell to its left, or above it."""
+def _matches(a: Sequence) -> dict:
+    """The places of each element of a, as bits."""
     places: dict = {}
     for i, x in enumerate(a):
         places.setdefault(x, []).append(i)
-    match = {x: sum(1 << i for i in at) for x, at in places.items()}
-    full = (1 << len(a)) - 1
-    vp, vn = full, 0
+    return {x: sum(1 << i for i in at) for x, at in places.items()}
+
+
+def _columns(match: dict, full: int, vp: int, vn: int, b: Sequence):
+    """(HP, HN, VP, VN) for each element of b: bit i says whether the cell of a's first i + 1 elements is one more or one less than the cell to its left, or above it.
+
+    vp and vn are those of the column before; the first one's are full and 0.
+    """
     for y in b:
         eq = match.get(y, 0)
         xv = eq | vn
@@ -39,33 +46,54 @@ def _columns(a: Sequence, b: Sequence):
         yield hp, hn, vp, vn
 
 
+class _Table:
+    """The columns of a distance table from the last to the first, `block` of them at hand at a time."""
+
+    def __init__(self, a: Sequence, b: Sequence, block: int | None = None) -> None:
+        self.match, self.full, self.b = _matches(a), (1 << len(a)) - 1, b
+        self.block = block or (len(b) if len(a) * len(b) <= CELLS else isqrt(len(b))) or 1
+        #: (VP, VN) before each block.
+        self.before = [(self.full, 0)]
+        if self.block < len(b):
+            for n, (_, _, vp, vn) in enumerate(_columns(self.match, self.full, self.full, 0, b), 1):
+                if n % self.block == 0:
+                    self.before.append((vp, vn))
+        self.at, self.kept = -1, []
+
+    def column(self, j: int) -> tuple[int, int, int, int]:
+        n, place = divmod(j, self.block)
+        if n != self.at:
+            self.at, self.kept = n, list(_columns(self.match, self.full, *self.before[n], self.b[n * self.block : (n + 1) * self.block]))
+        return self.kept[place]
+
+
 def _distances(a: Sequence, b: Sequence) -> list[int]:
     """The distances of a to every prefix of b."""
     if not len(a):
         return list(range(len(b) + 1))
-    last = len(a) - 1
-    return list(accumulate(((hp >> last) - (hn >> last) for hp, hn, _, _ in _columns(a, b)), initial=len(a)))
+    last, full = len(a) - 1, (1 << len(a)) - 1
+    return list(accumulate(((hp >> last) - (hn >> last) for hp, hn, _, _ in _columns(_matches(a), full, full, 0, b)), initial=len(a)))
+
 
+def align_ops(a: Sequence, b: Sequence, order: tuple[int, ...], block: int | None = None) -> list[int]:
+    """The operations of a cheapest alignment, traced back from the end; `order` ranks the moves that tie.
 
-def align_ops(a: Sequence, b: Sequence, order: tuple[int, ...]) -> list[int]:
-    """The operations of a cheapest alignment, traced back from the end; `order` ranks the moves that tie."""
-    if len(a) * len(b) > CELLS and len(a) > 1:
-        half = len(a) // 2
-        total = [x + y for x, y in zip(_distances(a[:half], b), reversed(_distances(a[half:][::-1], b[::-1])))]
-        cut = total.index(min(total))
-        return align_ops(a[:half], b[:cut], order) + align_ops(a[half:], b[cut:], order)
+    block is the number of columns that are kept at a time, which changes nothing but memory and time.
+    """
     out, i, j = [], len(a), len(b)
     # equal ends are correct in any order
     while order[0] == CORRECT and i and j and a[i - 1] == b[j - 1]:
         out.append(CORRECT)
         i, j = i - 1, j - 1
-    kept = list(_columns(a[:i], b[:j]))
+    table = _Table(a[:i], b[:j], block)
 
     def down(i: int, j: int) -> int:
-        return (kept[j - 1][2] >> (i - 1) & 1) - (kept[j - 1][3] >> (i - 1) & 1) if j else 1
+        _, _, vp, vn = table.column(j - 1) if j else (0, 0, -1, 0)
+        return (vp >> (i - 1) & 1) - (vn >> (i - 1) & 1)
 
     def right(i: int, j: int) -> int:
-        return (kept[j - 1][0] >> (i - 1) & 1) - (kept[j - 1][1] >> (i - 1) & 1) if i else 1
+        hp, hn, _, _ = table.column(j - 1) if i else (-1, 0, 0, 0)
+        return (hp >> max(i - 1, 0) & 1) - (hn >> max(i - 1, 0) & 1)
 
     while i or j:
         same = i and j and a[i - 1] == b[j - 1]

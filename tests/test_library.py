@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from lyricspark.functions import clean, metrics, rules, signal, text
+from lyricspark.functions import align, clean, metrics, rules, signal, text
 from lyricspark.functions.align import distance, edit_counts, word_alignment
 from lyricspark.functions.constants import ADLIB_TERMS, SLANG_TERMS
 from lyricspark.operators import corpus, evaluate, vocab
@@ -45,6 +45,43 @@ def test_alignment_ties_and_counts():
         assert [r for _, r, _ in rows if r is not None] == a and [h for *_, h in rows if h is not None] == b
 
 
+def brute_ops(a, b, order):
+    """Operations of a table of distances in full, traced back from the end."""
+    d = [[i + j if not i * j else 0 for j in range(len(b) + 1)] for i in range(len(a) + 1)]
+    for i in range(1, len(a) + 1):
+        for j in range(1, len(b) + 1):
+            d[i][j] = min(d[i - 1][j] + 1, d[i][j - 1] + 1, d[i - 1][j - 1] + (a[i - 1] != b[j - 1]))
+    out, i, j = [], len(a), len(b)
+    while i or j:
+        for move in order:
+            both, same = i and j, i and j and a[i - 1] == b[j - 1]
+            if move == align.CORRECT and same or move == align.SUBSTITUTE and both and not same and d[i][j] == d[i - 1][j - 1] + 1:
+                i, j = i - 1, j - 1
+            elif move == align.DELETE and i and d[i][j] == d[i - 1][j] + 1:
+                i -= 1
+            elif move == align.INSERT and j and d[i][j] == d[i][j - 1] + 1:
+                j -= 1
+            else:
+                continue
+            out.append(move)
+            break
+    return out[::-1]
+
+
+@pytest.mark.parametrize("order", [(align.CORRECT, align.DELETE, align.INSERT, align.SUBSTITUTE), (align.CORRECT, align.SUBSTITUTE, align.INSERT, align.DELETE)])
+def test_alignments_at_any_size(monkeypatch, order):
+    rng = random.Random(2)
+    for cells in (1 << 28, 8):
+        monkeypatch.setattr(align, "CELLS", cells)
+        for _ in range(400):
+            a, b = ([rng.choice("abcd") for _ in range(rng.randint(0, 14))] for _ in range(2))
+            expected = brute_ops(a, b, order)
+            assert all(align.align_ops(a, b, order, block) == expected for block in (None, 1, 2, 3, 100))
+    # a long pair keeps the same ties whether its columns are kept or worked out again
+    a, b = ([rng.choice("abcdefgh") for _ in range(n)] for n in (900, 1100))
+    assert align.align_ops(a, b, order) == align.align_ops(a, b, order, 1100) == brute_ops(a, b, order)
+
+
 def test_match_lyrics(spark):
     df = spark.createDataFrame([("i got my pants up in the club", "i got my bands up in the club"), ("", ""), ("x", ""), ("", "y")], "hypothesis string, reference string")
     got = evaluate.match_lyrics(df).select("matched", "confidence").collect()
@@ -96,6 +133,26 @@ def test_vocab(spark):
     assert [tuple(r) for r in found] == [("bussing", "bussin", 1)]
 
 
+@pytest.mark.parametrize("k", [0, 1, 2, 3])
+def test_fuzzy_lookup(spark, k):
+    rng = random.Random(k)
+    entries = ["", "a", "é", "ab", "ba"] + ["".join(rng.choice("abé") for _ in range(rng.randint(1, 9))) for _ in range(120)] + ["".join(rng.choice("abcdefgh") for _ in range(60)) for _ in range(3)]
+    found = list(entries) + [None, "X" * 3]
+    for e in entries:
+        w = list(e)
+        for _ in range(rng.randint(0, k + 1)):
+            at = rng.randint(0, len(w))
+            w[at : at + rng.randint(0, 1)] = rng.choice([[], ["a"], ["z"]])
+        found.append("".join(w).upper())
+    lexicon, words = (spark.createDataFrame([(x,) for x in some], "word string") for some in (entries, found))
+    got = vocab.fuzzy_lookup(words, lexicon, k).collect()
+    near = {(w.lower(), e, distance(w.lower(), e)) for w in found if w is not None for e in entries}
+    assert sorted(map(tuple, got)) == sorted(x for x in near if x[2] <= k)
+    # a 60-letter word has no more places than a short one
+    sizes = words.filter("word is not null").select(F.size(vocab._word_pieces(F.col("word"), k)).alias("n")).agg(F.max("n")).first()[0]
+    assert sizes <= (2 * k + 1) * (k + 1) ** 2
+
+
 def test_splits(spark):
     df = spark.range(100).withColumnRenamed("id", "k")
     got = corpus.split_rows(df, "k")
