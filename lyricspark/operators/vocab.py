@@ -160,60 +160,61 @@ def _deletions(word: Column, k: int) -> Column:
     return out
 
 
-def _entry_pieces(entry: Column, k: int) -> Column:
-    """An entry's k + 1 pieces, as even as its length allows, the longer ones last: (its length, the piece's number, the piece)."""
-    n = F.char_length(entry)
+def _piece(n: Column, i: int, k: int) -> tuple[Column, Column]:
+    """(start, length) of the i-th of k + 1 pieces of n characters, as even as n allows, the longer ones last."""
+    rest = n % (k + 1)
+    base = ((n - rest) / (k + 1)).cast("int")
+    return i * base + F.greatest(rest - (k + 1 - i), F.lit(0)), base + F.when(rest >= k + 1 - i, 1).otherwise(0)
 
-    def piece(i: Column) -> Column:
-        start, size = _piece(n, i, k)
-        return F.struct(n.alias("n"), i.alias("i"), F.substring(entry, start + 1, size).alias("piece"))
 
-    return F.transform(F.sequence(F.lit(0), F.lit(k)), piece)
+def _at(n: Column, i: int, piece: Column) -> Column:
+    return F.struct(n.alias("n"), F.lit(i).alias("i"), piece.alias("piece"))
 
 
-def _piece(n: Column, i: Column, k: int) -> tuple[Column, Column]:
-    """(start, length) of the i-th of k + 1 pieces of n characters."""
-    base, short = F.floor(n / (k + 1)).cast("int"), F.lit(k + 1) - n % (k + 1)
-    return i * base + F.greatest(i - short, F.lit(0)), base + F.when(i >= short, 1).otherwise(0)
+def _entry_pieces(entry: Column, k: int) -> Column:
+    """An entry's k + 1 pieces, each with the entry's length and the piece's number."""
+    n = F.char_length(entry)
+    cut = [_piece(n, i, k) for i in range(k + 1)]
+    return F.array(*(_at(n, i, F.substring(entry, start + 1, size)) for i, (start, size) in enumerate(cut)))
 
 
-def _word_pieces(word: Column, k: int) -> Column:
-    """What a word has where an entry within distance k may have an unchanged piece.
+def _word_pieces(word: Column, k: int, above: int) -> Column:
+    """What a word has where an entry of more than `above` characters may have an unchanged piece; nulls where it has nothing.
 
     A piece that stands x characters further on in the word, which is d characters longer, leaves
     |x| + |d - x| edits at least, so the places number about k^2 for each piece, however long the word.
     """
-    n = F.char_length(word)
-    tried = [(d, i, x) for d in range(-k, k + 1) for i in range(k + 1) for x in range(-k, k + 1) if abs(x) + abs(d - x) <= k]
-
-    def taken(t: Column) -> Column:
-        size = n - t["d"]
-        start, length = _piece(size, t["i"], k)
-        fits = (size > k) & (start + t["x"] >= 0) & (start + t["x"] + length <= n)
-        return F.when(fits, F.struct(size.alias("n"), t["i"].alias("i"), F.substring(word, start + t["x"] + 1, length).alias("piece")))
-
-    places = F.array(*(F.struct(F.lit(d).alias("d"), F.lit(i).alias("i"), F.lit(x).alias("x")) for d, i, x in tried))
-    return F.array_distinct(F.filter(F.transform(places, taken), lambda p: p.isNotNull()))
-
-
-def fuzzy_lookup(words_df: DataFrame, lexicon: DataFrame, max_distance: int = 2) -> DataFrame:
+    n, out = F.char_length(word), []
+    for d in range(-k, k + 1):
+        size = n - d
+        for i in range(k + 1):
+            start, length = _piece(size, i, k)
+            for x in range(-k, k + 1):
+                if abs(x) + abs(d - x) <= k:
+                    fits = (size > above) & (start + x >= 0) & (start + x + length <= n)
+                    out.append(F.when(fits, _at(size, i, F.substring(word, start + x + 1, length))))
+    return F.array(*out)
+
+
+def fuzzy_lookup(words_df: DataFrame, lexicon: DataFrame, max_distance: int = 2, short: int = 10) -> DataFrame:
     """(word, entry, distance): lexicon words within an edit distance, both in lower case; each pair once.
 
     Of an entry cut into max_distance + 1 pieces one is unchanged in any word that near, a little further on
-    or back, so words meet entries by an equi-join on pieces, and the distance is then checked.
-    Entries too short to be cut meet short words on forms with up to max_distance characters left out. Null
-    words take no part.
+    or back, so words meet longer entries by an equi-join on pieces, and the distance is then checked.
+    Pieces of short entries would say little: up to `short` characters, entries and words meet on forms with up
+    to max_distance characters left out, of which short words have few. Null words take no part.
     """
-    k = max_distance
+    k, short = max_distance, max(max_distance, short)
     w = words_df.select(F.lower("word").alias("word")).filter("word is not null").distinct()
     # words are small and their pieces many: as many tasks as there are partitions, however few bytes
-    w = w.repartition(int(words_df.sparkSession.conf.get("spark.sql.shuffle.partitions")), "word")
+    w = w.repartition(int(words_df.sparkSession.conf.get("spark.sql.shuffle.partitions")), F.xxhash64("word"))
     e = lexicon.select(F.lower("word").alias("entry")).filter("entry is not null").distinct()
-    long_, short = F.char_length("entry") > k, (F.char_length("entry") <= k, F.char_length("word") <= 2 * k)
-    cut = w.select("word", F.explode(_word_pieces(F.col("word"), k)).alias("at"))
-    met = cut.join(e.filter(long_).select("entry", F.explode(_entry_pieces(F.col("entry"), k)).alias("at")), "at")
-    forms = (d.filter(c).withColumn("at", F.explode(_deletions(F.col(n), k))) for d, c, n in ((w, short[1], "word"), (e, short[0], "entry")))
-    few = next(forms).join(next(forms), "at")
+    size = F.char_length
+    # a projection of its own: what an explode holds isn't compiled
+    cut = w.filter(size("word") > short - k).withColumn("at", _word_pieces(F.col("word"), k, short)).withColumn("at", F.explode("at")).filter("at is not null")
+    met = cut.join(e.filter(size("entry") > short).withColumn("at", _entry_pieces(F.col("entry"), k)).withColumn("at", F.explode("at")), "at")
+    few_words, few_entries = (d.filter(size(c) <= most).withColumn("at", F.explode(_deletions(F.col(c), k))) for d, c, most in ((w, "word", short + k), (e, "entry", short)))
+    few = few_words.join(few_entries, "at")
     near = met.select("word", "entry").unionByName(few.select("word", "entry")).withColumn("distance", F.levenshtein("word", "entry", k))
     # pairs that meet on several pieces are dropped after the check, so that few are shuffled
     return near.filter(F.col("distance") >= 0).distinct()

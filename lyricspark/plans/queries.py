@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from lyricspark.functions import clean, metrics, quality, rules, signal, text
 from lyricspark.functions.constants import ADLIB_TERMS, AUDIT_STOPWORDS, AUGMENTATIONS, CAPITALIZED, CATEGORY_ADLIBS, CENSORED, CONTRACTIONS, CONTEXT_WORDS, DIALECT_RULES, DOMAIN_TOKENS, EXPLICIT_RULES, IN_CONTEXT, PHONEMES, PHRASE_RULES, SLANG_EXPANSIONS, SLANG_RULES, STOPWORDS
 from lyricspark.functions.align import align_words, edit_ops
+from lyricspark.functions.rule_table import correct_by_table
 from lyricspark.operators import corpus, evaluate, vocab
 from lyricspark.sources import load_buckets, override_words, parse_song_list, read_manifest, save_buckets, write_dataset
 from lyricspark.sources.shared import shared_path
@@ -248,6 +249,41 @@ def r8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.rule_stats(read(spark, sf_dir, "documents").withColumn("category", F.col("source")))
 
 
+_EXTENDED_SQL = ORACLES["r7_extend_rules"]
+
+
+@query("r8_rule_table_stats", f"WITH r AS ({_EXTENDED_SQL}) SELECT category, count(*) AS rules FROM r GROUP BY category UNION ALL SELECT 'total', count(*) FROM r")
+def r8t(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rules.rule_stats(r7(spark, sf_dir))
+
+
+def _own_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """From the benchmark: the first two words of each text as a phrase, turned round, and frequent words as slang, written backwards."""
+    items = read(spark, sf_dir, "benchmark").select("item_id", F.regexp_extract_all(F.lower("text"), F.lit(r"([a-z]+)")).alias("w"))
+    phrases = items.filter(F.size("w") > 1).select(F.lit("phrase").alias("category"), F.col("item_id").cast("int").alias("priority"), F.concat_ws(" ", F.col("w")[0], F.col("w")[1]).alias("pattern"), F.concat_ws(" ", F.col("w")[1], F.col("w")[0]).alias("replacement"))
+    counted = items.select(F.explode("w").alias("word")).groupBy("word").count().filter("count >= 3")
+    slang = counted.select(F.lit("slang").alias("category"), F.lit(0).alias("priority"), "word", F.reverse("word").alias("replacement"))
+    return phrases.union(slang)
+
+
+_OWN_SQL = r"""own AS (SELECT item_id, regexp_extract_all(lower(text), '[a-z]+') AS w FROM benchmark),
+counted AS (SELECT word, count(*) AS n FROM (SELECT unnest(w) AS word FROM own) GROUP BY word HAVING count(*) >= 3),
+slang_map AS (SELECT map(list(word), list(reverse(word))) AS own_slang FROM counted),
+phrases AS (SELECT list({'p': w[1] || ' ' || w[2], 'r': w[2] || ' ' || w[1]} ORDER BY item_id, w[1] || ' ' || w[2]) AS own_phrases FROM own WHERE len(w) > 1)"""
+_OWN_R3 = _R3.replace("coalesce(CASE", f"coalesce(CASE", 1).replace("END, MAP", f"END, CASE WHEN c NOT IN ({', '.join(map(_sql, CONTEXT_WORDS))}) THEN own_slang[c] END, MAP", 1)
+
+
+@query(
+    "r7_correct_with_own_rules",
+    f"""WITH {SEGMENTS_SQL}, {_OWN_SQL}, a AS MATERIALIZED (SELECT key, {_R1.replace('{0}', f'({_CUE_SQL})')} AS t FROM segments),
+p AS MATERIALIZED (SELECT key, own_slang, list_reduce(own_phrases, lambda x, y: {{'p': replace(x.p, y.p, y.r), 'r': ''}}, {{'p': t, 'r': ''}}).p AS t FROM a, phrases, slang_map),
+b AS MATERIALIZED (SELECT key, own_slang, {_R2.replace('{0}', 't')} AS t FROM p), c AS MATERIALIZED (SELECT key, {_OWN_R3.replace('{0}', 't')} AS t FROM b) SELECT key, {_R4.replace('{0}', 't')} AS out FROM c""",
+)
+def r7c(spark: SparkSession, sf_dir: str) -> DataFrame:
+    table = rules.extend_rules(rules.rule_table(spark), _own_rules(spark, sf_dir))
+    return correct_by_table(_rule_texts(spark, sf_dir), table, aggressive=True).select("key", F.col("corrected").alias("out"))
+
+
 # --- metadata and pages -------------------------------------------------------------------------
 _DIRT = ("12 Contributors", "See Nobody Live", "https://example.org/a b", "Read More.", "The single was released as an album and peaked on the chart in May", "")
 

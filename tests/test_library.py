@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from lyricspark.functions import align, clean, metrics, rules, signal, text
+from lyricspark.functions import align, clean, metrics, rule_table, rules, signal, text
 from lyricspark.functions.align import distance, edit_counts, word_alignment
 from lyricspark.functions.constants import ADLIB_TERMS, SLANG_TERMS
 from lyricspark.operators import corpus, evaluate, vocab
@@ -101,6 +101,24 @@ def test_rules(spark):
     assert apply(spark, lambda t: rules.correct(t, aggressive=True), "all these her gon fly") == "all these hoes gon' fly"
 
 
+def test_rules_of_a_table(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", F.explode(F.split("text", "\n")).alias("text"))
+    cue = F.element_at(F.array(*(F.lit(c) for c in ("It's my watch it's my", " pants up now", "jam us, well OK", "i keeping", "stick jam well. pant", "all these her gon na try", "ſkirts op", ""))), (F.col("doc_id") % 8 + 1).cast("int"))
+    lines = docs.withColumn("text", F.concat("text", F.lit(" "), cue)).withColumn("expected", rules.correct(F.col("text"), aggressive=True))
+    got = rule_table.correct_by_table(lines.withColumn("corrected", F.lit("x")), rules.rule_table(spark), aggressive=True)
+    assert got.filter(~F.col("corrected").eqNullSafe(F.col("expected"))).count() == 0 and got.filter("corrected <> text").count() > 100
+    own = spark.createDataFrame([("phrase", 1, r"\bnew\s+words?\b", "old words"), ("phrase", 2, "old words here", "there"), ("slang", 0, "Cap", "LIE"), ("dialect", 0, "going", "gone"), ("slang", 0, "well", "never")], "category string, priority int, pattern string, replacement string")
+    table = rules.extend_rules(rules.rule_table(spark), own)
+    df = spark.createDataFrame([("New  word here, cap! well",), (None,), ("",), ("GOING x",)], "text string")
+    assert [r.corrected for r in rule_table.correct_by_table(df, table).collect()] == ["there, lie! well", None, "", "gone x"]
+    assert [r.corrected for r in rule_table.correct_by_table(df, table.limit(0)).collect()] == ["new word here, cap! well", None, "", "going x"]
+
+
+@pytest.mark.parametrize(("pattern", "core"), [(r"\bgot\s+my\s+pants\b", "pants"), (r"ab{2,3}cd?e", "a"), (r"a+\.b", ".b"), ("x|y", None), ("(a)", None), ("[a]bc", None), (".*", None), ("É", None)])
+def test_cores(pattern, core):
+    assert rule_table.core(pattern) == core
+
+
 def test_text(spark):
     assert apply(spark, text.postprocess_text, "i finna get  this bread") == "I finna get this bread"
     assert apply(spark, lambda t: text.format_adlibs(t, ADLIB_TERMS), "go yeah yuh go yeah") == "go (yeah yuh) go (yeah)"
@@ -145,11 +163,12 @@ def test_fuzzy_lookup(spark, k):
             w[at : at + rng.randint(0, 1)] = rng.choice([[], ["a"], ["z"]])
         found.append("".join(w).upper())
     lexicon, words = (spark.createDataFrame([(x,) for x in some], "word string") for some in (entries, found))
-    got = vocab.fuzzy_lookup(words, lexicon, k).collect()
     near = {(w.lower(), e, distance(w.lower(), e)) for w in found if w is not None for e in entries}
-    assert sorted(map(tuple, got)) == sorted(x for x in near if x[2] <= k)
+    for short in (0, 4, 10):
+        got = vocab.fuzzy_lookup(words, lexicon, k, short).collect()
+        assert sorted(map(tuple, got)) == sorted(x for x in near if x[2] <= k)
     # a 60-letter word has no more places than a short one
-    sizes = words.filter("word is not null").select(F.size(vocab._word_pieces(F.col("word"), k)).alias("n")).agg(F.max("n")).first()[0]
+    sizes = words.filter("word is not null").select(F.size(vocab._word_pieces(F.col("word"), k, 0)).alias("n")).agg(F.max("n")).first()[0]
     assert sizes <= (2 * k + 1) * (k + 1) ** 2
 
 
