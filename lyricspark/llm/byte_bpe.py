@@ -15,6 +15,7 @@ its state, so texts come out in pieces at any cut.
 from __future__ import annotations
 
 import base64
+import gc
 import hashlib
 import math
 import re
@@ -29,8 +30,9 @@ from pyspark.sql import functions as F
 
 from .common import text_of
 
-#: So many states, and paths of whole chunks, are remembered by a Python worker; then it starts anew, which changes no id.
-STATES, WHOLE = 200_000, 200_000
+#: So many states, paths of whole chunks, and pairs of tokens, are remembered by a Python worker. What is met beyond is
+#: worked out where it is met; once that has happened as often, all is forgotten and learned anew. No id changes.
+STATES, WHOLE, PAIRS = 400_000, 300_000, 1_000_000
 #: Rows that are encoded before they are handed back.
 ROWS = 128
 #: So many tokens below a node are tried before its path is kept.
@@ -46,7 +48,8 @@ class _State(dict):
 
     def __init__(self, coder: Transducer, paths: tuple, out: tuple) -> None:
         self.coder, self.paths, self.out = coder, paths, out
-        self.end = next(tokens[1:] for tokens, node in paths if node == _ROOT)
+        # the complete path comes last
+        self.end = paths[-1][0][1:]
 
     def __missing__(self, char: str) -> _State:
         return self.coder.follow(self, char)
@@ -85,10 +88,15 @@ class Transducer:
         self.clear()
 
     def clear(self) -> None:
+        # states lead to one another: their memory comes back at once this way only
+        for state in getattr(self, "states", {}).values():
+            state.clear()
         #: No token stands before a chunk's first: -1 agrees with any.
         self.start = _State(self, (((-1,), _ROOT),), ())
         self.states = {(self.start.paths, ()): self.start}
         self.known: dict[int, bool] = {}
+        self.beside: dict[int, bool] = {}
+        self.missed = 0
 
     def _halves(self, token: bytes) -> tuple[bytes, bytes] | None:
         """The two parts that a token is merged from."""
@@ -111,6 +119,13 @@ class Transducer:
         """Whether no merge comes about across the boundary between two tokens."""
         if a < 0:
             return True
+        key = a << 32 | b
+        found = self.beside.get(key)
+        if found is None:
+            found = self.beside[key] = self._may_follow(a, b)
+        return found
+
+    def _may_follow(self, a: int, b: int) -> bool:
         pairs, left = self.pairs, self.left[b]
         for x, x_comes, x_goes in self.right[a]:
             x <<= 32
@@ -141,8 +156,14 @@ class Transducer:
         key = (paths, out)
         found = self.states.get(key)
         if found is None:
-            found = self.states[key] = _State(self, paths, out)
-        state[char] = found
+            found = _State(self, paths, out)
+            if len(self.states) >= STATES:
+                self.missed += 1
+                return found
+            self.states[key] = found
+        # a state that isn't kept leads to no others that are
+        if state is self.states.get((state.paths, state.out)):
+            state[char] = found
         return found
 
     def _step(self, paths: tuple, b: int) -> tuple[tuple, tuple]:
@@ -175,17 +196,21 @@ class Transducer:
 class _Chunks(dict):
     """From a chunk to its ids: paths that were walked before are stepped over as a whole."""
 
-    __slots__ = ("transducer",)
+    __slots__ = ("transducer", "missed")
 
     def __init__(self, transducer: Transducer) -> None:
-        self.transducer = transducer
+        self.transducer, self.missed = transducer, 0
 
     def __missing__(self, chunk: str) -> tuple[int, ...]:
         state, ids = self.transducer.start, []
         for char in chunk:
             state = state[char]
             ids += state.out
-        found = self[chunk] = (*ids, *state.end)
+        found = (*ids, *state.end)
+        if len(self) < WHOLE:
+            self[chunk] = found
+        else:
+            self.missed += 1
         return found
 
 
@@ -279,10 +304,11 @@ class Coder:
         self.plain = self.PLAIN[pattern].findall if pattern in self.PLAIN else self.chunks
 
     def encode(self, text: str) -> list[int]:
-        if len(self.transducer.states) > STATES:
+        if self.transducer.missed > STATES or len(self.transducer.beside) > PAIRS or len(self.transducer.known) > PAIRS:
             self.transducer.clear()
-        if len(self.whole) > WHOLE:
+        if self.whole.missed > 4 * WHOLE:
             self.whole.clear()
+            self.whole.missed = 0
         return list(chain.from_iterable(map(self.whole.__getitem__, self.plain(text) if text.isascii() else self.chunks(text))))
 
 
@@ -308,18 +334,28 @@ def encode_bytes(docs: DataFrame, path: str, pattern: str, with_ids: bool = Fals
     fields += [("ids", pa.list_(pa.int64())), ("decoded", pa.string())] * with_ids
     schema = pa.schema(fields)
 
+    def block(own: Coder, some: pa.RecordBatch) -> pa.RecordBatch:
+        rows = []
+        for text in some.column("text"):
+            ids = own.encode(text.as_py())
+            back = own.machine.decode(ids)
+            digests = [hashlib.sha256(x).hexdigest() for x in (np.array(ids, "<u4").tobytes(), back.encode("utf-8", "surrogateescape"))]
+            rows.append((len(ids), *digests, *((ids, back) if with_ids else ())))
+        return pa.record_batch([some.column("doc_id"), *(pa.array(c, f.type) for c, f in zip(zip(*rows), list(schema)[1:]))], schema=schema)
+
     def run(batches):
         own = coder(path, pattern)
         for batch in batches:
             for i in range(0, len(batch), ROWS):
-                some, rows = batch.slice(i, ROWS), []
-                for text in some.column("text"):
-                    ids = own.encode(text.as_py())
-                    back = own.machine.decode(ids)
-                    digests = [hashlib.sha256(x).hexdigest() for x in (np.array(ids, "<u4").tobytes(), back.encode("utf-8", "surrogateescape"))]
-                    rows.append((len(ids), *digests, *((ids, back) if with_ids else ())))
-                columns = zip(*rows)
-                yield pa.record_batch([some.column("doc_id"), *(pa.array(c, f.type) for c, f in zip(columns, list(schema)[1:]))], schema=schema)
+                # the collector would go through all states again and again, and find nothing
+                was = gc.isenabled()
+                gc.disable()
+                try:
+                    out = block(own, batch.slice(i, ROWS))
+                finally:
+                    if was:
+                        gc.enable()
+                yield out
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text"))
     return rows.mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<long>, decoded string" * with_ids)

@@ -60,8 +60,8 @@ def test_bpe_of_rows_of_tokens(library):
 def test_bpe_with_few_states_and_few_tries(library, monkeypatch):
     _, theirs = library
     own = byte_bpe.Coder(vocabulary(RANKS), P.PATTERN)
-    monkeypatch.setattr(byte_bpe, "STATES", 50)
-    monkeypatch.setattr(byte_bpe, "WHOLE", 20)
+    for name, value in (("STATES", 50), ("WHOLE", 20), ("PAIRS", 300)):
+        monkeypatch.setattr(byte_bpe, name, value)
     for few in (0, 10**9):
         monkeypatch.setattr(byte_bpe, "FEW", few)
         for text in odd_texts(60, seed=few % 7):
