@@ -48,13 +48,15 @@ def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Secrets, and bare occurrences of live ones, are masked in the texts.
 
-    All rows stay, repeated ones and those without doc_id too; n_chars follows the text where it changes;
-    null texts stay null.
+    All rows stay, repeated ones and those without doc_id too; n_chars, where there is one, follows the text
+    where it changes; null texts stay null; very long texts are masked as a whole; an empty table stays empty.
     """
     found = scan_secrets(docs).filter(F.size("spans") > 0).select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key"), F.col("spans").alias("_spans")).dropDuplicates(["_id", "_key"])
     joined = docs.join(found, docs["doc_id"].eqNullSafe(found["_id"]) & (text_key() == F.col("_key")), "left")
     text = F.when(F.col("_spans").isNull(), F.col("text")).otherwise(redact(F.col("text"), F.col("_spans")))
-    changed = joined.withColumn("text", text).withColumn("n_chars", F.when(F.col("_spans").isNull(), F.col("n_chars")).otherwise(F.char_length("text").cast("long")))
+    changed = joined.withColumn("text", text)
+    if "n_chars" in docs.columns:
+        changed = changed.withColumn("n_chars", F.when(F.col("_spans").isNull(), F.col("n_chars")).otherwise(F.char_length("text").cast("long")))
     return changed.select(*docs.columns)
 
 

@@ -83,6 +83,24 @@ def remove_bad(segments: DataFrame, *bad: DataFrame, key: str) -> DataFrame:
     return segments.join(every.distinct(), key, "left_anti")
 
 
+def removal_report(segments: DataFrame, *bad: DataFrame, key: str, score: str = "alignment_score", digits: int = 4) -> DataFrame:
+    """One row: segments before and after the bad ones go, how many went, the mean score before and after, and the share that stays.
+
+    Bad sets may overlap and name what isn't there. Means are of the scores that aren't null, 0 without
+    any; the share of no segments is 0.
+    """
+    every = bad[0].select(key)
+    for b in bad[1:]:
+        every = every.union(b.select(key))
+    marked = segments.join(every.distinct().withColumn("_bad", F.lit(True)), key, "left").withColumn("_stays", F.col("_bad").isNull())
+    mean = lambda c: F.bround(F.coalesce(F.avg(c), F.lit(0.0)), digits)
+    out = marked.agg(
+        F.count("*").alias("segments_before"), F.count_if("_stays").alias("segments_after"), F.count_if(~F.col("_stays")).alias("removed"),
+        mean(F.col(score)).alias("mean_before"), mean(F.when(F.col("_stays"), F.col(score))).alias("mean_after"),
+    )
+    return out.withColumn("survival_rate", F.bround(F.col("segments_after") / F.greatest("segments_before", F.lit(1)), digits))
+
+
 # --- windows and alignment of chunks ------------------------------------------------------------
 
 

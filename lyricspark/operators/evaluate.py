@@ -99,10 +99,30 @@ def recommendations(shares: DataFrame, advice: Iterable[tuple[str, int, str]] =
     return shares.crossJoin(F.broadcast(biggest)).select("category", "pct", due.alias("advice"), (F.col("category") == F.col("b.category")).alias("biggest")).filter("advice is not null or biggest")
 
 
-def compare_models(metrics: DataFrame, model: str = "model") -> DataFrame:
+def compare_models(metrics: DataFrame, model: str = "model", seconds: str | None = None) -> DataFrame:
+    """Rates and errors by model, the best one marked (the first by name on ties), and with `seconds` the total and mean time of its samples.
+
+    Samples without a time count as samples alone; a model without any time has none.
+    """
     by = batch_metrics(metrics, [model]).select(model, "wer", "total_errors", "substitutions", "insertions", "deletions")
     best = by.agg(F.min_by(model, F.struct("wer", model)).alias("_best"))
-    return by.crossJoin(F.broadcast(best)).withColumn("best", F.col(model) == F.col("_best")).drop("_best")
+    out = by.crossJoin(F.broadcast(best)).withColumn("best", F.col(model) == F.col("_best")).drop("_best")
+    if seconds is None:
+        return out
+    times = metrics.groupBy(F.col(model).alias("_model")).agg(F.sum(seconds).alias("total_seconds"), F.avg(seconds).alias("avg_seconds"))
+    return out.join(times, F.col(model).eqNullSafe(F.col("_model")), "left").drop("_model")
+
+
+def category_changes(df: DataFrame, ref: str = "reference", hyp: str = "hypothesis", aggressive: bool = False) -> DataFrame:
+    """(category, before, after, fixed, pct_fixed): the error rows by category before and after correction.
+
+    A category that is found on one side alone counts 0 on the other; pct_fixed is 0 where nothing was there before.
+    """
+    sides = df.select(ref, F.explode(F.array(F.struct(F.lit(0).alias("side"), F.col(hyp).alias("said")), F.struct(F.lit(1).alias("side"), correct(F.col(hyp), aggressive).alias("said")))).alias("v")).select(ref, "v.side", "v.said")
+    rows = error_rows(sides, ["side"], ref, "said")
+    counts = rows.groupBy("category").agg(F.count_if(F.col("side") == 0).alias("before"), F.count_if(F.col("side") == 1).alias("after"))
+    fixed = F.col("before") - F.col("after")
+    return counts.withColumn("fixed", fixed).withColumn("pct_fixed", F.when(F.col("before") > 0, F.col("fixed") / F.col("before") * 100).otherwise(0.0))
 
 
 def before_after(df: DataFrame, ref: str = "reference", hyp: str = "hypothesis", aggressive: bool = False) -> DataFrame:

@@ -674,6 +674,18 @@ def m24(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evaluate.before_after(pairs(spark, sf_dir)).select("key", "errors_before", "errors_after", "errors_fixed", F.round("pct_improvement", 6).alias("pct_improvement"))
 
 
+@query("m23_compare_models_with_times")
+def m23t(spark: SparkSession, sf_dir: str) -> DataFrame:
+    timed = evaluate.sample_metrics(pairs(spark, sf_dir)).withColumn("seconds", F.char_length("reference") / 16)
+    out = evaluate.compare_models(timed, seconds="seconds")
+    return out.select("model", "total_errors", "best", "total_seconds", F.round("avg_seconds", 6).alias("avg_seconds"))
+
+
+@query("m24_category_changes")
+def m24c(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return evaluate.category_changes(pairs(spark, sf_dir), aggressive=True).withColumn("pct_fixed", F.round("pct_fixed", 6))
+
+
 @query("m25_stage_report")
 def m25(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evaluate.stage_report(evaluate.match_lyrics(pairs(spark, sf_dir)), ["key"], matched="matched")
@@ -865,6 +877,17 @@ def q12(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus.remove_bad(s, s.filter("lang = 'fr'"), s.filter("source = 'src2'"), key="key").select("key")
 
 
+@query(
+    "q12_removal_report",
+    f"""WITH {SEGMENTS_SQL}, s AS (SELECT key, (length(text) % 97) / 100.0::DOUBLE AS score, lang IS NOT DISTINCT FROM 'fr' OR source IS NOT DISTINCT FROM 'src2' AS bad FROM segments),
+t AS (SELECT count(*) AS b, count(*) FILTER (NOT bad) AS a, coalesce(avg(score), 0) AS mb, coalesce(avg(score) FILTER (NOT bad), 0) AS ma FROM s)
+SELECT b AS segments_before, a AS segments_after, b - a AS removed, round_even(mb, 4) AS mean_before, round_even(ma, 4) AS mean_after, round_even(a / greatest(b, 1), 4) AS survival_rate FROM t""",
+)
+def q12r(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = segments(spark, sf_dir).withColumn("alignment_score", F.char_length("text") % 97 / 100)
+    return corpus.removal_report(s, s.filter("lang = 'fr'"), s.filter("source = 'src2'"), key="key")
+
+
 # --- corpus -------------------------------------------------------------------------------------
 
 

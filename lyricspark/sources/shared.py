@@ -14,7 +14,7 @@ def shared_path(spark: SparkSession, name: str) -> str:
     """A new path in spark.checkpoint.dir; where that is unset, in a temporary folder if all runs on this machine."""
     found = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
     if not found:
-        if not spark.sparkContext.master.startswith("local"):
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
             raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         found = _OWN.setdefault(spark.sparkContext.applicationId, "file://" + tempfile.mkdtemp(prefix="lyricspark-"))
     return f"{found.rstrip('/')}/lyricspark/{name}-{uuid.uuid4().hex}"

@@ -89,6 +89,28 @@ def test_match_lyrics(spark):
     assert [r.confidence for r in got[1:]] == [1.0, 0.5, 0.3]
 
 
+def test_category_changes(spark):
+    df = spark.createDataFrame([("i got my bands up now", "i got my pants up"), ("i'm goin' home", "i'm going home baby"), ("", None)], "reference string, hypothesis string")
+    got = {r.category: (r.before, r.after, r.fixed, r.pct_fixed) for r in evaluate.category_changes(df).collect()}
+    rows = evaluate.error_rows(df, []).groupBy("category").count().collect()
+    assert {r.category: r["count"] for r in rows} == {c: b for c, (b, *_) in got.items() if b}
+    assert sum(f for _, _, f, _ in got.values()) == 2 and all(b - a == f and p == pytest.approx(100 * f / b if b else 0) for b, a, f, p in got.values())
+
+
+def test_model_times(spark):
+    rows = [("b", "one two", "one two", 2.0), ("a", "one two", "one two", 1.0), ("a", "x y", "x y", None), (None, "x", "y", None)]
+    df = evaluate.sample_metrics(spark.createDataFrame(rows, "model string, reference string, hypothesis string, seconds double"))
+    got = {r.model: (r.best, r.total_seconds, r.avg_seconds) for r in evaluate.compare_models(df, seconds="seconds").collect()}
+    assert got == {"a": (True, 1.0, 1.0), "b": (False, 2.0, 2.0), None: (None, None, None)}
+
+
+def test_removal_report(spark):
+    df = spark.createDataFrame([("a", 0.5), ("b", 0.25), ("c", None), ("d", 0.1)], "k string, alignment_score double")
+    bad = [df.filter("k = 'b'"), spark.createDataFrame([("b",), ("z",), ("d",)], "k string")]
+    assert tuple(corpus.removal_report(df, *bad, key="k").first()) == (4, 2, 2, 0.2833, 0.5, 0.5)
+    assert tuple(corpus.removal_report(df.limit(0), *bad, key="k").first()) == (0, 0, 0, 0.0, 0.0, 0.0)
+
+
 def test_terms(spark):
     assert apply(spark, lambda t: metrics.extract_terms(t, SLANG_TERMS), "i'm finna get this bread yeah") == ["finna", "bread", "yeah"]
     got = apply(spark, lambda r, h: metrics.term_accuracy(r, h, SLANG_TERMS), "she bussin it", "she busting it")
