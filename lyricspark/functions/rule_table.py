@@ -60,15 +60,16 @@ class RuleAutomaton:
         phrases = []
         for category, priority, pattern, replacement in sorted(rows, key=lambda r: (r[1], r[2])):
             if category == "phrase":
-                phrases.append((re.compile(pattern, re.IGNORECASE), replacement.replace("\\", r"\\"), core(pattern)))
+                note = f"phrase: '{pattern}' → '{replacement}'"
+                phrases.append((re.compile(pattern, re.IGNORECASE), replacement.replace("\\", r"\\"), note, core(pattern)))
             else:
                 self.words.setdefault(category, {})[pattern] = replacement
-        self.phrases = [(p, r) for p, r, _ in phrases]
+        self.phrases = [p[:3] for p in phrases]
         #: Phrases whose text isn't plain are tried always.
-        self.always = [n for n, (_, _, c) in enumerate(phrases) if c is None]
+        self.always = [n for n, (*_, c) in enumerate(phrases) if c is None]
         self.search = ahocorasick.Automaton()
         held: dict[str, list[int]] = {}
-        for n, (_, _, c) in enumerate(phrases):
+        for n, (*_, c) in enumerate(phrases):
             if c is not None:
                 held.setdefault(c, []).append(n)
         for c, numbers in held.items():
@@ -85,18 +86,19 @@ class RuleAutomaton:
                 found.update(numbers)
         return sorted(n for n in found if n > after)
 
-    def phrase(self, text: str) -> str:
+    def phrase(self, text: str, changes: list[str]) -> str:
         text = text.lower().strip(" ")
         tried = self._tried(text, -1)
         while tried:
             n = tried.pop(0)
-            pattern, replacement = self.phrases[n]
+            pattern, replacement, note = self.phrases[n]
             new = pattern.sub(replacement, text)
             if new != text:
+                changes.append(note)
                 text, tried = new, self._tried(new, n)
         return text
 
-    def word(self, text: str, category: str) -> str:
+    def word(self, text: str, category: str, changes: list[str]) -> str:
         tokens, mapping, out = text.split(), self.words[category], []
         around = lambda i, before, after: (" ".join(tokens[max(i - before, 0) : i]).lower(), " ".join(tokens[i + 1 : i + 1 + after]).lower())
         for i, w in enumerate(tokens):
@@ -110,31 +112,43 @@ class RuleAutomaton:
             elif category == "explicit" or clean not in CONTEXT_WORDS:
                 found = mapping.get(clean)
             out.append(w if found is None else found + w[len(clean) :])
-        return " ".join(out)
+        new = " ".join(out)
+        changes += (f"{category}: {_CLEAN.sub('', x.lower())} → {_CLEAN.sub('', y.lower())}" for x, y in zip(tokens, new.split()) if x != y)
+        return new
 
-    def correct(self, text: str, aggressive: bool) -> str:
-        text = self.word(self.word(self.phrase(text), "dialect"), "slang")
-        return self.word(text, "explicit") if aggressive else text
+    def correct(self, text: str, aggressive: bool) -> tuple[str, list[str]]:
+        """The corrected text and the changes, category by category, in order."""
+        changes: list[str] = []
+        text = self.phrase(text, changes)
+        for category in ("dialect", "slang", "explicit") if aggressive else ("dialect", "slang"):
+            text = self.word(text, category, changes)
+        return text, changes
 
 
-def correct_by_table(df: DataFrame, rules: DataFrame, text: str = "text", aggressive: bool = False) -> DataFrame:
+def correct_by_table(df: DataFrame, rules: DataFrame, text: str = "text", aggressive: bool = False, with_changes: bool = False) -> DataFrame:
     """df with `corrected`: the text after all rules(category, priority, pattern, replacement), as rules.correct does.
 
-    rules may be the default ones or what extend_rules made of them: MOST_RULES at most, or an error.
-    Null texts stay null; a column `corrected` is replaced; without rules texts are lower-cased and trimmed.
+    with_changes adds changes (category: before → after, in order), n_changes and was_modified, as
+    rules.correct_with_changes does. rules may be the default ones or what extend_rules made of them:
+    MOST_RULES at most, or an error. Null texts stay null, with no changes; columns of these names are
+    replaced; without rules texts are lower-cased and trimmed.
     """
     rows = [tuple(r) for r in rules.select("category", "priority", "pattern", "replacement").limit(MOST_RULES + 1).collect()]
     if len(rows) > MOST_RULES:
         raise ValueError(f"more than {MOST_RULES} rules")
     held, key = df.sparkSession.sparkContext.broadcast(rows), uuid.uuid4().hex
 
-    @F.pandas_udf("string")
-    def run(texts: pd.Series) -> pd.Series:
+    @F.pandas_udf("struct<corrected:string,changes:array<string>>" if with_changes else "struct<corrected:string>")
+    def run(texts: pd.Series) -> pd.DataFrame:
         if key not in _COMPILED:
             # a worker holds one table at a time
             _COMPILED.clear()
             _COMPILED[key] = RuleAutomaton(held.value)
         automaton = _COMPILED[key]
-        return texts.map(lambda t: None if t is None else automaton.correct(t, aggressive))
+        found = [(None, []) if t is None else automaton.correct(t, aggressive) for t in texts]
+        return pd.DataFrame(found, columns=["corrected", "changes"])[["corrected", "changes"] if with_changes else ["corrected"]]
 
-    return df.withColumn("corrected", run(text))
+    out = df.withColumn("_r", run(text)).withColumn("corrected", F.col("_r.corrected"))
+    if with_changes:
+        out = out.withColumn("changes", F.col("_r.changes")).withColumn("n_changes", F.size("changes")).withColumn("was_modified", F.size("changes") > 0)
+    return out.drop("_r")

@@ -229,6 +229,16 @@ def r6a(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _changed(rules.correct_with_changes(_rule_texts(spark, sf_dir), aggressive=True))
 
 
+@query("r5_correct_by_table", ORACLES["r5_correct_transcripts"])
+def r5t(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return correct_by_table(_rule_texts(spark, sf_dir), rules.rule_table(spark), aggressive=True).select("key", F.col("corrected").alias("out"))
+
+
+@query("r6_changes_by_table", ORACLES["r6_correct_aggressively"])
+def r6t(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _changed(correct_by_table(_rule_texts(spark, sf_dir), rules.rule_table(spark), aggressive=True, with_changes=True))
+
+
 _RULE_ROWS = [("phrase", i, p, r) for i, (p, r) in enumerate(PHRASE_RULES)] + [(c, i, p, r) for c, m in (("dialect", DIALECT_RULES), ("slang", SLANG_RULES), ("explicit", EXPLICIT_RULES)) for i, (p, r) in enumerate(m.items())]
 
 
