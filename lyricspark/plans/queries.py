@@ -609,6 +609,19 @@ def m9(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "part").select("p_partkey", F.round(metrics.phonetic_similarity(first("p_type"), first("p_name")), 6).alias("similarity"))
 
 
+@query(
+    "m9_similarity_of_names",
+    """WITH w AS (SELECT p_partkey, lower(trim(p_type)) AS x, lower(trim(p_name)) AS y FROM part UNION ALL SELECT p_partkey, lower(trim(p_name)), lower(trim(p_name)) || 'gg' FROM part)
+SELECT p_partkey, x, y, round(CASE WHEN x = y THEN 1.0 WHEN regexp_replace(x, 'g+$', '') = regexp_replace(y, 'g+$', '') THEN 0.9 WHEN x = '' OR y = '' THEN 0.0 ELSE 1 - levenshtein(x, y) / greatest(length(x), length(y)) END, 6) AS similarity FROM w""",
+)
+def m9w(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole names, and each name beside itself with letters behind it that aren't heard."""
+    parts = read(spark, sf_dir, "part")
+    both = parts.select("p_partkey", F.lower(F.trim("p_type")).alias("x"), F.lower(F.trim("p_name")).alias("y"))
+    both = both.union(parts.select("p_partkey", F.lower(F.trim("p_name")), F.concat(F.lower(F.trim("p_name")), F.lit("gg"))))
+    return both.withColumn("similarity", F.round(metrics.phonetic_similarity(F.col("x"), F.col("y")), 6))
+
+
 @query("m10_m12_match_lyrics")
 def m12(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = evaluate.match_lyrics(pairs(spark, sf_dir))
@@ -914,6 +927,11 @@ def d1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus.chunk_windows(_manifest(spark, sf_dir), "duration").select("id", "chunk_index", "start", F.round("end", 6).alias("end"))
 
 
+@query("d1_full_windows", f'WITH {_MANIFEST}, c AS (SELECT id, unnest(range(least(CAST(floor(duration / 10) AS INTEGER), 5))) AS i FROM manifest WHERE duration > 0) SELECT id, CAST(i AS INTEGER) AS chunk_index, CAST(i * 10 AS DOUBLE) AS start, CAST(i * 10 + 10 AS DOUBLE) AS "end" FROM c')
+def d1f(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return corpus.full_windows(_manifest(spark, sf_dir), "duration").select("id", "chunk_index", "start", "end")
+
+
 @query("d2_align_chunks")
 def d2(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = pairs(spark, sf_dir).select("doc_id", F.col("line_no").alias("chunk_index"), F.col("hypothesis").alias("transcript"))
@@ -962,6 +980,12 @@ def d9(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus.collection_status(m).select("samples", "words", "progress")
 
 
+@query("d9_collection_minutes", f"WITH {_MANIFEST} SELECT count(*) AS samples, round_even(sum(duration) / 60, 1) AS minutes FROM manifest")
+def d9m(spark: SparkSession, sf_dir: str) -> DataFrame:
+    m = _manifest(spark, sf_dir).withColumn("duration_seconds", F.col("duration")).withColumn("word_count", F.lit(0))
+    return corpus.collection_status(m).select("samples", "minutes")
+
+
 @query("d9_counts_by_tag", "SELECT tag, count(*) AS n FROM (SELECT unnest([lang, source]) AS tag FROM documents) GROUP BY tag")
 def d9t(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus.counts_by(read(spark, sf_dir, "documents"), F.explode(F.array("lang", "source")), "tag")
@@ -972,6 +996,11 @@ def d10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus.filter_artist(corpus.filter_duration(_manifest(spark, sf_dir), 50, 200), "RC1").select("id")
 
 
+@query("d11_manifest_averages", f"WITH {_MANIFEST} SELECT lang, artist, round(avg(duration), 6) AS avg_duration FROM manifest GROUP BY lang, artist")
+def d11a(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return corpus.manifest_stats(_manifest(spark, sf_dir).withColumn("source_artist", F.col("artist")), ["lang", "source_artist"]).select("lang", F.col("source_artist").alias("artist"), F.round("avg_duration", 6).alias("avg_duration"))
+
+
 @query("d11_manifest_stats", f"WITH {_MANIFEST} SELECT lang, count(*) AS entries, round(sum(duration) / 3600, 6) AS hours, round(min(duration), 6) AS min_duration, round(max(duration), 6) AS max_duration, count(DISTINCT nullif(artist, '')) AS artists FROM manifest GROUP BY lang")
 def d11(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = corpus.manifest_stats(_manifest(spark, sf_dir), ["lang"])
