@@ -4,6 +4,8 @@ import pytest
 
 corpus_pipeline = pytest.importorskip("corpus_pipeline")
 
+from pyspark.sql import functions as F  # noqa: E402
+
 from .test_operators import brute_components, brute_spans  # noqa: E402
 
 SF = "/root/testdata/sf0.001"
@@ -28,3 +30,58 @@ def test_stages(spark):
     mixed = stages["mixing sources"](spark, masked, SF)
     assert mixed.columns == columns
     assert stages["SentencePiece"](spark, mixed, SF).count() == mixed.count()
+
+
+@pytest.fixture(scope="module")
+def odd(spark):
+    """The given documents, rows that are null, empty, long, repeated and without id or source, and columns with clashing names."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    long_ = "very long words of one text " * 4000
+    rows = [
+        (1000001, None, "en", "s1"), (1000002, "", "en", "s1"), (1000003, " \n ", None, None), (1000004, long_, "en", "s1"), (1000005, long_ + "end", "en", "s2"),
+        (1000006, "a row that stands twice in the table just as it is", "en", "s1"), (1000006, "a row that stands twice in the table just as it is", "en", "s1"),
+        (1000007, "one id and one text of two", "en", "s1"), (1000007, "quite another text of the same id", "en", "s1"),
+        (None, "a text without an id that nobody else has", "en", None), (None, "one id and one text of two", "en", "s1"), (None, None, None, None),
+        (1000008, "password = abcdefgh1234", "en", "s1"), (1000009, "mention abcdefgh1234 alone", "en", "s1"),
+    ]
+    more = spark.createDataFrame([(*r, None if r[1] is None else len(r[1])) for r in rows], docs.schema)
+    clash = {"component_id": "x", "spans": "y", "copies": "z", "predicted": "w", "size": "v", "_key": "u", "n": "t"}
+    return docs.unionByName(more).withColumns({k: F.lit(v) for k, v in clash.items()}).cache()
+
+
+def test_stages_on_odd_rows(spark, odd):
+    stages, n = dict(corpus_pipeline.STAGES), odd.count()
+    good = stages["quality classifier"](spark, odd, SF)
+    assert good.columns == odd.columns and 0 < good.count() <= n and good.exceptAll(odd).count() == 0
+    # equal texts are judged alike
+    assert good.filter("doc_id = 1000006").count() in (0, 2)
+
+    one = stages["n-gram Jaccard join"](spark, odd, SF).cache()
+    assert one.columns == odd.columns and one.exceptAll(odd).count() == 0
+    left = [(r.doc_id, r.text) for r in one.filter("doc_id > 1000000 or doc_id is null").collect()]
+    ids = [i for i, _ in left]
+    # without words: copies of nothing; equal rows and near copies: one; a row without id gives way to one with an id
+    assert {1000001, 1000002, 1000003, 1000004} <= set(ids) and 1000005 not in ids and ids.count(1000006) == 1 and ids.count(1000007) == 2
+    assert sorted(t or "" for i, t in left if i is None) == ["", "a text without an id that nobody else has"]
+
+    masked = stages["secret scans"](spark, odd, SF).cache()
+    assert masked.columns == odd.columns and masked.count() == n and masked.filter("text is null").count() == odd.filter("text is null").count()
+    assert "abcdefgh1234" not in masked.filter("doc_id = 1000008").first().text
+    assert masked.filter("doc_id > 1000000 and n_chars <> length(text)").count() == 0
+    bare = stages["secret scans"](spark, odd.drop("n_chars"), SF)
+    assert bare.columns == odd.drop("n_chars").columns and bare.count() == n
+
+    mixed = stages["mixing sources"](spark, odd, SF).cache()
+    assert mixed.columns == odd.columns and mixed.distinct().exceptAll(odd.distinct()).count() == 0
+    held = F.xxhash64("doc_id", "text").alias("k")
+    times = mixed.groupBy(held).count().join(odd.groupBy(held).agg(F.count("*").alias("given")), "k")
+    assert times.filter("count > 2 * given").count() == 0
+
+    ids = stages["SentencePiece"](spark, odd, SF)
+    assert ids.count() == n and ids.filter("doc_id = 1000001").first().n_tokens == 0
+
+
+def test_stages_on_an_empty_table(spark, odd):
+    none = odd.limit(0)
+    for name, stage in corpus_pipeline.STAGES:
+        assert stage(spark, none, SF).collect() == [], name
