@@ -18,8 +18,9 @@ DIALECT_ING = (
 DIALECT_RULES = {w: w[:-1] + "'" for w in DIALECT_ING} | {"hey": "aye", "hay": "aye"}
 CONTEXT_WORDS = ("her", "thing", "still", "fly", "na", "well", "yeah")
 
-#: What the rules with a context put for a word.
+#: What the rules with a context put for a word, and the texts near it that call for the last of them.
 IN_CONTEXT = {"well": "12", "her": "hoes", "na": "nigga"}
+CONTEXT_HINTS = ("try", "gang", "jam", "young", "ass", "can't")
 
 # Ordered phrase corrections (pattern, replacement).
 PHRASE_RULES = (

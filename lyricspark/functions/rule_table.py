@@ -10,12 +10,11 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .constants import CONTEXT_WORDS, IN_CONTEXT
+from .constants import CONTEXT_HINTS, CONTEXT_WORDS, IN_CONTEXT
 
 #: Rules of a table at most; it is sent to every task.
 MOST_RULES = 100_000
 _CLEAN = re.compile(r"[^\w']")
-_HINTS = re.compile("try|gang|jam|young|ass|can't")
 _COMPILED: dict[str, RuleAutomaton] = {}
 
 
@@ -107,7 +106,7 @@ class RuleAutomaton:
                 found = IN_CONTEXT["well"]
             elif category == "explicit" and clean == "her" and "these" in around(i, 2, 1)[0] and "gon" in around(i, 2, 1)[1]:
                 found = IN_CONTEXT["her"]
-            elif category == "explicit" and clean == "na" and _HINTS.search("".join(around(i, 3, 2))):
+            elif category == "explicit" and clean == "na" and any(h in "".join(around(i, 3, 2)) for h in CONTEXT_HINTS):
                 found = IN_CONTEXT["na"]
             elif category == "explicit" or clean not in CONTEXT_WORDS:
                 found = mapping.get(clean)
