@@ -751,6 +751,16 @@ def m28(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(s.select("key", F.size("s.correct").alias("correct"), F.size("s.missed").alias("missed"), F.size("s.extra").alias("extra"), "s.recall", "s.precision", "s.f1"))
 
 
+#: Terms that the pairs hold written backwards.
+_TURNED = ("the", "and", "of", "that", "que", "les", "der", "die", "los")
+
+
+@query("m28_recovered_terms", _PAIR_TERMS + f", x AS (SELECT s.key, rs, hs, lower(hypothesis) AS low FROM s JOIN pairs USING (key)) SELECT key, array_to_string(list_filter({_sql_list(_TURNED)}, lambda k: list_contains(rs, k) AND NOT list_contains(hs, k) AND contains(low, reverse(k))), ' ') AS recovered FROM x")
+def m28r(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = metrics.term_accuracy(F.col("reference"), F.col("hypothesis"), _TERMS, {t: [t[::-1]] for t in _TURNED})
+    return pairs(spark, sf_dir).select("key", F.array_join(found["recovered"], " ").alias("recovered"))
+
+
 @query("m29_batch_slang_accuracy", _PAIR_TERMS + f", t2 AS (SELECT lang, CAST(sum(len(good)) AS BIGINT) AS correct, CAST(sum(len(r)) AS BIGINT) AS ref_terms, CAST(sum(len(h)) AS BIGINT) AS hyp_terms FROM s GROUP BY lang), m AS (SELECT *, CASE WHEN ref_terms = 0 THEN 1.0 ELSE correct / ref_terms END AS recall, CASE WHEN hyp_terms = 0 THEN 1.0 ELSE correct / hyp_terms END AS precision FROM t2), f AS (SELECT lang, correct, ref_terms, hyp_terms, {_RATES} FROM m) SELECT lang, correct, ref_terms, hyp_terms, round(recall, 6) AS recall, round(precision, 6) AS precision, round(f1, 6) AS f1 FROM f")
 def m29(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(evaluate.batch_term_accuracy(pairs(spark, sf_dir), _TERMS, ["lang"]).select("lang", "correct", "ref_terms", "hyp_terms", "recall", "precision", "f1"))
