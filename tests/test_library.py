@@ -354,8 +354,12 @@ def test_readers_and_writers(spark, tmp_path):
     assert spark.read.parquet(f"{tmp_path}/set/split=train").count() == 2
 
 
-def test_ping():
-    assert step((3, "abc"), "ping", None) == ((3, "abc"), ("pong", "", 3), False)
+def test_ping(spark):
+    from lyricspark.streaming import assemble_sessions
+
+    rows = [("s", 1, "audio", "ab"), ("s", 2, "ping", None)]
+    got = assemble_sessions(spark.createDataFrame(rows, "session string, seq long, type string, data string")).filter("seq = 2").collect()
+    assert [tuple(r) for r in got] == [("s", 2, "pong", "", 2)]
 
 
 def test_domain_vocabulary_holds_its_tokens(spark):
