@@ -125,8 +125,19 @@ def tokenizer_preprocess(text: Column, masked: Iterable[tuple[str, str]] = (("f*
     return collapse_whitespace(strip_annotations(out))
 
 
+#: Characters whose upper case is more than one character, and what stands for them in upper case alone.
+_WIDER = [c for c in map(chr, (*range(0xD800), *range(0xE000, 0x20000))) if len(c.upper()) > 1]
+_SINGLE = ["ẞ" if c == "ß" else c.title() if len(c.title()) == 1 else c for c in _WIDER]
+
+
+def upper(text: Column) -> Column:
+    """Upper case, in which each character stays one: ß becomes ẞ, as in SQL, so that lower case leads back."""
+    one = lambda c: F.when(F.char_length(F.upper(c)) > 1, F.translate(c, "".join(_WIDER), "".join(_SINGLE))).otherwise(F.upper(c))
+    return F.when(F.char_length(F.upper(text)) == F.char_length(text), F.upper(text)).otherwise(F.array_join(F.transform(F.split(text, ""), one), ""))
+
+
 def _capitalize(word: Column) -> Column:
-    return F.concat(F.upper(F.substring(word, 1, 1)), F.lower(F.substring(word, 2, 1 << 30)))
+    return F.concat(upper(F.substring(word, 1, 1)), F.lower(F.substring(word, 2, 1 << 30)))
 
 
 def capitalize_words(text: Column, always: Iterable[str] = CAPITALIZED) -> Column:
@@ -134,8 +145,8 @@ def capitalize_words(text: Column, always: Iterable[str] = CAPITALIZED) -> Colum
     known = strings(always)
 
     def one(w: Column, i: Column) -> Column:
-        upper = F.concat(F.upper(F.substring(w, 1, 1)), F.substring(w, 2, 1 << 30))
-        return F.when(F.array_contains(known, F.lower(w)), upper).when(i == 0, _capitalize(w)).otherwise(w)
+        raised = F.concat(upper(F.substring(w, 1, 1)), F.substring(w, 2, 1 << 30))
+        return F.when(F.array_contains(known, F.lower(w)), raised).when(i == 0, _capitalize(w)).otherwise(w)
 
     return F.array_join(F.transform(words(text), one), " ")
 

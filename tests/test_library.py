@@ -153,6 +153,14 @@ def test_text(spark):
     assert apply(spark, lambda t: text.break_lines(t, 10), "aaa bbb ccc ddd. e") == ["aaa bbb", "ccc ddd.", "e"]
 
 
+def test_upper_case_keeps_characters_single(spark):
+    assert apply(spark, text.capitalize_words, "ßheit ß") == "ẞheit ß"
+    assert apply(spark, text.restore_punctuation, "ßa ß. ßb. ßc") == "ẞa ß. ẞb. ẞc."
+    assert apply(spark, lambda t: text.postprocess_text(t, slang=True, punctuation=True, masked=True), "ßheit. ßa") == "ẞheit. ẞa."
+    assert apply(spark, lambda t: text.clean_transcript(t, as_lyrics=True, adlibs=ADLIB_TERMS), "ßheit. ßa") == "ẞheit.\nßa"
+    assert [apply(spark, text.upper, t) for t in ("", "aé", "ßaŉﬁ", "ᾳß")] == ["", "AÉ", "ẞAŉﬁ", "ᾼẞ"]
+
+
 def test_clean(spark):
     assert apply(spark, clean.strip_metadata, "line one here\nYou might also like\nhttps://x.y z").startswith("line one here")
     assert apply(spark, lambda h: clean.extract_page_text(h), '<p>no</p><div data-lyrics-container="true">a<br>b<div>c</div></div>') == "a\nbc"
