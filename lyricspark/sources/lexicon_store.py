@@ -25,10 +25,11 @@ def bucket_of(word, buckets):
     return F.pmod(F.xxhash64(F.lower(word)), buckets).cast("int")
 
 
-def override_words(spark: SparkSession, path: str, new: DataFrame) -> list[int]:
+def override_words(spark: SparkSession, path: str, new: DataFrame, several: bool = False) -> list[int]:
     """Entries of `new` replace or join those of the same word, in any case; the buckets that were rewritten.
 
-    Of several new entries for a word the last by all columns counts. Old rows stay in the tasks that
+    Of several new entries for a word the last by all columns counts, or with `several` they all stay, as
+    those of a saved lexicon do that holds a word in more than one case. Old rows stay in the tasks that
     read them, and nothing of them is shuffled; other buckets aren't read or touched. An override of
     no words does nothing.
     """
@@ -37,7 +38,9 @@ def override_words(spark: SparkSession, path: str, new: DataFrame) -> list[int]:
     buckets = old.select("buckets").first()["buckets"]
     columns = [c for c in old.columns if c not in ("buckets", "bucket")]
     last = Window.partitionBy(F.lower("word")).orderBy(*(F.desc(c) for c in columns))
-    fresh = new.select(*columns).withColumn("_n", F.row_number().over(last)).filter("_n = 1").drop("_n")
+    fresh = new.select(*columns)
+    if not several:
+        fresh = fresh.withColumn("_n", F.row_number().over(last)).filter("_n = 1").drop("_n")
     fresh = _placed(fresh, buckets)
     # as many numbers as there are buckets
     touched = sorted(r.bucket for r in fresh.select("bucket").distinct().collect())

@@ -147,3 +147,12 @@ def test_an_override_rewrites_one_bucket(spark, tmp_path):
     assert load_buckets(spark, path).count() == 301
     plan = load_buckets(spark, path).filter("bucket = 3")._jdf.queryExecution().toString()
     assert "PartitionFilters: [isnotnull(bucket" in plan
+
+
+def test_an_override_may_keep_several_entries_of_a_word(spark, tmp_path):
+    path = str(tmp_path / "lexicon")
+    rows = [("As", "1"), ("as", "1"), ("ß", "1"), ("stays", "1")]
+    save_buckets(spark.createDataFrame(rows, "word string, definition string"), path, 4)
+    override_words(spark, path, spark.createDataFrame([("AS", "new"), ("AS", "new"), ("ẞ", "new")], "word string, definition string"), several=True)
+    got = sorted((r.word, r.definition) for r in load_buckets(spark, path).collect())
+    assert got == [("AS", "new"), ("AS", "new"), ("stays", "1"), ("ẞ", "new")]
