@@ -2,7 +2,8 @@
 
 A column of the distance table differs from cell to cell by one at most, so it is kept as bits of long
 integers, which work out a whole column in a few operations. The differences of all columns are enough
-to trace an alignment back.
+to trace an alignment back. Pairs of a batch that are about as long are worked out together, as arrays of
+64-bit words; longer or lonely ones one by one, with Python's integers.
 """
 
 from __future__ import annotations
@@ -12,7 +13,9 @@ from difflib import SequenceMatcher
 from itertools import accumulate
 from math import isqrt
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -111,6 +114,179 @@ def align_ops(a: Sequence, b: Sequence, order: tuple[int, ...], block: int | Non
     return out[::-1]
 
 
+#: 64-bit words of a column, and numbers kept of a group of pairs, up to which pairs are worked out together.
+WORDS = 16
+KEPT = 1 << 21
+
+
+class _Side:
+    """Sequences of one side of a batch: their elements as numbers behind one another, and where each starts."""
+
+    def __init__(self, ids: np.ndarray, sizes: np.ndarray) -> None:
+        self.ids, self.sizes = ids, sizes
+        self.ends = np.cumsum(sizes, dtype=np.int64)
+        self.starts = self.ends - sizes
+
+    def one(self, n: int) -> list[int]:
+        return self.ids[self.starts[n] : self.ends[n]].tolist()
+
+    def rows(self, rows: np.ndarray, width: int, pad: int) -> np.ndarray:
+        """The sequences of these rows, padded to one width."""
+        at = np.arange(width)
+        inside = at < self.sizes[rows, None]
+        out = np.full((len(rows), width), pad, self.ids.dtype)
+        out[inside] = self.ids[(self.starts[rows, None] + at)[inside]]
+        return out
+
+
+def _sides(ids: np.ndarray, known: int, sizes: tuple[np.ndarray, np.ndarray]) -> tuple[_Side, _Side]:
+    """Both sides, from the elements of the first and then of the second; the two highest numbers of the type stay free."""
+    kind = np.uint8 if known < 255 else np.uint16 if known < 65535 else np.uint32
+    ids, cut = ids.astype(kind), int(sizes[0].sum())
+    return _Side(ids[:cut], sizes[0]), _Side(ids[cut:], sizes[1])
+
+
+def _word_sides(ref: pa.Array, hyp: pa.Array) -> tuple[_Side, _Side]:
+    flat = [x.flatten() for x in (ref, hyp)]
+    coded = pa.chunked_array(flat).combine_chunks().dictionary_encode("encode")
+    sizes = tuple(np.asarray(pc.fill_null(pc.list_value_length(x), 0)).astype(np.int64) for x in (ref, hyp))
+    return _sides(np.asarray(coded.indices), len(coded.dictionary), sizes)
+
+
+def _char_sides(a: list[str], b: list[str]) -> tuple[_Side, _Side]:
+    points = np.frombuffer("".join([*a, *b]).encode("utf-32-le", "surrogatepass"), np.uint32)
+    seen = np.zeros(int(points.max(initial=0)) + 1, bool)
+    seen[points] = True
+    sizes = tuple(np.fromiter(map(len, x), np.int64, len(x)) for x in (a, b))
+    return _sides((np.cumsum(seen) - 1)[points], int(seen.sum()), sizes)
+
+
+def _groups(a: _Side, b: _Side):
+    """(rows, 64-bit words of a column): rows of about equal sizes, or one by one with 0 words."""
+    words = np.maximum(-(-a.sizes // 64), 1)
+    order = np.lexsort((b.sizes, words))
+    order = order[(a.sizes[order] > 0) & (b.sizes[order] > 0)]
+    at = 0
+    while at < len(order):
+        deep, wide = words[order[at]], b.sizes[order[at]]
+        widest = wide + wide // 4 + 4
+        fits = max(int(KEPT // (widest * deep)), 1)
+        part = order[at : at + min(fits, 1024)]
+        part = part[(words[part] == deep) & (b.sizes[part] <= widest)]
+        if deep <= WORDS and len(part) >= 16 * deep:
+            yield part, int(deep)
+        else:
+            for n in part:
+                yield np.array([n]), 0
+        at += len(part)
+
+
+def _columns_of(x: np.ndarray, y: np.ndarray, deep: int):
+    """(D0, VP, HP, HN) by column as `_columns` has them, each of `deep` rows of words, for many pairs; bits beyond a pair's own mean nothing.
+
+    A bit of D0 says that the cell is the same as the one before it in the diagonal.
+    """
+    n, one, top = len(x), np.uint64(1), np.uint64(63)
+    vp, vn = [np.full(n, ~np.uint64(0)) for _ in range(deep)], [np.zeros(n, np.uint64) for _ in range(deep)]
+    for j in range(y.shape[1]):
+        eqs = np.packbits(x == y[:, j, None], axis=1, bitorder="little").view(np.uint64)
+        d0s, hps, hns = [], [], []
+        carry, up, down = np.zeros(n, np.uint64), np.ones(n, np.uint64), np.zeros(n, np.uint64)
+        for k in range(deep):
+            eq, p, q = np.ascontiguousarray(eqs[:, k]), vp[k], vn[k]
+            both = eq & p
+            added = both + p
+            over = added < both
+            if k:
+                added += carry
+                over |= added < carry
+            carry = over.astype(np.uint64)
+            d0 = (added ^ p) | eq | q
+            hp, hn = q | ~(d0 | p), p & d0
+            left, right = hp << one | up, hn << one | down
+            up, down = hp >> top, hn >> top
+            vp[k], vn[k] = right | ~(d0 | left), left & d0
+            d0s.append(d0), hps.append(hp), hns.append(hn)
+        yield d0s, vp, hps, hns
+
+
+def _padded(rows: np.ndarray, deep: int, a: _Side, b: _Side) -> tuple[np.ndarray, np.ndarray]:
+    free = np.iinfo(a.ids.dtype).max
+    return a.rows(rows, 64 * deep, free), b.rows(rows, int(b.sizes[rows].max()), free - 1)
+
+
+def _all_distances(a: _Side, b: _Side) -> np.ndarray:
+    """The edit distance of each pair."""
+    out = np.maximum(a.sizes, b.sizes)
+    for rows, deep in _groups(a, b):
+        if not deep:
+            out[rows[0]] = distance(a.one(rows[0]), b.one(rows[0]))
+            continue
+        last, sizes = a.sizes[rows] - 1, b.sizes[rows]
+        word, bit, far = last >> 6, (last & 63).astype(np.uint64), a.sizes[rows].copy()
+        for j, (_, _, hp, hn) in enumerate(_columns_of(*_padded(rows, deep, a, b), deep)):
+            one, less = (x[0] if deep == 1 else np.choose(word, x) for x in (hp, hn))
+            step = (one >> bit & np.uint64(1)).astype(np.int64) - (less >> bit & np.uint64(1)).astype(np.int64)
+            far += np.where(j < sizes, step, 0)
+        out[rows] = far
+    return out
+
+
+def _traced(x: np.ndarray, y: np.ndarray, sizes: tuple[np.ndarray, np.ndarray], deep: int, order: tuple[int, ...]) -> np.ndarray:
+    """The operations of each pair, from the right; -1 in front of them."""
+    n, width, (i, j) = len(x), y.shape[1], (s.copy() for s in sizes)
+    diagonal = order[1] == SUBSTITUTE
+    kept, right = (np.empty((width, deep, n), np.uint64) for _ in range(2))
+    for c, (d0, vp, hp, _) in enumerate(_columns_of(x, y, deep)):
+        kept[c], right[c] = d0 if diagonal else vp, hp
+    kept, right, at = kept.reshape(-1), right.reshape(-1), np.arange(n)
+    longest, one = int((i + j).max()), np.uint64(1)
+    out = np.full((n, longest), -1, np.int8)
+    for step in range(longest - 1, -1, -1):
+        some = (i > 0) | (j > 0)
+        if not some.any():
+            break
+        u, v = np.maximum(i - 1, 0), np.maximum(j - 1, 0)
+        inner = (i > 0) & (j > 0)
+        same = inner & (x[at, u] == y[at, v])
+        place, bit = (v * deep + (u >> 6)) * n + at, (u & 63).astype(np.uint64)
+        k, r = (kept[place] >> bit & one).astype(bool), (right[place] >> bit & one).astype(bool)
+        insert = (j > 0) & ((i == 0) | r)
+        if diagonal:
+            move = np.where(inner & ~k, SUBSTITUTE, np.where(insert, INSERT, DELETE))
+        else:
+            move = np.where((i > 0) & ((j == 0) | k), DELETE, np.where(insert, INSERT, SUBSTITUTE))
+        move = np.where(same, CORRECT, move)
+        out[:, step] = np.where(some, move, -1)
+        i -= some & (move != INSERT)
+        j -= some & (move != DELETE)
+    return out
+
+
+def _all_ops(a: _Side, b: _Side, order: tuple[int, ...]) -> tuple[np.ndarray, np.ndarray]:
+    """(operations of all pairs behind one another, their number for each pair); order as in `align_ops`, correct first, a substitution second or last."""
+    found, rows_of, places = [], [], []
+
+    def put(rows: np.ndarray, ops: np.ndarray) -> None:
+        inside = ops >= 0
+        row, at = inside.nonzero()
+        found.append(ops[inside]), rows_of.append(rows[row]), places.append(at)
+
+    for rows, deep in _groups(a, b):
+        if deep:
+            put(rows, _traced(*_padded(rows, deep, a, b), (a.sizes[rows], b.sizes[rows]), deep, order))
+        else:
+            put(rows, np.array([align_ops(a.one(rows[0]), b.one(rows[0]), order)], np.int8))
+    # an empty side leaves the other one's elements
+    for side, other, op in ((a, b, DELETE), (b, a, INSERT)):
+        rows = np.flatnonzero((other.sizes == 0) & (side.sizes > 0))
+        many = np.repeat(rows, side.sizes[rows])
+        found.append(np.full(len(many), op, np.int8)), rows_of.append(many), places.append(np.arange(len(many)))
+    ops, rows, at = (np.concatenate(x) for x in (found, rows_of, places))
+    sizes = np.bincount(rows, minlength=len(a.sizes))
+    return ops[np.lexsort((at, rows))], sizes
+
+
 def edit_counts(ref: list[str], hyp: list[str]) -> tuple[int, int, int]:
     """(insertions, deletions, substitutions); ties prefer a deletion, then an insertion, then a substitution."""
     ops = align_ops(ref, hyp, (CORRECT, DELETE, INSERT, SUBSTITUTE))
@@ -138,26 +314,44 @@ def diff_pairs(trans: list[str], ref: list[str]) -> list[tuple[str | None, str |
     return out
 
 
-def _lists(a: pd.Series, b: pd.Series):
-    return ((list(x) if x is not None else [], list(y) if y is not None else []) for x, y in zip(a, b))
-
-
 def edit_ops(ref: Column, hyp: Column) -> Column:
-    """struct<insertions, deletions, substitutions> of two arrays of words."""
+    """struct<insertions, deletions, substitutions, ref_words, hyp_words> of two arrays of words."""
 
-    @F.pandas_udf("struct<insertions:int,deletions:int,substitutions:int>")
-    def run(r: pd.Series, h: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([edit_counts(x, y) for x, y in _lists(r, h)], columns=["insertions", "deletions", "substitutions"])
+    @F.arrow_udf("struct<insertions:int,deletions:int,substitutions:int,ref_words:int,hyp_words:int>")
+    def run(r: pa.Array, h: pa.Array) -> pa.Array:
+        sides = _word_sides(r, h)
+        ops, sizes = _all_ops(*sides, (CORRECT, DELETE, INSERT, SUBSTITUTE))
+        rows = np.repeat(np.arange(len(sizes)), sizes)
+        counts = np.bincount(rows * 4 + ops, minlength=4 * len(sizes)).reshape(-1, 4).astype(np.int32)
+        columns = [*(counts[:, op] for op in (INSERT, DELETE, SUBSTITUTE)), *(x.sizes.astype(np.int32) for x in sides)]
+        return pa.StructArray.from_arrays([pa.array(x) for x in columns], ["insertions", "deletions", "substitutions", "ref_words", "hyp_words"])
 
     return run(ref, hyp)
 
 
+def _aligned(r: pa.Array, h: pa.Array, wrong: bool) -> pa.Array:
+    """Lists of (position, op, ref_word, hyp_word), of all operations or those that aren't correct."""
+    ops, sizes = _all_ops(*_word_sides(r, h), (CORRECT, SUBSTITUTE, INSERT, DELETE))
+    # the operations use up all words of both sides in order
+    sides = [(x.flatten(), ops != without) for x, without in ((r, INSERT), (h, DELETE))]
+    rows, ends = np.repeat(np.arange(len(sizes)), sizes), np.cumsum(sizes)
+    kept = np.flatnonzero(ops != CORRECT) if wrong else np.arange(len(ops))
+    heard = [w.take(pa.array((np.cumsum(on) - 1)[kept], mask=~on[kept])) for w, on in sides]
+    position = (kept - (ends - sizes)[rows[kept]]).astype(np.int32)
+    names = pa.array([_NAMES[op] for op in range(4)]).take(pa.array(ops[kept]))
+    offsets = np.concatenate([[0], np.cumsum(np.bincount(rows[kept], minlength=len(sizes)))]).astype(np.int32)
+    fields = {"position": pa.array(position), "op": names, "ref_word": heard[0], "hyp_word": heard[1]}
+    if not wrong:
+        del fields["position"]
+    return pa.ListArray.from_arrays(offsets, pa.StructArray.from_arrays(list(fields.values()), list(fields)))
+
+
 def align_words(ref: Column, hyp: Column) -> Column:
     """array<struct<op, ref_word, hyp_word>> of two arrays of words."""
 
-    @F.pandas_udf("array<struct<op:string,ref_word:string,hyp_word:string>>")
-    def run(r: pd.Series, h: pd.Series) -> pd.Series:
-        return pd.Series([[dict(zip(("op", "ref_word", "hyp_word"), x)) for x in word_alignment(a, b)] for a, b in _lists(r, h)])
+    @F.arrow_udf("array<struct<op:string,ref_word:string,hyp_word:string>>")
+    def run(r: pa.Array, h: pa.Array) -> pa.Array:
+        return _aligned(r, h, False)
 
     return run(ref, hyp)
 
@@ -165,9 +359,9 @@ def align_words(ref: Column, hyp: Column) -> Column:
 def align_errors(ref: Column, hyp: Column) -> Column:
     """array<struct<position, op, ref_word, hyp_word>>: the rows of align_words that aren't correct, with their places."""
 
-    @F.pandas_udf("array<struct<position:int,op:string,ref_word:string,hyp_word:string>>")
-    def run(r: pd.Series, h: pd.Series) -> pd.Series:
-        return pd.Series([[{"position": n, "op": op, "ref_word": x, "hyp_word": y} for n, (op, x, y) in enumerate(word_alignment(a, b)) if op != "correct"] for a, b in _lists(r, h)])
+    @F.arrow_udf("array<struct<position:int,op:string,ref_word:string,hyp_word:string>>")
+    def run(r: pa.Array, h: pa.Array) -> pa.Array:
+        return _aligned(r, h, True)
 
     return run(ref, hyp)
 
@@ -175,9 +369,12 @@ def align_errors(ref: Column, hyp: Column) -> Column:
 def diff_align(trans: Column, ref: Column) -> Column:
     """array<struct<trans, ref>> of two arrays of words."""
 
-    @F.pandas_udf("array<struct<trans:string,ref:string>>")
-    def run(t: pd.Series, r: pd.Series) -> pd.Series:
-        return pd.Series([[{"trans": a, "ref": b} for a, b in diff_pairs(x, y)] for x, y in _lists(t, r)])
+    @F.arrow_udf("array<struct<trans:string,ref:string>>")
+    def run(t: pa.Array, r: pa.Array) -> pa.Array:
+        found = [diff_pairs(x or [], y or []) for x, y in zip(t.to_pylist(), r.to_pylist())]
+        sides = [pa.array([p[n] for pairs in found for p in pairs], pa.string()) for n in (0, 1)]
+        offsets = np.cumsum([0, *map(len, found)]).astype(np.int32)
+        return pa.ListArray.from_arrays(offsets, pa.StructArray.from_arrays(sides, ["trans", "ref"]))
 
     return run(trans, ref)
 
@@ -195,18 +392,36 @@ def distance(a: Sequence, b: Sequence) -> int:
 def char_distances(a: Column, b: Column) -> Column:
     """The edit distance of two texts; nulls stay null."""
 
-    @F.pandas_udf("int")
-    def run(x: pd.Series, y: pd.Series) -> pd.Series:
-        return pd.Series([distance(p, q) if p is not None and q is not None else None for p, q in zip(x, y)], dtype="Int32")
+    @F.arrow_udf("int")
+    def run(x: pa.Array, y: pa.Array) -> pa.Array:
+        missing = np.asarray(pc.or_(pc.is_null(x), pc.is_null(y)))
+        sides = _char_sides(*([t or "" for t in z.to_pylist()] for z in (x, y)))
+        return pa.array(_all_distances(*sides).astype(np.int32), mask=missing)
 
     return run(a, b)
 
 
 def distances(ref: Column, hyp: Column) -> Column:
-    """The edit distance of two arrays of words."""
+    """struct<errors, ref_words> of two arrays of words: their edit distance, and the first one's size, for which it is made once."""
+
+    @F.arrow_udf("struct<errors:int,ref_words:int>")
+    def run(r: pa.Array, h: pa.Array) -> pa.Array:
+        a, b = _word_sides(r, h)
+        return pa.StructArray.from_arrays([pa.array(x.astype(np.int32)) for x in (_all_distances(a, b), a.sizes)], ["errors", "ref_words"])
+
+    return run(ref, hyp)
+
+
+def error_rates(ref: Column, hyp: Column, empty_ref: str = "count") -> Column:
+    """Edit distance over the reference's words; null for a null array, but 1 where the reference is empty and empty_ref is one."""
 
-    @F.pandas_udf("int")
-    def run(r: pd.Series, h: pd.Series) -> pd.Series:
-        return pd.Series([distance(x, y) for x, y in _lists(r, h)], dtype="int32")
+    @F.arrow_udf("double")
+    def run(r: pa.Array, h: pa.Array) -> pa.Array:
+        a, b = _word_sides(r, h)
+        lost, unheard = (np.asarray(pc.is_null(x)) for x in (r, h))
+        none = (a.sizes == 0) & ~lost
+        empty = b.sizes.astype(float) if empty_ref == "count" else np.where((b.sizes == 0) & ~unheard, 0.0, 1.0)
+        rates = np.where(none, empty, _all_distances(a, b) / np.maximum(a.sizes, 1))
+        return pa.array(rates, mask=lost | (unheard & none & (empty_ref == "count")))
 
     return run(ref, hyp)

@@ -7,30 +7,28 @@ from collections.abc import Iterable, Mapping
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .align import char_distances, distances
+from .align import char_distances, distances, error_rates
 from .constants import CATEGORY_ADLIBS, CATEGORY_SLANG, PHONETIC_PAIRS, SLANG_VARIANTS
 from .text import normalize_delete, strings, tokenize
 
 
 def word_distance(ref: Column, hyp: Column) -> Column:
-    """Edit distance between two arrays of words, row by row; equal ends are cut off first.
+    """Edit distance between two arrays of words.
 
     The built-in levenshtein would need each word as one character, looked up in an array in linear
     time for every word, which long texts don't allow.
     """
-    return distances(ref, hyp)
+    return distances(ref, hyp)["errors"]
 
 
 def wer(ref: Column, hyp: Column, profile: str = "delete", empty_ref: str = "count", round_to: int | None = None) -> Column:
     """Word error rate. Of an empty reference: 0 for an empty hypothesis, else the hypothesis's words (count) or 1 (one)."""
-    r, h = tokenize(ref, profile), tokenize(hyp, profile)
-    empty = F.when(F.size(h) == 0, F.lit(0.0)).otherwise(F.size(h).cast("double") if empty_ref == "count" else F.lit(1.0))
-    rate = F.when(F.size(r) == 0, empty).otherwise(word_distance(r, h) / F.size(r))
+    rate = error_rates(tokenize(ref, profile), tokenize(hyp, profile), empty_ref)
     return F.bround(rate, round_to) if round_to is not None else rate
 
 
 #: Up to this length the built-in levenshtein, whose time grows with the product of the lengths, is the faster one.
-SHORT = 256
+SHORT = 64
 
 
 def char_distance(a: Column, b: Column) -> Column:

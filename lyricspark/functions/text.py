@@ -50,7 +50,9 @@ def normalize_ascii(text: Column) -> Column:
 
 
 def tokenize(text: Column, profile: str = "delete") -> Column:
-    return words({"delete": normalize_delete, "space": normalize_space, "ascii": normalize_ascii}[profile](text))
+    """The words of the normalized text; its white space needn't be collapsed for them."""
+    pattern, put = {"delete": (r"(?U)[^\w\s']", ""), "space": (r"(?U)[^\w\s']", " "), "ascii": (r"[^a-z0-9\s]", "")}[profile]
+    return words(F.regexp_replace(F.lower(text), pattern, put))
 
 
 @F.pandas_udf(StringType())

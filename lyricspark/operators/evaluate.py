@@ -7,7 +7,7 @@ from collections.abc import Iterable, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lyricspark.functions.align import align_errors, diff_align, edit_ops
+from lyricspark.functions.align import align_errors, diff_align, distances, edit_ops
 from lyricspark.functions.metrics import char_rate, error_category, normalize_delete, phonetic_similarity, score_pair, term_accuracy, wer, word_distance
 from lyricspark.functions.rules import correct
 from lyricspark.functions.text import tokenize, words
@@ -16,21 +16,20 @@ from lyricspark.functions.text import tokenize, words
 def sample_metrics(df: DataFrame, ref: str = "reference", hyp: str = "hypothesis") -> DataFrame:
     """df with wer, cer, accuracies, insertions, deletions, substitutions and word and character counts; nulls count as empty."""
     out = df.withColumns({f"_n{c[0]}": normalize_delete(F.coalesce(F.col(c[1]), F.lit(""))) for c in (("r", ref), ("h", hyp))})
-    out = out.withColumn("_r", words(F.col("_nr"))).withColumn("_h", words(F.col("_nh")))
-    out = out.withColumn("_ops", edit_ops(F.col("_r"), F.col("_h"))).withColumn("cer", char_rate(F.col("_nr"), F.col("_nh")))
-    for name in ("insertions", "deletions", "substitutions"):
-        out = out.withColumn(name, F.col(f"_ops.{name}"))
-    out = out.withColumns({"ref_words": F.size("_r"), "hyp_words": F.size("_h"), "ref_chars": F.char_length("_nr"), "hyp_chars": F.char_length("_nh")})
+    out = out.select("*", F.inline(F.array(edit_ops(words(F.col("_nr")), words(F.col("_nh"))))))
+    out = out.withColumns({"cer": char_rate(F.col("_nr"), F.col("_nh")), "ref_chars": F.char_length("_nr"), "hyp_chars": F.char_length("_nh")})
     # the words of an empty reference count as the rate itself
     out = out.withColumn("wer", (F.col("insertions") + F.col("deletions") + F.col("substitutions")) / F.greatest("ref_words", F.lit(1)))
     out = out.withColumn("word_accuracy", F.greatest(F.lit(0.0), 1 - F.col("wer"))).withColumn("char_accuracy", F.greatest(F.lit(0.0), 1 - F.col("cer")))
-    return out.drop("_r", "_h", "_nr", "_nh", "_ops")
+    rates = ["cer", "insertions", "deletions", "substitutions", "ref_words", "hyp_words", "ref_chars", "hyp_chars", "wer", "word_accuracy", "char_accuracy"]
+    return out.select(*df.columns, *rates)
 
 
 def word_errors(df: DataFrame, ref: str = "reference", hyp: str = "hypothesis") -> DataFrame:
-    """df with errors and ref_words, by built-in functions alone."""
+    """df with errors and ref_words."""
     r, h = tokenize(F.coalesce(F.col(ref), F.lit(""))), tokenize(F.coalesce(F.col(hyp), F.lit("")))
-    return df.withColumn("_r", r).withColumn("_h", h).withColumn("errors", word_distance(F.col("_r"), F.col("_h"))).withColumn("ref_words", F.size("_r")).drop("_r", "_h")
+    # through a generator, so that the optimizer doesn't put the distance in each place that names a field of it
+    return df.select("*", F.inline(F.array(distances(r, h))))
 
 
 def batch_metrics(metrics: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
@@ -169,7 +168,8 @@ def stage_report(df: DataFrame, ids: Sequence[str], ref: str = "reference", hyp:
     out = df.withColumn("_c", correct(F.col(hyp)))
     rates = [(hyp, "raw"), ("_c", "corrected"), (matched or "_c", "matched")]
     for c, name in rates:
-        out = out.withColumn(f"wer_{name}", wer(F.col(ref), F.col(c), profile="space", empty_ref="one"))
+        # through a generator, as in word_errors
+        out = out.select("*", F.explode(F.array(wer(F.col(ref), F.col(c), profile="space", empty_ref="one"))).alias(f"wer_{name}"))
     return out.select(*ids, *(f"wer_{n}" for _, n in rates), (F.col("wer_raw") - F.col("wer_matched")).alias("reduction"))
 
 

@@ -375,3 +375,26 @@ def test_domain_vocabulary_holds_its_tokens(spark):
 
     got = [r.token for r in vocab.build_vocab(spark.createDataFrame([(1, "yeah x x")], "doc_id long, text string"), domain=DOMAIN_TOKENS).orderBy("id").collect()]
     assert got[5:7] == ["yeah", "yuh"] and "deadhomieshomie" in got and got[-1] == "x"
+
+
+@pytest.mark.parametrize("kinds", [2, 30, 70_000])
+def test_pairs_of_a_batch_align_like_single_ones(kinds):
+    import pyarrow as pa
+
+    rng = random.Random(kinds)
+    sizes = [0, 1, 2, 7, 63, 64, 65, 128, 130, 200]
+    words = lambda n: [str(rng.randrange(kinds)) for _ in range(n)]
+    pairs = [(words(rng.choice(sizes)), words(rng.choice(sizes))) for _ in range(1500)] + [(words(40), words(3000)), ([], [])]
+    r, h = (pa.array([*(p[n] for p in pairs), None], pa.list_(pa.string())) for n in (0, 1))
+    pairs.append(([], []))
+    sides = align._word_sides(r, h)
+    assert any(deep for _, deep in align._groups(*sides)) and any(not deep for _, deep in align._groups(*sides))
+    assert align._all_distances(*sides).tolist() == [distance(*p) for p in pairs]
+    for order in ((align.CORRECT, align.DELETE, align.INSERT, align.SUBSTITUTE), (align.CORRECT, align.SUBSTITUTE, align.INSERT, align.DELETE)):
+        ops, many = align._all_ops(*sides, order)
+        single = [align.align_ops(*p, order) for p in pairs]
+        assert many.tolist() == list(map(len, single)) and ops.tolist() == [op for s in single for op in s]
+    rows = align._aligned(r, h, True).to_pylist()
+    assert [[tuple(x.values()) for x in row] for row in rows] == [[(n, *x) for n, x in enumerate(word_alignment(*p)) if x[0] != "correct"] for p in pairs]
+    texts = [["".join(p[n]) for p in pairs] for n in (0, 1)]
+    assert align._all_distances(*align._char_sides(*texts)).tolist() == [distance(*p) for p in zip(*texts)]
