@@ -8,8 +8,10 @@ to trace an alignment back. Pairs of a batch that are about as long are worked o
 
 from __future__ import annotations
 
+from bisect import bisect
 from collections.abc import Sequence
 from difflib import SequenceMatcher
+from heapq import heappop, heappush
 from itertools import accumulate
 from math import isqrt
 
@@ -146,11 +148,16 @@ def _sides(ids: np.ndarray, known: int, sizes: tuple[np.ndarray, np.ndarray]) ->
     return _Side(ids[:cut], sizes[0]), _Side(ids[cut:], sizes[1])
 
 
-def _word_sides(ref: pa.Array, hyp: pa.Array) -> tuple[_Side, _Side]:
+def _coded(ref: pa.Array, hyp: pa.Array) -> tuple[tuple[_Side, _Side], pa.Array]:
+    """Both sides, and the words that their numbers stand for."""
     flat = [x.flatten() for x in (ref, hyp)]
     coded = pa.chunked_array(flat).combine_chunks().dictionary_encode("encode")
     sizes = tuple(np.asarray(pc.fill_null(pc.list_value_length(x), 0)).astype(np.int64) for x in (ref, hyp))
-    return _sides(np.asarray(coded.indices), len(coded.dictionary), sizes)
+    return _sides(np.asarray(coded.indices), len(coded.dictionary), sizes), coded.dictionary
+
+
+def _word_sides(ref: pa.Array, hyp: pa.Array) -> tuple[_Side, _Side]:
+    return _coded(ref, hyp)[0]
 
 
 def _char_sides(a: list[str], b: list[str]) -> tuple[_Side, _Side]:
@@ -366,15 +373,120 @@ def align_errors(ref: Column, hyp: Column) -> Column:
     return run(ref, hyp)
 
 
+#: Matching places of a pair above which the pair is left to difflib, which is slower and keeps none; and of pairs worked out together.
+PLACES = 1 << 21
+PLACES_TOGETHER = 1 << 20
+
+
+def _placed(runs: list[tuple[int, int, int]], x: np.ndarray, y: np.ndarray, extend: bool) -> list[tuple[int, int, int]]:
+    """difflib's matching blocks (i, j, size) from all runs of equal words (-size, i, j), sorted.
+
+    The longest run comes first, then the one that starts first, and what overlaps it on either side is cut
+    off from the others. A run is cut when its turn comes, and then waits for its new one. `extend` lets
+    blocks grow over equal words that are in no run.
+    """
+    starts, blocks = [-1, len(x)], [(-1, -1, 1), (len(x), len(y), 0)]
+    while runs:
+        size, i, j = heappop(runs)
+        size, n = -size, bisect(starts, i)
+        (u, v, k), (p, q, _) = blocks[n - 1], blocks[n]
+        if skip := max(0, u + k - i, v + k - j):
+            if skip < size:
+                heappush(runs, (skip - size, i + skip, j + skip))
+            continue
+        room = min(p - i, q - j)
+        if room < size:
+            if room > 0:
+                heappush(runs, (-room, i, j))
+            continue
+        if extend:
+            while i > u + k and j > v + k and x[i - 1] == y[j - 1]:
+                i, j, size = i - 1, j - 1, size + 1
+            while i + size < p and j + size < q and x[i + size] == y[j + size]:
+                size += 1
+        starts.insert(n, i)
+        blocks.insert(n, (i, j, size))
+    return blocks[1:]
+
+
+def _runs(a: _Side, b: _Side, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(row, -size, i, j) of the longest stretches of equal words, sorted; words that are too frequent for difflib are in none."""
+    sizes = b.sizes[rows]
+    flat = [np.repeat(np.arange(len(rows)), s.sizes[rows]) for s in (a, b)]
+    at = [np.arange(len(f)) - np.repeat(np.cumsum(s.sizes[rows]) - s.sizes[rows], s.sizes[rows]) for f, s in zip(flat, (a, b))]
+    known = int(max(a.ids.max(initial=0), b.ids.max(initial=0))) + 1
+    keys = [f * known + s.ids[s.starts[rows][f] + p] for f, p, s in zip(flat, at, (a, b))]
+    order = np.argsort(keys[1], kind="stable")
+    held = keys[1][order]
+    first = np.searchsorted(held, keys[0])
+    count = np.searchsorted(held, keys[0], "right") - first
+    wide = sizes[flat[0]]
+    count[(wide >= 200) & (count > wide // 100 + 1)] = 0
+    left = np.repeat(np.arange(len(count)), count)
+    right = order[np.repeat(first - (np.cumsum(count) - count), count) + np.arange(len(left))]
+    row, i, j = flat[0][left], at[0][left], at[1][right]
+    # a number for each diagonal of each row, and for the places along it
+    wides = a.sizes[rows] + sizes + 2
+    line = (np.cumsum(wides) - wides)[row] + j - i + a.sizes[rows][row]
+    place = line * (int(a.sizes[rows].max(initial=0)) + 2) + i
+    order = np.argsort(place)
+    place = place[order]
+    start = np.flatnonzero(np.diff(place, prepend=-2) != 1)
+    size = np.diff(start, append=len(place))
+    row, i, j = (z[order[start]] for z in (row, i, j))
+    order = np.lexsort((j, i, -size, row))
+    return row[order], -size[order], i[order], j[order]
+
+
+def _diff_places(a: _Side, b: _Side) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, place in a, place in b) of difflib's pairs, -1 for no word: equal words, replaced ones zipped and padded, one-sided rest."""
+    blocks: list[list[tuple[int, int, int]]] = [[(int(x), int(y), 0)] for x, y in zip(a.sizes, b.sizes)]
+    # at most so many places match
+    places = a.sizes * np.where(b.sizes < 200, b.sizes, b.sizes // 100 + 1)
+    for n in np.flatnonzero(places > PLACES):
+        blocks[n] = [tuple(m) for m in SequenceMatcher(None, a.one(n), b.one(n)).get_matching_blocks()]
+    some = np.flatnonzero((places > 0) & (places <= PLACES))
+    for rows in np.split(some, np.flatnonzero(np.diff(np.cumsum(places[some]) // PLACES_TOGETHER)) + 1):
+        row, *runs = _runs(a, b, rows)
+        cuts = np.searchsorted(row, np.arange(len(rows) + 1)).tolist()
+        runs = list(zip(*(z.tolist() for z in runs)))
+        for n, low, high in zip(rows.tolist(), cuts, cuts[1:]):
+            wide = b.sizes[n] >= 200
+            blocks[n] = _placed(runs[low:high], *((s.one(n) if wide else range(s.sizes[n])) for s in (a, b)), wide)
+    row = np.repeat(np.arange(len(blocks)), [len(z) for z in blocks])
+    i, j, size = np.array([m for z in blocks for m in z], np.int64).reshape(-1, 3).T
+    new = np.diff(row, prepend=-1) != 0
+    before = [np.where(new, 0, np.concatenate([[0], (z + size)[:-1]])) for z in (i, j)]
+    # a gap, then the block behind it
+    gaps = [z - w for z, w in zip((i, j), before)]
+    gap = np.maximum(*gaps)
+    many = gap + size
+    of = np.repeat(np.arange(len(many)), many)
+    step = np.arange(len(of)) - (np.cumsum(many) - many)[of]
+    found = []
+    for low, g in zip(before, gaps):
+        inside = np.where(step < g[of], low[of] + step, -1)
+        found.append(np.where(step >= gap[of], low[of] + g[of] + step - gap[of], inside))
+    return row[of], *found
+
+
+def _taken(side: _Side, words: pa.Array, row: np.ndarray, place: np.ndarray) -> pa.Array:
+    return words.take(pa.array(side.starts[row] + place, mask=place < 0))
+
+
+def _offsets(row: np.ndarray, rows: int) -> np.ndarray:
+    return np.concatenate([[0], np.cumsum(np.bincount(row, minlength=rows))]).astype(np.int32)
+
+
 def diff_align(trans: Column, ref: Column) -> Column:
-    """array<struct<trans, ref>> of two arrays of words."""
+    """array<struct<trans, ref>> of two arrays of words: pairs of difflib's opcodes."""
 
     @F.arrow_udf("array<struct<trans:string,ref:string>>")
     def run(t: pa.Array, r: pa.Array) -> pa.Array:
-        found = [diff_pairs(x or [], y or []) for x, y in zip(t.to_pylist(), r.to_pylist())]
-        sides = [pa.array([p[n] for pairs in found for p in pairs], pa.string()) for n in (0, 1)]
-        offsets = np.cumsum([0, *map(len, found)]).astype(np.int32)
-        return pa.ListArray.from_arrays(offsets, pa.StructArray.from_arrays(sides, ["trans", "ref"]))
+        sides = _word_sides(t, r)
+        row, *places = _diff_places(*sides)
+        heard = [_taken(s, x.flatten(), row, p) for s, x, p in zip(sides, (t, r), places)]
+        return pa.ListArray.from_arrays(_offsets(row, len(t)), pa.StructArray.from_arrays(heard, ["trans", "ref"]))
 
     return run(trans, ref)
 

@@ -7,8 +7,9 @@ from collections.abc import Iterable, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lyricspark.functions.align import align_errors, diff_align, distances, edit_ops
-from lyricspark.functions.metrics import char_rate, error_category, normalize_delete, phonetic_similarity, score_pair, term_accuracy, wer, word_distance
+from lyricspark.functions.align import align_errors, distances, edit_ops
+from lyricspark.functions.match import match_alignments, match_words
+from lyricspark.functions.metrics import char_rate, error_category, normalize_delete, term_accuracy, wer
 from lyricspark.functions.rules import correct
 from lyricspark.functions.text import tokenize, words
 
@@ -137,27 +138,18 @@ def before_after(df: DataFrame, ref: str = "reference", hyp: str = "hypothesis",
 def match_lyrics(df: DataFrame, trans: str = "hypothesis", ref: str = "reference", phonetic_threshold: float = 0.6, prefer_reference: bool = True) -> DataFrame:
     """df with matched, confidence, alignments, stats and the word error rates before and after: the transcript corrected by reference lyrics."""
     t, r = tokenize(F.coalesce(F.col(trans), F.lit("")), "space"), tokenize(F.coalesce(F.col(ref), F.lit("")), "space")
-    out = df.withColumn("_t", t).withColumn("_r", r).withColumn("_pairs", diff_align(F.col("_t"), F.col("_r")))
-    # equal words need no similarity
-    alike = F.transform("_pairs", lambda p: F.struct(p["trans"].alias("trans"), p["ref"].alias("ref"), F.when(p["trans"] != p["ref"], phonetic_similarity(p["trans"], p["ref"])).alias("sim")))
-    scored = F.transform(alike, lambda p: F.struct(p["trans"].alias("trans"), p["ref"].alias("ref"), score_pair(p["trans"], p["ref"], p["sim"], phonetic_threshold, prefer_reference).alias("s")))
+    out = df.withColumn("_t", t).withColumn("_r", r)
+    # the alignments are a function of their own, which isn't run where nothing asks for them
+    out = out.withColumn("alignments", match_alignments(F.col("_t"), F.col("_r"), phonetic_threshold, prefer_reference))
+    out = out.select("*", F.inline(F.array(match_words(F.col("_t"), F.col("_r"), phonetic_threshold, prefer_reference).alias("m"))).alias(*(f"_m{i}" for i in range(9))))
     no_t, no_r = F.size("_t") == 0, F.size("_r") == 0
-    out = out.withColumn("alignments", F.when(no_t | no_r, F.array().cast("array<struct<trans:string,ref:string,s:struct<chosen:string,confidence:double,source:string>>>")).otherwise(scored))
-    total = F.aggregate("alignments", F.lit(0.0), lambda s, x: s + x["s"]["confidence"])
-    confidence = F.when(no_t & no_r, 1.0).when(no_r, 0.5).when(no_t, 0.3).otherwise(total / F.size("alignments"))
-    text = F.when(no_r, F.array_join("_t", " ")).when(no_t, F.array_join("_r", " ")).otherwise(F.array_join(F.transform("alignments", lambda x: x["s"]["chosen"]), " "))
-
-    def n(test) -> Column:
-        return F.size(F.filter("alignments", test))
-
-    stats = F.struct(
-        n(lambda x: x["s"]["source"] == "exact").alias("exact"), n(lambda x: x["s"]["source"] == "reference").alias("corrections"), n(lambda x: x["s"]["source"] == "phonetic").alias("phonetic"),
-        n(lambda x: x["s"]["confidence"] < 0.6).alias("uncertain"), F.size("alignments").alias("total"),
-    )
-    out = out.withColumn("matched", text).withColumn("confidence", confidence).withColumn("stats", stats)
-    rate = lambda words_: F.when(no_r, 0.0).otherwise(word_distance(words_, F.col("_r")) / F.size("_r"))
-    out = out.withColumn("wer_before", rate(F.col("_t"))).withColumn("wer_after", F.when(no_t, 0.0).otherwise(rate(tokenize(F.col("matched"), "space"))))
-    return out.drop("_t", "_r", "_pairs")
+    matched, sure, exact, corrections, phonetic, uncertain, total, before, after = (F.col(f"_m{i}") for i in range(9))
+    confidence = F.when(no_t & no_r, 1.0).when(no_r, 0.5).when(no_t, 0.3).otherwise(sure / total)
+    stats = F.struct(exact.alias("exact"), corrections.alias("corrections"), phonetic.alias("phonetic"), uncertain.alias("uncertain"), total.alias("total"))
+    out = out.withColumn("matched", matched).withColumn("confidence", confidence).withColumn("stats", stats)
+    rate = lambda errors: F.when(no_r, 0.0).otherwise(errors / F.size("_r"))
+    out = out.withColumn("wer_before", rate(before)).withColumn("wer_after", F.when(no_t, 0.0).otherwise(rate(after)))
+    return out.drop("_t", "_r", *(f"_m{i}" for i in range(9)))
 
 
 def stage_report(df: DataFrame, ids: Sequence[str], ref: str = "reference", hyp: str = "hypothesis", matched: str | None = None) -> DataFrame:
