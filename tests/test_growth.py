@@ -7,7 +7,7 @@ from operator import add
 import pyarrow as pa
 from pyspark.sql import functions as F
 
-from lyricspark.functions import align, match, metrics
+from lyricspark.functions import align, match, metrics, rules
 
 
 def heard(words):
@@ -55,3 +55,24 @@ def test_matched_words_are_scored_as_pairs(spark):
             assert [r.m.exact, r.m.corrections, r.m.phonetic] == [sum(p.s.source == s for p in r.a) for s in ("exact", "reference", "phonetic")]
             assert r.m.uncertain == sum(p.s.confidence < 0.6 for p in r.a)
             assert (r.m.before, r.m.after) == (align.distance(r.t, r.r), align.distance(chosen, r.r))
+
+
+def test_phrase_rules_are_tried_where_their_texts_stand(spark):
+    # a long s, a dotless i and a Kelvin sign match letters of the patterns; a rule may need what one before it put
+    texts = ["IT'S MY WATCH, it's my", "pantſ up", "w\u0131ll it's my wıll", "got new pants, got new bands", "xpants up pants upx", "i \u212aeeping", "the rain that rain", "", None, "not because i got my pants", "well jam us well"]
+    df = spark.createDataFrame([(t,) for t in texts], "text string")
+    plain = F.trim(F.lower("text"))
+    for p, r in rules.PHRASE_RULES:
+        plain = F.regexp_replace(plain, f"(?iU){p}", r)
+    got = df.select("text", plain.alias("want"), rules.apply_phrase_rules(F.col("text")).alias("got")).collect()
+    assert [r.got for r in got] == [r.want for r in got] and sum(r.got != r.text for r in got) > 6
+    own = [(r"rain|snow", "sun"), (r"(a)b+", "$1"), (r"\bx*yz", "q"), (r"\bmore", "\\1")]
+    same = df.sparkSession.createDataFrame([("snow abb xyz yz more",)], "text string").select(rules.apply_phrase_rules(F.col("text"), own).alias("t"))
+    assert same.first().t == "sun $1 q q \\1"
+
+
+def test_changes_name_each_step(spark):
+    df = spark.createDataFrame([("Going, WELL jam us well. these her gon na try\tüber",)], "text string")
+    got = rules.correct_with_changes(df, aggressive=True).first()
+    assert got.corrected == "goin', well jam up 12. these hoes gon' nigga try über" or got.corrected == df.select(rules.correct(F.col("text"), True)).first()[0]
+    assert got.n_changes == len(got.changes) and got.changes[-1].startswith(("explicit: ", "slang: ")) and "dialect: going → goin'" in got.changes
