@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterable, Sequence
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lyricspark.functions.clean import metadata_flags
-from lyricspark.functions.constants import AUDIT_STOPWORDS, AUGMENTATIONS
+from lyricspark.functions.constants import AUDIT_STOPWORDS, AUGMENTATIONS, STOPWORDS
 from lyricspark.functions.signal import clipping_issues, format_checks, silence_issues
 from lyricspark.functions.quality import alignment_score, combined_score, is_repetitive, word_jaccard
 from lyricspark.functions.text import collapse_whitespace, words
@@ -119,35 +121,35 @@ def full_windows(df: DataFrame, duration: str, length: float = 10.0, most: int =
     return out.withColumn("start", F.col("chunk_index") * length).withColumn("end", (F.col("chunk_index") + 1) * length)
 
 
-class _Window:
-    """Distinct items of a stretch that moves on, and how many of them are wanted; None is never counted."""
-
-    def __init__(self, items: list, wanted: set) -> None:
-        self.items, self.wanted, self.low, self.high = items, wanted, 0, 0
-        self.count: dict = {}
-        self.both = 0
-
-    def _add(self, x, by: int) -> None:
-        if x is None:
-            return
-        before = self.count.get(x, 0)
-        if before + by:
-            self.count[x] = before + by
-        else:
-            del self.count[x]
-        if x in self.wanted and (not before or not before + by):
-            self.both += by
-
-    def move(self, low: int, high: int) -> float:
-        """The share that is wanted of the items from low to high and the wanted ones together."""
-        low = min(low, len(self.items))
-        high = min(max(low, high), len(self.items))
-        for i in range(self.high, high):
-            self._add(self.items[i], 1)
-        for i in range(self.low, low):
-            self._add(self.items[i], -1)
-        self.low, self.high = low, max(self.high, high)
-        return self.both / (len(self.wanted) + len(self.count) - self.both) if self.wanted and self.count else 0.0
+class _Stretches:
+    """The distinct items of stretches of a sequence of numbers, of which `counted` says which count."""
+
+    def __init__(self, items: np.ndarray, counted: np.ndarray) -> None:
+        self.items, self.counted = items, counted
+        #: Where the same item stood last.
+        order = np.argsort(items, kind="stable")
+        again = np.diff(items[order], prepend=-1) == 0
+        self.before = np.full(len(items), -1)
+        self.before[order[again]] = order[np.flatnonzero(again) - 1]
+
+    def shares(self, low: np.ndarray, high: np.ndarray, wanted: np.ndarray, most: int) -> np.ndarray:
+        """For stretches from low to high, both rising, how many of their items are wanted, over all of theirs and the `most` wanted ones together; wanted tells it of each item of the sequence from the first low to the last high."""
+        if not most or not len(wanted):
+            return np.zeros(len(low))
+        first = low[0]
+        at = np.arange(first, first + len(wanted))
+        # an item counts where it first stands in a stretch: from the first stretch that starts behind its last place and reaches it, to the last one that starts at it
+        begin = np.maximum(np.searchsorted(low, self.before[at], "right"), np.searchsorted(high, at, "right"))
+        end = np.searchsorted(low, at, "right")
+        begin = np.minimum(begin, end)
+
+        def distinct(of: np.ndarray) -> np.ndarray:
+            n = len(low) + 1
+            return np.cumsum(np.bincount(begin[of], minlength=n) - np.bincount(end[of], minlength=n))[:-1]
+
+        counted = self.counted[at]
+        both, every = distinct(counted & wanted), distinct(counted)
+        return np.where(every > 0, both / (most + every - both), 0.0)
 
 
 def align_song(chunks: list[str], lyrics: str, length: float = 30.0, overlap: float = 5.0) -> list[tuple[str, float]]:
@@ -155,52 +157,65 @@ def align_song(chunks: list[str], lyrics: str, length: float = 30.0, overlap: fl
 
     Stretches near the end of the lyrics are shorter than the others.
     """
-    import re
-
-    from lyricspark.functions.constants import STOPWORDS
-
     stop, ratio = frozenset(STOPWORDS), (length - overlap) / length
-    plain = lambda t: re.sub(r"[^a-z0-9\s]", "", t.lower()).split()
+    plain = lambda t: re.sub(r"[^a-z0-9\s]", "", t.lower())
     tokens = lyrics.split()
-    bare = [plain(t) for t in tokens]
-    flat = [w for t in bare for w in t]
-    at = [0]
-    for t in bare:
-        at.append(at[-1] + len(t))
-    single = [None if w in stop else w for w in flat]
-    double = list(zip(flat, flat[1:]))
+    # a token has one plain word or none
+    bare = plain(" ".join(tokens)).split(" ") if tokens else []
+    flat = [w for w in bare if w]
+    at = np.concatenate([[0], np.cumsum([w != "" for w in bare], dtype=np.int64)])
+    number: dict[str, int] = {}
+    ids = np.fromiter((number.setdefault(w, len(number)) for w in flat), np.int64, len(flat))
+    known = len(number) + 1
+    single = _Stretches(ids, np.fromiter((w not in stop for w in flat), bool, len(flat)))
+    two = ids[:-1] * known + ids[1:]
+    double = _Stretches(two, np.ones(len(two), bool))
     n, cursor, out = len(tokens), 0, []
     for chunk in chunks:
-        heard = plain(chunk or "")
+        heard = plain(chunk or "").split()
         if not heard:
             out.append(("", 0.0))
             cursor = min(n, cursor + max(1, int(max(1, n / max(1, len(chunks))) * ratio)))
             continue
         window = max(5, min(len(heard), n))
         first, last = max(0, cursor - 15), min(n - 1, cursor + max(window, 25))
-        one, two = _Window(single, set(heard) - stop), _Window(double, set(zip(heard, heard[1:])))
-        one.low = one.high = two.low = two.high = at[first] if first < n else at[-1]
         best, start = -1.0, min(cursor, max(0, n - window))
-        for i in range(first, last + 1):
-            low, high = at[i], at[min(i + window, n)]
-            score = 0.4 * one.move(low, high) + 0.6 * two.move(low, high - 1)
-            if score > best:
-                best, start = score, i
+        if first <= last:
+            words_, pairs_ = set(heard) - stop, set(zip(heard, heard[1:]))
+            starts = np.arange(first, last + 1)
+            low, high = at[starts], at[np.minimum(starts + window, n)]
+            part = ids[low[0] : high[-1]]
+            of = [number.get(w, known - 1) for w in heard]
+            coded = np.unique([p * known + q for p, q in zip(of, of[1:]) if p < known - 1 and q < known - 1] or [-1])
+            has = np.zeros(known, bool)
+            has[of] = True
+            has[known - 1] = False
+            ahead = np.maximum(low, high - 1)
+            pairs_here = two[low[0] : ahead[-1]]
+            found = coded[np.minimum(np.searchsorted(coded, pairs_here), len(coded) - 1)] == pairs_here
+            score = 0.4 * single.shares(low, high, has[part], len(words_)) + 0.6 * double.shares(low, ahead, found, len(pairs_))
+            start = int(starts[np.argmax(score)])
+            best = float(score.max())
         out.append((" ".join(tokens[start : start + window]), round(best, 4) if n else 0.0))
         cursor = min(start + max(1, int(window * ratio)), n)
     return out
 
 
 def align_chunks(chunks: DataFrame, lyrics: DataFrame, song: str, length: float = 30.0, overlap: float = 5.0) -> DataFrame:
-    """(song, chunk_index, text, score): chunks(song, chunk_index, transcript) against lyrics(song, lyrics), one song in one group."""
-
-    def run(c: pd.DataFrame, text: pd.DataFrame) -> pd.DataFrame:
-        c = c.sort_values("chunk_index")
-        found = align_song(c["transcript"].fillna("").tolist(), text["lyrics"].iloc[0] or "" if len(text) else "", length, overlap)
-        return pd.DataFrame({song: c[song], "chunk_index": c["chunk_index"], "text": [t for t, _ in found], "score": [s for _, s in found]})
-
-    kind = dict(chunks.dtypes)[song]
-    return chunks.select(song, "chunk_index", "transcript").groupBy(song).cogroup(lyrics.select(song, "lyrics").groupBy(song)).applyInPandas(run, f"{song} {kind}, chunk_index int, text string, score double")
+    """(song, chunk_index, text, score): chunks(song, chunk_index, transcript) against lyrics(song, lyrics), one song in one row."""
+
+    @F.arrow_udf("array<struct<text:string,score:double>>")
+    def run(transcripts: pa.Array, texts: pa.Array) -> pa.Array:
+        # song by song, so that few are Python's at a time
+        found = (align_song(c.as_py(), t.as_py() or "", length, overlap) for c, t in zip(transcripts, texts))
+        kind = pa.list_(pa.struct([("text", pa.string()), ("score", pa.float64())]))
+        return pa.array(([{"text": t, "score": s} for t, s in song_] for song_ in found), kind)
+
+    both = chunks.select(song, F.struct(F.col("chunk_index").cast("int").alias("chunk_index"), F.coalesce("transcript", F.lit("")).alias("transcript")).alias("c"), F.lit(None).cast("string").alias("lyrics"))
+    both = both.unionByName(lyrics.select(song, "lyrics"), allowMissingColumns=True)
+    songs = both.groupBy(song).agg(F.array_sort(F.collect_list("c")).alias("c"), F.first("lyrics", ignorenulls=True).alias("lyrics")).filter(F.size("c") > 0)
+    aligned = songs.select(song, F.col("c.chunk_index").alias("n"), run(F.col("c.transcript"), F.col("lyrics")).alias("a"))
+    return aligned.select(song, F.explode(F.arrays_zip("n", "a")).alias("r")).select(song, F.col("r.n").alias("chunk_index"), "r.a.text", "r.a.score")
 
 
 def keep_short(df: DataFrame, duration: str, prediction: str, lyrics: str, length: float = 30.0) -> DataFrame:

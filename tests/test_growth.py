@@ -8,6 +8,7 @@ import pyarrow as pa
 from pyspark.sql import functions as F
 
 from lyricspark.functions import align, match, metrics, rules
+from lyricspark.operators import corpus
 
 
 def heard(words):
@@ -76,3 +77,13 @@ def test_changes_name_each_step(spark):
     got = rules.correct_with_changes(df, aggressive=True).first()
     assert got.corrected == "goin', well jam up 12. these hoes gon' nigga try über" or got.corrected == df.select(rules.correct(F.col("text"), True)).first()[0]
     assert got.n_changes == len(got.changes) and got.changes[-1].startswith(("explicit: ", "slang: ")) and "dialect: going → goin'" in got.changes
+
+
+def test_songs_are_aligned_by_row_whatever_their_keys(spark):
+    chunks = spark.createDataFrame([("a", 1, "d e f g h"), ("a", 0, "a b c d e"), (None, 0, "x y"), ("lost", 0, "x"), ("a", 2, None)], "song string, chunk_index int, transcript string")
+    lyrics = spark.createDataFrame([("a", "A, b c d e f - g h i"), (None, "x y"), ("unheard", "z")], "song string, lyrics string")
+    got = {(r.song, r.chunk_index): (r.text, r.score) for r in corpus.align_chunks(chunks, lyrics, "song").collect()}
+    want = corpus.align_song(["a b c d e", "d e f g h", ""], "A, b c d e f - g h i")
+    assert [got["a", i] for i in range(3)] == want and want[0] == ("A, b c d e", 1.0)
+    assert got[None, 0] == ("x y", 1.0) and got["lost", 0] == ("", 0.0) and len(got) == 5
+    assert "ArrowEvalPython" in corpus.align_chunks(chunks, lyrics, "song")._jdf.queryExecution().toString()
