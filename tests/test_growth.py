@@ -7,7 +7,7 @@ from operator import add
 import pyarrow as pa
 from pyspark.sql import functions as F
 
-from lyricspark.functions import align, match, metrics, rules
+from lyricspark.functions import align, match, metrics, quality, rules, text
 from lyricspark.operators import corpus
 
 
@@ -87,3 +87,29 @@ def test_songs_are_aligned_by_row_whatever_their_keys(spark):
     assert [got["a", i] for i in range(3)] == want and want[0] == ("A, b c d e", 1.0)
     assert got[None, 0] == ("x y", 1.0) and got["lost", 0] == ("", 0.0) and len(got) == 5
     assert "ArrowEvalPython" in corpus.align_chunks(chunks, lyrics, "song")._jdf.queryExecution().toString()
+
+
+def test_overlaps_are_those_of_sets(spark):
+    some = random.Random(6)
+    rows = [(some.choices("abcd the in".split() + ["a"] * 3, k=some.randrange(30)), some.choices("abc the".split() + ["é"], k=some.randrange(9))) for _ in range(150)]
+    rows += [(None, ["a"]), (["a"], None), ([], []), (list("ab") * 5, list("ab"))]
+    df = spark.createDataFrame(rows, "p array<string>, r array<string>")
+
+    def share(x, y):
+        return len(x & y) / len(x | y) if x and y else 0.0
+
+    repeated = set()
+    for r in df.select("p", "r", quality.overlaps(F.col("p"), F.col("r")).alias("o")).collect():
+        if r.p is not None:
+            grams = [" ".join(r.p[i : i + n]) for n in (2, 3, 4) for i in range(len(r.p) - n + 1)]
+            assert r.o.repetitive == (len(r.p) >= 10 and any(grams.count(g) >= 5 for g in grams))
+            repeated.add(r.o.repetitive)
+        if r.p is None or r.r is None:
+            assert r.o.words is None and r.o.bigrams is None
+            continue
+        x, y = (set(w) - set(quality.STOPWORDS) for w in (r.p, r.r))
+        assert (r.o.words, r.o.bigrams) == (share(x, y), share(set(zip(r.p, r.p[1:])), set(zip(r.r, r.r[1:]))))
+    assert repeated == {True, False}
+    odd = "a\x0bB\u00a0c_\u2028d{z}`q/0:\x1f\U0001f600\U0010ffff~9 \t\x08k"
+    got = spark.createDataFrame([(odd,)], "t string").select(text.normalize_ascii(F.col("t")), text.tokenize(F.col("t"), "ascii")).first()
+    assert tuple(got) == ("a bcdzq09 k", ["a", "bcdzq09", "k"])
