@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -62,6 +64,13 @@ def _table(vocab: DataFrame, key: str, value: str) -> dict | None:
     return dict(map(tuple, rows)) if len(rows) <= SMALL_VOCAB else None
 
 
+def _looked_up(lists: pa.Array, table: dict, key: pa.DataType, value: pa.DataType, unknown) -> pa.Array:
+    """The lists with the table's value for each item; items never become objects of Python, which take many times their size."""
+    at = pc.index_in(lists.flatten().cast(key), value_set=pa.array(list(table), key))
+    values = pa.array([*table.values(), unknown], value).take(pc.fill_null(at, len(table)))
+    return pa.ListArray.from_arrays(np.cumsum([0, *np.asarray(pc.list_value_length(lists))]).astype(np.int32), values)
+
+
 def encode(df: DataFrame, vocab: DataFrame, add_special: bool = True, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """df's id and ids: token ids in order, unknown ones 1, within 2 and 3; a row for each row of df, a null text as an empty one."""
     rows = df.select(id_col, F.coalesce(words(tokenizer_preprocess(F.col(text))), F.array().cast("array<string>")).alias("tokens"))
@@ -69,10 +78,9 @@ def encode(df: DataFrame, vocab: DataFrame, add_special: bool = True, id_col: st
     if table is not None:
         held = df.sparkSession.sparkContext.broadcast(table)
 
-        @F.pandas_udf("array<int>")
-        def look_up(lists: pd.Series) -> pd.Series:
-            get = held.value.get
-            return pd.Series([[get(t, 1) for t in x] for x in lists])
+        @F.arrow_udf("array<int>")
+        def look_up(lists: pa.Array) -> pa.Array:
+            return _looked_up(lists, held.value, pa.string(), pa.int32(), 1)
 
         found = rows.select(id_col, look_up("tokens").alias("ids"))
     else:
@@ -98,10 +106,9 @@ def decode(df: DataFrame, vocab: DataFrame, skip_special: bool = True, id_col: s
     if table is not None:
         held = df.sparkSession.sparkContext.broadcast(table)
 
-        @F.pandas_udf("string")
-        def look_up(lists: pd.Series) -> pd.Series:
-            get = held.value.get
-            return pd.Series([" ".join([get(i, "<unk>") for i in x]) for x in lists])
+        @F.arrow_udf("string")
+        def look_up(lists: pa.Array) -> pa.Array:
+            return pc.binary_join(_looked_up(lists, held.value, pa.int64(), pa.string(), "<unk>"), " ")
 
         return rows.select(id_col, look_up("ids").alias("text"))
     return _joined(rows, "ids", vocab, "id", "token", F.lit("<unk>"), id_col).select(id_col, F.array_join("values", " ").alias("text"))
