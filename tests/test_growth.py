@@ -4,11 +4,13 @@ import random
 from functools import reduce
 from operator import add
 
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import functions as F
 
 from lyricspark.functions import align, match, metrics, quality, rules, text
-from lyricspark.operators import corpus
+from lyricspark.operators import corpus, vocab
+from lyricspark.streaming import stateful
 
 
 def heard(words):
@@ -113,3 +115,37 @@ def test_overlaps_are_those_of_sets(spark):
     odd = "a\x0bB\u00a0c_\u2028d{z}`q/0:\x1f\U0001f600\U0010ffff~9 \t\x08k"
     got = spark.createDataFrame([(odd,)], "t string").select(text.normalize_ascii(F.col("t")), text.tokenize(F.col("t"), "ascii")).first()
     assert tuple(got) == ("a bcdzq09 k", ["a", "bcdzq09", "k"])
+
+
+def test_running_means_of_slices(monkeypatch):
+    class Value:
+        held = None
+
+        def exists(self):
+            return self.held is not None
+
+        def get(self):
+            return self.held
+
+        def update(self, to):
+            self.held = to
+
+    monkeypatch.setattr(stateful, "SLICE", 3)
+    means = stateful.RunningMeans(("model",), "seq", ("wer",))
+    means.sums, out, n, total, known = Value(), [], 0, 0.0, 0
+    for batch in ([(4, 0.1), (1, None)], [(0, 0.7)]), ([(9, None), (7, 0.2), (8, 0.3), (6, 0.25)],):
+        frames = [pd.DataFrame({"model": ["m"] * len(rows), "seq": [s for s, _ in rows], "wer": [v for _, v in rows]}) for rows in batch]
+        out += [tuple(r) for f in means.handleInputRows(("m",), iter(frames), None) for r in f.astype(object).itertuples(index=False)]
+    want = []
+    for seq, v in [(0, 0.7), (1, None), (4, 0.1), (6, 0.25), (7, 0.2), (8, 0.3), (9, None)]:
+        n, known, total = n + 1, known + (v is not None), total + (v or 0.0)
+        want.append(("m", seq, n, total / known))
+    assert out == want and means.sums.held == (n, known, total)
+
+
+def test_look_ups_make_no_objects(spark):
+    lists = pa.array([["b", "zz"], [], ["a"]]).slice(1)
+    assert vocab._looked_up(lists, {"a": 7, "b": 8}, pa.string(), pa.int32(), 1).to_pylist() == [[], [7]]
+    ids = pa.array([[8, None, 9], []], pa.list_(pa.int32()))
+    assert vocab._looked_up(ids, {7: "a", 8: "b"}, pa.int64(), pa.string(), "<unk>").to_pylist() == [["b", "<unk>", "<unk>"], []]
+    assert vocab._looked_up(ids, {}, pa.int64(), pa.string(), "<unk>").to_pylist() == [["<unk>"] * 3, []]
