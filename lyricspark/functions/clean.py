@@ -9,12 +9,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .constants import EDITORIAL_KEYWORDS, METADATA_FLAGS, METADATA_PATTERNS
-from .text import strings
+from .text import let, strings
 
 
 def _is_editorial(line: Column, keywords: Iterable[str] = EDITORIAL_KEYWORDS, hits: int = 2, longer_than: int = 40) -> Column:
-    low = F.lower(line)
-    return (F.char_length(line) > longer_than) & (F.size(F.filter(strings(keywords), lambda k: F.contains(low, k))) >= hits)
+    # in lower case once, not once for each keyword
+    known = let(F.lower(line), lambda low: F.size(F.filter(strings(keywords), lambda k: F.contains(low, k))))
+    return (F.char_length(line) > longer_than) & (known >= hits)
 
 
 def editorial_lines(text: Column) -> Column:
@@ -48,7 +49,8 @@ def metadata_changes(text: Column) -> Column:
             if taken:
                 rest = pattern.sub("\n", rest)
         for number, line in enumerate(rest.split("\n")):
-            known = sum(k in line.lower() for k in EDITORIAL_KEYWORDS) if len(line) > 40 else 0
+            low = line.lower()
+            known = sum(k in low for k in EDITORIAL_KEYWORDS) if len(line) > 40 else 0
             if known >= 2:
                 out.append((f"editorial_line ({known} keywords)", brief(line), number))
         return [dict(zip(("type", "removed", "position"), x)) for x in out]
