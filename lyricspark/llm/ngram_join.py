@@ -29,10 +29,12 @@ SMALL = 20
 COMBINED = ((64, 2), (4096, 3))
 #: Frequency counts are kept for so many shingles at most; the others count as rare, which changes no result.
 COUNTED = 1 << 19
-#: Rounds in which each member is linked to the pivot of one of its lists, at most, before all its pairs between components are checked.
-STARS = 3
-#: Members that a member of a list still meets, on average, from which on another such round is worth it.
+#: Rounds in which members of long lists are linked to pivots, at most, before all pairs between components are checked.
+STARS = 8
+#: Lists of more members than this are long: they get rounds of their own, while these leave out a tenth of the pairs each.
 WORTH = 32
+#: Pivots of a long list in one round.
+PIVOTS = 4
 #: Members of a list that meet in one task; longer lists are dealt out in blocks.
 MEET = 512
 #: So many of the largest groups of equal sets are joined by broadcast, so that none lands in one task.
@@ -199,8 +201,8 @@ def jaccard_components(docs: DataFrame, k: int = 3, similarity: tuple[int, int]
 
     Two texts are linked when the Jaccard similarity of their sets of k-word shingles is at least
     num/den; component_id is the smallest doc_id reachable by links. The links that decide components
-    are all found: each list of texts with one signature is first linked to its smallest member, and
-    then all pairs are checked that still lie in different components, so that large groups of copies
+    are all found: the texts of a list, which share a signature, are first linked to its least edited member
+    and, in long lists, to members of its largest component; then all pairs are checked that still lie in different components, so that large groups of copies
     never become all their pairs.
 
     Nulls and texts without words have an empty set, size 0, and link with nothing; a text with fewer
@@ -249,15 +251,22 @@ def jaccard_components(docs: DataFrame, k: int = 3, similarity: tuple[int, int]
         need = least(na, nb)
         return (na * den >= nb * num) & (nb * den >= na * num) & (need <= F.col(f"{a}.slack")) & (need <= F.col(f"{b}.slack"))
 
+    def apart_by(a: str, b: str):
+        """Parities in which two sets differ."""
+        return sum((F.bit_count(F.col(f"{a}.b{i}").bitwiseXOR(F.col(f"{b}.b{i}"))) for i in range(1, _LANES)), F.bit_count(F.col(f"{a}.b0").bitwiseXOR(F.col(f"{b}.b0"))))
+
     def near(a: str, b: str):
-        far = sum((F.bit_count(F.col(f"{a}.b{i}").bitwiseXOR(F.col(f"{b}.b{i}"))) for i in range(1, _LANES)), F.bit_count(F.col(f"{a}.b0").bitwiseXOR(F.col(f"{b}.b0"))))
+        far = apart_by(a, b)
         wide = F.aggregate(F.zip_with(f"{a}.wide", f"{b}.wide", lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0), lambda s, v: s + v)
         most = F.col(f"{a}.n") + F.col(f"{b}.n") - 2 * least(F.col(f"{a}.n"), F.col(f"{b}.n"))
         return (far <= most) & F.coalesce(wide <= most, F.lit(True))
 
-    def verified(pairs: DataFrame) -> DataFrame:
-        """The pairs (x, y) that are links: by parities first, then by their whole sets."""
-        pairs = keep(pairs.join(bits.alias("a"), F.col("x") == F.col("a.doc_id")).join(bits.alias("b"), F.col("y") == F.col("b.doc_id")).filter(near("a", "b")).select("x", "y"), "pairs")
+    def verified(pairs: DataFrame, one_each: bool = False) -> DataFrame:
+        """The pairs (x, y) that are links: by parities first, then by their whole sets. one_each: of each x, the pair whose parities agree most, alone."""
+        met = pairs.join(bits.alias("a"), F.col("x") == F.col("a.doc_id")).join(bits.alias("b"), F.col("y") == F.col("b.doc_id")).filter(near("a", "b"))
+        if one_each:
+            met = met.groupBy("x").agg(F.min_by("y", F.struct(apart_by("a", "b"), "y")).alias("y"))
+        pairs = keep(met.select("x", "y"), "pairs")
         wanted = pairs.select(F.col("x").alias("doc_id")).union(pairs.select("y"))
         # what the filter lets through beyond the pairs goes in the joins
         sets = keep(rows.mapInArrow(_whole_sets(k, id_filter(wanted, "doc_id")), "doc_id long, tokens array<long>"), "whole")
@@ -274,44 +283,62 @@ def jaccard_components(docs: DataFrame, k: int = 3, similarity: tuple[int, int]
         drop_kept(links)
         return out
 
-    def placed_in(begun: DataFrame) -> DataFrame:
-        """The entries of lists whose members lie in several components, with these; a list in one component is settled."""
-        found = entries.join(begun.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
+    def placed_in(begun: DataFrame, members: DataFrame) -> DataFrame:
+        """Members of lists with their components."""
+        return members.drop("component").join(begun.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
+
+    def unsettled(found: DataFrame) -> DataFrame:
+        """The members of lists that lie in several components; a list in one component is settled."""
         open_ones = found.groupBy("sig").agg(F.min("component").alias("_low"), F.max("component").alias("_high"), F.count("*").alias("m")).filter("_low < _high").select("sig", "m")
-        return keep(found.join(open_ones, "sig").select("sig", "doc_id", "n", "slack", "component", "m"), "placed")
+        return keep(found.drop("m").join(open_ones, "sig").select("sig", "doc_id", "n", "slack", "component", "m"), "placed")
+
+    def starred(members: DataFrame, pivots: DataFrame, begun: DataFrame) -> DataFrame:
+        """The components once each member is linked to one pivot of its lists (sig, p), at most."""
+        star = members.alias("e").join(pivots.select("sig", "p.*").alias("p"), (F.col("e.sig") == F.col("p.sig")) & (F.col("e.component") != F.col("p.component")) & fits("e", "p"))
+        found = verified(star.select(F.col("e.doc_id").alias("x"), F.col("p.doc_id").alias("y")).distinct(), one_each=True)
+        joined = hung(keep(found.union(begun.select("node", "component")), "links"))
+        drop_kept(found)
+        drop_kept(begun)
+        return joined
 
     # rows with one doc_id and several texts hold their sets' groups together
     begun = spark.createDataFrame([], "node long, component long")
     if several_texts.limit(1).count():
         held = several_texts.select("doc_id").join(named, "doc_id").filter("rep is not null").select(F.col("doc_id").alias("x"), F.col("rep").alias("y"))
         begun = hung(keep(held.filter("x <> y").distinct(), "links"))
-    placed = placed_in(begun)
+    member = F.struct("doc_id", "n", "slack", "component")
+    # the member with the shortest prefix has the fewest rare shingles, so that the others are most like it
+    placed = placed_in(begun, entries)
+    begun = starred(placed, placed.groupBy("sig").agg(F.min_by(member, F.struct(-F.col("slack"), "doc_id")).alias("p")), begun)
+    placed = unsettled(placed_in(begun, entries))
+    # a long list is mostly one group of near copies, which grow together around its largest component: the members
+    # outside of it meet some of those inside, other ones each time. What they miss is left to all pairs
+    long = placed.filter(F.col("m") > WORTH)
+    left = None
     for turn in range(STARS):
-        # copies are most like the first of them, so that one leads; then others do, by hash
-        order = F.xxhash64("doc_id", F.lit(turn)) if turn else F.col("doc_id")
-        pivots = placed.groupBy("sig").agg(F.min_by(F.struct("doc_id", "n", "slack", "component"), order).alias("p")).select("sig", "p.*")
-        star = placed.alias("e").join(pivots.alias("p"), (F.col("e.sig") == F.col("p.sig")) & (F.col("e.component") != F.col("p.component")) & fits("e", "p"))
-        # the pivot that a member shares most lists with; what it misses is left to later rounds and to all pairs
-        shares = star.groupBy(F.col("e.doc_id").alias("x"), F.col("p.doc_id").alias("y")).agg(F.count("*").alias("c"))
-        nearest = shares.groupBy("x").agg(F.max(F.struct("c", (-F.col("y")).alias("y"))).alias("p")).select("x", (-F.col("p.y")).alias("y"))
-        found = verified(nearest.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct())
-        joined = hung(keep(found.union(begun.select("node", "component")), "links"))
-        drop_kept(found)
-        drop_kept(begun)
-        drop_kept(placed)
-        begun = joined
-        placed = placed_in(begun)
-        # a member meets m - 1 others
-        weight = placed.agg(F.sum("m"), F.count("*")).first()
-        if not weight[1] or weight[0] <= WORTH * weight[1]:
+        homes = long.groupBy("sig", "component").agg(F.count("*").alias("c"), F.array_distinct(F.array(*(F.min_by(member, F.xxhash64("doc_id", F.lit(PIVOTS * turn + i))) for i in range(PIVOTS)))).alias("ps"))
+        homes = keep(homes, "homes")
+        # members meet those of other components
+        before, left = left, homes.groupBy("sig").agg((F.sum("c") * F.sum("c") - F.sum(F.col("c") * F.col("c"))).alias("w")).agg(F.sum("w")).first()[0] or 0
+        if not left or before is not None and left > 0.9 * before:
+            drop_kept(homes)
             break
-    placed = placed.withColumn("blocks", F.ceil(F.col("m") / MEET).cast("int")).withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
+        pivots = homes.groupBy("sig").agg(F.max_by("ps", F.struct("c", "component")).alias("ps")).select("sig", F.explode("ps").alias("p"))
+        begun = starred(long, pivots, begun)
+        drop_kept(homes)
+        later = unsettled(placed_in(begun, long))
+        drop_kept(long)
+        long = later
+    now = placed_in(begun, placed.filter(F.col("m") <= WORTH)).unionByName(long)
+    spread = now.withColumn("blocks", F.ceil(F.col("m") / MEET).cast("int")).withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
     every = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    left, right = placed.withColumn("other", every), placed.withColumnRenamed("block", "other").withColumn("block", every)
-    apart = left.alias("a").join(right.alias("b"), (F.col("a.sig") == F.col("b.sig")) & (F.col("a.block") == F.col("b.block")) & (F.col("a.other") == F.col("b.other")) & (F.col("a.doc_id") < F.col("b.doc_id")) & (F.col("a.component") != F.col("b.component")) & fits("a", "b"))
+    ones, others = spread.withColumn("other", every), spread.withColumnRenamed("block", "other").withColumn("block", every)
+    apart = ones.alias("a").join(others.alias("b"), (F.col("a.sig") == F.col("b.sig")) & (F.col("a.block") == F.col("b.block")) & (F.col("a.other") == F.col("b.other")) & (F.col("a.doc_id") < F.col("b.doc_id")) & (F.col("a.component") != F.col("b.component")) & fits("a", "b"))
     more = verified(apart.select(F.col("a.doc_id").alias("x"), F.col("b.doc_id").alias("y")).distinct())
     drop_kept(marked)
     drop_kept(entries)
+    drop_kept(placed)
+    drop_kept(long)
     joined = hung(keep(more.union(begun.select("node", "component")), "links"))
     drop_kept(more)
     out = named.join(joined.select(F.col("node").alias("rep"), "component"), "rep", "left")

@@ -76,6 +76,33 @@ def test_jaccard_components(spark, k, num, den):
     assert got == brute_components(rows, k, num, den)
 
 
+def test_near_copies_do_not_become_all_their_pairs(spark, monkeypatch):
+    from lyricspark.llm import ngram_join
+
+    rng = random.Random(5)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(6))
+    base = [word() for _ in range(150)]
+    rows = []
+    for i in range(300):
+        # copies with two words replaced link with those with fewer alone
+        copy = list(base)
+        for at in rng.sample(range(10, 140), 2 if i < 240 else 1 if i < 270 else 0):
+            copy[at] = word()
+        rows.append((i, " ".join([*copy, word()] if i < 299 else copy)))
+    counts = Counter()
+
+    def counted(df, name, real=ngram_join.keep):
+        out = real(df, name)
+        counts[name] += out.count()
+        return out
+
+    monkeypatch.setattr(ngram_join, "keep", counted)
+    got = Counter(map(tuple, jaccard_components(table(spark, [(i, t, "s") for i, t in rows]), 5, (4, 5)).collect()))
+    assert got == brute_components(rows, 5, 4, 5)
+    # of 44,850 pairs, a few for each row are looked at
+    assert counts["pairs"] < 3 * len(rows), counts
+
+
 def test_jaccard_of_an_empty_table(spark):
     assert jaccard_components(table(spark, [])).collect() == []
 
