@@ -444,6 +444,34 @@ def test_passages_whose_seeds_disagree_on_the_pivot(spark):
     assert {(r.doc_id, r.other_id, r.n_equal) for r in got if r.doc_id < 10} == {(3, 4, 60), (4, 3, 60)}
 
 
+def test_what_repeats_one_word_makes_a_star(spark):
+    # the first and the last document hold the word too briefly to stand for the others
+    rng = random.Random(6)
+    noise = lambda n: ["".join(rng.choice("abcdefghij") for _ in range(7)) for _ in range(n)]
+    rows = [(i, noise(30) + ["la"] * (6 if i in (0, 31) else 55 + i % 7) + noise(30)) for i in range(32)]
+    got = substring_dedup.repeated_passages(table(spark, [(i, " ".join(t), "s") for i, t in rows])).collect()
+    assert {r.doc_id for r in got} == set(range(1, 31)) and all(r.n_equal >= 55 for r in got)
+    assert {(r.doc_id, r.other_id) for r in got} >= {(i, 6) for i in range(1, 31) if i != 6} and len({(r.doc_id, r.other_id) for r in got}) <= 2 * 29
+
+
+def test_packed_places():
+    import pyarrow as pa
+
+    rng = np.random.default_rng(2)
+    n = 200_000
+    seeds, docs, ats = rng.integers(0, 2**64, n, dtype=np.uint64), 10**12 + np.repeat(rng.permutation(500), 400), np.tile(np.arange(400), 500).astype(np.int32)
+    places = substring_dedup._Places(51)
+    batch = places.rows(seeds, docs, ats)
+    # a row of numbers would take 20 bytes a place
+    assert batch.nbytes < 7 * n
+    back = [(r["bucket"], *x) for r in batch.to_pylist() for x in zip(*(c.tolist() for c in places.unpacked(r["n"], r["least"], r["packed"])))]
+    assert sorted(back) == sorted(zip((seeds >> np.uint64(56)).tolist(), ((seeds >> np.uint64(24)) & np.uint64(2**32 - 1)).tolist(), docs.tolist(), ats.tolist()))
+    # only seeds of two documents come out, each document's places once
+    held = pa.Table.from_batches([places.rows(np.full(4, 77, np.uint64), np.array([5, 5, 9, 9]), np.array([3, 1, 4, 4], np.int32)), places.rows(np.full(2, 2**40, np.uint64), np.array([5, 5]), np.array([0, 9], np.int32))])
+    found = [r for b in places.shared(50)(held.sort_by("bucket").to_batches()) for r in b.to_pylist()]
+    assert [(r["doc_id"], r["ats"], r["covered"], r["holders"], r["first"], r["last"], r["most"]) for r in found] == [(5, [1, 3], 6, 2, None, 9, None), (9, [4], 4, 2, 5, None, None)]
+
+
 def test_place_pairs():
     pairs = lambda a, b: set(zip(*(x.tolist() for x in substring_dedup.place_pairs(np.array(a), np.array(b)))))
     assert pairs([5, 900], [7, 40, 300]) == {(x, y) for x in (5, 900) for y in (7, 40, 300)}
