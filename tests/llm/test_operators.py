@@ -472,6 +472,38 @@ def test_packed_places():
     assert [(r["doc_id"], r["ats"], r["covered"], r["holders"], r["first"], r["last"], r["most"]) for r in found] == [(5, [1, 3], 6, 2, None, 9, None), (9, [4], 4, 2, 5, None, None)]
 
 
+def test_places_of_seeds_are_kept_packed(spark, monkeypatch):
+    # a row for a bucket, none for a place
+    kept, keep = {}, substring_dedup.keep
+    monkeypatch.setattr(substring_dedup, "keep", lambda df, name: kept.setdefault(name, []).append((out := keep(df, name)).count()) or out)
+    rng = random.Random(3)
+    text = " ".join(str(rng.random()) for _ in range(3000))
+    assert substring_dedup.repeated_passages(table(spark, [(i, text, "s") for i in range(3)])).count() == 5
+    assert kept["common"][0] <= 1024 and kept["chains"][0] == 3
+
+
+def test_runs_align_as_single_matches_do():
+    # two runs with a replaced and an added word between them, a run that the first one covers in part, and one of a false match
+    a, b = np.arange(100), np.array([*range(30), 500, 501, *range(31, 100)])
+    runs = substring_dedup._true_runs(a, b, np.array([[0, 0, 30, 27], [25, 25, 5, 2], [31, 32, 69, 66], [40, 50, 4, 1]]), 4)
+    assert runs == [(0, 0, 30, 27), (25, 25, 5, 2), (31, 32, 69, 66)]
+    assert substring_dedup.passages(a.tolist(), b.tolist(), runs, 4, 50, 0.8) == [(0, 100, 0, 101, 99)]
+    for n in range(50):
+        rng = np.random.default_rng(n)
+        x, y = (rng.integers(0, 6, rng.integers(1, 30)).tolist() for _ in range(2))
+        assert substring_dedup._common(x, y) == _longest_common(x, y)
+
+
+def _longest_common(x, y):
+    row = [0] * (len(y) + 1)
+    for u in x:
+        new = [0]
+        for j, v in enumerate(y, 1):
+            new.append(row[j - 1] + 1 if u == v else max(row[j], new[j - 1]))
+        row = new
+    return row[-1]
+
+
 def test_place_pairs():
     pairs = lambda a, b: set(zip(*(x.tolist() for x in substring_dedup.place_pairs(np.array(a), np.array(b)))))
     assert pairs([5, 900], [7, 40, 300]) == {(x, y) for x in (5, 900) for y in (7, 40, 300)}
