@@ -58,8 +58,8 @@ def match_words(trans: Column, ref: Column, threshold: float = 0.6, prefer_refer
 
     @F.arrow_udf("struct<matched:string,sure:double,exact:int,corrections:int,phonetic:int,uncertain:int,total:int,before:int,after:int>")
     def run(t: pa.Array, r: pa.Array) -> pa.Array:
-        (a, b), words, row, _, (chosen, confidence, source) = _matched(t, r, threshold, prefer_reference, pairs)
-        offsets = _offsets(row, len(t))
+        (a, b), words, row, (_, meant), (chosen, confidence, source) = _matched(t, r, threshold, prefer_reference, pairs)
+        every, offsets = row, _offsets(row, len(t))
         matched = pc.binary_join(pa.ListArray.from_arrays(offsets, words.take(pa.array(chosen)).cast(pa.string())), " ")
         counted = (a.sizes > 0) & (b.sizes > 0)
         some = counted[row]
@@ -67,8 +67,12 @@ def match_words(trans: Column, ref: Column, threshold: float = 0.6, prefer_refer
         n = lambda test: np.bincount(row[test], minlength=len(t)).astype(np.int32)
         sure = np.bincount(row, confidence, len(t))
         counts = [n(source == EXACT), n(source == REFERENCE), n(source == PHONETIC), n(confidence < 0.6), n(slice(None))]
-        after = _Side(chosen.astype(b.ids.dtype), np.diff(offsets).astype(np.int64))
-        errors = [_all_distances(x, b).astype(np.int32) for x in (a, after)]
+        errors = [_all_distances(a, b).astype(np.int32)]
+        if prefer_reference:
+            # what is chosen holds all words of the reference in order, so the others are the errors
+            errors.append(np.bincount(every[meant < 0], minlength=len(t)).astype(np.int32))
+        else:
+            errors.append(_all_distances(_Side(chosen.astype(b.ids.dtype), np.diff(offsets).astype(np.int64)), b).astype(np.int32))
         fields = [matched, *(pa.array(x) for x in (sure, *counts, *errors))]
         return pa.StructArray.from_arrays(fields, ["matched", "sure", "exact", "corrections", "phonetic", "uncertain", "total", "before", "after"])
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 import re
 from collections.abc import Iterable, Mapping
 
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -127,10 +129,45 @@ def apply_explicit_rules(text: Column, mapping: Mapping[str, str] = EXPLICIT_RUL
 
 
 def correct(text: Column, aggressive: bool = False, phrases: Iterable[tuple[str, str]] = PHRASE_RULES, dialect: Mapping[str, str] = DIALECT_RULES, slang: Mapping[str, str] = SLANG_RULES, explicit: Mapping[str, str] = EXPLICIT_RULES) -> Column:
-    out = apply_slang_rules(apply_dialect_rules(apply_phrase_rules(text, phrases), dialect), slang)
+    out = apply_phrase_rules(text, phrases)
+    if any(v == "" or re.search(r"\s", v) for v in dialect.values()):
+        out = apply_slang_rules(apply_dialect_rules(out, dialect), slang)
+    else:
+        # no word falls apart, so a text is split once
+        mapped = let(words(out), lambda t: let(_mapped_words(t, dialect, CONTEXT_WORDS), lambda u: _mapped_words(u, slang, CONTEXT_WORDS, _jam, ("well",))))
+        out = F.array_join(mapped, " ")
     return apply_explicit_rules(out, explicit) if aggressive else out
 
 
+def _wider(pattern: str) -> str | None:
+    """A pattern of plain characters that is found wherever this one is; none where nothing is known of it."""
+    wide = pattern.replace(r"\b", "").replace(r"\s+", "[^a-z0-9]+")
+    if re.fullmatch(r"[a-z' ,?]+", wide.replace("[^a-z0-9]+", " ")) and re.match(r"[a-z'](?!\?)", wide):
+        return wide
+    longest = max(cores(pattern), key=len, default="")
+    return re.escape(longest) if re.fullmatch(r"[a-z' ]+", longest) else None
+
+
+def may_change(text: Column, phrases: Iterable[tuple[str, str]] = PHRASE_RULES, dialect: Mapping[str, str] = DIALECT_RULES, slang: Mapping[str, str] = SLANG_RULES) -> Column:
+    """False where `correct`, not aggressive, leaves the words of a text as they are in lower case: no rule's phrase or word can be there."""
+    wide = [_wider(p) for p, _ in phrases]
+    asked = sorted({*dialect, *slang, "well"})
+    known = None not in wide and all(re.fullmatch(r"[a-z0-9']+", w) for w in asked)
+    phrase, word = "|".join(map(str, wide)) or "[^\\s\\S]", f"(?:^|\\s)(?:{'|'.join(asked)})(?:\\s|$)"
+
+    @F.arrow_udf("boolean")
+    def run(t: pa.Array) -> pa.Array:
+        if not known:
+            return pa.array([True] * len(t))
+        low = pc.utf8_lower(t)
+        # a word is looked for among the letters that stay of it, whatever white space is around
+        bare = pc.replace_substring_regex(pc.replace_substring_regex(low, r"[\s\x0B\x{85}\pZ]+", " "), "[^a-z0-9' ]", "")
+        tried = pc.or_(pc.match_substring_regex(low, phrase), pc.match_substring_regex(bare, word))
+        return pc.fill_null(pc.or_(tried, pc.match_substring_regex(t, FOLDED.pattern)), False)
+
+    return run(text)
+
+
 def correct_with_changes(df: DataFrame, text: str = "text", aggressive: bool = False) -> DataFrame:
     """df with corrected, changes (category: before → after, in order), n_changes and was_modified.
 

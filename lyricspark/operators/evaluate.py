@@ -7,11 +7,11 @@ from collections.abc import Iterable, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lyricspark.functions.align import align_errors, distances, edit_ops
+from lyricspark.functions.align import align_errors, distances, edit_ops, error_rates
 from lyricspark.functions.match import match_alignments, match_words
 from lyricspark.functions.metrics import char_rate, error_category, normalize_delete, term_accuracy, wer
-from lyricspark.functions.rules import correct
-from lyricspark.functions.text import tokenize, words
+from lyricspark.functions.rules import correct, may_change
+from lyricspark.functions.text import let, tokenize, words
 
 
 def sample_metrics(df: DataFrame, ref: str = "reference", hyp: str = "hypothesis") -> DataFrame:
@@ -165,6 +165,26 @@ def stage_report(df: DataFrame, ids: Sequence[str], ref: str = "reference", hyp:
     return out.select(*ids, *(f"wer_{n}" for _, n in rates), (F.col("wer_raw") - F.col("wer_matched")).alias("reduction"))
 
 
+def matched_stage_report(df: DataFrame, ids: Sequence[str], ref: str = "reference", hyp: str = "hypothesis", phonetic_threshold: float = 0.6, prefer_reference: bool = True) -> DataFrame:
+    """stage_report of match_lyrics in one go: each text is split once, and the matched words aren't split and compared anew."""
+    t, r = (tokenize(F.coalesce(F.col(c), F.lit("")), "space") for c in (hyp, ref))
+    out = df.select("*", t.alias("_t"), r.alias("_r"))
+    out = out.select("*", F.inline(F.array(match_words(F.col("_t"), F.col("_r"), phonetic_threshold, prefer_reference).alias("m"))).alias(*(f"_m{i}" for i in range(9))))
+    # where no rule changes a text, its words and errors stay as they are
+    plain = F.array_join(words(F.trim(F.lower(hyp))), " ")
+    out = out.withColumn("_c", F.when(may_change(F.col(hyp)), let(correct(F.col(hyp)), lambda c: F.when(c != plain, tokenize(c, "space")))))
+    out = out.select("*", F.explode(F.array(error_rates(F.when(F.col("_c").isNotNull(), F.col("_r")), F.col("_c"), "one"))).alias("_corrected"))
+
+    def rate(errors: str, empty: Column) -> Column:
+        return F.when(F.col(ref).isNotNull(), F.when(F.size("_r") > 0, F.col(errors) / F.size("_r")).when(empty, 0.0).otherwise(1.0))
+
+    no_t = F.size("_t") == 0
+    raw = rate("_m7", no_t & F.col(hyp).isNotNull())
+    corrected = F.when(F.col("_c").isNull(), raw).when(F.col(ref).isNotNull(), F.col("_corrected"))
+    out = out.withColumns({"wer_raw": raw, "wer_corrected": corrected, "wer_matched": rate("_m8", no_t)})
+    return out.select(*ids, "wer_raw", "wer_corrected", "wer_matched", (F.col("wer_raw") - F.col("wer_matched")).alias("reduction"))
+
+
 def stage_averages(report: DataFrame) -> DataFrame:
     """One row: the mean rate of each stage, and how much the last one is below the first."""
     out = report.agg(F.count("*").alias("samples"), *(F.avg(f"wer_{n}").alias(f"wer_{n}") for n in ("raw", "corrected", "matched")))

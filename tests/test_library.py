@@ -398,3 +398,18 @@ def test_pairs_of_a_batch_align_like_single_ones(kinds):
     assert [[tuple(x.values()) for x in row] for row in rows] == [[(n, *x) for n, x in enumerate(word_alignment(*p)) if x[0] != "correct"] for p in pairs]
     texts = [["".join(p[n]) for p in pairs] for n in (0, 1)]
     assert align._all_distances(*align._char_sides(*texts)).tolist() == [distance(*p) for p in zip(*texts)]
+
+
+def test_stage_report_in_one_go(spark):
+    # one UDF matches and counts the errors, and rules are tried only where one may apply
+    from lyricspark.functions.rules import may_change
+
+    texts = [None, "", "  ", "Pants  up, one on one!", "w.e.l.l my JAM well", "İm fine", "one of many", "ſhawty", "plain words here", "finna go, y'all", "café — one　on one"]
+    rows = [(i * len(texts) + j, a, b) for i, a in enumerate(texts) for j, b in enumerate([*texts, "got my pants one on one"])]
+    df = spark.createDataFrame(rows, "key long, reference string, hypothesis string")
+    old = evaluate.stage_report(evaluate.match_lyrics(df), ["key"], matched="matched")
+    new = evaluate.matched_stage_report(df, ["key"])
+    assert sorted(map(str, old.collect())) == sorted(map(str, new.collect()))
+    assert str(new._jdf.queryExecution().optimizedPlan()).count("regexp_replace(lower(coalesce(reference") == 1
+    changed = rules.correct(F.col("hypothesis")) != F.array_join(text.words(F.trim(F.lower("hypothesis"))), " ")
+    assert df.filter(changed & ~may_change(F.col("hypothesis"))).count() == 0 < df.filter(~may_change(F.col("hypothesis"))).count()
